@@ -73,7 +73,8 @@ def prepare_source(df: DataFrame, source: str, keycols: dict[str, str], fields:
 
 def merge(sources: TMapping[str, DataFrame], spec: MergeSpec, how: str = "inner", fanout: str = "rows",
           dedupe: bool = True, order_by: TMapping[str, object] | None = None, cast: bool = False,
-          plan: str = "auto", keep_order: bool = False) -> DataFrame:
+          plan: str = "auto", keep_order: bool = False, ids: TMapping[str, str] | None = None,
+          max_cluster_size: int | None = None) -> DataFrame:
     """Merge ``sources`` by ``spec``.  Returns one row per key (``dedupe=True``).
 
     * ``how``: ``inner`` (default), ``left`` (keep every key of the primary
@@ -86,6 +87,8 @@ def merge(sources: TMapping[str, DataFrame], spec: MergeSpec, how: str = "inner"
       ``rowjoin`` (group the row-level join; the reference plan for tests).
     * ``keep_order``: sort the result by first appearance (a global sort, so
       use it for output only).
+    * ``ids`` / ``max_cluster_size``: OR-key merges only (``spec.logic='or'``):
+      per-source unique id columns for stable entity ids, and the cluster bound.
     """
     if how not in HOWS:
         raise SpecError(f"how must be one of {HOWS}")
@@ -95,7 +98,7 @@ def merge(sources: TMapping[str, DataFrame], spec: MergeSpec, how: str = "inner"
     if spec.logic == "or":
         from .entities import or_key_merge
 
-        return or_key_merge(sources, spec, order_by=order_by, cast=cast)
+        return or_key_merge(sources, spec, order_by=order_by, cast=cast, ids=ids, max_cluster_size=max_cluster_size)
     order_by = dict(order_by or {})
     joined = spec.joined_sources()
     keycols = spec.key_columns()
