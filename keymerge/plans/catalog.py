@@ -4,7 +4,7 @@ Every query reads the driver's parquet tables (or data Spark derives from
 them) in full, and comes with the equivalent DuckDB SQL where one exists.
 """
 
-from . import entity_queries, io_queries, merge_queries, type_queries  # noqa: F401  (registration side effects)
+from . import entity_queries, io_queries, merge_queries, quality_queries, type_queries  # noqa: F401  (registration side effects)
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
