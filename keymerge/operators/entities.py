@@ -318,6 +318,9 @@ def entity_merge(sources: TMapping[str, DataFrame], links: Sequence[Link], mappi
     (no join), so nothing fans out; first/last/list policies follow
     (source order, row order).
     """
+    from .merge import numeric_inputs
+
+    sources, mappings = numeric_inputs(sources, list(mappings))
     fields = [f for m in mappings for f in m.fields]
     nodes = resolve(sources, links, fields, ids, order_by, key_fields, max_cluster_size)
     used = [s for s in _used_sources(links, key_fields)]

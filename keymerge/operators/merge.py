@@ -30,6 +30,36 @@ from ..sources.readers import ordinal_expr
 from ..spec import TYPE_NAMES, Mapping, MergeSpec, Policy, SourceField, SpecError, validate
 
 HOWS = ("inner", "left", "full")
+NUMERIC_POLICIES = ("sum", "average", "row_sum", "row_means")
+_NUM_SUFFIX = "__num"
+
+
+def numeric_inputs(sources: TMapping[str, DataFrame], mappings: list[Mapping]):
+    """Text columns under a numeric policy are read through ``try_cast(double)``.
+
+    A value that is not a number then counts as null (and is listed by
+    ``quality.unresolved`` as a type mismatch) instead of failing the job.
+    """
+    todo: dict[str, set[str]] = {}
+    for m in mappings:
+        if m.policy.kind in NUMERIC_POLICIES:
+            for f in m.fields:
+                df = sources.get(f.source)
+                if df is not None and f.column in df.columns and dict(df.dtypes)[f.column] == "string":
+                    todo.setdefault(f.source, set()).add(f.column)
+    if not todo:
+        return sources, mappings
+    out = dict(sources)
+    for s, cols in todo.items():
+        out[s] = out[s].withColumns({c + _NUM_SUFFIX: F.col(c).try_cast("double") for c in sorted(cols)})
+    new_maps = []
+    for m in mappings:
+        if m.policy.kind in NUMERIC_POLICIES:
+            flds = tuple(SourceField(f.source, f.column + _NUM_SUFFIX) if f.column in todo.get(f.source, ()) else f
+                         for f in m.fields)
+            m = Mapping(m.destination, m.policy, flds)
+        new_maps.append(m)
+    return out, new_maps
 _ORDER_POLICIES = ("firstMatch", "lastMatch", "first_row", "row_means", "values", "coalesced_values", "concat", "custom")
 
 
@@ -104,6 +134,7 @@ def merge(sources: TMapping[str, DataFrame], spec: MergeSpec, how: str = "inner"
     keycols = spec.key_columns()
     keys = list(spec.keys)
     mappings = spec.value_mappings() + _passthrough_mappings(spec, sources, joined)
+    sources, mappings = numeric_inputs(sources, mappings)
     fields = [f for m in mappings for f in m.fields]
     pols = [PolicyExpr(m, i) for i, m in enumerate(mappings)]
     ctx = Ctx(joined, fanout)
