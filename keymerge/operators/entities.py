@@ -35,9 +35,17 @@ ENTITY = "entity_id"
 
 # Derivations for semantic links.
 EMAIL_RE = r"[A-Za-z0-9._%+-]+@([A-Za-z0-9.-]+[.][A-Za-z]{2,})"
+EMAIL_FULL_RE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"
+
+
+def _with_at(c: Column, pattern: str, group: int) -> Column:
+    # The regex can only match text holding an '@': test that first (same result, far cheaper).
+    return F.when(F.instr(c, "@") > 0, F.lower(F.regexp_extract(c, pattern, group))).otherwise(F.lit(""))
+
+
 DERIVATIONS: dict[str, Callable[[Column], Column]] = {
-    "email_domain": lambda c: F.lower(F.regexp_extract(c, EMAIL_RE, 1)),
-    "email": lambda c: F.lower(F.regexp_extract(c, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}", 0)),
+    "email_domain": lambda c: _with_at(c, EMAIL_RE, 1),
+    "email": lambda c: _with_at(c, EMAIL_FULL_RE, 0),
     "phone_digits": lambda c: F.regexp_replace(c, r"[^0-9]", ""),
     "name_fold": lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " ")),
 }
@@ -107,8 +115,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
         d = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(
             e.select(F.col("v").alias("x"), F.col("u").alias("y")))
         m = d.groupBy("x").agg(F.min("y").alias("_m")).select("x", F.least("x", "_m").alias("m"))
-        ls = d.join(m, "x").filter(F.col("y") > F.col("x")).select(F.col("y").alias("a"), F.col("m").alias("b"))
-        e = _canon(ls, "a", "b")
+        # (y, m) with y > x >= m is already canonical; duplicates are removed after small-star
+        e = d.join(m, "x").filter(F.col("y") > F.col("x")).select(F.col("y").alias("u"), F.col("m").alias("v"))
         # small-star: u and its smaller neighbours attach to min(N<=(u) + u)
         m2 = e.groupBy("u").agg(F.min("v").alias("m"))
         ss = e.join(m2, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(

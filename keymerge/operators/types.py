@@ -33,25 +33,47 @@ def _string_cols(df: DataFrame, columns: list[str] | None) -> list[str]:
     return [c for c in cols if kinds[c] == "string"]
 
 
+def _rungs(parse_dates: bool) -> list[tuple[str, str]]:
+    return INFER_RUNGS + (DATE_RUNGS if parse_dates else [])
+
+
+def _rank(v: Column, parse_dates: bool) -> Column:
+    """Index of the first rung a value matches (len(rungs) = none); one short-circuit CASE per value."""
+    rungs = _rungs(parse_dates)
+    e = F.when(v.rlike(rungs[0][1]), F.lit(0))
+    for i, (_, pat) in enumerate(rungs[1:], 1):
+        e = e.when(v.rlike(pat), F.lit(i))
+    return e.otherwise(F.lit(len(rungs)))
+
+
 def _rung_aggs(df: DataFrame, cols: list[str], parse_dates: bool) -> list[Column]:
-    rungs = INFER_RUNGS + (DATE_RUNGS if parse_dates else [])
     aggs = []
     for c in cols:
         v = F.col(c)
-        aggs.append(F.count(v).alias(f"{c}__r__n"))
-        for name, pat in rungs:
-            aggs.append(F.bool_and(F.when(v.isNotNull(), v.rlike(pat))).alias(f"{c}__r__{name}"))
+        r = F.when(v.isNotNull(), _rank(v, parse_dates))
+        aggs += [F.count(v).alias(f"{c}__r__n"), F.min(r).alias(f"{c}__r__lo"), F.max(r).alias(f"{c}__r__hi")]
     return aggs
 
 
-def _winner(row: dict, c: str, parse_dates: bool) -> str:
-    rungs = INFER_RUNGS + (DATE_RUNGS if parse_dates else [])
-    for name, _ in rungs:
-        if row.get(f"{c}__r__{name}") is True:
-            return name
+# Rungs nest as boolean | bigint < double, date | timestamp: every value must fit
+# the chosen rung, so the winner is decided from the lowest and highest rank seen.
+_NESTS = {"boolean": (), "bigint": (), "double": ("bigint",), "date": (), "timestamp": ()}
+
+
+def _winner_from(lo, hi, parse_dates: bool) -> str:
+    names = [n for n, _ in _rungs(parse_dates)]
+    if lo is None or hi >= len(names):
+        return "string"
+    lo_name, hi_name = names[lo], names[hi]
+    if lo_name == hi_name or lo_name in _NESTS.get(hi_name, ()):
+        return hi_name
     return "string"
 
 
+def _winner(row: dict, c: str, parse_dates: bool) -> str:
+    return _winner_from(row.get(f"{c}__r__lo"), row.get(f"{c}__r__hi"), parse_dates)
+
+
 def infer_column_types(df: DataFrame, columns: list[str] | None = None, sample: int | None = None,
                        parse_dates: bool = False) -> dict[str, str]:
     """``{column: spark type}`` for the string columns of ``df``.
@@ -100,13 +122,17 @@ def infer_types(df: DataFrame, columns: list[str] | None = None, sample: int | N
     scols = [c for c in cols if kinds[c] == "string"]
     aggs = _rung_aggs(src, scols, parse_dates) + [F.count(F.col(c)).alias(f"{c}__r__n") for c in cols if c not in scols]
     row = src.agg(*aggs)
-    rungs = INFER_RUNGS + (DATE_RUNGS if parse_dates else [])
+    names = [n for n, _ in _rungs(parse_dates)]
     entries = []
     for i, c in enumerate(cols):
         if c in scols:
+            lo, hi = F.col(f"`{c}__r__lo`"), F.col(f"`{c}__r__hi`")
             dtype = F.lit("string")
-            for name, _ in reversed(rungs):
-                dtype = F.when(F.col(f"`{c}__r__{name}`") == F.lit(True), F.lit(name)).otherwise(dtype)
+            for j, name in enumerate(names):
+                ok = (hi == F.lit(j)) & (lo == F.lit(j))
+                for inner in _NESTS.get(name, ()):
+                    ok = ok | ((hi == F.lit(j)) & (lo == F.lit(names.index(inner))))
+                dtype = F.when(ok, F.lit(name)).otherwise(dtype)
         else:
             dtype = F.lit(kinds[c])
         entries.append(F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), dtype.alias("dtype"),
