@@ -86,3 +86,24 @@ def link_semantic(spark, sf):
         M("first_doc", "min", ("documents", "doc_id")),
         M("docs", "concat", ("documents", "doc_id"), sep=","),
     ], ids={"documents": "doc_id"}, order_by={"documents": "doc_id"})
+
+
+@register("unresolved_clusters", f"""
+WITH RECURSIVE c AS (SELECT c_custkey AS id, {_K1} AS k1, {_K2} AS k2 FROM customer),
+e AS (SELECT a.id AS s, b.id AS d FROM c a JOIN c b ON a.k1 = b.k1
+      UNION SELECT a.id, b.id FROM c a JOIN c b ON a.k2 = b.k2),
+r(s, d) AS (SELECT s, d FROM e UNION SELECT r.s, e.d FROM r JOIN e ON r.d = e.s),
+comp AS (SELECT s AS id, MIN(d) AS root FROM r GROUP BY s),
+sized AS (SELECT id, root, COUNT(*) OVER (PARTITION BY root) AS size FROM comp)
+SELECT 0 AS _src, id AS _row_id, root AS cluster_id, 'cluster too large' AS reason FROM sized WHERE size > 3
+""")
+def unresolved_clusters(spark, sf):
+    """Q4: rows left unmerged because their OR-key cluster has more than 3 rows."""
+    from ..operators.entities import resolve
+    from ..operators.quality import unresolved_entities
+    from ..spec import SourceField
+
+    key_fields = [[SourceField("customer", "k1")], [SourceField("customer", "k2")]]
+    nodes = resolve({"customer": _or_customers(spark, sf)}, [], [], ids={"customer": "c_custkey"},
+                    key_fields=key_fields, max_cluster_size=3)
+    return unresolved_entities(nodes)
