@@ -68,7 +68,7 @@ HAVING COUNT(DISTINCT o.o_orderkey) > 5
 
 SQL_WINDOW = """
 SELECT c_custkey, c_nationkey, CAST(total AS DOUBLE) AS total,
-       RANK() OVER (PARTITION BY c_nationkey ORDER BY total DESC, c_custkey) AS rnk,
+       CAST(RANK() OVER (PARTITION BY c_nationkey ORDER BY total DESC, c_custkey) AS BIGINT) AS rnk,
        CAST(SUM(total) OVER (PARTITION BY c_nationkey ORDER BY total DESC, c_custkey
                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS running,
        LAG(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY total DESC, c_custkey) AS prev_customer

@@ -260,9 +260,9 @@ _OK = "CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderkey END"
 
 @register("row_sum_count_rows", f"""
 SELECT c.c_custkey AS c_custkey,
-       COALESCE(SUM(c.a + o.b), 0) AS row_total,
+       CAST(COALESCE(SUM(c.a + o.b), 0) AS BIGINT) AS row_total,
        COUNT(*) AS n_rows,
-       COALESCE(SUM(c.a), 0) + COALESCE(SUM(o.b), 0) AS total
+       CAST(COALESCE(SUM(c.a), 0) + COALESCE(SUM(o.b), 0) AS BIGINT) AS total
 FROM (SELECT c_custkey, {_NN} AS a FROM customer) c
 JOIN (SELECT o_custkey, {_OK} AS b FROM orders) o ON c.c_custkey = o.o_custkey
 GROUP BY c.c_custkey

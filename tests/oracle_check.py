@@ -84,3 +84,27 @@ def main():
 
 if __name__ == "__main__":
     main()
+
+
+def type_report(sf="/root/testdata/sf0.001"):
+    """Print Spark vs DuckDB column types per query (coarse families)."""
+    from keymerge.session import get_session
+    import __spark_entry__ as E
+
+    fam = {"bigint": "int64", "int": "int32", "integer": "int32", "double": "float64", "string": "str",
+           "varchar": "str", "boolean": "bool", "timestamp_ntz": "ts", "timestamp": "ts", "date": "date",
+           "hugeint": "int128", "smallint": "int16", "float": "float32"}
+    spark = get_session("local[8]", 8)
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    for name, fn in E.queries().items():
+        sql = E.oracle_sql().get(name)
+        if not sql:
+            continue
+        st = {c: fam.get(t, t) for c, t in fn(spark, sf).dtypes}
+        rel = con.sql(sql)
+        dt = {c: fam.get(str(t).lower(), str(t).lower()) for c, t in zip(rel.columns, rel.types)}
+        diff = {c: (st.get(c), dt.get(c)) for c in set(st) | set(dt) if st.get(c) != dt.get(c)}
+        if diff:
+            print("TYPES", name, diff)
