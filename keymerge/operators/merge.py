@@ -95,10 +95,11 @@ def prepare_source(df: DataFrame, source: str, keycols: dict[str, str], fields:
             if f.column not in df.columns:
                 raise SpecError(f"Source {source} has no column {f.column}")
             cols.append(F.col(f.column).alias(qual(source, f.column)))
-    out = df.select(*cols)
     if drop_null_keys:
-        out = out.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keycols]))
-    return out
+        # Filter before the ordinal is attached: a filter above a nondeterministic
+        # projection is not pushed to the scan.  Row order among kept rows is unchanged.
+        df = df.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in keycols.values()]))
+    return df.select(*cols)
 
 
 def merge(sources: TMapping[str, DataFrame], spec: MergeSpec, how: str = "inner", fanout: str = "rows",
