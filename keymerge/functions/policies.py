@@ -96,6 +96,28 @@ class Ctx:
         return c if m is None else c * m
 
 
+def _fans(ctx: Ctx) -> bool:
+    return ctx.fanout == "rows" and len(ctx.joined) > 1
+
+
+def _fan(lst: Column, source: str, ctx: Ctx) -> Column:
+    """The list one source contributes to its key's joined rows, in row-join order.
+
+    Joined rows enumerate (row of S1, row of S2, ...) lexicographically, so
+    each element of source Si's list appears ``prod(m_j, j > i)`` times in a
+    row, and the whole list repeats ``prod(m_j, j < i)`` times.  Absent
+    sources count as one null row.  Equals grouping the row join without
+    building it.
+    """
+    if not _fans(ctx):
+        return lst
+    i = ctx.joined.index(source)
+    inner = _prod([ctx.m(t) for t in ctx.joined[i + 1:]]).cast("int")
+    outer = _prod([ctx.m(t) for t in ctx.joined[:i]]).cast("int")
+    rep = F.flatten(F.transform(lst, lambda x: F.array_repeat(x, inner))) if ctx.joined[i + 1:] else lst
+    return F.flatten(F.array_repeat(rep, outer)) if ctx.joined[:i] else rep
+
+
 def _by_source(fields: list[SourceField]) -> dict[str, list[SourceField]]:
     out: dict[str, list[SourceField]] = {}
     for f in fields:
@@ -128,11 +150,11 @@ class PolicyExpr:
         """True when the policy can only be computed over whole joined rows."""
         multi_src = len(self.sources()) > 1
         fanned = ctx.fanout == "rows" and len(ctx.joined) > 1
-        if self.kind in ("custom", "row_means", "coalesced_values"):
+        if self.kind == "custom":
             return multi_src or fanned
-        if self.kind in ("values", "concat"):
-            return fanned
-        return False
+        if self.kind in ("row_means", "coalesced_values"):
+            return multi_src
+        return False  # values / concat: per-source lists are expanded by the fan-out (``_fan``)
 
     # pre-aggregated form -------------------------------------------------------
     def partials(self, source: str) -> list[Column]:
@@ -166,8 +188,11 @@ class PolicyExpr:
             if own:
                 rv = _sum_cols([F.col(qual(f.source, f.column)) for f in own])
                 out += [F.sum(rv).alias(self.p("rsum", source)), F.count(rv).alias(self.p("rcnt", source))]
-        whole_source = self.sources() == [source] or (k == "values" and self.listed[0].source == source)
-        if k in ("row_means", "values", "coalesced_values", "custom") and whole_source:
+        whole_source = self.sources() == [source]
+        if k == "values" and self.listed[0].source == source:
+            f0 = self.listed[0]
+            out.append(ordered_list(F.col(qual(f0.source, f0.column)), F.col(ORD)).alias(self.p("one", 0)))
+        elif k in ("row_means", "coalesced_values", "custom") and whole_source:
             cols = [F.col(qual(f.source, f.column)) for f in self.listed]
             out.append(self._row_list_or_custom(cols, F.col(ORD)).alias(self.p("one", 0)))
         return out
@@ -222,10 +247,14 @@ class PolicyExpr:
                 terms.append(F.coalesce(t, F.lit(0)))
             e = _sum_cols(terms)
         elif k == "concat":
-            arr = F.concat(*[F.coalesce(F.col(self.p("list", i)), F.array()) for i in range(len(fs))]) if len(fs) > 1 \
-                else F.coalesce(F.col(self.p("list", 0)), F.array())
+            lists = [_fan(F.coalesce(F.col(self.p("list", i)), F.array()), f.source, ctx) for i, f in enumerate(fs)]
+            arr = F.concat(*lists) if len(lists) > 1 else lists[0]
             e = F.when(F.size(arr) > 0, F.array_join(arr.cast("array<string>"), self.m.policy.sep))
-        elif k in ("row_means", "values", "coalesced_values", "custom"):
+        elif k in ("values", "row_means", "coalesced_values"):
+            lst = F.col(self.p("one", 0))
+            src = self.listed[0].source
+            e = _fan(F.coalesce(lst, F.array(F.lit(None))), src, ctx) if _fans(ctx) else lst
+        elif k == "custom":
             e = F.col(self.p("one", 0))
         else:  # pragma: no cover - Policy validates kinds
             raise ValueError(k)
