@@ -266,10 +266,23 @@ def _fuzzy_keys(nodes: DataFrame, li: int, lk: Link) -> DataFrame:
         .drop("_vn", "_vg")
 
 
+METHODS = ("transitive_closure", "union_find", "graph_clustering")
+
+
 def resolve(sources: TMapping[str, DataFrame], links: Sequence[Link], fields: list[SourceField] = (),
             ids: TMapping[str, str] | None = None, order_by: TMapping[str, object] | None = None,
-            key_fields: list[list[SourceField]] = (), max_cluster_size: int | None = None) -> DataFrame:
-    """Nodes with their ``entity_id`` (E4/E6).  ``_oversize`` marks rows of clusters above the bound."""
+            key_fields: list[list[SourceField]] = (), max_cluster_size: int | None = None,
+            method: str = "transitive_closure") -> DataFrame:
+    """Nodes with their ``entity_id`` (E4/E6).  ``_oversize`` marks rows of clusters above the bound.
+
+    ``method``: ``transitive_closure`` and ``union_find`` give the same
+    components (E4/E5); ``graph_clustering`` is components bounded by
+    ``max_cluster_size`` (E6), which it requires.
+    """
+    if method not in METHODS:
+        raise SpecError(f"Unknown resolution method: {method}")
+    if method == "graph_clustering" and not max_cluster_size:
+        raise SpecError("graph_clustering needs max_cluster_size")
     used: list[str] = []
     for lk in links:
         for s in (lk.left, lk.right):
@@ -319,7 +332,7 @@ def resolve(sources: TMapping[str, DataFrame], links: Sequence[Link], fields: li
 def entity_merge(sources: TMapping[str, DataFrame], links: Sequence[Link], mappings: Sequence[Mapping],
                  ids: TMapping[str, str] | None = None, order_by: TMapping[str, object] | None = None,
                  max_cluster_size: int | None = None, key_fields: list[list[SourceField]] = (),
-                 with_size: bool = True) -> DataFrame:
+                 with_size: bool = True, method: str = "transitive_closure") -> DataFrame:
     """One row per entity with every mapping applied over all of its rows.
 
     All policies go into a single ``groupBy(entity_id).agg``.  Rows are unioned
@@ -330,7 +343,7 @@ def entity_merge(sources: TMapping[str, DataFrame], links: Sequence[Link], mappi
 
     sources, mappings = numeric_inputs(sources, list(mappings))
     fields = [f for m in mappings for f in m.fields]
-    nodes = resolve(sources, links, fields, ids, order_by, key_fields, max_cluster_size)
+    nodes = resolve(sources, links, fields, ids, order_by, key_fields, max_cluster_size, method)
     used = [s for s in _used_sources(links, key_fields)]
     pols = [PolicyExpr(m, i) for i, m in enumerate(mappings)]
     row_order = F.struct(F.col(SRC), *[F.col(ord_col(s)) for s in used])

@@ -115,3 +115,21 @@ def test_semantic_email_domain(spark):
                        [Mapping("ids", Policy("concat", sep=","), (SourceField("d", "id"),))],
                        ids={"d": "id"}, order_by={"d": "id"})
     assert sorted(r["ids"] for r in out.collect()) == ["1,2", "3", "4"]
+
+
+def test_methods_agree(spark):
+    import pytest
+    from keymerge import SpecError
+
+    a = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, "y"), (5, "y")], "id long, key string")
+    maps = [Mapping("n", Policy("count_rows"), (SourceField("A", "id"),))]
+    res = {}
+    for m in ("transitive_closure", "union_find"):
+        out = entity_merge({"A": a}, [Link("A", "key", "A", "key")], maps, ids={"A": "id"}, method=m)
+        res[m] = sorted(r["n"] for r in out.collect())
+    assert res["transitive_closure"] == res["union_find"] == [2, 3]
+    out = entity_merge({"A": a}, [Link("A", "key", "A", "key")], maps, ids={"A": "id"}, method="graph_clustering",
+                       max_cluster_size=2)
+    assert sorted(r["n"] for r in out.collect()) == [1, 1, 1, 2]
+    with pytest.raises(SpecError):
+        entity_merge({"A": a}, [Link("A", "key", "A", "key")], maps, method="graph_clustering")

@@ -99,3 +99,11 @@ def test_declared_cast_flags_mismatch(spark):
     df = spark.createDataFrame([("1.5",), ("abc",), (None,)], "v string")
     out = cast_declared(df, {"v": "Float64"}).collect()
     assert [(r["v__cast"], r["v__mismatch"]) for r in out] == [(1.5, False), (None, True), (None, False)]
+
+
+def test_schema_hint_overrides_inference(spark):
+    from keymerge.operators.types import apply_types
+
+    raw = spark.createDataFrame([("1", "2.5", "true"), ("2", "3", "false")], "a string, b string, c string")
+    out = apply_types(raw, schema_hint={"a": "string", "b": "double"})
+    assert out.dtypes == [("a", "string"), ("b", "double"), ("c", "boolean")]
