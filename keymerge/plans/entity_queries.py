@@ -107,3 +107,45 @@ def unresolved_clusters(spark, sf):
     nodes = resolve({"customer": _or_customers(spark, sf)}, [], [], ids={"customer": "c_custkey"},
                     key_fields=key_fields, max_cluster_size=3)
     return unresolved_entities(nodes)
+
+
+@register("link_exact", """
+WITH o AS (SELECT o_custkey, MIN(o_orderkey * 2 + 1) AS first_order_row, COUNT(*) AS n, 
+                  CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
+           FROM orders GROUP BY o_custkey)
+SELECT CASE WHEN o.o_custkey IS NULL THEN c.c_custkey * 2 ELSE LEAST(c.c_custkey * 2, o.first_order_row) END AS entity_id,
+       c.c_name AS c_name, COALESCE(o.n, 0) + 1 AS n_members, COALESCE(o.total, 0) AS total
+FROM customer c LEFT JOIN o ON c.c_custkey = o.o_custkey
+""")
+def link_exact(spark, sf):
+    """E1 + E7: customers and orders linked by an exact key across sources, merged per entity."""
+    orders = table(spark, sf, "orders").withColumn("o_totalprice", F.col("o_totalprice").cast(DEC))
+    out = entity_merge({"customer": table(spark, sf, "customer"), "orders": orders},
+                       [Link("customer", "c_custkey", "orders", "o_custkey")], [
+                           M("c_name", "firstMatch", ("customer", "c_name")),
+                           M("total", "sum", ("orders", "o_totalprice")),
+                       ], ids={"customer": "c_custkey", "orders": "o_orderkey"})
+    return _to_double(out, "total")
+
+
+@register("fuzzy_entities", """
+WITH RECURSIVE v AS (SELECT DISTINCT p_brand AS b, p_name AS n FROM part),
+e AS (SELECT a.b AS b, a.n AS x, c.n AS y FROM v a JOIN v c ON a.b = c.b
+      WHERE levenshtein(a.n, c.n) * 100 <= 25 * greatest(length(a.n), length(c.n))),
+r(b, x, y) AS (SELECT b, x, y FROM e UNION SELECT r.b, r.x, e.y FROM r JOIN e ON r.b = e.b AND r.y = e.x),
+g AS (SELECT b, x, MIN(y) AS grp FROM r GROUP BY b, x),
+p AS (SELECT part.*, g.grp FROM part JOIN g ON part.p_brand = g.b AND part.p_name = g.x)
+SELECT MIN(p_partkey) AS entity_id, COUNT(*) AS n_members, COUNT(DISTINCT p_name) AS n_names,
+       MAX(p_retailprice) AS max_price
+FROM p GROUP BY p_brand, grp
+""")
+def fuzzy_entities(spark, sf):
+    """E2 + E4 + E7: parts of one brand whose names are >= 75% similar (transitively) form one entity."""
+    lk = Link("part", "p_name", "part", "p_name", kind="fuzzy", threshold=75, block_on=("p_brand", "p_brand"))
+    from ..spec import Policy
+
+    out = entity_merge({"part": table(spark, sf, "part")}, [lk], [
+        M("n_names", Policy("custom", func=lambda c: F.count_distinct(c)), ("part", "p_name")),
+        M("max_price", "max", ("part", "p_retailprice")),
+    ], ids={"part": "p_partkey"})
+    return out.select("entity_id", "n_members", "n_names", "max_price")
