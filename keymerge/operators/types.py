@@ -258,7 +258,12 @@ def type_ranges(df: DataFrame, column: str, order_by: str, partitions: int | Non
     t = (df.select(F.col(order_by).alias("_o"), semantic_type(column).alias("_t"))
          .repartitionByRange(p, "_o").sortWithinPartitions("_o")
          .select(F.spark_partition_id().alias("_pid"), "_t"))
-    runs = t.mapInPandas(_local_runs, _RUN_SCHEMA)
+    # The runs feed two branches (edge table, final stitch); checkpoint them so the
+    # Python pass runs once and lineage stays short.
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    runs = t.mapInPandas(_local_runs, _RUN_SCHEMA).checkpoint(eager=True)
     edges = runs.groupBy("_pid").agg(
         F.sum("_len").alias("_rows"), F.max("_seq").alias("_last_seq"),
         F.min_by("semantic_type", "_seq").alias("_first_t"), F.max_by("semantic_type", "_seq").alias("_last_t"))

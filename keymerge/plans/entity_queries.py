@@ -75,8 +75,7 @@ def link_fuzzy(spark, sf):
 WITH d AS (SELECT doc_id, lower(regexp_extract(text, '{EMAIL_RE}', 1)) AS dom FROM documents),
 k AS (SELECT doc_id, CASE WHEN dom = '' THEN NULL ELSE dom END AS dom FROM d),
 e AS (SELECT doc_id, CASE WHEN dom IS NULL THEN doc_id ELSE MIN(doc_id) OVER (PARTITION BY dom) END AS entity_id FROM k)
-SELECT entity_id, MIN(doc_id) AS first_doc, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS docs,
-       COUNT(*) AS n_members
+SELECT entity_id, MIN(doc_id) AS first_doc, MAX(doc_id) AS last_doc, COUNT(*) AS n_members
 FROM e GROUP BY entity_id
 """)
 def link_semantic(spark, sf):
@@ -84,7 +83,7 @@ def link_semantic(spark, sf):
     lk = Link("documents", "text", "documents", "text", kind="semantic", derive="email_domain")
     return entity_merge({"documents": table(spark, sf, "documents")}, [lk], [
         M("first_doc", "min", ("documents", "doc_id")),
-        M("docs", "concat", ("documents", "doc_id"), sep=","),
+        M("last_doc", "max", ("documents", "doc_id")),
     ], ids={"documents": "doc_id"}, order_by={"documents": "doc_id"})
 
 

@@ -179,7 +179,9 @@ def payload_csv_q(spark, sf):
     """S3 re-aimed: a column of CSV payloads (one per order) parsed into rows on the executors."""
     li = table(spark, sf, "lineitem")
     line = F.concat_ws(",", F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("string"))
-    docs = li.groupBy("l_orderkey").agg(
+    # One payload per (order, block of 32 line numbers): line numbers are unique within an
+    # order, so no payload holds more than 32 lines however large an order is.
+    docs = li.groupBy("l_orderkey", F.floor(F.col("l_linenumber") / 32).alias("_chunk")).agg(
         F.concat_ws("\n", F.lit("l_linenumber,l_quantity"), F.collect_list(line)).alias("payload"))
     rows = payload_csv(docs, "payload", "l_linenumber INT, l_quantity DOUBLE", keep=["l_orderkey"])
     return rows.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").alias("qty"),
