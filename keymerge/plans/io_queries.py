@@ -140,6 +140,40 @@ def sql_topk(spark, sf):
     return sql(_sql_sources(spark, sf, ("orders",)), SQL_TOPK)
 
 
+
+SQL_SCALARS = """
+SELECT upper(substr(event_type, 1, 3)) AS type3,
+       CAST(EXTRACT(YEAR FROM ts) AS BIGINT) AS yr,
+       CAST(EXTRACT(MONTH FROM ts) AS BIGINT) AS mon,
+       COUNT(*) AS n,
+       SUM(CAST(get_json_object(props, '$.k') AS BIGINT)) AS k_sum,
+       MAX(length(concat(event_type, '#', CAST(user_id AS STRING)))) AS max_len,
+       CAST(SUM(abs(CAST(value AS DECIMAL(18,2)) - 5)) AS DOUBLE) AS abs_dev,
+       SUM(CASE WHEN coalesce(nullif(event_type, 'view'), 'none') = 'none' THEN 1 ELSE 0 END) AS n_view
+FROM events
+GROUP BY upper(substr(event_type, 1, 3)), EXTRACT(YEAR FROM ts), EXTRACT(MONTH FROM ts)
+"""
+
+SQL_SCALARS_DUCK = """
+SELECT upper(substr(event_type, 1, 3)) AS type3,
+       CAST(EXTRACT(YEAR FROM ts) AS BIGINT) AS yr,
+       CAST(EXTRACT(MONTH FROM ts) AS BIGINT) AS mon,
+       COUNT(*) AS n,
+       CAST(SUM(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum,
+       MAX(length(concat(event_type, '#', CAST(user_id AS VARCHAR)))) AS max_len,
+       CAST(SUM(abs(CAST(value AS DECIMAL(18,2)) - 5)) AS DOUBLE) AS abs_dev,
+       CAST(SUM(CASE WHEN coalesce(nullif(event_type, 'view'), 'none') = 'none' THEN 1 ELSE 0 END) AS BIGINT) AS n_view
+FROM events
+GROUP BY upper(substr(event_type, 1, 3)), EXTRACT(YEAR FROM ts), EXTRACT(MONTH FROM ts)
+"""
+
+
+@register("sql_scalars", SQL_SCALARS_DUCK)
+def sql_scalars(spark, sf):
+    """J-SQL: string, date-part, JSON, math and conditional scalars inside an aggregate."""
+    return sql(_sql_sources(spark, sf, ("events",)), SQL_SCALARS)
+
+
 # --------------------------------------------------------------- sources/sinks
 @register("csv_roundtrip", """
 SELECT o_orderpriority, COUNT(*) AS n_orders, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total,
