@@ -123,11 +123,12 @@ class MergeSpec:
     @staticmethod
     def from_dict(d: dict) -> "MergeSpec":
         """Accept flat, ``query``-nested and externally-tagged plan dialects."""
+        outer = d
         if "query" in d and isinstance(d["query"], dict):
             d = d["query"]
             if "Dsl" in d and isinstance(d["Dsl"], dict):
                 d = d["Dsl"]
-        sources = [_source_from_dict(s) for s in d.get("sources", [])]
+        sources = [_source_from_dict(s) for s in (d.get("sources") or outer.get("sources") or [])]
         dest = [DestField(f["name"], f.get("data_type", "String")) for f in d.get("destination_schema", [])]
         pk = d.get("primary_keys", d.get("primary_key", {}))
         if isinstance(pk, list):

@@ -146,3 +146,38 @@ def test_spec_from_dict_dialects():
         assert [m.policy.kind for m in s.mappings] == ["firstMatch", "sum"]
     with pytest.raises(SpecError, match="Unknown merge policy"):
         Policy("median")
+
+
+def test_run_plan_readme_example(spark):
+    from keymerge.plans.run import run_plan
+
+    d = tempfile.mkdtemp(prefix="km-plan-")
+    with open(os.path.join(d, "customers.csv"), "w") as fh:
+        fh.write("id,name,email\n1,John Doe,john@example.com\n2,Jane Smith,jane@example.com\n3,Bob Johnson,bob@example.com\n")
+    with open(os.path.join(d, "orders.csv"), "w") as fh:
+        fh.write("customer_id,order_total,product\n1,99.99,Widget A\n2,149.50,Widget B\n1,25.00,Widget C\n")
+    fp = lambda fid, src, col: {"id": fid, "source_file_id": src, "column_name": col}
+    plan = {
+        "sources": [{"id": "customers", "path": "customers.csv", "format": "csv"},
+                    {"id": "orders", "path": "orders.csv", "format": "csv"}],
+        "query": {"type": "dsl",
+                  "destination_schema": [{"name": "customer_id", "data_type": "Int64"},
+                                         {"name": "customer_name", "data_type": "String"},
+                                         {"name": "email", "data_type": "String"},
+                                         {"name": "total_spent", "data_type": "Float64"}],
+                  "primary_keys": {"logic": "and", "keys": ["customer_id"]},
+                  "mappings": [
+                      {"destination_field": "customer_id", "policy": {"type": "firstMatch", "priority": ["customers"]},
+                       "source_fields": [fp("a", "customers", "id"), fp("b", "orders", "customer_id")]},
+                      {"destination_field": "customer_name", "policy": {"type": "firstMatch"},
+                       "source_fields": [fp("c", "customers", "name")]},
+                      {"destination_field": "email", "policy": {"type": "firstMatch"},
+                       "source_fields": [fp("d", "customers", "email")]},
+                      {"destination_field": "total_spent", "policy": {"type": "sum"},
+                       "source_fields": [fp("e", "orders", "order_total")]}]}}
+    out = run_plan(spark, plan, base_dir=d, how="left")
+    got = sorted((r["customer_id"], r["customer_name"], round(r["total_spent"], 2)) for r in out.collect())
+    assert got == [(1, "John Doe", 124.99), (2, "Jane Smith", 149.5), (3, "Bob Johnson", 0.0)]
+    q = run_plan(spark, {"sources": plan["sources"], "query": {"type": "sql",
+                                                               "sql": "SELECT COUNT(*) AS n FROM orders"}}, base_dir=d)
+    assert q.first()["n"] == 3
