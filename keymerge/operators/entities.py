@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.policies import ORD, PolicyExpr, ord_col, qual
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 from ..sources.readers import ordinal_expr
 from ..spec import Mapping, MergeSpec, Policy, SourceField, SpecError
 
@@ -106,9 +106,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     any orderable type.  Raises if the rounds do not converge (never returns a
     partial answer).
     """
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    e = _canon(edges, src, dst).checkpoint(eager=True)
+    e = materialize(_canon(edges, src, dst), "cc")
     prev = _checksum(e)
     for _ in range(max_rounds):
         # large-star: every strictly larger neighbour of x attaches to min(N(x) + x)
@@ -121,7 +119,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
         m2 = e.groupBy("u").agg(F.min("v").alias("m"))
         ss = e.join(m2, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(
             m2.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        e = _canon(ss, "a", "b").checkpoint(eager=True)
+        e = materialize(_canon(ss, "a", "b"), "cc")
         cur = _checksum(e)
         if cur == prev:
             roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
@@ -232,8 +230,8 @@ def _build_nodes(sources: TMapping[str, DataFrame], used: list[str], links: Sequ
                 cols.append(F.col(f.column).alias(qual(s, f.column)))
         parts.append(df.select(*cols))
     nodes = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    ensure_checkpoint_dir(nodes.sparkSession)
-    return _Plan(used, nodes.checkpoint(eager=True))
+    # Row ids are fixed once here, so every later step sees the same ids.
+    return _Plan(used, materialize(nodes, "nodes"))
 
 
 def _value_star_edges(t: DataFrame, require_both_sides: bool) -> DataFrame:
@@ -296,6 +294,8 @@ def resolve(sources: TMapping[str, DataFrame], links: Sequence[Link], fields: li
         if f.source not in used:
             raise SpecError(f"Mapping reads source {f.source}, which no link or key reaches")
     for lk in links:
+        if lk.left == lk.right and lk.left_on != lk.right_on:
+            raise SpecError("a link within one source must use one column on both sides")
         if lk.kind == "fuzzy" and lk.threshold <= 0:
             raise SpecError("fuzzy threshold must be > 0")
         if lk.kind not in ("exact", "fuzzy", "semantic"):
@@ -312,7 +312,14 @@ def resolve(sources: TMapping[str, DataFrame], links: Sequence[Link], fields: li
     for ki in range(len(key_fields)):
         t = nodes.select(ROW_ID, F.col(f"_kk{ki}").alias("key"), F.lit(2).alias("side"))
         edge_sets.append(_value_star_edges(t, require_both_sides=False))
-    if edge_sets:
+    if len(edge_sets) == 1:
+        # One key: each row already points at the smallest row holding its value, and
+        # value groups are disjoint, so the stars are the components - no rounds needed.
+        e = edge_sets[0]
+        comp = e.select(F.col("src").alias(ROW_ID), F.col("dst").alias(ENTITY)).unionByName(
+            e.select(F.col("dst").alias(ROW_ID), F.col("dst").alias(ENTITY)).distinct())
+        out = nodes.join(comp, ROW_ID, "left").withColumn(ENTITY, F.coalesce(F.col(ENTITY), F.col(ROW_ID)))
+    elif edge_sets:
         edges = reduce(lambda a, b: a.unionByName(b), edge_sets)
         comp = components(edges).select(F.col("node").alias(ROW_ID), F.col("component").alias(ENTITY))
         out = nodes.join(comp, ROW_ID, "left").withColumn(ENTITY, F.coalesce(F.col(ENTITY), F.col(ROW_ID)))

@@ -260,10 +260,9 @@ def type_ranges(df: DataFrame, column: str, order_by: str, partitions: int | Non
          .select(F.spark_partition_id().alias("_pid"), "_t"))
     # The runs feed two branches (edge table, final stitch); checkpoint them so the
     # Python pass runs once and lineage stays short.
-    from ..session import ensure_checkpoint_dir
+    from ..session import materialize
 
-    ensure_checkpoint_dir(spark)
-    runs = t.mapInPandas(_local_runs, _RUN_SCHEMA).checkpoint(eager=True)
+    runs = materialize(t.mapInPandas(_local_runs, _RUN_SCHEMA), "runs")
     edges = runs.groupBy("_pid").agg(
         F.sum("_len").alias("_rows"), F.max("_seq").alias("_last_seq"),
         F.min_by("semantic_type", "_seq").alias("_first_t"), F.max_by("semantic_type", "_seq").alias("_last_t"))

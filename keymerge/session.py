@@ -58,3 +58,15 @@ def shared_scratch(spark: SparkSession, name: str) -> str:
 
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/keymerge-{name}-{uuid.uuid4().hex[:12]}"
+
+
+
+
+def materialize(df, name: str = ""):
+    """Cut lineage: reliable ``checkpoint()`` into the cluster's shared checkpoint folder.
+
+    A lost executor costs nothing afterwards - the checkpoint files are shared.
+    (Measured locally: faster than a parquet round trip or cache + checkpoint.)
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
