@@ -17,6 +17,8 @@ Each policy is expressed twice:
 
 from __future__ import annotations
 
+import re
+import zlib
 from dataclasses import dataclass
 from functools import reduce
 from typing import Callable
@@ -29,17 +31,30 @@ from ..spec import Mapping, SourceField
 ORD = "_ord"
 
 
+def safe_name(text: str) -> str:
+    """An identifier-safe internal name (messy headers may hold dots, spaces, quotes)."""
+    clean = re.sub(r"[^0-9A-Za-z_]", "_", text)
+    if clean == text:
+        return text
+    return f"{clean}_{zlib.crc32(text.encode()):08x}"
+
+
+def src_col(name: str) -> Column:
+    """Reference a source column by its literal name (dots are not struct access)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def qual(source: str, column: str) -> str:
     """Qualified name of a source column after projection (no collisions across sources)."""
-    return f"{source}__{column}"
+    return safe_name(f"{source}__{column}")
 
 
 def n_col(source: str) -> str:
-    return f"_n__{source}"
+    return safe_name(f"_n__{source}")
 
 
 def ord_col(source: str) -> str:
-    return f"{ORD}__{source}"
+    return safe_name(f"{ORD}__{source}")
 
 
 def _sum_cols(cols: list[Column]) -> Column:

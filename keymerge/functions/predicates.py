@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .policies import src_col
+
 
 class Pred:
     def to_column(self, df: DataFrame) -> Column:  # pragma: no cover - abstract
@@ -42,7 +44,7 @@ class Equals(Pred):
     def to_column(self, df):
         t = _dtype(df, self.column)
         lit = F.lit(self.value) if t == "string" else F.lit(self.value).try_cast(t)
-        return F.col(self.column) == lit
+        return src_col(self.column) == lit
 
 
 @dataclass(frozen=True)
@@ -51,7 +53,7 @@ class Contains(Pred):
     value: str
 
     def to_column(self, df):
-        return F.col(self.column).cast("string").contains(self.value)
+        return src_col(self.column).cast("string").contains(self.value)
 
 
 @dataclass(frozen=True)
@@ -60,7 +62,7 @@ class Regex(Pred):
     pattern: str
 
     def to_column(self, df):
-        return F.col(self.column).cast("string").rlike(self.pattern)
+        return src_col(self.column).cast("string").rlike(self.pattern)
 
 
 @dataclass(frozen=True)
@@ -70,7 +72,7 @@ class IsNull(Pred):
     column: str
 
     def to_column(self, df):
-        c = F.col(self.column)
+        c = src_col(self.column)
         if _dtype(df, self.column) == "string":
             return c.isNull() | (c == F.lit(""))
         return c.isNull()
@@ -105,8 +107,8 @@ class LessThan(Pred):
 def _numeric(df: DataFrame, c: str) -> Column:
     t = _dtype(df, c)
     if t in ("double", "float", "bigint", "int", "smallint", "tinyint") or t.startswith("decimal"):
-        return F.col(c)  # native comparison: pushed down to the scan
-    return F.col(c).try_cast("double")
+        return src_col(c)  # native comparison: pushed down to the scan
+    return src_col(c).try_cast("double")
 
 
 @dataclass(frozen=True)

@@ -43,7 +43,7 @@ DATE_RUNGS: list[tuple[str, str]] = [
 
 def semantic_type(c: Column | str) -> Column:
     """Semantic type of each value as a string column (null for null/empty)."""
-    v = F.col(c) if isinstance(c, str) else c
+    v = F.col("`" + c.replace("`", "``") + "`") if isinstance(c, str) else c
     v = v.cast("string")
     expr = F.when(v.isNull() | (v == ""), F.lit(None).cast("string"))
     for name, pat in SEMANTIC_LADDER:

@@ -26,7 +26,7 @@ from typing import Callable, Mapping as TMapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.policies import ORD, PolicyExpr, ord_col, qual
+from ..functions.policies import ORD, PolicyExpr, ord_col, qual, src_col
 from ..session import ensure_checkpoint_dir, materialize
 from ..sources.readers import ordinal_expr
 from ..spec import Mapping, MergeSpec, Policy, SourceField, SpecError
@@ -201,7 +201,7 @@ def _build_nodes(sources: TMapping[str, DataFrame], used: list[str], links: Sequ
     parts = []
     for i, s in enumerate(used):
         df = sources[s]
-        rid = (F.col(ids[s]).cast("bigint") if s in ids else F.monotonically_increasing_id()) * F.lit(n) + F.lit(i)
+        rid = (src_col(ids[s]).cast("bigint") if s in ids else F.monotonically_increasing_id()) * F.lit(n) + F.lit(i)
         cols = [rid.alias(ROW_ID), F.lit(i).alias(SRC), ordinal_expr(order_by.get(s)).alias(ord_col(s))]
         for li, lk in enumerate(links):
             sides = []
@@ -214,21 +214,21 @@ def _build_nodes(sources: TMapping[str, DataFrame], used: list[str], links: Sequ
             col_name, side = sides[0]
             if lk.is_self():
                 side = 2
-            key = _empty_to_null(_derive(lk, F.col(col_name)).cast("string"))
+            key = _empty_to_null(_derive(lk, src_col(col_name)).cast("string"))
             if lk.kind == "fuzzy" and lk.block_on:
                 blk = lk.block_on[0] if side in (0, 2) else lk.block_on[1]
-                cols.append(F.col(blk).cast("string").alias(f"_lb{li}"))
+                cols.append(src_col(blk).cast("string").alias(f"_lb{li}"))
             cols += [key.alias(f"_lk{li}"), F.lit(side).alias(f"_ls{li}")]
         for ki, kf in enumerate(key_fields):
             for f in kf:
                 if f.source == s:
-                    cols.append(_empty_to_null(F.col(f.column).cast("string")).alias(f"_kk{ki}"))
+                    cols.append(_empty_to_null(src_col(f.column).cast("string")).alias(f"_kk{ki}"))
                     break
         seen = set()
         for f in fields:
             if f.source == s and f.column not in seen:
                 seen.add(f.column)
-                cols.append(F.col(f.column).alias(qual(s, f.column)))
+                cols.append(src_col(f.column).alias(qual(s, f.column)))
         parts.append(df.select(*cols))
     nodes = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     # Row ids are fixed once here, so every later step sees the same ids.
@@ -398,9 +398,9 @@ def link_pairs(sources: TMapping[str, DataFrame], link: Link) -> DataFrame:
     if not link.block_on:
         blk_l = blk_r = F.lit("")
     else:
-        blk_l, blk_r = F.col(link.block_on[0]).cast("string"), F.col(link.block_on[1]).cast("string")
-    lv = sources[link.left].select(blk_l.alias("block"), F.col(link.left_on).cast("string").alias("value"))
+        blk_l, blk_r = src_col(link.block_on[0]).cast("string"), src_col(link.block_on[1]).cast("string")
+    lv = sources[link.left].select(blk_l.alias("block"), src_col(link.left_on).cast("string").alias("value"))
     if link.is_self() and (not link.block_on or link.block_on[0] == link.block_on[1]):
         return similar_values(lv, None, link.threshold)
-    rv = sources[link.right].select(blk_r.alias("block"), F.col(link.right_on).cast("string").alias("value"))
+    rv = sources[link.right].select(blk_r.alias("block"), src_col(link.right_on).cast("string").alias("value"))
     return similar_values(lv, rv, link.threshold)

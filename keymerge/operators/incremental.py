@@ -19,6 +19,7 @@ from typing import Mapping as TMapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.policies import src_col
 from ..spec import MergeSpec, SpecError
 from .merge import merge
 
@@ -38,7 +39,7 @@ def changed_keys(spec: MergeSpec, source: str, old: DataFrame | None = None, new
         cols = sorted(set(old.columns) & set(new.columns))
         changes = old.select(*cols).exceptAll(new.select(*cols)).unionByName(
             new.select(*cols).exceptAll(old.select(*cols)))
-    return changes.select(*[F.col(c).alias(k) for k, c in kc.items()]).distinct()
+    return changes.select(*[src_col(c).alias(k) for k, c in kc.items()]).distinct()
 
 
 def remerge_changed(prev: DataFrame, sources: TMapping[str, DataFrame], spec: MergeSpec, keys: DataFrame,

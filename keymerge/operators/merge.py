@@ -25,7 +25,7 @@ from typing import Mapping as TMapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.policies import ORD, Ctx, PolicyExpr, n_col, ord_col, qual
+from ..functions.policies import ORD, Ctx, PolicyExpr, n_col, ord_col, qual, src_col
 from ..sources.readers import ordinal_expr
 from ..spec import TYPE_NAMES, Mapping, MergeSpec, Policy, SourceField, SpecError, validate
 
@@ -51,7 +51,7 @@ def numeric_inputs(sources: TMapping[str, DataFrame], mappings: list[Mapping]):
         return sources, mappings
     out = dict(sources)
     for s, cols in todo.items():
-        out[s] = out[s].withColumns({c + _NUM_SUFFIX: F.col(c).try_cast("double") for c in sorted(cols)})
+        out[s] = out[s].withColumns({c + _NUM_SUFFIX: src_col(c).try_cast("double") for c in sorted(cols)})
     new_maps = []
     for m in mappings:
         if m.policy.kind in NUMERIC_POLICIES:
@@ -85,7 +85,7 @@ def prepare_source(df: DataFrame, source: str, keycols: dict[str, str], fields:
     Projection happens first so Catalyst prunes the scan to exactly these
     columns; the ordinal is attached on the scan, before any shuffle.
     """
-    cols: list[Column] = [F.col(c).alias(k) for k, c in keycols.items()]
+    cols: list[Column] = [src_col(c).alias(k) for k, c in keycols.items()]
     if need_ord:
         cols.append(ordinal_expr(order_by).alias(ORD))
     seen = set()
@@ -94,11 +94,11 @@ def prepare_source(df: DataFrame, source: str, keycols: dict[str, str], fields:
             seen.add(f.column)
             if f.column not in df.columns:
                 raise SpecError(f"Source {source} has no column {f.column}")
-            cols.append(F.col(f.column).alias(qual(source, f.column)))
+            cols.append(src_col(f.column).alias(qual(source, f.column)))
     if drop_null_keys:
         # Filter before the ordinal is attached: a filter above a nondeterministic
         # projection is not pushed to the scan.  Row order among kept rows is unchanged.
-        df = df.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in keycols.values()]))
+        df = df.filter(reduce(lambda a, b: a & b, [src_col(c).isNotNull() for c in keycols.values()]))
     return df.select(*cols)
 
 

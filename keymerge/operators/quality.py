@@ -18,6 +18,7 @@ from typing import Mapping as TMapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.policies import src_col
 from ..sources.readers import ordinal_expr
 from ..spec import MergeSpec, validate
 
@@ -26,7 +27,7 @@ _NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
 def _key_select(spec: MergeSpec, source: str) -> list[Column]:
-    return [F.col(c).alias(k) for k, c in spec.key_columns()[source].items()]
+    return [src_col(c).alias(k) for k, c in spec.key_columns()[source].items()]
 
 
 def _report(df: DataFrame, keys: list[str], source: str, field: Column, reason: Column) -> DataFrame:
@@ -62,7 +63,7 @@ def unresolved(sources: TMapping[str, DataFrame], spec: MergeSpec) -> DataFrame:
         for f in m.fields:
             df = sources[f.source]
             kind = dict(df.dtypes)[f.column]
-            base = df.select(*_key_select(spec, f.source), F.col(f.column).alias("_v"))
+            base = df.select(*_key_select(spec, f.source), src_col(f.column).alias("_v"))
             v = F.col("_v")
             e = base.filter((v.isNull() | (v == F.lit(""))) if kind == "string" else v.isNull())
             e = e.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
@@ -108,7 +109,7 @@ def lineage(sources: TMapping[str, DataFrame], spec: MergeSpec, merged: DataFram
             parts.append(df.select(*_key_select(spec, f.source), F.lit(m.destination).alias("field"),
                                    F.lit(f.source).alias("source"), F.lit(f.column).alias("column"),
                                    ordinal_expr(order_by.get(f.source)).cast("string").alias("row_order"),
-                                   F.col(f.column).cast("string").alias("value")))
+                                   src_col(f.column).cast("string").alias("value")))
     considered = reduce(lambda a, b: a.unionByName(b), parts)
     return considered.join(long_merged, keys + ["field"])
 
@@ -129,7 +130,7 @@ def coverage(sources: TMapping[str, DataFrame], spec: MergeSpec) -> DataFrame:
     counts = []
     for s in sorted({s for s, _ in uses}):
         cols = sorted({c for (src, c) in uses if src == s})
-        agg = sources[s].agg(F.count(F.lit(1)).alias("n_rows"), *[F.count(F.col(c)).alias(f"_n_{i}") for i, c in enumerate(cols)])
+        agg = sources[s].agg(F.count(F.lit(1)).alias("n_rows"), *[F.count(src_col(c)).alias(f"_n_{i}") for i, c in enumerate(cols)])
         counts.append(agg.select(F.explode(F.array(*[
             F.struct(F.lit(s).alias("source"), F.lit(c).alias("column"), F.col("n_rows"), F.col(f"_n_{i}").alias("n_values"))
             for i, c in enumerate(cols)])).alias("_c")).select("_c.*"))

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.policies import src_col
 from ..functions.semantic import DATE_RUNGS, INFER_RUNGS, SEMANTIC_TYPES, semantic_type
 
 
@@ -49,7 +50,7 @@ def _rank(v: Column, parse_dates: bool) -> Column:
 def _rung_aggs(df: DataFrame, cols: list[str], parse_dates: bool) -> list[Column]:
     aggs = []
     for c in cols:
-        v = F.col(c)
+        v = src_col(c)
         r = F.when(v.isNotNull(), _rank(v, parse_dates))
         aggs += [F.count(v).alias(f"{c}__r__n"), F.min(r).alias(f"{c}__r__lo"), F.max(r).alias(f"{c}__r__hi")]
     return aggs
@@ -91,7 +92,7 @@ def infer_column_types(df: DataFrame, columns: list[str] | None = None, sample:
 
 
 def cast_to(c: str, t: str) -> Column:
-    v = F.col(c)
+    v = src_col(c)
     if t == "boolean":
         return F.when(v.isNotNull(), F.lower(v) == F.lit("true")).alias(c)
     if t == "string":
@@ -106,7 +107,7 @@ def apply_types(df: DataFrame, sample: int | None = None, schema_hint: dict[str,
     todo = [c for c in _string_cols(df, columns) if c not in hint]
     types = infer_column_types(df, todo, sample, parse_dates) if todo else {}
     types.update(hint)
-    return df.select(*[cast_to(c, types[c]) if c in types else F.col(c) for c in df.columns])
+    return df.select(*[cast_to(c, types[c]) if c in types else src_col(c) for c in df.columns])
 
 
 def infer_types(df: DataFrame, columns: list[str] | None = None, sample: int | None = None,
@@ -120,7 +121,7 @@ def infer_types(df: DataFrame, columns: list[str] | None = None, sample: int | N
     kinds = dict(df.dtypes)
     src = df.limit(sample) if sample else df
     scols = [c for c in cols if kinds[c] == "string"]
-    aggs = _rung_aggs(src, scols, parse_dates) + [F.count(F.col(c)).alias(f"{c}__r__n") for c in cols if c not in scols]
+    aggs = _rung_aggs(src, scols, parse_dates) + [F.count(src_col(c)).alias(f"{c}__r__n") for c in cols if c not in scols]
     row = src.agg(*aggs)
     names = [n for n, _ in _rungs(parse_dates)]
     entries = []
@@ -147,7 +148,7 @@ def schema_listing(df: DataFrame) -> list[tuple[str, str]]:
 
 def _long_values(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
     keep = keep or []
-    arr = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+    arr = F.array(*[F.struct(F.lit(c).alias("column"), src_col(c).cast("string").alias("value")) for c in columns])
     return df.select(*keep, F.explode(arr).alias("_x")).select(*keep, "_x.column", "_x.value")
 
 
@@ -187,7 +188,7 @@ def split_by_type(df: DataFrame, column: str, types: list[str] | None = None) ->
     if types is None:
         present = {r[0] for r in df.select(st.alias("t")).filter(F.col("t").isNotNull()).distinct().collect()}
         types = [t for t in SEMANTIC_TYPES if t in present]
-    return df.withColumns({f"{column}__{t}": F.when(st == F.lit(t), F.col(column)) for t in types})
+    return df.withColumns({f"{column}__{t}": F.when(st == F.lit(t), src_col(column)) for t in types})
 
 
 def cast_declared(df: DataFrame, casts: dict[str, str]) -> DataFrame:
@@ -197,9 +198,9 @@ def cast_declared(df: DataFrame, casts: dict[str, str]) -> DataFrame:
     out = df
     for c, declared in casts.items():
         t = TYPE_NAMES.get(declared, declared)
-        casted = F.col(c).try_cast(t)
+        casted = src_col(c).try_cast(t)
         out = out.withColumns({f"{c}__cast": casted,
-                               f"{c}__mismatch": F.col(c).isNotNull() & casted.isNull()})
+                               f"{c}__mismatch": src_col(c).isNotNull() & casted.isNull()})
     return out
 
 

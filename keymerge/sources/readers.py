@@ -95,9 +95,13 @@ def ordinal_expr(order_by) -> Column:
     if order_by is None:
         return F.monotonically_increasing_id()
     if isinstance(order_by, (list, tuple)):
-        cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
+        cols = [_src(c) if isinstance(c, str) else c for c in order_by]
         return cols[0] if len(cols) == 1 else F.struct(*cols)
-    return F.col(order_by) if isinstance(order_by, str) else order_by
+    return _src(order_by) if isinstance(order_by, str) else order_by
+
+
+def _src(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def payload_csv(df: DataFrame, payload_col: str, schema: str, keep: list[str] | None = None,

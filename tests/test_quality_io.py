@@ -181,3 +181,26 @@ def test_run_plan_readme_example(spark):
     q = run_plan(spark, {"sources": plan["sources"], "query": {"type": "sql",
                                                                "sql": "SELECT COUNT(*) AS n FROM orders"}}, base_dir=d)
     assert q.first()["n"] == 3
+
+
+def test_messy_headers(spark):
+    """Headers with dots, spaces and dashes work everywhere (dots are not struct access)."""
+    from keymerge.operators.types import profile
+
+    d = tempfile.mkdtemp(prefix="km-messy-")
+    p = os.path.join(d, "o.csv")
+    with open(p, "w") as fh:
+        fh.write("order id,unit.price,e-mail\n1,2.5,a@x.org\n1,1.5,\n2,4,b@y.org\n")
+    df = read_csv(spark, p)
+    assert df.dtypes == [("order id", "bigint"), ("unit.price", "double"), ("e-mail", "string")]
+    cust = spark.createDataFrame([(1, "A"), (2, "B")], "id long, name string")
+    spec = MergeSpec.build(["id"], [M("id", "firstMatch", ("c", "id"), ("o.csv", "order id")),
+                                    M("total", "sum", ("o.csv", "unit.price")),
+                                    M("mail", "firstMatch", ("o.csv", "e-mail"))])
+    src = {"c": cust, "o.csv": df}
+    got = sorted((r["id"], r["total"], r["mail"]) for r in merge(src, spec).collect())
+    assert got == [(1, 4.0, "a@x.org"), (2, 4.0, "b@y.org")]
+    assert filter_rows(df, GreaterThan("unit.price", "2")).count() == 2
+    assert {r["semantic_type"] for r in profile(df, ["e-mail"]).collect()} == {"email"}
+    assert lineage(src, spec, order_by={"c": "id", "o.csv": "unit.price"}).count() == 3 + 3
+    assert {r["reason"] for r in unresolved(src, spec).collect()} == {"empty field"}
