@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.merge import merge
 from ..sources.readers import load_sources
-from ..spec import MergeSpec, SourceDef, SpecError, validate
+from ..spec import MergeSpec, SourceDef, SpecError, msg, validate
 from .sqlmode import sql
 
 
@@ -35,7 +35,7 @@ def run_plan(spark: SparkSession, plan: dict | str, base_dir: str | None = None,
     resolve against ``base_dir`` (default: the plan file's folder, else the CWD)."""
     if isinstance(plan, str):
         if not os.path.exists(plan):
-            raise SpecError(f"File not found: {plan}")
+            raise SpecError(msg("file_not_found", plan))
         base_dir = base_dir or os.path.dirname(os.path.abspath(plan))
         with open(plan, encoding="utf-8") as fh:
             plan = json.load(fh)
@@ -43,7 +43,7 @@ def run_plan(spark: SparkSession, plan: dict | str, base_dir: str | None = None,
     defs = [SourceDef(s.id, s.path if ("://" in s.path or os.path.isabs(s.path) or not base_dir)
                       else os.path.join(base_dir, s.path), s.format, s.options) for s in spec.sources]
     if not defs:
-        raise SpecError("QueryPlan must have at least one data source")
+        raise SpecError(msg("no_sources"))
     text = _sql_text(plan)
     if text is not None:
         return sql(load_sources(spark, defs), text, spark)

@@ -15,7 +15,7 @@ from typing import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..spec import SourceDef, SpecError
+from ..spec import SourceDef, SpecError, msg
 
 ORD = "_ord"
 
@@ -25,7 +25,7 @@ _FORMATS = ("csv", "tsv", "parquet", "orc", "json", "table", "text")
 def _norm_format(fmt: str) -> str:
     f = (fmt or "").strip().lower()
     if f not in _FORMATS:
-        raise SpecError(f"Unsupported format: {fmt}")
+        raise SpecError(msg("unsupported_format", fmt))
     return f
 
 
@@ -59,7 +59,7 @@ def load_source(spark: SparkSession, src: SourceDef | str, **kw) -> DataFrame:
         return spark.table(src.path)
     if fmt in ("csv", "tsv"):
         if "://" not in src.path and not os.path.exists(src.path):
-            raise SpecError(f"File not found: {src.path} (source {src.id})")
+            raise SpecError(msg("file_not_found", src.path) + f" (source {src.id})")
         return read_csv(spark, src.path, sep="\t" if fmt == "tsv" else opts.pop("sep", ","), **kw)
     reader = spark.read.options(**opts)
     return getattr(reader, fmt)(src.path)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 
-from ..spec import SpecError
+from ..spec import SpecError, msg
 
 WRITE_FORMATS = ("csv", "tsv", "parquet", "orc", "json")
 
@@ -24,7 +24,7 @@ def write(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite", p
     """
     f = (fmt or "").strip().lower()
     if f not in WRITE_FORMATS:
-        raise SpecError(f"Unsupported format: {fmt}")
+        raise SpecError(msg("unsupported_format", fmt))
     if order_by:
         df = df.orderBy(*order_by)
     w = df.write.mode(mode)

@@ -41,10 +41,30 @@ TYPE_NAMES = {
 }
 
 
+# User-visible error texts kept identical to the original tool's,
+# so scripts that match on them keep working.
+MESSAGES = {
+    "no_sources": "QueryPlan must have at least one data source",
+    "no_mappings": "DSL QueryPlan must have at least one field mapping",
+    "no_keys": "DSL QueryPlan must have at least one primary key",
+    "unknown_source": "Mapping references unknown source: {}",
+    "unknown_key_field": "Primary key references unknown destination field: {}",
+    "empty_sql": "SQL query cannot be empty",
+    "unmapped_key": "No mapping found for primary key: {}",
+    "no_fields": "Mapping has no source fields",
+    "file_not_found": "File not found: {}",
+    "unsupported_format": "Unsupported format: {}",
+}
+
+
 class SpecError(ValueError):
     """Raised when a merge spec is inconsistent (driver-side check)."""
 
 
+def msg(key: str, *args) -> str:
+    return MESSAGES[key].format(*args)
+
+
 @dataclass(frozen=True)
 class SourceField:
     source: str
@@ -158,9 +178,9 @@ class MergeSpec:
         for k in self.keys:
             m = self.mapping_for(k)
             if m is None:
-                raise SpecError(f"No mapping found for primary key: {k}")
+                raise SpecError(msg("unmapped_key", k))
             if not m.fields:
-                raise SpecError("Mapping has no source fields")
+                raise SpecError(msg("no_fields"))
             out.append(m)
         return out
 
@@ -196,24 +216,24 @@ def validate(spec: MergeSpec, source_ids: Sequence[str] | None = None) -> None:
     """Driver-side checks; messages follow the original engine's wording."""
     ids = list(source_ids) if source_ids is not None else [s.id for s in spec.sources]
     if not ids:
-        raise SpecError("QueryPlan must have at least one data source")
+        raise SpecError(msg("no_sources"))
     if not spec.mappings:
-        raise SpecError("DSL QueryPlan must have at least one field mapping")
+        raise SpecError(msg("no_mappings"))
     if not spec.keys:
-        raise SpecError("DSL QueryPlan must have at least one primary key")
+        raise SpecError(msg("no_keys"))
     for m in spec.mappings:
         for f in m.fields:
             if f.source not in ids:
-                raise SpecError(f"Mapping references unknown source: {f.source}")
+                raise SpecError(msg("unknown_source", f.source))
     dest_names = [d.name for d in spec.destination]
     for k in spec.keys:
         if dest_names and k not in dest_names:
-            raise SpecError(f"Primary key references unknown destination field: {k}")
+            raise SpecError(msg("unknown_key_field", k))
     if spec.logic not in ("and", "or"):
         raise SpecError(f"Unknown key logic: {spec.logic}")
     for m in spec.mappings:
         if not m.fields:
-            raise SpecError("Mapping has no source fields")
+            raise SpecError(msg("no_fields"))
     km = spec.key_mappings()
     if spec.logic == "and":
         joined = spec.joined_sources()
@@ -230,4 +250,4 @@ def validate(spec: MergeSpec, source_ids: Sequence[str] | None = None) -> None:
 
 def validate_sql(text: str) -> None:
     if not text or not text.strip():
-        raise SpecError("SQL query cannot be empty")
+        raise SpecError(msg("empty_sql"))
