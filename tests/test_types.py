@@ -107,3 +107,10 @@ def test_schema_hint_overrides_inference(spark):
     raw = spark.createDataFrame([("1", "2.5", "true"), ("2", "3", "false")], "a string, b string, c string")
     out = apply_types(raw, schema_hint={"a": "string", "b": "double"})
     assert out.dtypes == [("a", "string"), ("b", "double"), ("c", "boolean")]
+
+
+def test_profile_unknown_for_all_null_column(spark):
+    df = spark.createDataFrame([(1, None), (2, None)], "id long, empty string")
+    rows = {(r["column"], r["semantic_type"]): r for r in profile(df, ["id", "empty"]).collect()}
+    assert rows[("empty", "unknown")]["n"] == 0
+    assert rows[("id", "integer")]["n"] == 2 and rows[("id", "integer")]["is_mixed"] is False
