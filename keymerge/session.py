@@ -17,6 +17,8 @@ TUNING = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # iterative jobs (components rounds) checkpoint every round: drop files of dead rounds
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
