@@ -231,7 +231,10 @@ def _build_nodes(sources: TMapping[str, DataFrame], used: list[str], links: Sequ
                 cols.append(src_col(f.column).alias(qual(s, f.column)))
         parts.append(df.select(*cols))
     nodes = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    # Row ids are fixed once here, so every later step sees the same ids.
+    if all(s in ids for s in used):
+        # Ids come from the data: every rescan yields the same ids, and the lineage is a scan.
+        return _Plan(used, nodes)
+    # Scan-order ids must be fixed once, so every later step (and every retried task) sees them.
     return _Plan(used, materialize(nodes, "nodes"))
 
 
