@@ -1,10 +1,41 @@
-"""keymerge: merge messy tabular sources by key on Spark."""
+"""keymerge: merge messy tabular sources by key on Spark.
+
+The whole public surface is importable from here::
+
+    from keymerge import merge, MergeSpec, Mapping, Policy, SourceField
+"""
 
 from .functions.policies import custom
+from .functions.predicates import (Contains, Equals, Expr, GreaterThan, IsNotNull, IsNull, LessThan, Not, Regex,
+                                   filter_rows, select_columns)
+from .functions.semantic import semantic_type
+from .operators.entities import Link, components, entity_merge, link_pairs, resolve
+from .operators.incremental import changed_keys, remerge, remerge_changed
 from .operators.merge import merge
+from .operators.quality import coverage, lineage, unresolved, unresolved_entities
+from .operators.types import (apply_types, cast_declared, infer_column_types, infer_types, profile, split_by_type,
+                              type_ranges)
+from .plans.explain import plan_report
+from .plans.run import run_plan
+from .plans.sqlmode import sql
 from .sources import load_source, load_sources, parse_source, payload_csv, preview, read_csv, read_tsv, write
 from .spec import DestField, Mapping, MergeSpec, Policy, SourceDef, SourceField, SpecError, validate
 
-__all__ = ["custom", "merge", "load_source", "load_sources", "parse_source", "payload_csv", "preview", "read_csv",
-           "read_tsv", "write", "DestField", "Mapping", "MergeSpec", "Policy", "SourceDef", "SourceField", "SpecError",
-           "validate"]
+__all__ = [
+    # spec
+    "DestField", "Mapping", "MergeSpec", "Policy", "SourceDef", "SourceField", "SpecError", "validate", "custom",
+    # sources / sinks
+    "load_source", "load_sources", "parse_source", "payload_csv", "preview", "read_csv", "read_tsv", "write",
+    # merge, SQL, plans
+    "merge", "sql", "run_plan", "plan_report",
+    # types
+    "apply_types", "cast_declared", "infer_column_types", "infer_types", "profile", "semantic_type", "split_by_type",
+    "type_ranges",
+    # predicates
+    "Contains", "Equals", "Expr", "GreaterThan", "IsNotNull", "IsNull", "LessThan", "Not", "Regex", "filter_rows",
+    "select_columns",
+    # entities
+    "Link", "components", "entity_merge", "link_pairs", "resolve",
+    # quality and incremental
+    "coverage", "lineage", "unresolved", "unresolved_entities", "changed_keys", "remerge", "remerge_changed",
+]
