@@ -115,10 +115,12 @@ def lineage(sources: TMapping[str, DataFrame], spec: MergeSpec, merged: DataFram
 
 
 def coverage(sources: TMapping[str, DataFrame], spec: MergeSpec) -> DataFrame:
-    """Q6: ``(source, column, used_by, n_fields, n_rows, n_values)``.
+    """Q6: ``(source, column, used_by, n_fields, present, n_rows, n_values)``.
 
     ``used_by`` lists the destination fields fed by the column (sorted, comma
-    separated).  Counts come from one aggregate per source.
+    separated).  ``present`` is false for a mapped column the source does not
+    have (a schema mismatch; its ``n_values`` is null).  Counts come from one
+    aggregate per source.
     """
     spark = next(iter(sources.values())).sparkSession
     uses: dict[tuple[str, str], set[str]] = {}
@@ -130,8 +132,12 @@ def coverage(sources: TMapping[str, DataFrame], spec: MergeSpec) -> DataFrame:
     counts = []
     for s in sorted({s for s, _ in uses}):
         cols = sorted({c for (src, c) in uses if src == s})
-        agg = sources[s].agg(F.count(F.lit(1)).alias("n_rows"), *[F.count(src_col(c)).alias(f"_n_{i}") for i, c in enumerate(cols)])
+        have = set(sources[s].columns)
+        agg = sources[s].agg(F.count(F.lit(1)).alias("n_rows"),
+                             *[(F.count(src_col(c)) if c in have else F.lit(None).cast("bigint")).alias(f"_n_{i}")
+                               for i, c in enumerate(cols)])
         counts.append(agg.select(F.explode(F.array(*[
-            F.struct(F.lit(s).alias("source"), F.lit(c).alias("column"), F.col("n_rows"), F.col(f"_n_{i}").alias("n_values"))
+            F.struct(F.lit(s).alias("source"), F.lit(c).alias("column"), F.lit(c in have).alias("present"),
+                     F.col("n_rows"), F.col(f"_n_{i}").alias("n_values"))
             for i, c in enumerate(cols)])).alias("_c")).select("_c.*"))
     return spec_df.join(reduce(lambda a, b: a.unionByName(b), counts), ["source", "column"])

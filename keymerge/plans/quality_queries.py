@@ -76,7 +76,7 @@ _COVER = [("customer", "c_custkey", "c_custkey", 1), ("orders", "o_custkey", "c_
 
 
 @register("coverage", "\nUNION ALL\n".join(
-    f"SELECT '{s}' AS source, '{c}' AS \"column\", '{u}' AS used_by, CAST({n} AS INTEGER) AS n_fields, "
+    f"SELECT '{s}' AS source, '{c}' AS \"column\", '{u}' AS used_by, CAST({n} AS INTEGER) AS n_fields, TRUE AS present, "
     f"COUNT(*) AS n_rows, COUNT({c}) AS n_values FROM {s}" for s, c, u, n in _COVER))
 def coverage_q(spark, sf):
     """Q6: destination fields per source column, with row and non-null counts."""

@@ -45,6 +45,9 @@ def test_lineage_and_coverage(two, spark):
     cov = {(r["source"], r["column"]): (r["used_by"], r["n_rows"], r["n_values"]) for r in coverage(src, spec).collect()}
     assert cov[("A", "k")] == ("k", 4, 3)
     assert cov[("B", "amt")] == ("amt", 3, 3)
+    bad = MergeSpec.build(["k"], [M("k", "firstMatch", ("A", "k")), M("z", "sum", ("A", "nope"))])
+    rows = {r["column"]: (r["present"], r["n_values"]) for r in coverage(src, bad).collect()}
+    assert rows == {"k": (True, 3), "nope": (False, None)}
 
 
 def test_remerge_equals_full_merge(spark):
