@@ -7,8 +7,6 @@ inside whole-stage codegen (no Python per row).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,6 +48,3 @@ def semantic_type(c: Column | str) -> Column:
         expr = expr.when(v.rlike(pat), F.lit(name))
     return expr.otherwise(F.lit(TEXT))
 
-
-def any_of(cols: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, cols)

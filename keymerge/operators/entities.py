@@ -19,15 +19,15 @@ value groups that then act as an exact key.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 from typing import Callable, Mapping as TMapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.policies import ORD, PolicyExpr, ord_col, qual, src_col
-from ..session import ensure_checkpoint_dir, materialize
+from ..functions.policies import PolicyExpr, ord_col, qual, src_col
+from ..session import materialize
 from ..sources.readers import ordinal_expr
 from ..spec import Mapping, MergeSpec, Policy, SourceField, SpecError
 
@@ -188,7 +188,6 @@ def similar_values(left: DataFrame, right: DataFrame | None, threshold: float) -
 class _Plan:
     sources: list[str]
     nodes: DataFrame
-    link_cols: list[tuple[str, str]] = field(default_factory=list)  # (key col, side col)
 
 
 def _build_nodes(sources: TMapping[str, DataFrame], used: list[str], links: Sequence[Link],

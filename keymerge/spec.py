@@ -19,10 +19,6 @@ DOCUMENTED_POLICIES = ("firstMatch", "lastMatch", "sum", "count", "average", "mi
 LITERAL_POLICIES = ("first_row", "row_sum", "count_rows", "row_means", "values", "coalesced_values")
 ALL_POLICIES = DOCUMENTED_POLICIES + LITERAL_POLICIES
 
-# Policies whose result is a list (or a string built from one): they cannot be
-# recombined from per-source partial aggregates when the row fan-out matters.
-LIST_POLICIES = ("row_means", "values", "coalesced_values", "concat")
-
 _POLICY_ALIASES = {
     "firstmatch": "firstMatch", "first_match": "firstMatch", "first": "firstMatch",
     "lastmatch": "lastMatch", "last_match": "lastMatch", "last": "lastMatch",
