@@ -131,8 +131,12 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
 
 # -------------------------------------------------------------- fuzzy values
 def _max_edits(length: Column, threshold: float) -> Column:
-    """Largest edit distance allowed at ``length`` for ``similarity >= threshold``."""
-    return F.floor(length * F.lit(100.0 - threshold) / F.lit(100.0)).cast("int")
+    """Largest edit distance allowed at ``length`` for ``similarity >= threshold``.
+
+    Used only to size candidate filters; the epsilon keeps them a superset of
+    the final check when float rounding lands exactly on a boundary.
+    """
+    return F.floor(length * F.lit(100.0 - threshold) / F.lit(100.0) + F.lit(1e-9)).cast("int")
 
 
 def similar_values(left: DataFrame, right: DataFrame | None, threshold: float) -> DataFrame:

@@ -43,3 +43,38 @@ def test_preagg_equals_rowjoin(spark, a, b, how, fanout, pol):
                 assert rows[k]["count_ab"] == len(va) + len(wb)
             if "max" in pol:
                 assert rows[k]["max_ab"] == (max(va + wb) if va + wb else None)
+
+
+def _lev(a, b):
+    prev = list(range(len(b) + 1))
+    for i, ca in enumerate(a, 1):
+        cur = [i]
+        for j, cb in enumerate(b, 1):
+            cur.append(min(prev[j] + 1, cur[j - 1] + 1, prev[j - 1] + (ca != cb)))
+        prev = cur
+    return prev[-1]
+
+
+words = st.text(alphabet="abcab ", min_size=1, max_size=9)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(left=st.lists(st.tuples(st.sampled_from(["x", "y"]), words), min_size=1, max_size=25),
+       right=st.lists(st.tuples(st.sampled_from(["x", "y"]), words), min_size=1, max_size=25),
+       threshold=st.floats(min_value=1, max_value=100, allow_nan=False))
+def test_fuzzy_prefix_filter_is_exact(spark, left, right, threshold):
+    """No similar pair is ever missed by the candidate filter (cross-source and self)."""
+    from keymerge.operators.entities import similar_values
+
+    lv = spark.createDataFrame(left, "block string, value string")
+    rv = spark.createDataFrame(right, "block string, value string")
+
+    def ok(x, y):
+        return _lev(x, y) * 100.0 <= (100.0 - threshold) * max(len(x), len(y))
+
+    got = {(r["block"], r["a"], r["b"]) for r in similar_values(lv, rv, threshold).collect()}
+    want = {(b1, x, y) for b1, x in set(left) for b2, y in set(right) if b1 == b2 and ok(x, y)}
+    assert got == want
+    got_self = {(r["block"], r["a"], r["b"]) for r in similar_values(lv, None, threshold).collect()}
+    want_self = {(b1, x, y) for b1, x in set(left) for b2, y in set(left) if b1 == b2 and x < y and ok(x, y)}
+    assert got_self == want_self
