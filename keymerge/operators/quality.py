@@ -51,12 +51,18 @@ def unresolved(sources: TMapping[str, DataFrame], spec: MergeSpec) -> DataFrame:
     not_null = {s: reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]) for s in joined}
     per_key = {s: keyed[s].filter(not_null[s]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")) for s in joined}
     if len(joined) > 1:
+        # One full-outer join chain over the per-key counts (all hash-partitioned on the
+        # key, so no further exchange) answers every (source, partner) pair in one pass.
+        counts = [per_key[s].withColumnRenamed("n_rows", f"_n{i}") for i, s in enumerate(joined)]
+        allk = reduce(lambda a, b: a.join(b, keys, "full"), counts)
+        misses = [F.when(F.col(f"_n{i}").isNotNull() & F.col(f"_n{j}").isNull(),
+                         F.struct(F.lit(s).alias("source"), F.lit(f"no match in {t}").alias("reason"),
+                                  F.col(f"_n{i}").alias("n_rows")))
+                  for i, s in enumerate(joined) for j, t in enumerate(joined) if i != j]
+        miss = allk.select(*keys, F.explode(F.filter(F.array(*misses), lambda x: x.isNotNull())).alias("_m"))
+        parts.append(miss.select(F.col("_m.source").alias("source"), *keys, F.lit(None).cast("string").alias("field"),
+                                 F.col("_m.reason").alias("reason"), F.col("_m.n_rows").alias("n_rows")))
         for s in joined:
-            for t in joined:
-                if s == t:
-                    continue
-                miss = per_key[s].join(per_key[t].select(*keys), keys, "left_anti")
-                parts.append(_report(miss, keys, s, F.lit(None), F.lit(f"no match in {t}")))
             nulls = keyed[s].filter(~not_null[s]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
             parts.append(_report(nulls, keys, s, F.lit(None), F.lit("null key")))
     for m in spec.value_mappings():

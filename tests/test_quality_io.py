@@ -207,3 +207,13 @@ def test_messy_headers(spark):
     assert {r["semantic_type"] for r in profile(df, ["e-mail"]).collect()} == {"email"}
     assert lineage(src, spec, order_by={"c": "id", "o.csv": "unit.price"}).count() == 3 + 3
     assert {r["reason"] for r in unresolved(src, spec).collect()} == {"empty field"}
+
+
+def test_unresolved_three_sources(spark):
+    a = spark.createDataFrame([(1,), (2,), (3,)], "k long")
+    b = spark.createDataFrame([(2,), (3,), (3,)], "k long")
+    c = spark.createDataFrame([(3,), (4,)], "k long")
+    spec = MergeSpec.build(["k"], [M("k", "firstMatch", ("A", "k"), ("B", "k"), ("C", "k"))])
+    got = {(r["source"], r["k"], r["reason"], r["n_rows"]) for r in unresolved({"A": a, "B": b, "C": c}, spec).collect()}
+    assert got == {("A", 1, "no match in B", 1), ("A", 1, "no match in C", 1), ("A", 2, "no match in C", 1),
+                   ("B", 2, "no match in C", 1), ("C", 4, "no match in A", 1), ("C", 4, "no match in B", 1)}
