@@ -222,6 +222,22 @@ def payload_csv_q(spark, sf):
                                           F.max("l_linenumber").alias("max_line"))
 
 
+@register("source_uri", """
+SELECT o_orderpriority, COUNT(*) AS n_orders, MAX(o_orderdate) AS last_order
+FROM orders GROUP BY o_orderpriority
+""")
+def source_uri(spark, sf):
+    """A source given as ``id:URI`` with the format taken from the extension."""
+    import os
+
+    from ..sources import load_source
+
+    uri = "file://" + os.path.abspath(f"{sf.rstrip('/')}/orders.parquet")
+    orders = load_source(spark, f"orders:{uri}")
+    return orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n_orders"),
+                                                  F.max("o_orderdate").alias("last_order"))
+
+
 @register("preview_page", """
 WITH m AS (
   SELECT c.c_custkey AS c_custkey, arg_min(c.c_name, c.c_custkey) AS c_name,
