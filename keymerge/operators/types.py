@@ -215,32 +215,44 @@ _RUN_SCHEMA = T.StructType([
 
 
 def _local_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Runs of equal type inside one (sorted) partition; carried across Arrow batches."""
+    """Runs of equal type inside one sorted partition (vectorised per Arrow batch).
+
+    The last run of a batch may continue into the next batch, so it is held
+    back and merged with the next batch's first run when the types agree.
+    """
+    cols = [f.name for f in _RUN_SCHEMA.fields]
     pid, seq, pos = None, 0, 0
-    cur_t, cur_start, cur_len = None, 0, 0
-    out_rows: list[tuple] = []
+    open_run: list | None = None  # [start, length, type] of the run still open
     for pdf in batches:
         if pdf.empty:
             continue
         if pid is None:
             pid = int(pdf["_pid"].iat[0])
-        types = pdf["_t"].tolist()
-        for t in types:
-            if cur_len and t == cur_t:
-                cur_len += 1
-            else:
-                if cur_len:
-                    out_rows.append((pid, seq, cur_start, cur_len, cur_t))
-                    seq += 1
-                cur_t, cur_start, cur_len = t, pos, 1
-            pos += 1
-        if len(out_rows) > 10000:
-            yield pd.DataFrame(out_rows, columns=[f.name for f in _RUN_SCHEMA.fields])
-            out_rows = []
-    if cur_len:
-        out_rows.append((pid, seq, cur_start, cur_len, cur_t))
-    if out_rows:
-        yield pd.DataFrame(out_rows, columns=[f.name for f in _RUN_SCHEMA.fields])
+        t = pdf["_t"].astype(object).where(pdf["_t"].notna(), None)
+        key = t.fillna("\u0000null")
+        change = key.ne(key.shift())
+        change.iat[0] = True
+        run_id = change.cumsum()
+        grp = pd.DataFrame({"run": run_id.to_numpy(), "i": range(pos, pos + len(pdf)), "t": t.to_numpy()})
+        runs = grp.groupby("run", sort=True).agg(start=("i", "min"), length=("i", "size"), t=("t", "first"))
+        starts, lengths, types = runs["start"].tolist(), runs["length"].tolist(), runs["t"].tolist()
+        if open_run is not None and open_run[2] == types[0]:
+            lengths[0] += open_run[1]
+            starts[0] = open_run[0]
+            open_run = None
+        done = []
+        if open_run is not None:
+            done.append((pid, seq, open_run[0], open_run[1], open_run[2]))
+            seq += 1
+        for a, n, ty in zip(starts[:-1], lengths[:-1], types[:-1]):
+            done.append((pid, seq, a, n, ty))
+            seq += 1
+        open_run = [starts[-1], lengths[-1], types[-1]]
+        pos += len(pdf)
+        if done:
+            yield pd.DataFrame(done, columns=cols)
+    if open_run is not None:
+        yield pd.DataFrame([(pid, seq, open_run[0], open_run[1], open_run[2])], columns=cols)
 
 
 def type_ranges(df: DataFrame, column: str, order_by: str, partitions: int | None = None) -> DataFrame:

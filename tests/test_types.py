@@ -114,3 +114,24 @@ def test_profile_unknown_for_all_null_column(spark):
     rows = {(r["column"], r["semantic_type"]): r for r in profile(df, ["id", "empty"]).collect()}
     assert rows[("empty", "unknown")]["n"] == 0
     assert rows[("id", "integer")]["n"] == 2 and rows[("id", "integer")]["is_mixed"] is False
+
+
+def test_local_runs_carry_across_batches():
+    import random
+
+    import pandas as pd
+
+    from keymerge.operators.types import _local_runs
+
+    rnd = random.Random(1)
+    vals = [rnd.choice(["a", "b", None]) for _ in range(60)] + ["a"] * 25 + [None] * 7
+    cuts = [0, 5, 6, 30, 55, 80, 81, len(vals)]
+    batches = [pd.DataFrame({"_pid": [3] * (b - a), "_t": vals[a:b]}) for a, b in zip(cuts, cuts[1:])]
+    got = [(r["_seq"], r["_start"], r["_len"], r["semantic_type"]) for df in _local_runs(iter(batches))
+           for r in df.to_dict("records")]
+    want, start = [], 0
+    for i in range(1, len(vals) + 1):
+        if i == len(vals) or vals[i] != vals[start]:
+            want.append((len(want), start, i - start, vals[start]))
+            start = i
+    assert got == want
