@@ -7,6 +7,8 @@ matter at scale.
 
 from __future__ import annotations
 
+import contextlib
+import io
 import re
 
 from pyspark.sql import DataFrame
@@ -27,7 +29,12 @@ _PATTERNS = {
 
 
 def plan_text(df: DataFrame) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+    """The physical plan as ``DataFrame.explain()`` prints it (final AQE plan once run)."""
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    # After execution AQE prints the final plan, then the initial one: keep the final.
+    return buf.getvalue().split("== Initial Plan ==")[0]
 
 
 def _unbounded_single_partition(text: str) -> int:

@@ -8,6 +8,9 @@ everything first.
 
 from __future__ import annotations
 
+import contextlib
+import io
+
 from pyspark.sql import Column, DataFrame
 
 from ..spec import SpecError, msg
@@ -55,4 +58,7 @@ def preview(df: DataFrame, n: int | None = 50, offset: int = 0, order_by: list[s
 
 def preview_text(df: DataFrame, n: int = 50) -> str:
     """Render the first ``n`` rows as a table string (the CLI preview)."""
-    return df._jdf.showString(n, 40, False)
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.show(n, truncate=40)
+    return buf.getvalue()

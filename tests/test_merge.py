@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from keymerge.plans.explain import plan_text
 from keymerge import Mapping, MergeSpec, Policy, SourceField, SpecError, merge
 
 
@@ -233,7 +234,7 @@ def test_plan_shape_two_exchanges(spark):
                                    M("sy", "sum", ("B", "y"))])
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = merge({"A": a, "B": b}, spec)._jdf.queryExecution().executedPlan().toString()
+        plan = plan_text(merge({"A": a, "B": b}, spec))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == 2

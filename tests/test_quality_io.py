@@ -217,3 +217,11 @@ def test_unresolved_three_sources(spark):
     got = {(r["source"], r["k"], r["reason"], r["n_rows"]) for r in unresolved({"A": a, "B": b, "C": c}, spec).collect()}
     assert got == {("A", 1, "no match in B", 1), ("A", 1, "no match in C", 1), ("A", 2, "no match in C", 1),
                    ("B", 2, "no match in C", 1), ("C", 4, "no match in A", 1), ("C", 4, "no match in B", 1)}
+
+
+def test_preview_text(spark):
+    from keymerge.sources import preview_text
+
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, s string")
+    text = preview_text(df, 1)
+    assert "id" in text and "only showing top 1 row" in text

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from keymerge.plans.explain import plan_text
 from keymerge import Mapping, MergeSpec, Policy, SourceField, merge
 from keymerge.operators.entities import Link, entity_merge
 
@@ -24,7 +25,7 @@ def test_hot_key_merge(spark):
     assert hot["n"] == n_a * n_b
     assert hot["sx"] == sum(range(0, n, 3)) * n_b
     assert hot["fx"] == 0
-    plan = out._jdf.queryExecution().executedPlan().toString()
+    plan = plan_text(out)
     assert "partial_sum" in plan or "AdaptiveSparkPlan" in plan
 
 
