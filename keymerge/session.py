@@ -38,13 +38,20 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Make ``DataFrame.checkpoint`` usable.
+    """Make ``DataFrame.checkpoint`` usable and return the shared checkpoint folder.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; that is what
     we use.  Only when nothing is configured (unit tests on a laptop) do we
-    create a scratch folder of our own.
+    create a scratch folder of our own.  With Spark Connect there is no
+    SparkContext: the server's ``spark.checkpoint.dir`` applies as is.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect session
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d:
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder") from None
+        return d
     cur = sc.getCheckpointDir()
     if cur:
         return cur
