@@ -47,5 +47,7 @@ def run_plan(spark: SparkSession, plan: dict | str, base_dir: str | None = None,
     text = _sql_text(plan)
     if text is not None:
         return sql(load_sources(spark, defs), text, spark)
+    if "how" not in merge_kw and isinstance(plan, dict) and plan.get("how"):
+        merge_kw["how"] = plan["how"]
     validate(spec, [d.id for d in defs])
     return merge(load_sources(spark, defs), spec, **merge_kw)

@@ -225,3 +225,32 @@ def test_preview_text(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, s string")
     text = preview_text(df, 1)
     assert "id" in text and "only showing top 1 row" in text
+
+
+def test_cli_preview_and_write(spark, capsys):
+    import json
+
+    from keymerge.__main__ import main
+
+    d = tempfile.mkdtemp(prefix="km-cli-")
+    with open(os.path.join(d, "c.csv"), "w") as fh:
+        fh.write("id,name\n1,Ann\n2,Bob\n")
+    with open(os.path.join(d, "o.csv"), "w") as fh:
+        fh.write("cid,amt\n1,2.5\n1,1.5\n3,9\n")
+    fld = lambda s, c: {"source_file_id": s, "column_name": c}
+    plan = {"sources": [{"id": "c", "path": "c.csv", "format": "csv"}, {"id": "o", "path": "o.csv", "format": "csv"}],
+            "query": {"type": "dsl", "primary_keys": {"logic": "and", "keys": ["id"]},
+                      "destination_schema": [{"name": "id"}, {"name": "name"}, {"name": "total"}],
+                      "mappings": [{"destination_field": "id", "source_fields": [fld("c", "id"), fld("o", "cid")]},
+                                   {"destination_field": "name", "source_fields": [fld("c", "name")]},
+                                   {"destination_field": "total", "policy": {"type": "sum"},
+                                    "source_fields": [fld("o", "amt")]}]}}
+    pj = os.path.join(d, "plan.json")
+    with open(pj, "w") as fh:
+        json.dump(plan, fh)
+    assert main([pj, "--preview", "--how", "left"]) == 0
+    out = capsys.readouterr().out
+    assert "Ann" in out and "Bob" in out
+    assert main([pj, "-o", os.path.join(d, "out"), "-f", "tsv"]) == 0
+    back = read_csv(spark, os.path.join(d, "out"), sep="\t")
+    assert sorted(map(tuple, back.collect())) == [(1, "Ann", 4.0)]
