@@ -135,3 +135,16 @@ def test_local_runs_carry_across_batches():
             want.append((len(want), start, i - start, vals[start]))
             start = i
     assert got == want
+
+
+def test_parse_dates_opt_in(spark):
+    text = ("id,created_at,birthday,timestamp\n1,2023-01-15,1990-05-20,2023-01-15T10:30:00Z\n"
+            "2,2023-02-20,1985-12-03,2023-02-20T14:45:30Z\n")
+    d = tempfile.mkdtemp(prefix="km-dates-")
+    p = os.path.join(d, "t.csv")
+    with open(p, "w") as fh:
+        fh.write(text)
+    df = read_csv(spark, p, parse_dates=True)
+    assert df.dtypes == [("id", "bigint"), ("created_at", "date"), ("birthday", "date"), ("timestamp", "timestamp")]
+    r = df.orderBy("id").first()
+    assert str(r["created_at"]) == "2023-01-15"
