@@ -161,8 +161,19 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     once with type ``unknown``.
     """
     cols = columns or df.columns
-    typed = _long_values(df, cols).select("column", semantic_type("value").alias("semantic_type"))
-    counts = typed.groupBy("column", "semantic_type").agg(F.count(F.lit(1)).alias("n"))
+    st = semantic_type("value")
+    # Five-digit integers are set aside: they count as postcodes (ZIP codes) in a column that
+    # also holds real postcode shapes, else as integers.  Decided on the count table below.
+    zip5 = F.when((st == F.lit("integer")) & F.col("value").rlike(r"^[0-9]{5}$"), F.lit("_zip5")).otherwise(st)
+    typed = _long_values(df, cols).select("column", zip5.alias("semantic_type"))
+    raw = typed.groupBy("column", "semantic_type").agg(F.count(F.lit(1)).alias("n"))
+    has_post = F.max(F.when(F.col("semantic_type") == F.lit("postcode"), F.lit(1)).otherwise(F.lit(0))).over(
+        Window.partitionBy("column"))  # over the count table: at most columns x types rows
+    counts = (raw.withColumn("_post", has_post)
+              .withColumn("semantic_type", F.when(F.col("semantic_type") == F.lit("_zip5"),
+                                                  F.when(F.col("_post") == 1, F.lit("postcode")).otherwise(F.lit("integer")))
+                          .otherwise(F.col("semantic_type")))
+              .groupBy("column", "semantic_type").agg(F.sum("n").alias("n")))
     known = counts.filter(F.col("semantic_type").isNotNull())
     w = Window.partitionBy("column")
     known = (known.withColumn("_tot", F.sum("n").over(w))

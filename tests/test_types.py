@@ -148,3 +148,10 @@ def test_parse_dates_opt_in(spark):
     assert df.dtypes == [("id", "bigint"), ("created_at", "date"), ("birthday", "date"), ("timestamp", "timestamp")]
     r = df.orderBy("id").first()
     assert str(r["created_at"]) == "2023-01-15"
+
+
+def test_profile_zip_codes_follow_the_column(spark):
+    df = spark.createDataFrame([("SW1A 1AA", "10001"), ("K1A 0B1", "20002"), ("10001", "30003")],
+                               "postal_code string, plain string")
+    got = {(r["column"], r["semantic_type"]): r["n"] for r in profile(df).collect()}
+    assert got == {("postal_code", "postcode"): 3, ("plain", "integer"): 3}
