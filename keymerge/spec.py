@@ -222,6 +222,9 @@ def validate(spec: MergeSpec, source_ids: Sequence[str] | None = None) -> None:
             if f.source not in ids:
                 raise SpecError(msg("unknown_source", f.source))
     dest_names = [d.name for d in spec.destination]
+    for name in dest_names + [m.destination for m in spec.mappings]:
+        if "." in name or "`" in name:
+            raise SpecError(f"Destination field names may not contain '.' or '`': {name}")
     for k in spec.keys:
         if dest_names and k not in dest_names:
             raise SpecError(msg("unknown_key_field", k))
