@@ -394,7 +394,13 @@ def or_key_merge(sources: TMapping[str, DataFrame], spec: MergeSpec, order_by=No
     out = entity_merge(sources, [], key_maps + vals, ids=ids, order_by=order_by, max_cluster_size=max_cluster_size,
                        key_fields=key_fields, with_size=False)
     names = [ENTITY] + [m.destination for m in km] + [m.destination for m in vals]
-    return out.select(*names)
+    types = {d.name: d.data_type for d in spec.destination}
+    if not cast:
+        return out.select(*names)
+    from ..spec import TYPE_NAMES
+
+    return out.select(ENTITY, *[F.col(n).try_cast(TYPE_NAMES[types[n]]).alias(n)
+                                if n in types and types[n] in TYPE_NAMES else F.col(n) for n in names[1:]])
 
 
 def link_pairs(sources: TMapping[str, DataFrame], link: Link) -> DataFrame:

@@ -133,3 +133,15 @@ def test_methods_agree(spark):
     assert sorted(r["n"] for r in out.collect()) == [1, 1, 1, 2]
     with pytest.raises(SpecError):
         entity_merge({"A": a}, [Link("A", "key", "A", "key")], maps, method="graph_clustering")
+
+
+def test_or_merge_declared_cast(spark):
+    from keymerge.spec import DestField
+
+    a = spark.createDataFrame([(1, "7", "x"), (2, "7", "y")], "id long, k1 string, k2 string")
+    spec = MergeSpec.build(["k1", "k2"], [
+        Mapping("k1", Policy("firstMatch"), (SourceField("t", "k1"),)),
+        Mapping("k2", Policy("firstMatch"), (SourceField("t", "k2"),))],
+        destination=[DestField("k1", "Int64"), DestField("k2", "String")], logic="or")
+    out = merge({"t": a}, spec, ids={"t": "id"}, order_by={"t": "id"}, cast=True)
+    assert out.dtypes[1] == ("k1", "bigint") and out.collect()[0]["k1"] == 7
