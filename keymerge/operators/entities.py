@@ -205,7 +205,7 @@ def _build_nodes(sources: TMapping[str, DataFrame], used: list[str], links: Sequ
     for i, s in enumerate(used):
         df = sources[s]
         rid = (src_col(ids[s]).cast("bigint") if s in ids else F.monotonically_increasing_id()) * F.lit(n) + F.lit(i)
-        cols = [rid.alias(ROW_ID), F.lit(i).alias(SRC), ordinal_expr(order_by.get(s)).alias(ord_col(s))]
+        cols = [rid.alias(ROW_ID), F.lit(i).alias(SRC), ordinal_expr(order_by.get(s), df).alias(ord_col(s))]
         for li, lk in enumerate(links):
             sides = []
             if lk.left == s:

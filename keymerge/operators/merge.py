@@ -87,7 +87,7 @@ def prepare_source(df: DataFrame, source: str, keycols: dict[str, str], fields:
     """
     cols: list[Column] = [src_col(c).alias(k) for k, c in keycols.items()]
     if need_ord:
-        cols.append(ordinal_expr(order_by).alias(ORD))
+        cols.append(ordinal_expr(order_by, df).alias(ORD))
     seen = set()
     for f in fields:
         if f.source == source and f.column not in seen:

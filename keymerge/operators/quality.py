@@ -114,7 +114,7 @@ def lineage(sources: TMapping[str, DataFrame], spec: MergeSpec, merged: DataFram
             df = sources[f.source]
             parts.append(df.select(*_key_select(spec, f.source), F.lit(m.destination).alias("field"),
                                    F.lit(f.source).alias("source"), F.lit(f.column).alias("column"),
-                                   ordinal_expr(order_by.get(f.source)).cast("string").alias("row_order"),
+                                   ordinal_expr(order_by.get(f.source), df).cast("string").alias("row_order"),
                                    src_col(f.column).cast("string").alias("value")))
     considered = reduce(lambda a, b: a.unionByName(b), parts)
     return considered.join(long_merged, keys + ["field"])

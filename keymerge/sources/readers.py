@@ -82,17 +82,30 @@ def with_ordinal(df: DataFrame, order_by: str | Column | list | None = None, nam
     """Attach the row-order column used by first/last/list policies.
 
     With ``order_by`` the order is data-defined (a column or a struct of
-    columns) and therefore stable under recomputation.  Without it we take
-    ``monotonically_increasing_id()`` directly on the scan, which follows split
-    order of a single file; it is assigned before any shuffle.
+    columns) and therefore stable under recomputation.  Without it the order
+    is the scan order: for file sources ``(file path, block start, id)`` -
+    Spark packs file splits into partitions by size, so the id alone does not
+    follow file order across files - and ``monotonically_increasing_id()`` for
+    any other DataFrame.  Either way it is assigned before any shuffle.
     """
     if name in df.columns:
         return df
-    return df.withColumn(name, ordinal_expr(order_by))
+    return df.withColumn(name, ordinal_expr(order_by, df))
 
 
-def ordinal_expr(order_by) -> Column:
+def _has_file_metadata(df: DataFrame) -> bool:
+    try:
+        df.select(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
+        return True
+    except Exception:  # noqa: BLE001 - not a file scan (or metadata hidden by a join/aggregate)
+        return False
+
+
+def ordinal_expr(order_by, df: DataFrame | None = None) -> Column:
     if order_by is None:
+        if df is not None and _has_file_metadata(df):
+            return F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+                            F.monotonically_increasing_id().alias("i"))
         return F.monotonically_increasing_id()
     if isinstance(order_by, (list, tuple)):
         cols = [_src(c) if isinstance(c, str) else c for c in order_by]

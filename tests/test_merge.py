@@ -240,3 +240,15 @@ def test_plan_shape_two_exchanges(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_default_order_follows_files(spark, tmp_path):
+    """Without order_by, 'first' follows (file path, position) for a multi-file source."""
+    d = str(tmp_path / "src")
+    for i, rows in enumerate([[(1, "a0"), (1, "a1")], [(1, "b0")] * 50, [(2, "c0")]]):
+        spark.createDataFrame(rows, "k long, v string").coalesce(1).write.mode("append").parquet(f"{d}/part={i}")
+    src = spark.read.parquet(d)
+    spec = MergeSpec.build(["k"], [M("k", "firstMatch", ("S", "k")), M("first", "first_row", ("S", "v")),
+                                   M("last", "lastMatch", ("S", "v"))])
+    got = {r["k"]: (r["first"], r["last"]) for r in merge({"S": src}, spec).collect()}
+    assert got == {1: ("a0", "b0"), 2: ("c0", "c0")}
