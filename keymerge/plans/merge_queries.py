@@ -348,3 +348,26 @@ def passthrough(spark, sf):
         M("n_orders", "count", ("orders", "o_orderkey")),
     ], destination=["c_custkey", "c_mktsegment", "n_orders"])
     return merge({"customer": table(spark, sf, "customer"), "orders": table(spark, sf, "orders")}, spec)
+
+
+@register("fixture_identity", """
+SELECT c_custkey AS customer_id FROM customer GROUP BY c_custkey
+""")
+def fixture_identity(spark, sf):
+    """The identity fixture: a source merged with itself on its key, one output column."""
+    cust = table(spark, sf, "customer")
+    spec = MergeSpec.build(["customer_id"], [
+        M("customer_id", "firstMatch", ("left", "c_custkey"), ("right", "c_custkey"))])
+    return merge({"left": cust, "right": cust}, spec)
+
+
+@register("fixture_join", """
+SELECT c.c_custkey AS customer_id
+FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey
+GROUP BY c.c_custkey
+""")
+def fixture_join(spark, sf):
+    """The customer-order fixture: two sources joined on the customer key, one output column."""
+    spec = MergeSpec.build(["customer_id"], [
+        M("customer_id", "firstMatch", ("customers", "c_custkey"), ("orders", "o_custkey"))])
+    return merge({"customers": table(spark, sf, "customer"), "orders": table(spark, sf, "orders")}, spec)
