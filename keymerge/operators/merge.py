@@ -24,6 +24,7 @@ from typing import Mapping as TMapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.policies import ORD, Ctx, PolicyExpr, n_col, ord_col, qual, src_col
 from ..sources.readers import ordinal_expr
@@ -162,7 +163,7 @@ def merge(sources: TMapping[str, DataFrame], spec: MergeSpec, how: str = "inner"
             for p in agg_pols:
                 cols += p.partials(s)
             aggs.append(prep.groupBy(*keys).agg(*cols))
-        j = reduce(lambda a, b: a.join(b, keys, how), aggs)
+        j = _combine(aggs, keys, how)
         sel = [F.col(k) for k in keys] + [p.finish(ctx) for p in agg_pols]
         if keep_order:
             sel.append(_first_seen(joined).alias("_first_seen"))
@@ -180,6 +181,26 @@ def merge(sources: TMapping[str, DataFrame], spec: MergeSpec, how: str = "inner"
     return out
 
 
+def _combine(aggs: list[DataFrame], keys: list[str], how: str) -> DataFrame:
+    """Join the per-source aggregates (each unique on the key and hash-partitioned by it).
+
+    Inner and left joins keep that partitioning, so a chain of them needs no
+    further exchange.  A full outer join does not: Spark re-shuffles its output
+    before the next join.  For three or more sources the full merge is
+    therefore a union of the aggregates plus one group-by on the key; the
+    union keeps the shared partitioning, and every partial column comes from
+    exactly one source row per key, so ``max`` picks it back out unchanged.
+    """
+    if how != "full" or len(aggs) < 3:
+        return reduce(lambda a, b: a.join(b, keys, how), aggs)
+    cols = [c for a in aggs for c in a.columns if c not in keys]
+    types = {f.name: f.dataType for a in aggs for f in a.schema.fields}
+    if any(isinstance(types[c], (T.MapType, T.VariantType)) for c in cols):  # not orderable: keep the joins
+        return reduce(lambda a, b: a.join(b, keys, how), aggs)
+    u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), aggs)
+    return u.groupBy(*keys).agg(*[F.max(c).alias(c) for c in cols])
+
+
 def _first_seen(joined: list[str]) -> Column:
     return F.coalesce(*[F.when(F.col(n_col(s)).isNotNull(), F.struct(F.lit(i).alias("s"), F.col(ord_col(s)).alias("o")))
                         for i, s in enumerate(joined)]) if len(joined) > 1 else \

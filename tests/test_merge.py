@@ -252,3 +252,22 @@ def test_default_order_follows_files(spark, tmp_path):
                                    M("last", "lastMatch", ("S", "v"))])
     got = {r["k"]: (r["first"], r["last"]) for r in merge({"S": src}, spec).collect()}
     assert got == {1: ("a0", "b0"), 2: ("c0", "c0")}
+
+
+def test_plan_shape_full_merge_three_sources(spark):
+    """Full merge of 3 sources: one exchange per source, none after (union + group-by, no join chain)."""
+    from keymerge.plans.explain import plan_report
+
+    a = spark.range(1000).select(F.col("id").alias("k"), F.col("id").alias("x"))
+    b = spark.range(1000).select((F.col("id") + 500).alias("k"), F.col("id").alias("y"))
+    c = spark.range(1000).select((F.col("id") + 900).alias("k"), F.col("id").alias("z"))
+    spec = MergeSpec.build(["k"], [M("k", "firstMatch", ("A", "k"), ("B", "k"), ("C", "k")),
+                                   M("sx", "sum", ("A", "x")), M("sy", "sum", ("B", "y")), M("sz", "sum", ("C", "z"))])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = merge({"A": a, "B": b, "C": c}, spec, how="full")
+        r = plan_report(df)
+        assert df.count() == 1900
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert r["shuffles"] == 3 and r["sort_merge_joins"] == 0
