@@ -51,10 +51,12 @@ def unresolved(sources: TMapping[str, DataFrame], spec: MergeSpec) -> DataFrame:
     not_null = {s: reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]) for s in joined}
     per_key = {s: keyed[s].filter(not_null[s]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")) for s in joined}
     if len(joined) > 1:
-        # One full-outer join chain over the per-key counts (all hash-partitioned on the
-        # key, so no further exchange) answers every (source, partner) pair in one pass.
+        # One full combination of the per-key counts (all hash-partitioned on the key)
+        # answers every (source, partner) pair in one pass.
+        from .merge import _combine
+
         counts = [per_key[s].withColumnRenamed("n_rows", f"_n{i}") for i, s in enumerate(joined)]
-        allk = reduce(lambda a, b: a.join(b, keys, "full"), counts)
+        allk = _combine(counts, keys, "full")
         misses = [F.when(F.col(f"_n{i}").isNotNull() & F.col(f"_n{j}").isNull(),
                          F.struct(F.lit(s).alias("source"), F.lit(f"no match in {t}").alias("reason"),
                                   F.col(f"_n{i}").alias("n_rows")))
