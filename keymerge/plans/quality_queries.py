@@ -10,6 +10,7 @@ from ..operators.quality import coverage, lineage, unresolved
 from ..spec import MergeSpec
 from .merge_queries import CUSTOMER_ORDERS_KEY
 from .registry import DEC, M, _orders_dec, _to_double, register, table
+from .type_queries import CONTACT
 
 
 @register("unresolved", """
@@ -109,3 +110,19 @@ def remerge_q(spark, sf):
     prev = merge({"customer": cust, "orders": old}, spec)
     out = remerge(prev, {"customer": cust, "orders": old}, {"customer": cust, "orders": new}, spec, changed=["orders"])
     return _to_double(out, "total_spent")
+
+
+@register("unresolved_types", f"""
+SELECT 'customer' AS source, c_custkey, 'customer.contact' AS field, 'type mismatch' AS reason, COUNT(*) AS n_rows
+FROM (SELECT c_custkey, {CONTACT} AS contact FROM customer)
+WHERE contact IS NOT NULL AND contact <> '' AND TRY_CAST(contact AS DOUBLE) IS NULL
+GROUP BY c_custkey
+""")
+def unresolved_types(spark, sf):
+    """Q3: text that is not a number under a numeric policy is reported per key (the merge itself reads it as null)."""
+    cust = table(spark, sf, "customer").withColumn("contact", F.expr(CONTACT))
+    spec = MergeSpec.build(["c_custkey"], [
+        M("c_custkey", "firstMatch", ("customer", "c_custkey")),
+        M("contact_total", "sum", ("customer", "contact")),
+    ])
+    return unresolved({"customer": cust}, spec)
