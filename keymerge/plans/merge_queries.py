@@ -371,3 +371,23 @@ def fixture_join(spark, sf):
     spec = MergeSpec.build(["customer_id"], [
         M("customer_id", "firstMatch", ("customers", "c_custkey"), ("orders", "o_custkey"))])
     return merge({"customers": table(spark, sf, "customer"), "orders": table(spark, sf, "orders")}, spec)
+
+
+@register("merge_keep_order", """
+SELECT c.c_custkey AS c_custkey, arg_min(c.c_name, c.c_custkey) AS c_name,
+       CAST(COALESCE(SUM(CAST(o.o_totalprice AS DECIMAL(18,2))), 0) AS DOUBLE) AS urgent_total
+FROM customer c
+LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') o ON c.c_custkey = o.o_custkey
+GROUP BY c.c_custkey
+""")
+def merge_keep_order(spark, sf):
+    """A1: one row per key in first-seen order (a range-partitioned sort at the output only)."""
+    urgent = _orders_dec(spark, sf).filter(F.col("o_orderpriority") == "1-URGENT")
+    spec = MergeSpec.build(["c_custkey"], [
+        CUSTOMER_ORDERS_KEY,
+        M("c_name", "firstMatch", ("customer", "c_name")),
+        M("urgent_total", "sum", ("orders", "o_totalprice")),
+    ])
+    out = merge({"customer": table(spark, sf, "customer"), "orders": urgent}, spec, how="left", keep_order=True,
+                order_by={"customer": "c_custkey", "orders": "o_orderkey"})
+    return _to_double(out, "urgent_total")
