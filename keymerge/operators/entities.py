@@ -188,16 +188,15 @@ def similar_values(left: DataFrame, right: DataFrame | None, threshold: float) -
 
 
 # -------------------------------------------------------------------- nodes
-@dataclass
-class _Plan:
-    sources: list[str]
-    nodes: DataFrame
-
-
 def _build_nodes(sources: TMapping[str, DataFrame], used: list[str], links: Sequence[Link],
                  fields: list[SourceField], ids: TMapping[str, str] | None, order_by: TMapping[str, object] | None,
-                 key_fields: list[list[SourceField]]) -> _Plan:
-    """Union of per-source projections with row ids, link keys and mapped columns; checkpointed."""
+                 key_fields: list[list[SourceField]]) -> DataFrame:
+    """Union of per-source projections: row id, source index, row order, link keys, mapped columns.
+
+    Row ids are ``id * n_sources + source_index`` - from the caller's id
+    columns when given, else from the scan order (then the table is
+    checkpointed so the ids never change).
+    """
     ids = dict(ids or {})
     order_by = dict(order_by or {})
     n = len(used)
@@ -236,9 +235,9 @@ def _build_nodes(sources: TMapping[str, DataFrame], used: list[str], links: Sequ
     nodes = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if all(s in ids for s in used):
         # Ids come from the data: every rescan yields the same ids, and the lineage is a scan.
-        return _Plan(used, nodes)
+        return nodes
     # Scan-order ids must be fixed once, so every later step (and every retried task) sees them.
-    return _Plan(used, materialize(nodes, "nodes"))
+    return materialize(nodes, "nodes")
 
 
 def _value_star_edges(t: DataFrame, require_both_sides: bool) -> DataFrame:
@@ -288,15 +287,7 @@ def resolve(sources: TMapping[str, DataFrame], links: Sequence[Link], fields: li
         raise SpecError(f"Unknown resolution method: {method}")
     if method == "graph_clustering" and not max_cluster_size:
         raise SpecError("graph_clustering needs max_cluster_size")
-    used: list[str] = []
-    for lk in links:
-        for s in (lk.left, lk.right):
-            if s not in used:
-                used.append(s)
-    for group in key_fields:
-        for f in group:
-            if f.source not in used:
-                used.append(f.source)
+    used = _used_sources(links, key_fields)
     for f in fields:
         if f.source not in used:
             raise SpecError(f"Mapping reads source {f.source}, which no link or key reaches")
@@ -307,8 +298,7 @@ def resolve(sources: TMapping[str, DataFrame], links: Sequence[Link], fields: li
             raise SpecError("fuzzy threshold must be > 0")
         if lk.kind not in ("exact", "fuzzy", "semantic"):
             raise SpecError(f"Unknown link kind: {lk.kind}")
-    plan = _build_nodes(sources, used, links, list(fields), ids, order_by, list(key_fields))
-    nodes = plan.nodes
+    nodes = _build_nodes(sources, used, links, list(fields), ids, order_by, list(key_fields))
     for li, lk in enumerate(links):
         if lk.kind == "fuzzy":
             nodes = _fuzzy_keys(nodes, li, lk)
