@@ -47,12 +47,19 @@ def _rank(v: Column, parse_dates: bool) -> Column:
     return e.otherwise(F.lit(len(rungs)))
 
 
-def _rung_aggs(df: DataFrame, cols: list[str], parse_dates: bool) -> list[Column]:
+def _ranked(df: DataFrame, cols: list[str], parse_dates: bool, extra: list[str] = ()) -> DataFrame:
+    """One projection: the rung rank of every value (evaluated once, then min/max'ed)."""
+    return df.select(*[F.when(src_col(c).isNotNull(), _rank(src_col(c), parse_dates)).alias(f"{i}__rank")
+                       for i, c in enumerate(cols)],
+                     *[src_col(c).isNotNull().alias(f"{i}__nn") for i, c in enumerate(cols)],
+                     *[src_col(c).isNotNull().alias(f"x{i}__nn") for i, c in enumerate(extra)])
+
+
+def _rung_aggs(cols: list[str]) -> list[Column]:
     aggs = []
-    for c in cols:
-        v = src_col(c)
-        r = F.when(v.isNotNull(), _rank(v, parse_dates))
-        aggs += [F.count(v).alias(f"{c}__r__n"), F.min(r).alias(f"{c}__r__lo"), F.max(r).alias(f"{c}__r__hi")]
+    for i, c in enumerate(cols):
+        aggs += [F.count_if(F.col(f"{i}__nn")).alias(f"{c}__r__n"), F.min(f"{i}__rank").alias(f"{c}__r__lo"),
+                 F.max(f"{i}__rank").alias(f"{c}__r__hi")]
     return aggs
 
 
@@ -87,7 +94,7 @@ def infer_column_types(df: DataFrame, columns: list[str] | None = None, sample:
     if not cols:
         return {}
     src = df.limit(sample) if sample else df
-    row = src.agg(*_rung_aggs(src, cols, parse_dates)).first().asDict()
+    row = _ranked(src, cols, parse_dates).agg(*_rung_aggs(cols)).first().asDict()
     return {c: _winner(row, c, parse_dates) for c in cols}
 
 
@@ -121,8 +128,9 @@ def infer_types(df: DataFrame, columns: list[str] | None = None, sample: int | N
     kinds = dict(df.dtypes)
     src = df.limit(sample) if sample else df
     scols = [c for c in cols if kinds[c] == "string"]
-    aggs = _rung_aggs(src, scols, parse_dates) + [F.count(src_col(c)).alias(f"{c}__r__n") for c in cols if c not in scols]
-    row = src.agg(*aggs)
+    others = [c for c in cols if c not in scols]
+    aggs = _rung_aggs(scols) + [F.count_if(F.col(f"x{i}__nn")).alias(f"{c}__r__n") for i, c in enumerate(others)]
+    row = _ranked(src, scols, parse_dates, others).agg(*aggs)
     names = [n for n, _ in _rungs(parse_dates)]
     entries = []
     for i, c in enumerate(cols):
