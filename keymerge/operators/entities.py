@@ -110,11 +110,10 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     raises if that does not happen within ``max_rounds`` (never returns a
     partial answer).
     """
-    e = materialize(_canon(edges, src, dst), "cc")
-    for _ in range(max_rounds + 1):
-        if _is_star_forest(e):
-            roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    # The first round reads the (lazy) canonical edges directly: a star forest passes
+    # through a round unchanged, so checking after each round is enough.
+    e = _canon(edges, src, dst)
+    for _ in range(max_rounds):
         # large-star: every strictly larger neighbour of x attaches to min(N(x) + x)
         d = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(
             e.select(F.col("v").alias("x"), F.col("u").alias("y")))
@@ -126,6 +125,9 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
         ss = e.join(m2, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(
             m2.select(F.col("u").alias("a"), F.col("m").alias("b")))
         e = materialize(_canon(ss, "a", "b"), "cc")
+        if _is_star_forest(e):
+            roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
     raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
 
 
