@@ -127,6 +127,10 @@ def merge(sources: TMapping[str, DataFrame], spec: MergeSpec, how: str = "inner"
     if fanout not in ("rows", "safe"):
         raise SpecError("fanout must be 'rows' or 'safe'")
     validate(spec, list(sources))
+    for opt, given in (("order_by", order_by), ("ids", ids)):
+        unknown = sorted(set(given or {}) - set(sources))
+        if unknown:
+            raise SpecError(f"{opt} names unknown sources: {', '.join(unknown)}")
     if spec.logic == "or":
         from .entities import or_key_merge
 

@@ -224,6 +224,8 @@ def test_validation_errors(spark):
         merge({"A": a}, MergeSpec.build(["q"], [M("k", "firstMatch", ("A", "k"))], destination=["k"]))
     with pytest.raises(SpecError, match="may not contain"):
         merge({"A": a}, MergeSpec.build(["k"], [M("k", "firstMatch", ("A", "k")), M("x.y", "sum", ("A", "k"))]))
+    with pytest.raises(SpecError, match="order_by names unknown sources: Q"):
+        merge({"A": a}, MergeSpec.build(["k"], [M("k", "firstMatch", ("A", "k"))]), order_by={"Q": "k"})
     with pytest.raises(SpecError, match="appears twice"):
         merge({"A": a}, MergeSpec.build(["k"], [M("k", "firstMatch", ("A", "k"), ("A", "k"))]))
 
