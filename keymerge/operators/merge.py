@@ -153,14 +153,16 @@ def merge(sources: TMapping[str, DataFrame], spec: MergeSpec, how: str = "inner"
 
     row_pols = pols if plan == "rowjoin" else [p for p in pols if p.needs_rows(ctx)]
     agg_pols = [] if plan == "rowjoin" else [p for p in pols if p not in row_pols]
-    need_ord = keep_order or any(p.kind in _ORDER_POLICIES for p in pols)
+    # Only sources feeding an order-dependent policy carry a row ordinal (keeps their scans lean).
+    ord_sources = set(joined) if keep_order else {f.source for p in pols if p.kind in _ORDER_POLICIES
+                                                  for f in p.fields}
 
     parts: list[DataFrame] = []
     if agg_pols or not row_pols:
         aggs = []
         for s in joined:
             prep = prepare_source(sources[s], s, keycols[s], [f for p in agg_pols for f in p.fields] if agg_pols else [],
-                                  need_ord, order_by.get(s), drop_nulls)
+                                  s in ord_sources, order_by.get(s), drop_nulls)
             cols = [F.count(F.lit(1)).alias(n_col(s))]
             if keep_order:
                 cols.append(F.min(ORD).alias(ord_col(s)))

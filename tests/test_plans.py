@@ -24,3 +24,13 @@ def test_plan_rules(spark, name):
         assert r["python_arrow_ops"] == 0
     if name not in BOUNDED_SINGLE:
         assert r["unbounded_single_partition"] == 0, "no single-partition funnel"
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    """merge_left: the priority filter is pushed into the orders scan, which reads only 4 of 6 columns."""
+    from keymerge.plans.explain import plan_text
+
+    text = plan_text(E.queries()["merge_left"](spark, SF))
+    assert "EqualTo(o_orderpriority,1-URGENT)" in text
+    assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_totalprice:double,o_orderpriority:string>" in text
+    assert "ReadSchema: struct<c_custkey:bigint,c_name:string>" in text
