@@ -1,8 +1,9 @@
 """Data quality and lineage (Q1-Q6).
 
 * ``unresolved`` (Q1-Q3): one report of keys without a partner, empty mapped
-  fields and values that do not fit a numeric policy - as anti joins and
-  filters on the executors, aggregated per key before anything is unioned.
+  fields and values that do not fit a numeric policy - per-key counts combined
+  once across all sources plus filters on the executors, aggregated per key
+  before anything is unioned.
 * ``unresolved_entities`` (Q4): rows of clusters above the size bound.
 * ``lineage`` (Q5): every source value behind every merged value, as a long
   table (one row per considered value) - never a list collected per key.
