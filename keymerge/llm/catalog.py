@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, pii, quality_rules
+from . import bpe, packing, pii, quality_model, quality_rules
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,19 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+@query
+def op2_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every text of ``documents``, learned from ``labels``."""
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` packed into sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"),
+                        with_ids=False).drop("ids")
+
+
 @query
 def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every text of ``documents``, decode the ids, and digest both."""
