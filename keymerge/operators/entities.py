@@ -101,34 +101,36 @@ def _is_star_forest(e: DataFrame) -> bool:
     return e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
 
 
-def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 200) -> DataFrame:
+def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Connected components of an undirected edge list.
 
     Returns ``(node, component)`` for every node that has an edge, where
     ``component`` is the smallest node id of its component.  Node ids may be
-    any orderable type.  Rounds stop as soon as the edge set is a star forest;
-    raises if that does not happen within ``max_rounds`` (never returns a
-    partial answer).
+    any orderable type.  Rounds go on until the edge set is a star forest,
+    which alternating large-star and small-star steps always reach.
+
+    The minimum per node is written before it is joined to the edges, so that both
+    sides of the join have an exchange of their own: only then does AQE split the
+    edges of a hub over several tasks.
     """
     # The first round reads the (lazy) canonical edges directly: a star forest passes
     # through a round unchanged, so checking after each round is enough.
     e = _canon(edges, src, dst)
-    for _ in range(max_rounds):
+    while True:
         # large-star: every strictly larger neighbour of x attaches to min(N(x) + x)
         d = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(
             e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        m = d.groupBy("x").agg(F.min("y").alias("_m")).select("x", F.least("x", "_m").alias("m"))
+        m = materialize(d.groupBy("x").agg(F.min("y").alias("_m")).select("x", F.least("x", "_m").alias("m")))
         # (y, m) with y > x >= m is already canonical; duplicates are removed after small-star
-        e = d.join(m, "x").filter(F.col("y") > F.col("x")).select(F.col("y").alias("u"), F.col("m").alias("v"))
+        e = materialize(d.join(m, "x").filter(F.col("y") > F.col("x")).select(F.col("y").alias("u"), F.col("m").alias("v")))
         # small-star: u and its smaller neighbours attach to min(N<=(u) + u)
-        m2 = e.groupBy("u").agg(F.min("v").alias("m"))
+        m2 = materialize(e.groupBy("u").agg(F.min("v").alias("m")))
         ss = e.join(m2, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(
             m2.select(F.col("u").alias("a"), F.col("m").alias("b")))
         e = materialize(_canon(ss, "a", "b"), "cc")
         if _is_star_forest(e):
             roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-    raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
 
 
 # -------------------------------------------------------------- fuzzy values
