@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, packing, pii, quality_model, quality_rules, sharding
+from . import bpe, lattice, minhash, packing, pii, quality_model, quality_rules, sharding
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,12 @@ def op2_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op3_e8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all ``embeddings`` by cosine."""
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of ``documents`` by sets of two-word shingles."""
