@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lattice, minhash, packing, pii, quality_model, quality_rules, sharding
+from . import bpe, lattice, minhash, packing, pii, quality_model, quality_rules, secrets, sharding
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,12 @@ def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op9_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text of ``documents``: candidates and the forest's verdict."""
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every text of ``documents`` and the verdict of the adaptive rules."""
