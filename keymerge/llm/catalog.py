@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lattice, minhash, packing, pii, quality_model, quality_rules, secrets, sharding
+from . import bpe, lattice, materialise, minhash, packing, pii, quality_model, quality_rules, secrets, sharding
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         with_ids=False).drop("ids")
 
 
+@query
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` as token shards in a keyed order; the manifest of the shards."""
+    return materialise.write_training_order(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"),
+                                            materialise.training_folder(spark), key=2048)
+
+
 @query
 def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every text of ``documents``, decode the ids, and digest both."""

@@ -6,8 +6,10 @@ import shutil
 import tempfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import ensure_checkpoint_dir, shared_scratch
 
@@ -49,6 +51,27 @@ def prepare(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 _sent: set[str] = set()
 
 
+def with_columns(df: DataFrame, input_col: str, schema: str, make) -> DataFrame:
+    """All columns of ``df`` and new ones computed from the texts of one column.
+
+    ``make()`` is called once per task and returns a function from a list of bytes (null:
+    empty) to the arrays of the new columns, which ``schema`` names.
+    """
+    prepare(df.sparkSession)
+    at, names = df.columns.index(input_col), df.columns
+    added = [x.split()[0] for x in schema.split(",")]
+    plain = df.toDF(*[f"_c{i}" for i in range(len(names))])
+
+    def run(batches):
+        f = make()
+        for b in batches:
+            new = f([t or b"" for t in b.column(at).cast(pa.binary()).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *added])
+
+    out = StructType([*plain.schema.fields, *StructType.fromDDL(schema).fields])
+    return plain.mapInArrow(run, out).toDF(*names, *added)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder of ``spark.checkpoint.dir`` and read it
     back: lineage ends there, and a lost executor costs nothing that was written."""

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, prepare, small_side, stored
+from .common import pick, prepare, small_side, stored, with_columns
 
 SYMBOLS = "#*$%&|<>"
 #: Distinct words whose hashes a worker keeps.
@@ -172,6 +172,16 @@ def adaptive_fences(stats: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     return j.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == k, fence)).alias(f"max_{k}") for k in SLACK])
 
 
+def _judged(stats: DataFrame, fences: DataFrame, lang_col: str, source_col: str) -> DataFrame:
+    """``stats`` with ``base_failed``, ``broken`` and ``kept``, by the fences of each row's group."""
+    f = fences.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), *[f"max_{k}" for k in SLACK])
+    broke = F.array(*[F.when(v > F.col(f"max_{k}"), F.lit(k)) for k, v in _ratios().items()])
+    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return (stats.join(f, F.col(lang_col).eqNullSafe(F.col("_l")) & F.col(source_col).eqNullSafe(F.col("_s")), "left")
+            .withColumns({"base_failed": base, "broken": F.array_compact(broke)})
+            .withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0)))
+
+
 def apply_rules(docs: DataFrame, min_group: int = MIN_GROUP, **cols: str) -> DataFrame:
     """Counts, ``base_failed``, ``kept`` and the rules that a text broke, one row per row of ``docs``.
 
@@ -182,11 +192,27 @@ def apply_rules(docs: DataFrame, min_group: int = MIN_GROUP, **cols: str) -> Dat
     """
     stats = stored(document_stats(docs, **cols), "stats")
     fences = small_side(stored(adaptive_fences(stats, min_group), "fences"))
-    f = fences.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), *[f"max_{k}" for k in SLACK])
-    broke = F.array(*[F.when(v > F.col(f"max_{k}"), F.lit(k)) for k, v in _ratios().items()])
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return (stats.join(f, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
-            .withColumns({"base_failed": base, "broken": F.array_compact(broke)})
-            .withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
+    return (_judged(stats, fences, "lang", "source")
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
                     F.concat_ws(",", "broken").alias("broken")))
+
+
+def keep_good(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+    """The rows of ``docs`` (columns ``text, lang, source`` and any others) that break no rule.
+
+    The counts are taken twice, for the sketches and beside the rows: that spares a
+    shuffle of all texts."""
+    fences = small_side(stored(adaptive_fences(stored(document_stats(docs, id_col=docs.columns[0]), "stats"), min_group), "fences"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_upper", "n_letters")
+
+    def make():
+        hashes = WordHashes()
+
+        def stats(texts: list[bytes]) -> list[pa.Array]:
+            rows = [text_stats(t, hashes) for t in texts]
+            return [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * len(names))]
+
+        return stats
+
+    counted = with_columns(docs, "text", ", ".join(f"{n} long" for n in names), make)
+    return _judged(counted, fences, "lang", "source").filter("kept").select(*docs.columns)
