@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keymerge.llm import minhash, packing, quality_model, quality_rules, secrets
-from keymerge.llm.common import small_side, stored, table
+from keymerge.llm.common import small_side, stored, table, unclashed
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     found = stored(minhash.near_duplicates(docs).select("doc_id", "kept"), "verdicts")
     dropped = small_side(stored(found.filter("not kept and doc_id is not null").select("doc_id").distinct(), "dropped"))
-    left = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(dropped, "doc_id", "left_anti")
     again = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1")
     if again.isEmpty():
         return left
@@ -42,9 +42,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets masked; ``n_chars`` follows the text."""
-    before = docs.withColumn("__length", F.length("text"))
-    masked = secrets.redact(before, stored(secrets.scan(docs), "secrets"))
-    return masked.withColumn("n_chars", F.col("n_chars") + F.coalesce(F.length("text") - F.col("__length"), F.lit(0))).select(*docs.columns)
+    docs, restore = unclashed(docs, "doc_id", "text", "lang", "source", "n_chars")
+    masked = secrets.redact(docs.withColumn("length", F.length("text")), stored(secrets.scan(docs), "secrets"))
+    longer = F.coalesce(F.length("text") - F.col("length"), F.lit(0))
+    return restore(masked.withColumn("n_chars", F.col("n_chars") + longer))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+from collections.abc import Callable
 from pathlib import Path
 
 import pyarrow as pa
@@ -34,6 +35,15 @@ def pick(df: DataFrame, **cols: str) -> DataFrame:
     return plain.select(*[F.col(f"_c{names.index(old)}").alias(new) for new, old in cols.items()])
 
 
+def unclashed(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with its columns ``names`` as they are and all others under names that nothing of
+    ours has, and a function that brings the columns of ``df`` back under their own names."""
+    own = df.columns
+    first = {own.index(n) for n in names}
+    plain = [n if i in first else f"_other{i}" for i, n in enumerate(own)]
+    return df.toDF(*plain), lambda out: out.select(*plain).toDF(*own)
+
+
 def prepare(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Make Python tasks safe to start: bound the rows of an Arrow batch, so that long texts do
     not fill a worker, and send this package to the executors (once per context)."""

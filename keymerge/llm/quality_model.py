@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, prepare, with_columns
+from .common import pick, prepare, unclashed, with_columns
 from .quality_rules import repeat_words
 
 #: Labelled rows used at most (the documented bound), and the shards they are trained in.
@@ -213,11 +213,11 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more, all columns as they are."""
+    docs, restore = unclashed(docs, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         f, m = Features(), shared.value
         return lambda texts: [pa.array([m.score(f, t) for t in texts], pa.float64())]
 
-    scored = with_columns(docs, text_col, "__score double", make)
-    return scored.filter(F.col("__score") >= threshold).select(*docs.columns)
+    return restore(with_columns(docs, text_col, "score double", make).filter(F.col("score") >= threshold))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, prepare, small_side, stored, with_columns
+from .common import pick, prepare, small_side, stored, unclashed, with_columns
 
 SYMBOLS = "#*$%&|<>"
 #: Distinct words whose hashes a worker keeps.
@@ -198,11 +198,12 @@ def apply_rules(docs: DataFrame, min_group: int = MIN_GROUP, **cols: str) -> Dat
 
 
 def keep_good(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """The rows of ``docs`` (columns ``text, lang, source`` and any others) that break no rule.
+    """The rows of ``docs`` (columns ``doc_id, text, lang, source`` and any others) that break no rule.
 
     The counts are taken twice, for the sketches and beside the rows: that spares a
     shuffle of all texts."""
-    fences = small_side(stored(adaptive_fences(stored(document_stats(docs, id_col=docs.columns[0]), "stats"), min_group), "fences"))
+    docs, restore = unclashed(docs, "doc_id", "text", "lang", "source")
+    fences = small_side(stored(adaptive_fences(stored(document_stats(docs), "stats"), min_group), "fences"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_upper", "n_letters")
 
     def make():
@@ -215,4 +216,4 @@ def keep_good(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
         return stats
 
     counted = with_columns(docs, "text", ", ".join(f"{n} long" for n in names), make)
-    return _judged(counted, fences, "lang", "source").filter("kept").select(*docs.columns)
+    return restore(_judged(counted, fences, "lang", "source").filter("kept"))

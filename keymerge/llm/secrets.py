@@ -19,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, small_side, stored
+from .common import pick, small_side, stored, unclashed
 
 #: Findings that the forest is trained on at most (the documented bound), its trees, and the probability kept.
 TRAIN_ROWS, TREES, DEPTH, THRESHOLD = 20_000, 20, 6, 0.5
@@ -163,6 +163,7 @@ def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_co
     A finding belongs to the rows of its id and text.  The findings of a document come
     together in one row: they are fewer than its characters.
     """
+    docs, restore = unclashed(docs, id_col, text_col)
     spans = findings.filter("secret").select("doc_id", "text_hash", F.struct("start", "end").alias("span")).distinct()
     spans = small_side(stored(spans.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.sort_array(F.collect_list("span")).alias("_spans")), "spans"))
     text = F.col(text_col)
@@ -170,4 +171,4 @@ def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_co
         s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit(mask)).alias("out")))
     joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_h")), "left").withColumn("_cut", cut)
     whole = F.concat(F.col("_cut.out"), F.substring(text, F.col("_cut.at").cast("int") + 1, F.length(text)))
-    return joined.withColumn(text_col, F.when(F.col("_cut").isNotNull(), whole).otherwise(text)).select(*docs.columns)
+    return restore(joined.withColumn(text_col, F.when(F.col("_cut").isNotNull(), whole).otherwise(text)))
