@@ -79,8 +79,8 @@ def _sequences(batches: Iterator[pa.RecordBatch], vocabulary: str, end: bytes, l
     held, doc, start = b"", None, 0  # ids not given out yet, and where they begin
     for b in batches:
         out = []
-        for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            ids = np.frombuffer(coder.encode(text or ""), "<u4").astype("<u2").tobytes() + end
+        for d, coded in zip(b.column(0).to_pylist(), coder.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
+            ids = np.frombuffer(coded, "<u4").astype("<u2").tobytes() + end
             begin = -len(held) // 2  # of this document, before the token next given out
             if not held:
                 doc, start, begin = d, 0, 0

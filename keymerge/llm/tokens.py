@@ -8,13 +8,19 @@ ids of words it has met and calls the library for new ones only.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from hashlib import sha256
+from itertools import islice
 
 import numpy as np
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 #: Longer words are coded each time, so that the kept ones stay small.
 LONGEST_KEPT = 64
+#: Characters of texts taken together, and new words coded by one call.
+TOGETHER, CALL = 2_000_000, 1024
+#: Stands between words in a call: a mark that is one token by itself and joins nothing beyond white space.
+MARK = "|"
 
 
 class WordTokenizer:
@@ -25,20 +31,49 @@ class WordTokenizer:
         self.library = Tokenizer.from_str(vocabulary)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {"": b""}
+        mark = self.library.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(self.known) > CACHE_WORDS:
-            self.known = {"": b""}
-        new = list({w for w in words if w not in self.known})
-        found = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True)}
-        self.known.update((w, ids) for w, ids in found.items() if len(w) <= LONGEST_KEPT)
-        return b"".join([self.known[w] if w in self.known else found[w] for w in words])
+    def _ids(self, words: list[str]) -> Iterator[bytes]:
+        if self.mark is None or any(MARK in w for w in words):
+            for e in self.library.encode_batch(words, add_special_tokens=False):
+                yield np.array(e.ids, "<u4").tobytes()
+            return
+        ids = np.array(self.library.encode(f" {MARK} ".join(words), add_special_tokens=False).ids, "<u4")
+        cut = (4 * np.flatnonzero(ids == self.mark)).tolist()
+        raw = ids.tobytes()
+        for start, end in zip([0, *(c + 4 for c in cut)], [*cut, len(raw)], strict=True):
+            yield raw[start:end]
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= TOGETHER):
+                size += len(texts[end])
+                end += 1
+            yield from self._encode([t.replace("\n", " ").split(" ") for t in texts[at:end]])
+            at = end
+
+    def _encode(self, texts: list[list[str]]) -> Iterator[bytes]:
+        known = self.known
+        if len(known) > CACHE_WORDS:  # the older half goes
+            for w in list(islice(known, len(known) // 2)):
+                del known[w]
+            known[""] = b""
+        new = list(set().union(*texts).difference(known))
+        plain, marked = [w for w in new if MARK not in w], [w for w in new if MARK in w]
+        long = []
+        for words in (plain, marked):
+            for k in range(0, len(words), CALL):
+                part = words[k : k + CALL]
+                known.update(zip(part, self._ids(part), strict=True))
+                long += [w for w in part if len(w) > LONGEST_KEPT]
+        for words in texts:
+            yield b"".join(map(known.__getitem__, words))
+        for w in long:
+            del known[w]
 
 
 _tokenizers: dict[bytes, WordTokenizer] = {}
