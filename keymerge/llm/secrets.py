@@ -37,7 +37,7 @@ WORDS = ("about after again all also and any are because been but can con contra
 HARMLESS = "commit|sha-?1|sha-?256|md5|hash|checksum|digest|uuid|guid|version|revision|build|order|invoice|isbn|phone|card|serial|example|sample|dummy"
 
 _RUN = r"[A-Za-z0-9+/_-]"
-_ASSIGNED = rf"(?i:(?:{CUES})[\"']?[ \t]{{0,2}}[:=][ \t]{{0,2}}[\"']?)[^\s\"']{{6,}}+"
+_ASSIGNED = rf"(?i:(?:{CUES})[\"']?[ \t]{{0,2}}[:=][ \t]{{0,2}}[\"']?)[^\s\"',;]{{6,}}+"
 _HEADER = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
 _MIXED = rf"(?<!{_RUN})(?=[A-Za-z+/_-]*+[0-9]){_RUN}{{12,}}+=*+"
 _CAPITALS = rf"(?<!{_RUN})[A-Z]{{16,}}+(?!{_RUN})"
