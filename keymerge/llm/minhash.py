@@ -153,27 +153,64 @@ def _likely(classes: DataFrame, least: float) -> DataFrame:
     """Links ``(a, b)`` that join every two classes sharing a band, if their estimated
     similarity reaches ``least`` or a chain of such links connects them.
 
-    In each bucket all members are held against the smallest; those too unlike it form a
-    bucket of their own in the next round, until none has two members.  So the rows are
-    a few times the members, however large a bucket is.
+    In each bucket all members are held against the smallest: a row for each member, however
+    large the bucket is.  Those too unlike it (few: sharing a band by chance) are compared
+    with each other in tasks of bounded size, by their signatures alone.
     """
     prints = classes.select("node", "prints")
-    members, found = classes.select("node", F.explode("keys").alias("key")), []
-    while True:
-        buckets = stored(members.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1"), "buckets")
-        stars = stored(members.join(buckets, "key").filter(F.col("node") != F.col("leader")), "stars")
-        pairs = (stars.select("node", "leader").distinct().join(prints, "node")
-                 .join(prints.select(F.col("node").alias("leader"), F.col("prints").alias("other")), "leader")
-                 .select("node", "leader", (_agreement("prints", "other") >= least).alias("near")))
-        pairs = stored(pairs, "pairs")
-        found.append(pairs.filter("near").select(F.col("node").alias("a"), F.col("leader").alias("b")))
-        members = stored(stars.filter("n > 2").join(pairs.filter("not near"), ["node", "leader"], "left_semi").select("node", "key"), "others")
-        if members.isEmpty():
-            break
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    members = classes.select("node", F.explode("keys").alias("key"))
+    buckets = stored(members.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1"), "buckets")
+    stars = stored(members.join(buckets, "key").filter(F.col("node") != F.col("leader")), "stars")
+    pairs = (stars.select("node", "leader").distinct().join(prints, "node")
+             .join(prints.select(F.col("node").alias("leader"), F.col("prints").alias("other")), "leader")
+             .select("node", "leader", (_agreement("prints", "other") >= least).alias("near")))
+    pairs = stored(pairs, "pairs")
+    near = pairs.filter("near").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+
+    others = stars.filter("n > 2").join(pairs.filter("not near"), ["node", "leader"], "left_semi").select("node", "key")
+    counts = others.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    others = stored(others.join(counts, "key").join(prints, "node"), "others")
+    tasks = max(1, others.count() // BLOCK)
+    rows = _in_blocks(others, "key", tasks).select("task", "i", "j", "key", "block", "node", "prints")
+
+    def compare(group: pa.Table) -> pa.Table:
+        a, b = [], []
+        g = group.sort_by([("key", "ascending"), ("node", "ascending")])
+        node, key, block = g.column("node").to_pylist(), g.column("key").to_numpy(), g.column("block").to_numpy()
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])).tolist() + [len(node)]
+        prints = np.frombuffer(b"".join(g.column("prints").to_pylist()), np.uint16).reshape(len(node), -1)
+        for s, e in zip(starts, starts[1:], strict=False):
+            forest = _Forest(e - s)
+            for x, y in zip(*_alike(prints[s:e], block[s:e], least)[:2], strict=True):
+                if forest.join(x, y):
+                    a.append(node[s + x])
+                    b.append(node[s + y])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return near.unionByName(rows.groupBy("task", "i", "j").applyInArrow(compare, "a binary, b binary"))
+
+
+def _in_blocks(rows: DataFrame, group: str, tasks: int) -> DataFrame:
+    """Deal groups of ``n`` rows out to tasks of bounded size: small groups several to a task,
+    those of over ``BLOCK`` rows as pairs ``(i, j)`` of blocks (each row once for every block)."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    return (rows.withColumns({"block": F.pmod(F.hash("node"), blocks), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+            .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other"),
+                          "task": F.when(F.col("n") > BLOCK, F.hex(group)).otherwise(F.pmod(F.xxhash64(group), F.lit(tasks)).cast("string"))}))
+
+
+def _alike(prints: np.ndarray, block: np.ndarray, least: float, also: np.ndarray | None = None) -> tuple[list[int], list[int], np.ndarray]:
+    """Pairs of rows (of two blocks: between the blocks) that agree on ``least`` of the slots."""
+    agree = np.zeros((len(prints), len(prints)), np.uint8)
+    for c in range(prints.shape[1]):
+        agree += prints[:, None, c] == prints[None, :, c]
+    near = agree >= least * SLOTS
+    if also is not None:
+        near &= also
+    if block.min() != block.max():
+        near &= block[:, None] != block
+    i, j = np.nonzero(np.triu(near, 1))
+    return i.tolist(), j.tolist(), agree[i, j]
 
 
 class _Forest:
@@ -207,19 +244,15 @@ def _links(keys: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], block:
     """A spanning forest of the confirmed links among the members of a cluster (of two blocks of
     it: between the blocks).  Pairs are tried from the most alike down; pairs already connected are skipped."""
     n = len(sets)
-    share, agree = np.zeros((n, n), bool), np.zeros((n, n), np.uint8)
+    share = np.zeros((n, n), bool)
     for c in range(keys.shape[1]):
         share |= keys[:, None, c] == keys[None, :, c]
     size = np.fromiter(map(len, sets), np.int64, n)
     share &= 100 * np.minimum(size[:, None], size) >= percent * np.maximum(size[:, None], size)
-    if block.min() != block.max():
-        share &= block[:, None] != block
-    for c in range(prints.shape[1]):
-        agree += prints[:, None, c] == prints[None, :, c]
-    i, j = np.nonzero(np.triu(share & (agree >= least * SLOTS), 1))
-    order = np.argsort(-agree[i, j].astype(np.int16), kind="stable")
+    i, j, agree = _alike(prints, block, least, share)
     forest, out = _Forest(n), []
-    for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+    for k in np.argsort(-agree.astype(np.int16), kind="stable").tolist():
+        a, b = i[k], j[k]
         if forest.find(a) != forest.find(b) and _similar(sets[a], sets[b], percent):
             forest.join(a, b)
             out.append((a, b))
@@ -237,13 +270,8 @@ def _confirmed(docs: DataFrame, classes: DataFrame, likely: DataFrame, width: in
     members = stored(cluster.join(sizes, "component").join(classes, "node"), "members")
     sets = _sets(docs, members.select("doc_id", "node"), width)
     tasks = max(1, cluster.count() // BLOCK)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    block = F.pmod(F.hash("node"), blocks)
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    rows = (members.withColumns({"block": block, "other": other})
-            .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other"),
-                          "task": F.when(F.col("n") > BLOCK, F.hex("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(tasks)).cast("string"))})
-            .join(sets, "node").select("task", "i", "j", "component", "block", "node", "keys", "prints", "items"))
+    rows = (_in_blocks(members, "component", tasks).join(sets, "node")
+            .select("task", "i", "j", "component", "block", "node", "keys", "prints", "items"))
 
     def compare(group: pa.Table) -> pa.Table:
         a, b = [], []
