@@ -73,9 +73,11 @@ def greatest(cols: list[Column]) -> Column:
     return cols[0] if len(cols) == 1 else F.greatest(*cols)
 
 
-def ordered_list(value: Column, order: Column) -> Column:
-    """Values of a group ordered by ``order`` (nulls kept: the struct is never null)."""
-    pairs = F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v"))))
+def ordered_list(value: Column, order: Column, own: Column | None = None) -> Column:
+    """Values of a group ordered by ``order`` (nulls kept: the struct is never null).  ``own``
+    limits them to the rows where it holds."""
+    pair = F.struct(order.alias("o"), value.alias("v"))
+    pairs = F.array_sort(F.collect_list(pair if own is None else F.when(own, pair)))
     return F.transform(pairs, lambda x: x["v"])
 
 
@@ -212,14 +214,14 @@ class PolicyExpr:
             out.append(self._row_list_or_custom(cols, F.col(ORD)).alias(self.p("one", 0)))
         return out
 
-    def _row_list_or_custom(self, cols: list[Column], order: Column) -> Column:
+    def _row_list_or_custom(self, cols: list[Column], order: Column, own: Column | None = None) -> Column:
         k = self.kind
         if k == "row_means":
-            return ordered_list(_sum_cols(cols).cast("double") / F.lit(len(cols)), order)
+            return ordered_list(_sum_cols(cols).cast("double") / F.lit(len(cols)), order, own)
         if k == "values":
-            return ordered_list(cols[0], order)
+            return ordered_list(cols[0], order, own)
         if k == "coalesced_values":
-            return ordered_list(F.coalesce(*cols) if len(cols) > 1 else cols[0], order)
+            return ordered_list(F.coalesce(*cols) if len(cols) > 1 else cols[0], order, own)
         return self.m.policy.func(*cols)
 
     def finish(self, ctx: Ctx) -> Column:
@@ -276,8 +278,11 @@ class PolicyExpr:
         return e.alias(name)
 
     # row-level form ------------------------------------------------------------
-    def row_agg(self, row_order: Column) -> Column:
-        """One aggregate over the row-level join (``rows`` semantics)."""
+    def row_agg(self, row_order: Column, own: Column | None = None) -> Column:
+        """One aggregate over the row-level join (``rows`` semantics).
+
+        ``own``: where the rows are a union of sources, the condition for a row of this
+        policy's source; policies that look at whole rows see only those."""
         k = self.kind
         fs = self.fields
         vals = [F.col(qual(f.source, f.column)) for f in fs]
@@ -290,7 +295,7 @@ class PolicyExpr:
                 if len(fs) > 1 else F.max_by(vals[0], F.when(vals[0].isNotNull(), F.col(ord_col(fs[0].source))))
         elif k == "first_row":
             f0 = self.listed[0]
-            e = F.min_by(F.col(qual(f0.source, f0.column)), row_order)
+            e = F.min_by(F.col(qual(f0.source, f0.column)), row_order if own is None else F.when(own, row_order))
         elif k == "sum":
             e = _sum_cols([F.coalesce(F.sum(v), F.lit(0)) for v in vals])
         elif k == "count":
@@ -312,13 +317,35 @@ class PolicyExpr:
             e = F.when(F.size(arr) > 0, F.array_join(arr.cast("array<string>"), self.m.policy.sep))
         else:
             lcols = [F.col(qual(f.source, f.column)) for f in self.listed]
-            e = self._row_list_or_custom(lcols, row_order)
+            e = self._row_list_or_custom(lcols, row_order, own)
         return e.alias(name)
 
     def row_value(self) -> Column:
-        """Value for an ungrouped merge (``dedupe=False``): first non-null field by priority."""
-        vals = [F.col(qual(f.source, f.column)) for f in self.fields]
-        return (F.coalesce(*vals) if len(vals) > 1 else vals[0]).alias(self.m.destination)
+        """Value for an ungrouped merge (``dedupe=False``): the policy over the fields of one row."""
+        from ..spec import SpecError
+
+        vals, k = [F.col(qual(f.source, f.column)) for f in self.fields], self.kind
+        known = _sum_cols([v.isNotNull().cast("bigint") for v in vals])
+        total = _sum_cols([F.coalesce(v, F.lit(0)) for v in vals]) if k in ("sum", "average") else None
+        if k in ("firstMatch", "lastMatch"):
+            e = F.coalesce(*vals)
+        elif k == "first_row":
+            e = F.col(qual(self.listed[0].source, self.listed[0].column))
+        elif k == "sum":
+            e = total
+        elif k == "average":
+            e = total.cast("double") / F.when(known != 0, known)
+        elif k == "count":
+            e = known
+        elif k == "count_rows":
+            e = F.lit(1).cast("bigint")
+        elif k == "row_sum":
+            e = F.coalesce(_sum_cols(vals), F.lit(0))
+        elif k in ("min", "max"):
+            e = (least if k == "min" else greatest)(vals)
+        else:
+            raise SpecError(f"policy {k} needs grouped rows; it does not apply with dedupe=False")
+        return e.alias(self.m.destination)
 
 
 def custom(func: Callable[..., Column]):

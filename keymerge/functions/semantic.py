@@ -16,7 +16,7 @@ SEMANTIC_LADDER: list[tuple[str, str]] = [
     ("email", r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"),
     ("datetime", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?$"),
     ("date", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"),
-    ("integer", r"^-?[0-9]{1,18}$"),
+    ("integer", r"^-?[0-9]+$"),
     ("float", r"^-?([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+)([eE][+-]?[0-9]+)?$"),
     ("currency", r"^-?[$€£] ?[0-9][0-9,]*(\.[0-9]+)?$"),
     ("postcode", r"^([A-Z]{1,2}[0-9][A-Z0-9]? [0-9][A-Z]{2}|[A-Z][0-9][A-Z] [0-9][A-Z][0-9]|[0-9]{5}-[0-9]{4})$"),
@@ -30,7 +30,7 @@ SEMANTIC_TYPES = [t for t, _ in SEMANTIC_LADDER] + [TEXT]
 # Storage-type inference rungs (bool -> bigint -> double -> string).
 INFER_RUNGS: list[tuple[str, str]] = [
     ("boolean", r"^(?i:true|false)$"),
-    ("bigint", r"^-?[0-9]{1,18}$"),
+    ("bigint", r"^-?[0-9]+$"),
     ("double", r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"),
 ]
 DATE_RUNGS: list[tuple[str, str]] = [

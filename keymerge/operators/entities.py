@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from ..functions.policies import PolicyExpr, ord_col, qual, src_col
 from ..session import materialize
 from ..sources.readers import ordinal_expr
+from .merge import key_text
 from ..spec import Mapping, MergeSpec, Policy, SourceField, SpecError
 
 ROW_ID = "_row_id"
@@ -207,7 +208,8 @@ def _build_nodes(sources: TMapping[str, DataFrame], used: list[str], links: Sequ
     parts = []
     for i, s in enumerate(used):
         df = sources[s]
-        rid = (src_col(ids[s]).cast("bigint") if s in ids else F.monotonically_increasing_id()) * F.lit(n) + F.lit(i)
+        types = dict(df.dtypes)
+        rid = (_checked_id(df, s, ids[s]) if s in ids else F.monotonically_increasing_id()) * F.lit(n) + F.lit(i)
         cols = [rid.alias(ROW_ID), F.lit(i).alias(SRC), ordinal_expr(order_by.get(s), df).alias(ord_col(s))]
         for li, lk in enumerate(links):
             sides = []
@@ -220,16 +222,15 @@ def _build_nodes(sources: TMapping[str, DataFrame], used: list[str], links: Sequ
             col_name, side = sides[0]
             if lk.is_self():
                 side = 2
-            key = _empty_to_null(_derive(lk, src_col(col_name)).cast("string"))
+            key = _empty_to_null(_derive(lk, src_col(col_name)).cast("string") if lk.kind != "exact" else key_text(src_col(col_name), types[col_name]))
             if lk.kind == "fuzzy" and lk.block_on:
                 blk = lk.block_on[0] if side in (0, 2) else lk.block_on[1]
                 cols.append(src_col(blk).cast("string").alias(f"_lb{li}"))
             cols += [key.alias(f"_lk{li}"), F.lit(side).alias(f"_ls{li}")]
         for ki, kf in enumerate(key_fields):
-            for f in kf:
-                if f.source == s:
-                    cols.append(_empty_to_null(src_col(f.column).cast("string")).alias(f"_kk{ki}"))
-                    break
+            own = [key_text(src_col(f.column), types[f.column]) for f in kf if f.source == s]
+            if own:
+                cols.append(F.array(*[_empty_to_null(k) for k in own]).alias(f"_kk{ki}"))
         seen = set()
         for f in fields:
             if f.source == s and f.column not in seen:
@@ -244,14 +245,25 @@ def _build_nodes(sources: TMapping[str, DataFrame], used: list[str], links: Sequ
     return materialize(nodes, "nodes")
 
 
+def _checked_id(df: DataFrame, source: str, column: str) -> Column:
+    """The source's id column: whole numbers, none null (fails at the first one) and none twice."""
+    if dict(df.dtypes)[column] not in ("bigint", "int", "smallint", "tinyint"):
+        raise SpecError(f"ids of {source}: {column} is not a whole number")
+    if not df.groupBy(src_col(column)).count().filter("count > 1").isEmpty():
+        raise SpecError(f"ids of {source}: {column} holds an id twice")
+    c = src_col(column).cast("bigint")
+    return F.when(c.isNull(), F.raise_error(F.lit(f"ids of {source}: {column} holds a null")).cast("bigint")).otherwise(c)
+
+
 def _value_star_edges(t: DataFrame, require_both_sides: bool) -> DataFrame:
     """Rows sharing a key value -> edges to the smallest row id holding it (no pairs)."""
     t = t.filter(F.col("key").isNotNull())
+    # Written first: both sides of the join then have an exchange, and AQE can split a hot value.
     anchors = t.groupBy("key").agg(F.min(ROW_ID).alias("anchor"), F.min("side").alias("_s0"),
                                    F.max("side").alias("_s1"))
     if require_both_sides:
         anchors = anchors.filter((F.col("_s1") == 2) | ((F.col("_s0") == 0) & (F.col("_s1") >= 1)))
-    return (t.join(anchors.select("key", "anchor"), "key")
+    return (t.join(materialize(anchors.select("key", "anchor"), "anchors"), "key")
             .filter(F.col(ROW_ID) != F.col("anchor"))
             .select(F.col(ROW_ID).alias("src"), F.col("anchor").alias("dst")))
 
@@ -311,9 +323,10 @@ def resolve(sources: TMapping[str, DataFrame], links: Sequence[Link], fields: li
         t = nodes.select(ROW_ID, F.col(f"_lk{li}").alias("key"), F.col(f"_ls{li}").alias("side"))
         edge_sets.append(_value_star_edges(t.filter(F.col("side").isNotNull()), require_both_sides=not lk.is_self()))
     for ki in range(len(key_fields)):
-        t = nodes.select(ROW_ID, F.col(f"_kk{ki}").alias("key"), F.lit(2).alias("side"))
+        t = nodes.select(ROW_ID, F.explode(f"_kk{ki}").alias("key"), F.lit(2).alias("side"))
         edge_sets.append(_value_star_edges(t, require_both_sides=False))
-    if len(edge_sets) == 1:
+    several = any(len({f.source for f in kf}) < len(kf) for kf in key_fields)  # a row may hold several values
+    if len(edge_sets) == 1 and not several:
         # One key: each row already points at the smallest row holding its value, and
         # value groups are disjoint, so the stars are the components - no rounds needed.
         e = edge_sets[0]
@@ -327,7 +340,7 @@ def resolve(sources: TMapping[str, DataFrame], links: Sequence[Link], fields: li
     else:
         out = nodes.withColumn(ENTITY, F.col(ROW_ID))
     if max_cluster_size:
-        sizes = out.groupBy(ENTITY).agg(F.count(F.lit(1)).alias("_size"))
+        sizes = materialize(out.groupBy(ENTITY).agg(F.count(F.lit(1)).alias("_size")), "sizes")
         out = out.join(sizes, ENTITY)
         over = F.col("_size") > F.lit(max_cluster_size)
         out = (out.withColumn("_oversize", over).withColumn("_cluster", F.col(ENTITY))
@@ -355,7 +368,12 @@ def entity_merge(sources: TMapping[str, DataFrame], links: Sequence[Link], mappi
     used = [s for s in _used_sources(links, key_fields)]
     pols = [PolicyExpr(m, i) for i, m in enumerate(mappings)]
     row_order = F.struct(F.col(SRC), *[F.col(ord_col(s)) for s in used])
-    aggs = [p.row_agg(row_order) for p in pols]
+    aggs = []
+    for p in pols:
+        own = {f.source for f in p.fields}
+        if p.kind in ("row_sum", "row_means") and len(own) > 1:
+            raise SpecError(f"policy {p.kind} adds the fields of a row: an entity's rows come from one source each")
+        aggs.append(p.row_agg(row_order, F.col(SRC) == used.index(p.listed[0].source) if len(own) == 1 and len(used) > 1 else None))
     if with_size:
         aggs.append(F.count(F.lit(1)).alias("n_members"))
     return nodes.groupBy(ENTITY).agg(*aggs)
@@ -384,10 +402,13 @@ def or_key_merge(sources: TMapping[str, DataFrame], spec: MergeSpec, order_by=No
     km = spec.key_mappings()
     key_fields = [list(m.fields) for m in km]
     key_maps = [Mapping(m.destination, Policy("firstMatch"), m.fields) for m in km]
-    vals = spec.value_mappings()
+    from .merge import _passthrough_mappings
+
+    used = _used_sources([], key_fields)
+    vals = spec.value_mappings() + [Mapping(m.destination, Policy("firstMatch"), m.fields) for m in _passthrough_mappings(spec, sources, used)]
     out = entity_merge(sources, [], key_maps + vals, ids=ids, order_by=order_by, max_cluster_size=max_cluster_size,
                        key_fields=key_fields, with_size=False)
-    names = [ENTITY] + [m.destination for m in km] + [m.destination for m in vals]
+    names = [ENTITY] + ([d.name for d in spec.destination] or [m.destination for m in km + vals])
     types = {d.name: d.data_type for d in spec.destination}
     if not cast:
         return out.select(*names)

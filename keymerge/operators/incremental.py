@@ -8,7 +8,7 @@ equals a full merge of the new sources.  ``changed_keys`` are the distinct keys
 of the rows that differ between the old and new version of the changed
 source(s) (or of a change feed supplied by the caller).  The semi/anti joins
 shuffle only on the key; the changed-key set grows with the change, not with
-the data, and AQE broadcasts it at runtime only when it is measured small.
+the data, is written once, and AQE broadcasts it only when it is measured small.
 """
 
 from __future__ import annotations
@@ -20,44 +20,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.policies import src_col
+from ..session import materialize
+from ..sources.readers import with_ordinal
 from ..spec import MergeSpec, SpecError
 from .merge import merge
 
 
 def changed_keys(spec: MergeSpec, source: str, old: DataFrame | None = None, new: DataFrame | None = None,
-                 changes: DataFrame | None = None) -> DataFrame:
+                 changes: DataFrame | None = None, order_by=None) -> DataFrame:
     """Distinct destination keys touched by a change of ``source``.
 
     Either ``changes`` (rows inserted, deleted or updated, old and new images)
-    or both versions ``old`` and ``new`` of the source are given; in the latter
-    case the difference is ``old EXCEPT ALL new`` plus ``new EXCEPT ALL old``.
+    or both versions ``old`` and ``new`` of the source are given.  In the latter
+    case rows are counted by the columns that the merge reads (keys, mapped and
+    order columns): a row that one version holds more often than the other is a
+    change.  A column that only one version has makes every row a change.
     """
     kc = spec.key_columns()[source]
     if changes is None:
         if old is None or new is None:
             raise SpecError("changed_keys needs changes, or old and new")
-        cols = sorted(set(old.columns) & set(new.columns))
-        changes = old.select(*cols).exceptAll(new.select(*cols)).unionByName(
-            new.select(*cols).exceptAll(old.select(*cols)))
+        read = set(kc.values()) | {f.column for m in spec.mappings for f in m.fields if f.source == source}
+        read |= {d.name for d in spec.destination} - {m.destination for m in spec.mappings}
+        read |= {c for c in (order_by if isinstance(order_by, (list, tuple)) else [order_by]) if isinstance(c, str)}
+        both = sorted(read & set(old.columns) & set(new.columns))
+        alone = read & (set(old.columns) ^ set(new.columns))
+        side = [df.select(*[src_col(c) for c in both], F.lit(n).alias("_n")) for df, n in ((old, 1), (new, -1))]
+        changes = side[0].unionByName(side[1])
+        if not alone:
+            changes = changes.groupBy(*[src_col(c) for c in both]).agg(F.sum("_n").alias("_n")).filter("_n != 0")
     return changes.select(*[src_col(c).alias(k) for k, c in kc.items()]).distinct()
 
 
+def limit_to_keys(sources: TMapping[str, DataFrame], spec: MergeSpec, keys: DataFrame, order_by=None) -> dict[str, DataFrame]:
+    """Each keyed source's rows whose key is in ``keys`` (null keys included).
+
+    The row order is attached first, on the scan: after the join it would be another one.
+    ``keys`` should be written already, so that hot keys of a source can be split by AQE.
+    """
+    kc = spec.key_columns()
+    out = dict(sources)
+    for s in set(sources) & set(kc):
+        df = with_ordinal(sources[s], (order_by or {}).get(s))
+        out[s] = _join_keys(df, keys, kc[s], "left_semi")
+    return out
+
+
+def _join_keys(df: DataFrame, keys: DataFrame, columns: dict[str, str], how: str) -> DataFrame:
+    """Semi or anti join to ``keys``; ``columns`` names the key columns of ``df``; nulls equal nulls."""
+    right = keys.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(columns)])
+    same = [src_col(c).eqNullSafe(F.col(f"_key_{i}")) for i, c in enumerate(columns.values())]
+    return df.join(right, reduce(lambda a, b: a & b, same), how)
+
+
 def remerge_changed(prev: DataFrame, sources: TMapping[str, DataFrame], spec: MergeSpec, keys: DataFrame,
                     **merge_kw) -> DataFrame:
     """Replace the rows of ``prev`` whose key is in ``keys`` by a fresh merge of just those keys."""
     if spec.logic == "or":
         raise SpecError("incremental re-merge needs per-key independence; OR-key merges link across keys")
-    kn = list(spec.keys)
-    kc = spec.key_columns()
-    limited = {}
-    for s, df in sources.items():
-        if s in kc:
-            sel = keys.select(*[F.col(k).alias(c) for k, c in kc[s].items()])
-            limited[s] = df.join(sel, list(kc[s].values()), "left_semi")
-        else:
-            limited[s] = df
-    fresh = merge(limited, spec, **merge_kw)
-    kept = prev.join(keys, kn, "left_anti")
+    keys = materialize(keys, "changed")
+    fresh = merge(limit_to_keys(sources, spec, keys, merge_kw.get("order_by")), spec, **merge_kw)
+    kept = _join_keys(prev, keys, {k: k for k in spec.keys}, "left_anti")
     return kept.unionByName(fresh.select(*prev.columns))
 
 
@@ -65,7 +88,8 @@ def remerge(prev: DataFrame, old_sources: TMapping[str, DataFrame], new_sources:
             spec: MergeSpec, changed: list[str] | None = None, **merge_kw) -> DataFrame:
     """I1 end to end: find the changed keys of the ``changed`` sources and re-merge them."""
     changed = changed or [s for s in new_sources if new_sources[s] is not old_sources.get(s)]
-    ks = [changed_keys(spec, s, old_sources[s], new_sources[s]) for s in changed if s in spec.key_columns()]
+    order_by = merge_kw.get("order_by") or {}
+    ks = [changed_keys(spec, s, old_sources[s], new_sources[s], order_by=order_by.get(s)) for s in changed if s in spec.key_columns()]
     if not ks:
         return prev
     keys = reduce(lambda a, b: a.unionByName(b), ks).distinct()

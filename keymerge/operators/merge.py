@@ -79,16 +79,37 @@ def _passthrough_mappings(spec: MergeSpec, sources: TMapping[str, DataFrame], jo
     return out
 
 
+def key_text(c: Column, dtype: str) -> Column:
+    """A key as text that equal keys of any type share: 1, 1.0 and "1" are one key."""
+    if dtype in ("double", "float") or dtype.startswith("decimal"):
+        whole = c.try_cast("bigint")
+        return F.when(c == whole.cast(dtype), whole.cast("string")).otherwise(c.cast("string"))
+    return c.cast("string")
+
+
+def mixed_keys(sources: TMapping[str, DataFrame], keycols: TMapping[str, dict[str, str]]) -> set[str]:
+    """Keys that are text in one source and something else in another: they are compared as text.
+    (Spark would read the text as numbers and fail at the first that is none.)"""
+    kinds: dict[str, set[str]] = {}
+    for s, cols in keycols.items():
+        types = dict(sources[s].dtypes)
+        for k, c in cols.items():
+            kinds.setdefault(k, set()).add(types.get(c, "string"))
+    return {k for k, t in kinds.items() if len(t) > 1 and "string" in t}
+
+
 def prepare_source(df: DataFrame, source: str, keycols: dict[str, str], fields: list[SourceField],
-                   need_ord: bool, order_by=None, drop_null_keys: bool = True) -> DataFrame:
+                   need_ord: bool, order_by=None, drop_null_keys: bool = True, as_text: set[str] = frozenset()) -> DataFrame:
     """Project one source to ``keys (dest names) + [_ord] + qualified mapped columns``.
 
     Projection happens first so Catalyst prunes the scan to exactly these
     columns; the ordinal is attached on the scan, before any shuffle.
     """
-    cols: list[Column] = [src_col(c).alias(k) for k, c in keycols.items()]
+    types = dict(df.dtypes)
+    cols: list[Column] = [(key_text(src_col(c), types[c]) if k in as_text else src_col(c)).alias(k) for k, c in keycols.items()]
     if need_ord:
-        cols.append(ordinal_expr(order_by, df).alias(ORD))
+        # A source limited to some keys brings its order along, from before that join.
+        cols.append(F.col(ORD) if ORD in df.columns else ordinal_expr(order_by, df).alias(ORD))
     seen = set()
     for f in fields:
         if f.source == source and f.column not in seen:
@@ -103,6 +124,11 @@ def prepare_source(df: DataFrame, source: str, keycols: dict[str, str], fields:
     return df.select(*cols)
 
 
+def _links_rows(spec: MergeSpec) -> bool:
+    keys = spec.key_mappings()
+    return len(keys) > 1 or any(len({f.source for f in m.fields}) < len(m.fields) for m in keys)
+
+
 def merge(sources: TMapping[str, DataFrame], spec: MergeSpec, how: str = "inner", fanout: str = "rows",
           dedupe: bool = True, order_by: TMapping[str, object] | None = None, cast: bool = False,
           plan: str = "auto", keep_order: bool = False, ids: TMapping[str, str] | None = None,
@@ -131,15 +157,19 @@ def merge(sources: TMapping[str, DataFrame], spec: MergeSpec, how: str = "inner"
         unknown = sorted(set(given or {}) - set(sources))
         if unknown:
             raise SpecError(f"{opt} names unknown sources: {', '.join(unknown)}")
-    if spec.logic == "or":
+    # With one key, fed by one column of each source, "any key" and "all keys" are the same.
+    if spec.logic == "or" and _links_rows(spec):
         from .entities import or_key_merge
 
+        if (how, fanout, dedupe, plan, keep_order) != ("inner", "rows", True, "auto", False):
+            raise SpecError("an OR-key merge keeps every row and counts it once: how, fanout, dedupe, plan and keep_order do not apply")
         return or_key_merge(sources, spec, order_by=order_by, cast=cast, ids=ids, max_cluster_size=max_cluster_size)
     order_by = dict(order_by or {})
     joined = spec.joined_sources()
     keycols = spec.key_columns()
     keys = list(spec.keys)
     mappings = spec.value_mappings() + _passthrough_mappings(spec, sources, joined)
+    as_text = mixed_keys(sources, {s: keycols[s] for s in joined})
     sources, mappings = numeric_inputs(sources, mappings)
     fields = [f for m in mappings for f in m.fields]
     pols = [PolicyExpr(m, i) for i, m in enumerate(mappings)]
@@ -147,7 +177,7 @@ def merge(sources: TMapping[str, DataFrame], spec: MergeSpec, how: str = "inner"
     drop_nulls = len(joined) > 1
 
     if not dedupe:
-        out = _row_join(sources, joined, keycols, fields, order_by, how, drop_nulls, need_ord=False)
+        out = _row_join(sources, joined, keycols, fields, order_by, how, drop_nulls, need_ord=False, as_text=as_text)
         out = out.select(*keys, *[p.row_value() for p in pols])
         return _project(out, spec, keys, mappings, cast)
 
@@ -162,7 +192,7 @@ def merge(sources: TMapping[str, DataFrame], spec: MergeSpec, how: str = "inner"
         aggs = []
         for s in joined:
             prep = prepare_source(sources[s], s, keycols[s], [f for p in agg_pols for f in p.fields] if agg_pols else [],
-                                  s in ord_sources, order_by.get(s), drop_nulls)
+                                  s in ord_sources, order_by.get(s), drop_nulls, as_text)
             cols = [F.count(F.lit(1)).alias(n_col(s))]
             if keep_order:
                 cols.append(F.min(ORD).alias(ord_col(s)))
@@ -176,7 +206,7 @@ def merge(sources: TMapping[str, DataFrame], spec: MergeSpec, how: str = "inner"
         parts.append(j.select(*sel))
     if row_pols:
         rows = _row_join(sources, joined, keycols, [f for p in row_pols for f in p.fields], order_by, how, drop_nulls,
-                         need_ord=True)
+                         need_ord=True, as_text=as_text)
         rorder = F.struct(*[F.col(ord_col(s)) for s in joined])
         sel = [p.row_agg(rorder) for p in row_pols]
         if keep_order and not parts:
@@ -207,23 +237,25 @@ def _combine(aggs: list[DataFrame], keys: list[str], how: str) -> DataFrame:
     return u.groupBy(*keys).agg(*[F.max(c).alias(c) for c in cols])
 
 
+def _seen(joined: list[str], present: list[Column]) -> Column:
+    """First source that has the key, then the row order in that source (orders of sources may differ in type)."""
+    first = F.coalesce(*[F.when(p.isNotNull(), F.lit(i)) for i, p in enumerate(present)])
+    return F.struct(first.alias("s"), *[F.when(first == i, F.col(ord_col(s))).alias(f"o{i}") for i, s in enumerate(joined)])
+
+
 def _first_seen(joined: list[str]) -> Column:
-    return F.coalesce(*[F.when(F.col(n_col(s)).isNotNull(), F.struct(F.lit(i).alias("s"), F.col(ord_col(s)).alias("o")))
-                        for i, s in enumerate(joined)]) if len(joined) > 1 else \
-        F.struct(F.lit(0).alias("s"), F.col(ord_col(joined[0])).alias("o"))
+    return _seen(joined, [F.col(n_col(s)) for s in joined])
 
 
 def _first_seen_row(joined: list[str]) -> Column:
-    return F.coalesce(*[F.when(F.col(ord_col(s)).isNotNull(), F.struct(F.lit(i).alias("s"), F.col(ord_col(s)).alias("o")))
-                        for i, s in enumerate(joined)]) if len(joined) > 1 else \
-        F.struct(F.lit(0).alias("s"), F.col(ord_col(joined[0])).alias("o"))
+    return _seen(joined, [F.col(ord_col(s)) for s in joined])
 
 
-def _row_join(sources, joined, keycols, fields, order_by, how, drop_nulls, need_ord) -> DataFrame:
+def _row_join(sources, joined, keycols, fields, order_by, how, drop_nulls, need_ord, as_text=frozenset()) -> DataFrame:
     """Row-level join of the prepared sources (head semantics; fans out on many-to-many keys)."""
     preps = []
     for s in joined:
-        p = prepare_source(sources[s], s, keycols[s], fields, need_ord, order_by.get(s), drop_nulls)
+        p = prepare_source(sources[s], s, keycols[s], fields, need_ord, order_by.get(s), drop_nulls, as_text)
         if need_ord:
             p = p.withColumnRenamed(ORD, ord_col(s))
         preps.append(p)

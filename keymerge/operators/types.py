@@ -39,27 +39,42 @@ def _rungs(parse_dates: bool) -> list[tuple[str, str]]:
 
 
 def _rank(v: Column, parse_dates: bool) -> Column:
-    """Index of the first rung a value matches (len(rungs) = none); one short-circuit CASE per value."""
+    """Index of the first rung a value matches (len(rungs) = none); one short-circuit CASE per value.
+
+    Whole numbers beyond 64 bits match no rung: as doubles they would lose digits.
+    """
     rungs = _rungs(parse_dates)
-    e = F.when(v.rlike(rungs[0][1]), F.lit(0))
-    for i, (_, pat) in enumerate(rungs[1:], 1):
-        e = e.when(v.rlike(pat), F.lit(i))
+    e = None
+    for i, (name, pat) in enumerate(rungs):
+        rank = F.lit(i)
+        if name == "bigint":
+            rank = F.when(v.try_cast("bigint").isNotNull(), rank).otherwise(F.lit(len(rungs)))
+        e = F.when(v.rlike(pat), rank) if e is None else e.when(v.rlike(pat), rank)
     return e.otherwise(F.lit(len(rungs)))
 
 
+# Whole numbers up to here are exact as doubles.
+_EXACT = 2**53
+
+
 def _ranked(df: DataFrame, cols: list[str], parse_dates: bool, extra: list[str] = ()) -> DataFrame:
     """One projection: the rung rank of every value (evaluated once, then min/max'ed)."""
-    return df.select(*[F.when(src_col(c).isNotNull(), _rank(src_col(c), parse_dates)).alias(f"{i}__rank")
-                       for i, c in enumerate(cols)],
-                     *[src_col(c).isNotNull().alias(f"{i}__nn") for i, c in enumerate(cols)],
-                     *[src_col(c).isNotNull().alias(f"x{i}__nn") for i, c in enumerate(extra)])
+    ranked = df.select(*[F.when(src_col(c).isNotNull(), F.struct(_rank(src_col(c), parse_dates).alias("r"),
+                                                                src_col(c).try_cast("bigint").alias("v"))).alias(f"{i}__x")
+                         for i, c in enumerate(cols)],
+                       *[src_col(c).isNotNull().alias(f"x{i}__nn") for i, c in enumerate(extra)])
+    bigint = [n for n, _ in _rungs(parse_dates)].index("bigint")
+    return ranked.select(*[F.col(f"{i}__x.r").alias(f"{i}__rank") for i in range(len(cols))],
+                         *[F.col(f"{i}__x").isNotNull().alias(f"{i}__nn") for i in range(len(cols))],
+                         *[((F.col(f"{i}__x.r") == bigint) & ~F.col(f"{i}__x.v").between(-_EXACT, _EXACT)).alias(f"{i}__wide") for i in range(len(cols))],
+                         *[F.col(f"x{i}__nn") for i in range(len(extra))])
 
 
 def _rung_aggs(cols: list[str]) -> list[Column]:
     aggs = []
     for i, c in enumerate(cols):
         aggs += [F.count_if(F.col(f"{i}__nn")).alias(f"{c}__r__n"), F.min(f"{i}__rank").alias(f"{c}__r__lo"),
-                 F.max(f"{i}__rank").alias(f"{c}__r__hi")]
+                 F.max(f"{i}__rank").alias(f"{c}__r__hi"), F.coalesce(F.bool_or(f"{i}__wide"), F.lit(False)).alias(f"{c}__r__wide")]
     return aggs
 
 
@@ -68,18 +83,20 @@ def _rung_aggs(cols: list[str]) -> list[Column]:
 _NESTS = {"boolean": (), "bigint": (), "double": ("bigint",), "date": (), "timestamp": ()}
 
 
-def _winner_from(lo, hi, parse_dates: bool) -> str:
+def _winner_from(lo, hi, wide, parse_dates: bool) -> str:
     names = [n for n, _ in _rungs(parse_dates)]
     if lo is None or hi >= len(names):
         return "string"
     lo_name, hi_name = names[lo], names[hi]
+    if wide and hi_name == "double":
+        return "string"  # whole numbers that a double would change
     if lo_name == hi_name or lo_name in _NESTS.get(hi_name, ()):
         return hi_name
     return "string"
 
 
 def _winner(row: dict, c: str, parse_dates: bool) -> str:
-    return _winner_from(row.get(f"{c}__r__lo"), row.get(f"{c}__r__hi"), parse_dates)
+    return _winner_from(row.get(f"{c}__r__lo"), row.get(f"{c}__r__hi"), row.get(f"{c}__r__wide"), parse_dates)
 
 
 def infer_column_types(df: DataFrame, columns: list[str] | None = None, sample: int | None = None,
@@ -88,7 +105,9 @@ def infer_column_types(df: DataFrame, columns: list[str] | None = None, sample:
 
     ``sample`` limits inference to the first ``n`` rows (the limit reaches the
     scan); by default every row is inspected, so one bad token anywhere makes
-    the column a string.
+    the column a string.  Types are lossless: whole numbers beyond 64 bits stay
+    strings, and so do columns mixing fractions with whole numbers that a double
+    cannot hold.
     """
     cols = _string_cols(df, columns)
     if not cols:
@@ -99,22 +118,50 @@ def infer_column_types(df: DataFrame, columns: list[str] | None = None, sample:
 
 
 def cast_to(c: str, t: str) -> Column:
+    """The column as type ``t``; values that do not fit become null."""
     v = src_col(c)
     if t == "boolean":
-        return F.when(v.isNotNull(), F.lower(v) == F.lit("true")).alias(c)
+        low = F.lower(v)
+        return F.when(low == F.lit("true"), True).when(low == F.lit("false"), False).alias(c)
     if t == "string":
         return v.alias(c)
     return v.try_cast(t).alias(c)
 
 
 def apply_types(df: DataFrame, sample: int | None = None, schema_hint: dict[str, str] | None = None,
-                parse_dates: bool = False, columns: list[str] | None = None) -> DataFrame:
-    """T1 + T4: cast string columns to their inferred type; ``schema_hint`` wins."""
-    hint = dict(schema_hint or {})
+                parse_dates: bool = False, columns: list[str] | None = None, on_mismatch: str = "raise") -> DataFrame:
+    """Cast string columns to their inferred type; ``schema_hint`` wins.
+
+    Declared names (``Int64``, ``Boolean``, ...) and Spark types both serve as hints.
+    Types found on a ``sample`` and hinted types may not fit every value.  No value is
+    lost silently: with ``on_mismatch="raise"`` the job fails at the first one (checked while
+    casting, no further pass), with ``"flag"`` it becomes null and ``<column>__mismatch`` true.
+    """
+    from ..spec import TYPE_NAMES
+
+    if on_mismatch not in ("raise", "flag"):
+        raise ValueError("on_mismatch must be raise or flag")
+    hint = {c: TYPE_NAMES.get(t, t) for c, t in (schema_hint or {}).items()}
+    kinds = dict(df.dtypes)
     todo = [c for c in _string_cols(df, columns) if c not in hint]
     types = infer_column_types(df, todo, sample, parse_dates) if todo else {}
+    unsure = [c for c in kinds if kinds[c] == "string" and (c in hint or sample and c in types)]
     types.update(hint)
-    return df.select(*[cast_to(c, types[c]) if c in types else src_col(c) for c in df.columns])
+    out = []
+    for c in df.columns:
+        if c not in types:
+            out.append(src_col(c))
+            continue
+        typed = cast_to(c, types[c]) if kinds[c] == "string" else src_col(c).try_cast(types[c]).alias(c)
+        if c in unsure and types[c] != "string":
+            lost = src_col(c).isNotNull() & typed.isNull()
+            if on_mismatch == "raise":
+                said = F.concat(F.lit(f"column {c}: not a {types[c]}: "), src_col(c))
+                typed = F.when(lost, F.raise_error(said).cast(types[c])).otherwise(typed).alias(c)
+            else:
+                out.append(lost.alias(f"{c}__mismatch"))
+        out.append(typed)
+    return df.select(*out)
 
 
 def infer_types(df: DataFrame, columns: list[str] | None = None, sample: int | None = None,
@@ -140,7 +187,7 @@ def infer_types(df: DataFrame, columns: list[str] | None = None, sample: int | N
             for j, name in enumerate(names):
                 ok = (hi == F.lit(j)) & (lo == F.lit(j))
                 for inner in _NESTS.get(name, ()):
-                    ok = ok | ((hi == F.lit(j)) & (lo == F.lit(names.index(inner))))
+                    ok = ok | ((hi == F.lit(j)) & (lo == F.lit(names.index(inner))) & ~F.col(f"`{c}__r__wide`"))
                 dtype = F.when(ok, F.lit(name)).otherwise(dtype)
         else:
             dtype = F.lit(kinds[c])

@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 from typing import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,15 +31,22 @@ def _norm_format(fmt: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", infer: bool = True, sample: int | None = None,
-             schema_hint: dict[str, str] | None = None, parse_dates: bool = False) -> DataFrame:
-    """Header row, inferred types; empty fields are null."""
+             schema_hint: dict[str, str] | None = None, parse_dates: bool = False, multi_line: bool = False,
+             on_mismatch: str = "raise", **options) -> DataFrame:
+    """Header row, inferred types; empty fields are null.
+
+    Quoting is the standard one (a quote within quotes is doubled).  ``multi_line`` reads
+    fields with line breaks; a file then cannot be split, so it is off by default.
+    ``options`` are further options of Spark's CSV reader.  A missing path is Spark's error.
+    """
     from ..operators.types import apply_types
 
-    df = (spark.read.option("header", True).option("sep", sep).option("inferSchema", False)
-          .option("mode", "PERMISSIVE").csv(path))
+    opts = {"header": True, "sep": sep, "inferSchema": False, "mode": "PERMISSIVE", "quote": '"', "escape": '"',
+            "multiLine": multi_line, **options}
+    df = spark.read.options(**opts).csv(path)
     if not infer:
         return df
-    return apply_types(df, sample=sample, schema_hint=schema_hint, parse_dates=parse_dates)
+    return apply_types(df, sample=sample, schema_hint=schema_hint, parse_dates=parse_dates, on_mismatch=on_mismatch)
 
 
 def read_tsv(spark: SparkSession, path: str, **kw) -> DataFrame:
@@ -58,9 +66,13 @@ def load_source(spark: SparkSession, src: SourceDef | str, **kw) -> DataFrame:
     if fmt == "table":
         return spark.table(src.path)
     if fmt in ("csv", "tsv"):
-        if "://" not in src.path and not os.path.exists(src.path):
-            raise SpecError(msg("file_not_found", src.path) + f" (source {src.id})")
-        return read_csv(spark, src.path, sep="\t" if fmt == "tsv" else opts.pop("sep", ","), **kw)
+        sep = opts.pop("sep", "\t" if fmt == "tsv" else ",")
+        try:
+            return read_csv(spark, src.path, **{"sep": sep, **opts, **kw})
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                raise SpecError(msg("file_not_found", src.path) + f" (source {src.id})") from e
+            raise
     reader = spark.read.options(**opts)
     return getattr(reader, fmt)(src.path)
 
@@ -94,23 +106,35 @@ def with_ordinal(df: DataFrame, order_by: str | Column | list | None = None, nam
 
 
 def _has_file_metadata(df: DataFrame) -> bool:
-    try:
-        df.select(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
-        return True
-    except Exception:  # noqa: BLE001 - not a file scan (or metadata hidden by a join/aggregate)
+    """Whether rows still know their file: scans, with projections and filters above them only."""
+    if not hasattr(df, "_jdf"):  # Spark Connect
         return False
+    plan = df._jdf.queryExecution().analyzed()
+    while True:
+        kind = plan.nodeName()
+        if kind == "LogicalRelation":
+            return "HadoopFsRelation" in plan.relation().getClass().getName()
+        if kind not in ("Project", "Filter", "SubqueryAlias", "View") or plan.children().size() != 1:
+            return False
+        if kind == "Project" and "_metadata" not in plan.metadataOutput().mkString(","):
+            return False
+        plan = plan.children().head()
 
 
 def ordinal_expr(order_by, df: DataFrame | None = None) -> Column:
+    """The row order: ``order_by`` first, then the scan order.
+
+    It is a struct, so it is never null: rows whose order value is null come first instead
+    of being lost, and ties follow the scan order.
+    """
+    scan = F.monotonically_increasing_id()
+    if df is not None and _has_file_metadata(df):
+        scan = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+                        F.monotonically_increasing_id().alias("i"))
     if order_by is None:
-        if df is not None and _has_file_metadata(df):
-            return F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
-                            F.monotonically_increasing_id().alias("i"))
-        return F.monotonically_increasing_id()
-    if isinstance(order_by, (list, tuple)):
-        cols = [_src(c) if isinstance(c, str) else c for c in order_by]
-        return cols[0] if len(cols) == 1 else F.struct(*cols)
-    return _src(order_by) if isinstance(order_by, str) else order_by
+        return scan
+    cols = [_src(c) if isinstance(c, str) else c for c in (order_by if isinstance(order_by, (list, tuple)) else [order_by])]
+    return F.struct(*[c.alias(f"k{i}") for i, c in enumerate(cols)], scan.alias("scan"))
 
 
 def _src(name: str) -> Column:

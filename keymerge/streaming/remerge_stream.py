@@ -12,14 +12,16 @@ keyed aggregation.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Callable, Mapping as TMapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.incremental import changed_keys
+from ..operators.incremental import changed_keys, limit_to_keys
 from ..operators.merge import merge
+from ..session import materialize
 from ..spec import MergeSpec, SpecError
 
 DELETED = "_deleted"
@@ -29,17 +31,13 @@ EPOCH = "_epoch"
 def upsert_batch(batch: DataFrame, epoch_id: int, source_id: str, sources: TMapping[str, DataFrame],
                  spec: MergeSpec, out_path: str, **merge_kw) -> None:
     """Re-merge the keys touched by ``batch`` and write them (with tombstones) for ``epoch_id``."""
-    keys = changed_keys(spec, source_id, changes=batch)
-    kc = spec.key_columns()
-    limited = {}
-    for s, df in sources.items():
-        if s in kc:
-            sel = keys.select(*[F.col(k).alias(c) for k, c in kc[s].items()])
-            limited[s] = df.join(sel, list(kc[s].values()), "left_semi")
-        else:
-            limited[s] = df
-    fresh = merge(limited, spec, **merge_kw).withColumn("_present", F.lit(True))
-    rows = keys.join(fresh, list(spec.keys), "left").withColumn(DELETED, F.col("_present").isNull()).drop("_present")
+    keys = materialize(changed_keys(spec, source_id, changes=batch), "changed")
+    fresh = merge(limit_to_keys(sources, spec, keys, merge_kw.get("order_by")), spec, **merge_kw).withColumn("_present", F.lit(True))
+    mine = keys.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(spec.keys)])
+    same = reduce(lambda a, b: a & b, [F.col(f"_key_{i}").eqNullSafe(F.col(k)) for i, k in enumerate(spec.keys)])
+    rows = mine.join(fresh, same, "left").withColumn(DELETED, F.col("_present").isNull())
+    rows = rows.select(*[F.col(f"_key_{i}").alias(k) for i, k in enumerate(spec.keys)],
+                       *[c for c in fresh.columns if c not in (*spec.keys, "_present")], DELETED)
     rows.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/updates/{EPOCH}={epoch_id}")
 
 
@@ -72,5 +70,7 @@ def current_table(spark: SparkSession, base: DataFrame, out_path: str, spec: Mer
     cols = [c for c in base.columns if c not in keys]
     latest = upd.groupBy(*keys).agg(F.max_by(F.struct(*cols, DELETED), EPOCH).alias("_r"))
     latest = latest.select(*keys, "_r.*")
-    kept = base.join(latest.select(*keys), keys, "left_anti")
+    mine = latest.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)])
+    kept = base.join(mine, same, "left_anti")
     return kept.unionByName(latest.filter(~F.col(DELETED)).select(*base.columns))

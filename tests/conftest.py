@@ -14,7 +14,7 @@ SF01 = "/root/testdata/sf0.01"
 def spark():
     from pyspark.sql import SparkSession
 
-    b = (SparkSession.builder.master("local[*]").appName("keymerge-tests")
+    b = (SparkSession.builder.master("local[4]").appName("keymerge-tests")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false")
          .config("spark.sql.session.timeZone", "UTC")
