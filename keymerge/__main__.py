@@ -17,7 +17,7 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("-f", "--format", default="csv", help="csv, tsv, parquet, orc or json (default csv)")
     ap.add_argument("-p", "--preview", action="store_true", help="print the first rows instead of writing")
     ap.add_argument("-l", "--limit", type=int, default=50, help="rows to preview (default 50)")
-    ap.add_argument("--how", default="inner", choices=["inner", "left", "full"], help="join kind of the merge")
+    ap.add_argument("--how", default=None, choices=["inner", "left", "full"], help="join kind of the merge (default: the plan's, else inner)")
     ap.add_argument("--master", default=None, help="Spark master, e.g. local[8] (default: from the environment)")
     args = ap.parse_args(argv)
     if not args.preview and not args.output:
@@ -28,7 +28,7 @@ def main(argv: list[str] | None = None) -> int:
     from .sources import preview_text, write
 
     spark = get_session(args.master)
-    df = run_plan(spark, args.plan, how=args.how)
+    df = run_plan(spark, args.plan, **({"how": args.how} if args.how else {}))
     if args.preview:
         sys.stdout.write(preview_text(df, args.limit))
     else:

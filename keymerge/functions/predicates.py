@@ -176,10 +176,10 @@ def from_dict(d: dict) -> Pred:
     if kind in ("IsNull", "IsNotNull"):
         return (IsNull if kind == "IsNull" else IsNotNull)(body["column"] if isinstance(body, dict) else body)
     if kind in ("And", "Or"):
-        items = [from_dict(x) for x in body]
+        items = [from_dict(x) for x in ((body["left"], body["right"]) if isinstance(body, dict) else body)]
         return reduce(And if kind == "And" else Or, items)
     if kind == "Not":
-        return Not(from_dict(body))
+        return Not(from_dict(body.get("predicate", body)))
     if kind in ("Expr", "Sql"):
         return Expr(body)
     raise ValueError(f"Unknown predicate: {kind}")

@@ -68,20 +68,21 @@ def unresolved(sources: TMapping[str, DataFrame], spec: MergeSpec) -> DataFrame:
         for s in joined:
             nulls = keyed[s].filter(~not_null[s]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
             parts.append(_report(nulls, keys, s, F.lit(None), F.lit("null key")))
-    for m in spec.value_mappings():
-        for f in m.fields:
-            df = sources[f.source]
-            kind = dict(df.dtypes)[f.column]
-            base = df.select(*_key_select(spec, f.source), src_col(f.column).alias("_v"))
-            v = F.col("_v")
-            e = base.filter((v.isNull() | (v == F.lit(""))) if kind == "string" else v.isNull())
-            e = e.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-            parts.append(_report(e, keys, f.source, F.lit(f"{f.source}.{f.column}"), F.lit("empty field")))
+    # One scan per source: each row lists what is wrong with its mapped fields.
+    for s in {f.source: None for m in spec.value_mappings() for f in m.fields}:
+        kinds, found = dict(sources[s].dtypes), {}
+        for m, f in [(m, f) for m in spec.value_mappings() for f in m.fields if f.source == s]:
+            v, kind, name = src_col(f.column), kinds[f.column], f"{s}.{f.column}"
+            empty = (v.isNull() | (v == F.lit(""))) if kind == "string" else v.isNull()
+            found[name, "empty field", m.destination] = empty
             if m.policy.kind in _NUMERIC_POLICIES and kind not in _NUMERIC_TYPES and not kind.startswith("decimal"):
-                bad = base.filter(F.col("_v").isNotNull() & (F.col("_v").cast("string") != F.lit(""))
-                                  & F.col("_v").try_cast("double").isNull())
-                bad = bad.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-                parts.append(_report(bad, keys, f.source, F.lit(f"{f.source}.{f.column}"), F.lit("type mismatch")))
+                text = v.cast("string")
+                found[name, "type mismatch", m.destination] = text.isNotNull() & (text != F.lit("")) & text.try_cast("double").isNull()
+        wrong = [F.when(bad, F.struct(F.lit(name).alias("field"), F.lit(reason).alias("reason"), F.lit(dest).alias("dest")))
+                 for (name, reason, dest), bad in found.items()]
+        rows = sources[s].select(*_key_select(spec, s), F.explode(F.array_compact(F.array(*wrong))).alias("_w"))
+        rows = rows.groupBy(*keys, "_w").agg(F.count(F.lit(1)).alias("n_rows"))
+        parts.append(rows.select(F.lit(s).alias("source"), *keys, F.col("_w.field").alias("field"), F.col("_w.reason").alias("reason"), "n_rows"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -112,15 +113,20 @@ def lineage(sources: TMapping[str, DataFrame], spec: MergeSpec, merged: DataFram
         F.struct(F.lit(m.destination).alias("field"), F.col(m.destination).cast("string").alias("merged"))
         for m in vm])).alias("_m")).select(*keys, "_m.field", "_m.merged")
     parts = []
-    for m in vm:
-        for f in m.fields:
-            df = sources[f.source]
-            parts.append(df.select(*_key_select(spec, f.source), F.lit(m.destination).alias("field"),
-                                   F.lit(f.source).alias("source"), F.lit(f.column).alias("column"),
-                                   ordinal_expr(order_by.get(f.source), df).cast("string").alias("row_order"),
-                                   src_col(f.column).cast("string").alias("value")))
+    for s in {f.source: None for m in vm for f in m.fields}:  # one scan per source
+        df = sources[s]
+        values = F.array(*[F.struct(F.lit(m.destination).alias("field"), F.lit(f.column).alias("column"), src_col(f.column).cast("string").alias("value"))
+                           for m in vm for f in m.fields if f.source == s])
+        by = order_by.get(s)
+        order = ordinal_expr(by, df) if by is None or isinstance(by, (list, tuple)) else src_col(by) if isinstance(by, str) else by
+        rows = df.select(*_key_select(spec, s), order.cast("string").alias("row_order"), F.explode(values).alias("_v"))
+        parts.append(rows.select(*keys, "_v.field", F.lit(s).alias("source"), "_v.column", "row_order", "_v.value"))
     considered = reduce(lambda a, b: a.unionByName(b), parts)
-    return considered.join(long_merged, keys + ["field"])
+    # Null keys form a group where there is one source; they equal each other here.
+    right = long_merged.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], F.col("field").alias("_field"), "merged")
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)] + [F.col("field") == F.col("_field")]
+    out = considered.join(right, reduce(lambda a, b: a & b, same))
+    return out.select(*keys, "field", "source", "column", "row_order", "value", "merged")
 
 
 def coverage(sources: TMapping[str, DataFrame], spec: MergeSpec) -> DataFrame:

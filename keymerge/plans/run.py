@@ -40,8 +40,8 @@ def run_plan(spark: SparkSession, plan: dict | str, base_dir: str | None = None,
         with open(plan, encoding="utf-8") as fh:
             plan = json.load(fh)
     spec = MergeSpec.from_dict(plan)
-    defs = [SourceDef(s.id, s.path if ("://" in s.path or os.path.isabs(s.path) or not base_dir)
-                      else os.path.join(base_dir, s.path), s.format, s.options) for s in spec.sources]
+    defs = [s if s.data is not None or "://" in s.path or os.path.isabs(s.path) or not base_dir
+            else SourceDef(s.id, os.path.join(base_dir, s.path), s.format, s.options) for s in spec.sources]
     if not defs:
         raise SpecError(msg("no_sources"))
     text = _sql_text(plan)

@@ -20,6 +20,20 @@ def sql(sources: Mapping[str, DataFrame], text: str, spark: SparkSession | None
         if not sources:
             raise ValueError("sql() needs at least one source or an explicit session")
         spark = next(iter(sources.values())).sparkSession
-    for sid, df in sources.items():
-        df.createOrReplaceTempView(sid)
-    return spark.sql(text)
+    # Views are analysed with the query; afterwards the session's own ones are as before.
+    own = {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}
+    before = {sid: spark.table(_quoted(sid)) for sid in sources if sid.lower() in own}
+    try:
+        for sid, df in sources.items():
+            df.createOrReplaceTempView(_quoted(sid))
+        return spark.sql(text)
+    finally:
+        for sid in sources:
+            if sid in before:
+                before[sid].createOrReplaceTempView(_quoted(sid))
+            else:
+                spark.catalog.dropTempView(sid)
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"

@@ -57,7 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return cur
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        # Local runs only: a cluster always names a shared folder.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="keymerge-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d

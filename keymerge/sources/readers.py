@@ -15,6 +15,7 @@ from typing import Iterable
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..spec import SourceDef, SpecError, msg
 
@@ -65,6 +66,10 @@ def load_source(spark: SparkSession, src: SourceDef | str, **kw) -> DataFrame:
     opts = dict(src.options)
     if fmt == "table":
         return spark.table(src.path)
+    if src.data is not None:
+        if fmt not in ("csv", "tsv"):
+            raise SpecError(msg("unsupported_format", fmt))
+        return _read_text(spark, src.data, "\t" if fmt == "tsv" else ",", **kw)
     if fmt in ("csv", "tsv"):
         sep = opts.pop("sep", "\t" if fmt == "tsv" else ",")
         try:
@@ -77,6 +82,19 @@ def load_source(spark: SparkSession, src: SourceDef | str, **kw) -> DataFrame:
     return getattr(reader, fmt)(src.path)
 
 
+def _read_text(spark: SparkSession, text: str, sep: str, **kw) -> DataFrame:
+    """S3: CSV text that came with the plan (so it is small already) becomes rows."""
+    import csv
+    import io
+
+    from ..operators.types import apply_types
+
+    head, *rows = list(csv.reader(io.StringIO(text), delimiter=sep)) or [[]]
+    rows = [tuple((v or None) for v in (*r, *[""] * (len(head) - len(r)))[: len(head)]) for r in rows if r]
+    df = spark.createDataFrame(rows, T.StructType([T.StructField(h, T.StringType()) for h in head]))
+    return apply_types(df, **{k: v for k, v in kw.items() if k in ("sample", "schema_hint", "parse_dates", "on_mismatch")})
+
+
 def parse_source(text: str) -> SourceDef:
     """``id:path`` -> SourceDef with the format taken from the extension."""
     if ":" not in text:

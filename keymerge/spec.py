@@ -67,6 +67,23 @@ class SourceField:
     column: str
 
 
+_CUSTOM: dict[str, Callable[..., Any]] = {}
+
+
+def register_function(name: str, func: Callable[..., Any]) -> None:
+    """Give a custom merge function (field Columns -> aggregate Column) the name that plans use."""
+    _CUSTOM[name] = func
+
+
+def custom_function(name: str) -> Callable[..., Any]:
+    """A registered function, or Spark's aggregate function of that name."""
+    if name in _CUSTOM:
+        return _CUSTOM[name]
+    from pyspark.sql import functions as F
+
+    return lambda *cols: F.call_function(name, *cols)
+
+
 @dataclass(frozen=True)
 class Policy:
     kind: str = "firstMatch"
@@ -82,6 +99,8 @@ class Policy:
         object.__setattr__(self, "priority", tuple(self.priority))
         if canon == "custom" and self.func is None:
             raise SpecError("custom policy needs func")
+        if isinstance(self.func, str):
+            object.__setattr__(self, "func", custom_function(self.func))
 
 
 @dataclass(frozen=True)
@@ -117,6 +136,7 @@ class SourceDef:
     path: str
     format: str = "csv"
     options: tuple[tuple[str, str], ...] = ()
+    data: str | None = None  # the text itself, for a source that is held in the plan
 
 
 @dataclass
@@ -157,7 +177,7 @@ class MergeSpec:
             if isinstance(pol, str):
                 pol = {"type": pol}
             policy = Policy(pol.get("type", "firstMatch"), tuple(pol.get("priority", ()) or ()),
-                            pol.get("separator", pol.get("sep", ",")))
+                            pol.get("separator", pol.get("sep", ",")), pol.get("function", pol.get("func")))
             flds = tuple(SourceField(f["source_file_id"], f["column_name"]) for f in m.get("source_fields", []))
             mappings.append(Mapping(m["destination_field"], policy, flds))
         return MergeSpec(dest, keys, mappings, logic, sources)
@@ -202,8 +222,15 @@ class MergeSpec:
 
 
 def _source_from_dict(s: dict) -> SourceDef:
-    if len(s) == 1 and next(iter(s)) in ("File", "Url", "Blob"):
-        s = next(iter(s.values()))
+    kind = next(iter(s)) if len(s) == 1 and next(iter(s)) in ("File", "Url", "Blob") else ""
+    if kind:
+        s = s[kind]
+    data = s.get("data", s.get("bytes", s.get("content")))
+    if kind == "Blob" or data is not None:
+        if data is None:
+            raise SpecError(f"Blob source {s.get('id')} has no data")
+        text = data if isinstance(data, str) else bytes(data).decode("utf-8")
+        return SourceDef(s["id"], "", str(s.get("format", "csv")), data=text)
     loc = s.get("path") or s.get("url") or s.get("uri") or ""
     return SourceDef(s["id"], loc, str(s.get("format", "csv")))
 

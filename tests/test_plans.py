@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
+from keymerge.plans.catalog import QUERIES
 from keymerge.plans.explain import plan_report
 
 SF = "/root/testdata/sf0.001"
@@ -13,7 +14,7 @@ ARROW_ALLOWED = {"type_ranges"}
 BOUNDED_SINGLE = {"sql_topk", "preview_page", "type_ranges"}
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plan_rules(spark, name):
     df = E.queries()[name](spark, SF)
     df.write.format("noop").mode("overwrite").save()

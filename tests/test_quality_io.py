@@ -168,7 +168,7 @@ def test_run_plan_readme_example(spark):
                                          {"name": "customer_name", "data_type": "String"},
                                          {"name": "email", "data_type": "String"},
                                          {"name": "total_spent", "data_type": "Float64"}],
-                  "primary_keys": {"logic": "and", "keys": ["customer_id"]},
+                  "primary_keys": {"logic": "or", "keys": ["customer_id"]},
                   "mappings": [
                       {"destination_field": "customer_id", "policy": {"type": "firstMatch", "priority": ["customers"]},
                        "source_fields": [fp("a", "customers", "id"), fp("b", "orders", "customer_id")]},
