@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import merge
+from ..session import materialize
 from ..spec import MergeSpec, Policy
 from .registry import DEC, M, _orders_dec, _to_double, register, table
 
@@ -38,6 +40,12 @@ def merge_inner(spark, sf):
     return _to_double(out, "total_spent")
 
 
+def _urgent_orders(spark, sf):
+    """All orders; those that are not urgent carry a key that no customer has."""
+    return _orders_dec(spark, sf).withColumn(
+        "o_custkey", F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_custkey")).otherwise(-1 - F.col("o_orderkey")))
+
+
 @register("merge_left", """
 SELECT c.c_custkey AS c_custkey,
        arg_min(c.c_name, c.c_custkey) AS c_name,
@@ -45,12 +53,12 @@ SELECT c.c_custkey AS c_custkey,
        COUNT(o.o_orderkey) AS n_urgent,
        COUNT(*) AS n_rows
 FROM customer c
-LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') o ON c.c_custkey = o.o_custkey
+LEFT JOIN (SELECT * REPLACE (CASE WHEN o_orderpriority = '1-URGENT' THEN o_custkey ELSE -1 - o_orderkey END AS o_custkey) FROM orders) o ON c.c_custkey = o.o_custkey
 GROUP BY c.c_custkey
 """)
 def merge_left(spark, sf):
     """Every customer kept; customers without an urgent order sum to 0."""
-    urgent = _orders_dec(spark, sf).filter(F.col("o_orderpriority") == "1-URGENT")
+    urgent = _urgent_orders(spark, sf)
     spec = MergeSpec.build(["c_custkey"], [
         CUSTOMER_ORDERS_KEY,
         M("c_name", "firstMatch", ("customer", "c_name")),
@@ -68,14 +76,15 @@ SELECT COALESCE(c.c_custkey, o.o_custkey) AS c_custkey,
        CAST(COALESCE(SUM(CAST(o.o_totalprice AS DECIMAL(18,2))), 0) AS DOUBLE) AS urgent_total,
        COUNT(o.o_orderkey) AS n_urgent,
        COUNT(*) AS n_rows
-FROM (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') c
-FULL OUTER JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') o ON c.c_custkey = o.o_custkey
+FROM (SELECT * REPLACE (CASE WHEN c_mktsegment = 'BUILDING' THEN -1000000000000 - c_custkey ELSE c_custkey END AS c_custkey) FROM customer) c
+FULL OUTER JOIN (SELECT * REPLACE (CASE WHEN o_orderpriority = '1-URGENT' THEN o_custkey ELSE -1 - o_orderkey END AS o_custkey) FROM orders) o ON c.c_custkey = o.o_custkey
 GROUP BY COALESCE(c.c_custkey, o.o_custkey)
 """)
 def merge_full(spark, sf):
-    """Keys of either side; customers of one segment are left out so order-only keys exist."""
-    cust = table(spark, sf, "customer").filter(F.col("c_mktsegment") != "BUILDING")
-    urgent = _orders_dec(spark, sf).filter(F.col("o_orderpriority") == "1-URGENT")
+    """Keys of either side; customers of one segment have keys of their own, so order-only keys exist."""
+    cust = table(spark, sf, "customer").withColumn(
+        "c_custkey", F.when(F.col("c_mktsegment") == "BUILDING", -1000000000000 - F.col("c_custkey")).otherwise(F.col("c_custkey")))
+    urgent = _urgent_orders(spark, sf)
     spec = MergeSpec.build(["c_custkey"], [
         CUSTOMER_ORDERS_KEY,
         M("c_name", "firstMatch", ("customer", "c_name")),
@@ -375,14 +384,15 @@ def fixture_join(spark, sf):
 
 @register("merge_keep_order", """
 SELECT c.c_custkey AS c_custkey, arg_min(c.c_name, c.c_custkey) AS c_name,
-       CAST(COALESCE(SUM(CAST(o.o_totalprice AS DECIMAL(18,2))), 0) AS DOUBLE) AS urgent_total
+       CAST(COALESCE(SUM(CAST(o.o_totalprice AS DECIMAL(18,2))), 0) AS DOUBLE) AS urgent_total,
+       c.c_custkey AS place
 FROM customer c
-LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') o ON c.c_custkey = o.o_custkey
+LEFT JOIN (SELECT * REPLACE (CASE WHEN o_orderpriority = '1-URGENT' THEN o_custkey ELSE -1 - o_orderkey END AS o_custkey) FROM orders) o ON c.c_custkey = o.o_custkey
 GROUP BY c.c_custkey
 """)
 def merge_keep_order(spark, sf):
     """A1: one row per key in first-seen order (a range-partitioned sort at the output only)."""
-    urgent = _orders_dec(spark, sf).filter(F.col("o_orderpriority") == "1-URGENT")
+    urgent = _urgent_orders(spark, sf)
     spec = MergeSpec.build(["c_custkey"], [
         CUSTOMER_ORDERS_KEY,
         M("c_name", "firstMatch", ("customer", "c_name")),
@@ -390,4 +400,15 @@ def merge_keep_order(spark, sf):
     ])
     out = merge({"customer": table(spark, sf, "customer"), "orders": urgent}, spec, how="left", keep_order=True,
                 order_by={"customer": "c_custkey", "orders": "o_orderkey"})
-    return _to_double(out, "urgent_total")
+    return _placed(_to_double(out, "urgent_total"))
+
+
+def _placed(df):
+    """Rows with their place in the result's order, so that a comparison of rows sees the order."""
+    part = df.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i"))
+    part = materialize(part)
+    before = part.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # one row per partition
+    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = before.select("_p", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    inside = F.col("_i") - F.shiftleft(F.col("_p").cast("bigint"), 33)
+    return part.join(F.broadcast(before), "_p").withColumn("place", F.col("_before") + inside).drop("_p", "_i", "_before")

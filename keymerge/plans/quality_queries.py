@@ -8,15 +8,15 @@ from .. import merge
 from ..operators.incremental import remerge
 from ..operators.quality import coverage, lineage, unresolved
 from ..spec import MergeSpec
-from .merge_queries import CUSTOMER_ORDERS_KEY
+from .merge_queries import CUSTOMER_ORDERS_KEY, _urgent_orders
 from .registry import DEC, M, _orders_dec, _to_double, register, table
 from .type_queries import CONTACT
 
 
 @register("unresolved", """
-WITH c AS (SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN '' ELSE c_name END AS nm
-           FROM customer WHERE c_acctbal > 0),
-o AS (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')
+WITH c AS (SELECT CASE WHEN c_acctbal > 0 THEN c_custkey ELSE -1000000000000 - c_custkey END AS c_custkey,
+                  CASE WHEN c_mktsegment = 'BUILDING' THEN '' ELSE c_name END AS nm FROM customer),
+o AS (SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN o_custkey ELSE -1 - o_orderkey END AS o_custkey, o_orderkey FROM orders)
 SELECT 'customer' AS source, c_custkey, CAST(NULL AS VARCHAR) AS field, 'no match in orders' AS reason,
        COUNT(*) AS n_rows
 FROM c WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.o_custkey = c.c_custkey) GROUP BY c_custkey
@@ -30,9 +30,10 @@ SELECT 'orders', o_custkey, 'orders.o_orderkey', 'empty field', COUNT(*) FROM o
 """)
 def unresolved_q(spark, sf):
     """Q1/Q2: keys without a partner in either direction, and empty mapped fields."""
-    cust = (table(spark, sf, "customer").filter(F.col("c_acctbal") > 0)
+    own_key = F.when(F.col("c_acctbal") > 0, F.col("c_custkey")).otherwise(-1000000000000 - F.col("c_custkey"))
+    cust = (table(spark, sf, "customer").withColumn("c_custkey", own_key)
             .withColumn("nm", F.expr("CASE WHEN c_mktsegment = 'BUILDING' THEN '' ELSE c_name END")))
-    urgent = table(spark, sf, "orders").filter(F.col("o_orderpriority") == "1-URGENT")
+    urgent = _urgent_orders(spark, sf)
     spec = MergeSpec.build(["c_custkey"], [
         CUSTOMER_ORDERS_KEY,
         M("name", "firstMatch", ("customer", "nm")),

@@ -34,7 +34,7 @@ def write(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite", p
     if partition_by:
         w = w.partitionBy(*partition_by)
     if f in ("csv", "tsv"):
-        w.option("header", True).option("sep", "\t" if f == "tsv" else ",").option("escape", "\"").csv(path)
+        w.option("header", True).option("sep", "\t" if f == "tsv" else ",").option("escape", "\"").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     else:
         getattr(w, f)(path)
 

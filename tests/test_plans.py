@@ -10,8 +10,8 @@ SF = "/root/testdata/sf0.001"
 # type_ranges runs one Arrow-batched mapInPandas pass per range partition.
 ARROW_ALLOWED = {"type_ranges"}
 # Single-partition steps that are bounded by construction: a global ORDER BY ... LIMIT
-# (the feature) and T7's window over one row per range partition.
-BOUNDED_SINGLE = {"sql_topk", "preview_page", "type_ranges"}
+# (the feature), and windows over one row per partition (T7, places in a sorted result).
+BOUNDED_SINGLE = {"sql_topk", "preview_page", "type_ranges", "merge_keep_order"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -28,10 +28,21 @@ def test_plan_rules(spark, name):
 
 
 def test_filters_and_columns_reach_the_scan(spark):
-    """merge_left: the priority filter is pushed into the orders scan, which reads only 4 of 6 columns."""
-    from keymerge.plans.explain import plan_text
+    """A filtered source of a left merge: the filter is pushed into its scan, which reads only the columns in use."""
+    from pyspark.sql import functions as F
 
-    text = plan_text(E.queries()["merge_left"](spark, SF))
+    from keymerge import merge
+    from keymerge.plans.explain import plan_text
+    from keymerge.plans.registry import M, table
+    from keymerge.spec import MergeSpec
+
+    spec = MergeSpec.build(["k"], [
+        M("k", "firstMatch", ("customer", "c_custkey"), ("orders", "o_custkey")),
+        M("total", "sum", ("orders", "o_totalprice")),
+        M("name", "firstMatch", ("customer", "c_name")),
+    ])
+    urgent = table(spark, SF, "orders").filter(F.col("o_orderpriority") == "1-URGENT")
+    text = plan_text(merge({"customer": table(spark, SF, "customer"), "orders": urgent}, spec, how="left"))
     assert "EqualTo(o_orderpriority,1-URGENT)" in text
-    assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_totalprice:double,o_orderpriority:string>" in text
+    assert "ReadSchema: struct<o_custkey:bigint,o_totalprice:double,o_orderpriority:string>" in text
     assert "ReadSchema: struct<c_custkey:bigint,c_name:string>" in text
