@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Callable, Mapping as TMapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.policies import PolicyExpr, ord_col, qual, src_col
@@ -144,52 +144,65 @@ def _max_edits(length: Column, threshold: float) -> Column:
     return F.floor(length * F.lit(100.0 - threshold) / F.lit(100.0) + F.lit(1e-9)).cast("int")
 
 
+def _segment(la: str, k: str, i: str) -> tuple[str, str]:
+    """SQL for the start (from 0) and length of segment ``i`` when a value of ``la`` characters is cut into
+    ``k + 1`` segments, the longer ones last."""
+    short = f"(({k} + 1) - {la} % ({k} + 1))"
+    return f"({i} * ({la} div ({k} + 1)) + greatest(0, {i} - {short}))", f"({la} div ({k} + 1) + if({i} >= {short}, 1, 0))"
+
+
+def _candidates(shorter: DataFrame, longer: DataFrame, threshold: float) -> DataFrame:
+    """``(block, a, b)``: all pairs with ``a`` not longer than ``b`` that can be within ``b``'s edit budget ``k``.
+
+    ``a`` is cut into ``k + 1`` segments.  ``k`` edits leave one of them whole, so it stands
+    in ``b``; and where it may stand follows from its number and the difference in length.
+    So both sides are joined on (length of ``a``, ``k``, number and text of the segment).
+    """
+    edits = f"cast(floor({{}} * {100.0 - threshold}D / 100D + 1e-9D) as int)"
+    start, size = _segment("la", "k", "i")
+    a = shorter.select("block", F.col("value").alias("a"), F.length("value").alias("la"))
+    reach = f"cast(ceil(la * 100D / {threshold}D) as int) + 1"
+    a = a.select("*", F.explode(F.expr(f"array_distinct(transform(sequence(la, {reach}), n -> {edits.format('n')}))")).alias("k"))
+    a = a.select("*", F.explode(F.expr("sequence(0, k)")).alias("i"))
+    a = a.select("block", "a", "la", "k", "i", F.expr(f"substring(a, {start} + 1, {size})").alias("part"))
+    b = longer.select("block", F.col("value").alias("b"), F.length("value").alias("lb"))
+    b = b.select("*", F.expr(edits.format("lb")).alias("k"))
+    b = b.select("*", F.explode(F.expr("sequence(greatest(1, lb - k), lb)")).alias("la"))
+    b = b.select("*", F.explode(F.expr("sequence(0, k)")).alias("i"))
+    b = b.select("*", F.expr(start).alias("p"), F.expr(size).alias("n"))
+    first = "greatest(0, p - i, p + (lb - la) - (k - i))"
+    last = "least(lb - n, p + i, p + (lb - la) + (k - i))"
+    b = b.select("*", F.explode(F.expr(f"if({first} <= {last}, sequence({first}, {last}), array())")).alias("s"))
+    b = b.select("block", "b", "la", "k", "i", F.expr("substring(b, s + 1, n)").alias("part")).distinct()
+    return a.join(b, ["block", "la", "k", "i", "part"]).select("block", "a", "b").filter("a != b").distinct()
+
+
 def similar_values(left: DataFrame, right: DataFrame | None, threshold: float) -> DataFrame:
     """E2 core: pairs of distinct values ``(block, a, b, distance, similarity)``.
 
     ``left``/``right`` hold columns ``block`` and ``value``.  With
-    ``right=None`` the pairs are within ``left`` (``a < b``).  Candidates
-    share a token in their prefixes, where tokens are character occurrences
-    (``"e#2"`` = second ``e``) ordered by global rarity and the prefix length is
-    ``max_edits(len) + 1``; two values within the edit budget always share one
-    (their token multisets overlap in at least ``max_len - max_edits``), so the
-    filter is exact.  Candidates are verified with ``levenshtein``.
+    ``right=None`` the pairs are within ``left`` (``a < b``).  Candidates share a
+    segment at a place where it can stand (``_candidates``; exact for the
+    threshold) and are verified with ``levenshtein``.  Values without a block
+    are compared with nothing.
     """
-    self_join = right is None
-    lv = left.select("block", "value").filter(F.col("value").isNotNull() & (F.length("value") > 0)).distinct()
-    rv = lv if self_join else right.select("block", "value").filter(
-        F.col("value").isNotNull() & (F.length("value") > 0)).distinct()
-
-    def tokens(v: DataFrame) -> DataFrame:
-        chars = v.select("block", "value", F.posexplode(F.split("value", "")).alias("_p", "_c"))
-        w = Window.partitionBy("block", "value", "_c").orderBy("_p")
-        return chars.select("block", "value", F.concat("_c", F.lit("#"), F.row_number().over(w).cast("string")).alias("tok"))
-
-    lt = tokens(lv)
-    rt = lt if self_join else tokens(rv)
-    allt = lt if self_join else lt.unionByName(rt)
-    freq = allt.groupBy("tok").agg(F.count(F.lit(1)).alias("_f"))
-
-    def prefixes(t: DataFrame) -> DataFrame:
-        ranked = t.join(freq, "tok").withColumn(
-            "_r", F.row_number().over(Window.partitionBy("block", "value").orderBy("_f", "tok")))
-        keep = _max_edits(F.length("value"), threshold) + 1
-        return ranked.filter(F.col("_r") <= keep).select("block", "value", "tok")
-
-    lp = prefixes(lt)
-    rp = lp if self_join else prefixes(rt)
-    cand = (lp.alias("l").join(rp.alias("r"), ["block", "tok"])
-            .select("block", F.col("l.value").alias("a"), F.col("r.value").alias("b")))
-    if self_join:
-        cand = cand.filter(F.col("a") < F.col("b"))
-    cand = cand.distinct()
+    def values(df: DataFrame) -> DataFrame:
+        return df.select("block", "value").filter(F.col("block").isNotNull() & F.col("value").isNotNull() & (F.length("value") > 0)).distinct()
+
+    lv = values(left)
+    if right is None:
+        cand = _candidates(lv, lv, threshold).select("block", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    else:
+        rv = values(right)
+        same = lv.join(rv, ["block", "value"]).select("block", F.col("value").alias("a"), F.col("value").alias("b"))
+        cand = _candidates(lv, rv, threshold).unionByName(
+            _candidates(rv, lv, threshold).select("block", F.col("b").alias("a"), F.col("a").alias("b"))).distinct().unionByName(same)
     ml = F.greatest(F.length("a"), F.length("b"))
     dist = F.levenshtein("a", "b")
-    out = (cand.filter(F.abs(F.length("a") - F.length("b")) <= _max_edits(ml, threshold))
-           .withColumn("distance", dist)
-           .filter(F.col("distance") * F.lit(100.0) <= F.lit(100.0 - threshold) * ml)
-           .withColumn("similarity", F.lit(100.0) * (F.lit(1.0) - F.col("distance").cast("double") / ml.cast("double"))))
-    return out
+    return (cand.filter(F.abs(F.length("a") - F.length("b")) <= _max_edits(ml, threshold))
+            .withColumn("distance", dist)
+            .filter(F.col("distance") * F.lit(100.0) <= F.lit(100.0 - threshold) * ml)
+            .withColumn("similarity", F.lit(100.0) * (F.lit(1.0) - F.col("distance").cast("double") / ml.cast("double"))))
 
 
 # -------------------------------------------------------------------- nodes
@@ -280,7 +293,9 @@ def _fuzzy_keys(nodes: DataFrame, li: int, lk: Link) -> DataFrame:
     node = lambda b, v: F.concat_ws("\u0000", b, v)
     vedges = pairs.select(node(F.col("block"), F.col("a")).alias("src"), node(F.col("block"), F.col("b")).alias("dst"))
     groups = components(vedges)
-    keyed = nodes.withColumn("_vn", node(blk, F.col(f"_lk{li}")))
+    # A row without a block links with nothing.
+    keyed = nodes.withColumn(f"_lk{li}", F.when(blk.isNotNull(), F.col(f"_lk{li}")))
+    keyed = keyed.withColumn("_vn", node(blk, F.col(f"_lk{li}")))
     keyed = keyed.join(groups.select(F.col("node").alias("_vn"), F.col("component").alias("_vg")), "_vn", "left")
     return keyed.withColumn(f"_lk{li}", F.when(F.col(f"_lk{li}").isNotNull(), F.coalesce("_vg", "_vn"))) \
         .drop("_vn", "_vg")

@@ -26,7 +26,7 @@ def test_hot_key_merge(spark):
     assert hot["sx"] == sum(range(0, n, 3)) * n_b
     assert hot["fx"] == 0
     plan = plan_text(out)
-    assert "partial_sum" in plan or "AdaptiveSparkPlan" in plan
+    assert "partial_sum" in plan  # the hot key shrinks to one row per task before it is shuffled
 
 
 def test_hot_value_entity_resolution(spark):
