@@ -219,9 +219,10 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     st = semantic_type("value")
     # Five-digit integers are set aside: they count as postcodes (ZIP codes) in a column that
     # also holds real postcode shapes, else as integers.  Decided on the count table below.
-    zip5 = F.when((st == F.lit("integer")) & F.col("value").rlike(r"^[0-9]{5}$"), F.lit("_zip5")).otherwise(st)
-    typed = _long_values(df, cols).select("column", zip5.alias("semantic_type"))
-    raw = typed.groupBy("column", "semantic_type").agg(F.count(F.lit(1)).alias("n"))
+    # The ladder runs once per value: types and five-digit shapes are counted together first.
+    typed = _long_values(df, cols).select("column", st.alias("_t"), F.col("value").rlike(r"^[0-9]{5}$").alias("_five"))
+    zip5 = F.when((F.col("_t") == F.lit("integer")) & F.col("_five"), F.lit("_zip5")).otherwise(F.col("_t"))
+    raw = typed.groupBy("column", "_t", "_five").agg(F.count(F.lit(1)).alias("n")).select("column", zip5.alias("semantic_type"), "n")
     has_post = F.max(F.when(F.col("semantic_type") == F.lit("postcode"), F.lit(1)).otherwise(F.lit(0))).over(
         Window.partitionBy("column"))  # over the count table: at most columns x types rows
     counts = (raw.withColumn("_post", has_post)
