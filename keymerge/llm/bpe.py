@@ -243,7 +243,7 @@ class BytePairCoder:
             known.clear()
         first, *rest = text.split(" ")
         out = [self._encode_piece(first)] if first else []
-        if _touching(text):
+        if spaces_touch(text):
             return self._encode_piece(text)
         try:
             out += map(known.__getitem__, rest)
@@ -263,7 +263,7 @@ class BytePairCoder:
 
 
 #: A space beside white space, at an end of the text, or white space that only some definitions know.
-_touching = regex.compile(r" [\s\x1c-\x1f\x85]|[\s\x1c-\x1f\x85] |^ | $").search
+spaces_touch = regex.compile(r" [\s\x1c-\x1f\x85]|[\s\x1c-\x1f\x85] |^ | $").search
 
 _coders: dict[bytes, BytePairCoder] = {}
 

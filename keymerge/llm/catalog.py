@@ -65,8 +65,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` as token shards in a keyed order; the manifest of the shards."""
-    return materialise.write_training_order(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"),
-                                            materialise.training_folder(spark), key=2048)
+    return materialise.write_training_order(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                                            public_tokenizers.PATTERN, materialise.training_folder(spark), key=2048)
 
 
 @query

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, shared_scratch
 from .common import pick, prepare, stored
-from .tokens import read_vocabulary, tokenizer
+from .tokens import byte_tokenizer
 
 #: Tokens of a sequence, sequences of a shard (16 MB), and rounds of the network.
 LENGTH, PER_SHARD, ROUNDS = 2048, 4096, 6
@@ -73,14 +73,14 @@ class Permutation:
         return self._walk(slot, range(ROUNDS - 1, -1, -1))
 
 
-def _sequences(batches: Iterator[pa.RecordBatch], vocabulary: str, end: bytes, length: int) -> Iterator[list[tuple]]:
+def _sequences(batches: Iterator[pa.RecordBatch], vocabulary: tuple[bytes, str], end: bytes, length: int) -> Iterator[list[tuple]]:
     """Per batch the full sequences ``(ids, tokens, first doc, its start)``; at last the rest, if any."""
-    coder = tokenizer(vocabulary)
+    coder = byte_tokenizer(*vocabulary)
     held, doc, start = b"", None, 0  # ids not given out yet, and where they begin
     for b in batches:
         out = []
         for d, coded in zip(b.column(0).to_pylist(), coder.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
-            ids = np.frombuffer(coded, "<u4").astype("<u2").tobytes() + end
+            ids = coded + end
             begin = -len(held) // 2  # of this document, before the token next given out
             if not held:
                 doc, start, begin = d, 0, 0
@@ -96,8 +96,8 @@ def _sequences(batches: Iterator[pa.RecordBatch], vocabulary: str, end: bytes, l
         yield [(held, len(held) // 2, doc, start)]
 
 
-def write_training_order(docs: DataFrame, vocabulary_path: str, folder: str, key: int = 0, length: int = LENGTH, per_shard: int = PER_SHARD,
-                         end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_training_order(docs: DataFrame, ranks_path: str, pattern: str, folder: str, key: int = 0, length: int = LENGTH,
+                         per_shard: int = PER_SHARD, end_id: int = 50256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the shards into ``folder`` (which all executors share) and return the manifest:
     ``slot, shard, byte_offset, number, first_doc_id, first_start, length, ids_crc32``, one row per sequence.
 
@@ -114,8 +114,9 @@ def write_training_order(docs: DataFrame, vocabulary_path: str, folder: str, key
     """
     spark = docs.sparkSession
     prepare(spark)
-    text = read_vocabulary(vocabulary_path)
-    vocabulary, end = spark.sparkContext.broadcast(text), end_id.to_bytes(2, "little")
+    with open(ranks_path, "rb") as f:  # a vocabulary, of fixed size
+        vocabulary = spark.sparkContext.broadcast((f.read(), pattern))
+    end = end_id.to_bytes(2, "little")
     rows = pick(docs, doc_id=id_col, text=text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ from .quality_rules import repeat_words
 TRAIN_ROWS, SHARDS = 8192, 4
 #: Slots of the hashed features (a power of two).
 SLOT_BITS = 18
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 1e-5, 1e-4, 10
 #: Score from which a document counts as good.
 THRESHOLD = 0.7

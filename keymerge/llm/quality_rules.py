@@ -21,7 +21,7 @@ from .common import pick, prepare, small_side, stored, unclashed, with_columns
 
 SYMBOLS = "#*$%&|<>"
 #: Distinct words whose hashes a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Ratio -> how far above the upper quartile of its group it may lie at least.
 SLACK = {"symbol_ratio": 0.03, "dup_line_ratio": 0.5, "repeat_ratio": 0.5, "mark_ratio": 0.1, "upper_ratio": 0.5}
 #: Fence: upper quartile + SPREAD * (upper - lower quartile), or + SLACK if that is more.

@@ -5,15 +5,18 @@ from zlib import crc32
 import numpy as np
 import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from keymerge.llm import materialise, packing
+from keymerge.llm.bpe import read_ranks
 from keymerge.llm.catalog import QUERIES
 from keymerge.llm.tokens import read_vocabulary, tokenizer
 from tests.llm.conftest import SF
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 @pytest.fixture(scope="module")
@@ -23,6 +26,13 @@ def library():
     return t
 
 
+@pytest.fixture(scope="module")
+def byte_ids():
+    with open(RANKS[0], "rb") as f:
+        coder = tiktoken.Encoding("own", pat_str=RANKS[1], mergeable_ranks=read_ranks(f.read()), special_tokens={})
+    return lambda rows: [np.array([*coder.encode_ordinary(r.text or ""), 50256], "<u2") for r in rows]
+
+
 def all_ids(library, rows):
     texts = library.encode_batch([r.text or "" for r in rows], add_special_tokens=False)
     return [np.array([*e.ids, 1], "<u4") for e in texts]
@@ -107,35 +117,35 @@ def test_permutation():
     assert (a == b).mean() < 0.02 and abs(np.corrcoef(a, np.arange(1000))[0, 1]) < 0.1
 
 
-def test_training_order_round_trip(spark, documents, library):
+def test_training_order_round_trip(spark, documents, byte_ids):
     folder = materialise.training_folder(spark)
-    manifest = materialise.write_training_order(documents, PATH, folder, key=5, length=128, per_shard=100).orderBy("slot").collect()
+    manifest = materialise.write_training_order(documents, *RANKS, folder, key=5, length=128, per_shard=100).orderBy("slot").collect()
     n = len(manifest)
     assert [r.slot for r in manifest] == list(range(n))
     records = list(materialise.read_slots(folder, 0, n + 9, 128, 100))
     assert len(records) == n and len({r.shard for r in manifest}) == -(-n // 100)
     for r, record in zip(manifest, records, strict=True):
         assert (r.shard, r.byte_offset) == (r.slot // 100, r.slot % 100 * 256)
-        assert crc32(record[: r.length].tobytes()) == r.ids_crc32 and (record[r.length :] == 1).all()
+        assert crc32(record[: r.length].tobytes()) == r.ids_crc32 and (record[r.length :] == 50256).all()
     # Resumed anywhere, reading goes on with the same records.
     for r, record in zip(records[257:], materialise.read_slots(folder, 257, n, 128, 100), strict=False):
         assert np.array_equal(r, record)
     order = sorted(range(n), key=lambda k: manifest[k].number)
     stream = np.concatenate([records[k][: manifest[k].length] for k in order])
-    assert np.array_equal(stream, np.concatenate(all_ids(library, documents.collect())).astype("<u2"))
-    ids = dict(zip([r.doc_id for r in documents.collect()], all_ids(library, documents.collect()), strict=True))
+    assert np.array_equal(stream, np.concatenate(byte_ids(documents.collect())))
+    ids = dict(zip([r.doc_id for r in documents.collect()], byte_ids(documents.collect()), strict=True))
     for r, record in zip(manifest, records, strict=True):
         part = ids[r.first_doc_id][r.first_start : r.first_start + r.length]
         assert len(part) and np.array_equal(record[: len(part)], part)
 
 
-def test_training_order_query(spark, documents, library):
+def test_training_order_query(spark, documents, byte_ids):
     rows = QUERIES["op7_training_order"](spark, SF).collect()
-    total = sum(map(len, all_ids(library, documents.collect())))
+    total = sum(map(len, byte_ids(documents.collect())))
     assert sum(r.length for r in rows) == total and len(rows) == -(-total // 2048)
 
 
-def test_training_order_odd_tables(spark, odd, empty, library):
-    rows = materialise.write_training_order(odd.coalesce(1), PATH, materialise.training_folder(spark), length=64).collect()
-    assert sum(r.length for r in rows) == sum(map(len, all_ids(library, odd.collect())))
-    assert materialise.write_training_order(empty, PATH, materialise.training_folder(spark)).count() == 0
+def test_training_order_odd_tables(spark, odd, empty, byte_ids):
+    rows = materialise.write_training_order(odd.coalesce(1), *RANKS, materialise.training_folder(spark), length=64).collect()
+    assert sum(r.length for r in rows) == sum(map(len, byte_ids(odd.collect())))
+    assert materialise.write_training_order(empty, *RANKS, materialise.training_folder(spark)).count() == 0
