@@ -262,8 +262,17 @@ class BytePairCoder:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-#: A space beside white space, at an end of the text, or white space that only some definitions know.
-spaces_touch = regex.compile(r" [\s\x1c-\x1f\x85]|[\s\x1c-\x1f\x85] |^ | $").search
+_touching = regex.compile(r" [\s\x1c-\x1f\x85]|[\s\x1c-\x1f\x85] ").search
+#: White space other than the space and the line break, by any definition.
+_RARE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def spaces_touch(text: str) -> bool:
+    """Whether a space stands beside white space or at an end of the text."""
+    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
+        return True
+    return any(c in text for c in _RARE) and _touching(text) is not None
+
 
 _coders: dict[bytes, BytePairCoder] = {}
 

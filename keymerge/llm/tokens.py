@@ -1,8 +1,8 @@
-"""Ids of whole texts by a ``tokenizers`` vocabulary, coded word by word.
+"""Ids of whole texts by a library's vocabulary, coded word by word.
 
-The vocabulary drops white space and never joins characters across it, so the
-ids of a text are those of its words, one after another.  A worker keeps the
-ids of words it has met and calls the library for new ones only.
+The ids of a text are those of its words, one after another, if no token spans
+two of them.  A worker keeps the ids of words it has met and calls the library
+for new ones only.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from itertools import islice
 
 import numpy as np
 
-CACHE_WORDS = 1_000_000
+from .bpe import read_ranks, spaces_touch
+
+CACHE_WORDS = 600_000
 #: Longer words are coded each time, so that the kept ones stay small.
 LONGEST_KEPT = 64
 #: Characters of texts taken together, and new words coded by one call.
@@ -24,6 +26,8 @@ MARK = "|"
 
 
 class WordTokenizer:
+    """A ``tokenizers`` vocabulary that drops white space and never joins characters across it."""
+
     def __init__(self, vocabulary: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -47,14 +51,8 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        at = 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= TOGETHER):
-                size += len(texts[end])
-                end += 1
-            yield from self._encode([t.replace("\n", " ").split(" ") for t in texts[at:end]])
-            at = end
+        for part in _together(texts):
+            yield from self._encode([t.replace("\n", " ").split(" ") for t in part])
 
     def _encode(self, texts: list[list[str]]) -> Iterator[bytes]:
         known = self.known
@@ -76,6 +74,75 @@ class WordTokenizer:
             del known[w]
 
 
+class ByteTokenizer:
+    """A rank file read by ``tiktoken``; a piece is a word with the space before it."""
+
+    def __init__(self, ranks: bytes, pattern: str):
+        import tiktoken
+
+        self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks), special_tokens={})
+        self.known: dict[str, bytes] = {}
+        self.line = self.library.encode_ordinary("\n")
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.library.encode_ordinary(text), "<u2").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Code words, many in a call: a line break between two words is a token by itself."""
+        ids = np.array(self.library.encode_ordinary("\n".join([" " + w for w in words])), "<u2")
+        cut = (2 * np.flatnonzero(ids == self.line[0])).tolist()
+        if len(self.line) != 1 or len(cut) != len(words) - 1:
+            self.known.update((w, self._ids(" " + w)) for w in words)
+            return
+        raw = ids.tobytes()
+        self.known.update((w, raw[start:end]) for w, start, end in zip(words, [0, *(c + 2 for c in cut)], [*cut, len(raw)], strict=True))
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 16-bit integers."""
+        for part in _together(texts):
+            split = [None if spaces_touch(t) else t.split(" ") for t in part]
+            yield from self._encode(part, split)
+
+    def _encode(self, texts: list[str], split: list[list[str] | None]) -> Iterator[bytes]:
+        known = self.known
+        if len(known) > CACHE_WORDS:  # the older half goes
+            for w in list(islice(known, len(known) // 2)):
+                del known[w]
+        new = set().union(*(words[1:] for words in split if words)).difference(known)
+        plain = [w for w in new if len(w.split()) == 1]
+        for k in range(0, len(plain), CALL):
+            self._learn(plain[k : k + CALL])
+        known.update((w, self._ids(" " + w)) for w in new.difference(plain))
+        for text, words in zip(texts, split, strict=True):
+            yield self._ids(text) if words is None else self._ids(words[0]) + b"".join(map(known.__getitem__, words[1:]))
+        for w in new:
+            if len(w) > LONGEST_KEPT:
+                del known[w]
+
+
+def _together(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in parts of at most ``TOGETHER`` characters (or one longer text)."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) > TOGETHER:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
+_byte_tokenizers: dict[bytes, ByteTokenizer] = {}
+
+
+def byte_tokenizer(ranks: bytes, pattern: str) -> ByteTokenizer:
+    key = sha256(ranks + pattern.encode()).digest()
+    if key not in _byte_tokenizers:
+        _byte_tokenizers[key] = ByteTokenizer(ranks, pattern)
+    return _byte_tokenizers[key]
+
+
 _tokenizers: dict[bytes, WordTokenizer] = {}
 
 

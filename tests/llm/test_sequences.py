@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from keymerge.llm import materialise, packing
 from keymerge.llm.bpe import read_ranks
 from keymerge.llm.catalog import QUERIES
-from keymerge.llm.tokens import read_vocabulary, tokenizer
+from keymerge.llm.tokens import byte_tokenizer, read_vocabulary, tokenizer
 from tests.llm.conftest import SF
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -46,6 +46,15 @@ def test_words_one_by_one_equal_whole_texts(library):
     assert got == [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_pieces_equal_whole_texts(spark, documents):
+    with open(RANKS[0], "rb") as f:
+        coder = byte_tokenizer(f.read(), RANKS[1])
+    rng = random.Random(7)
+    texts = ["", " ", "  a  b ", "\n\n x", " lead", "trail ", "a\nb c\n", "x\u0085 y", "x" * 300 + " y"] + [r.text for r in documents.collect()]
+    texts += ["".join(rng.choice("ab '\n\t.19\u00e9\u3000\x1c\x85\u65e5st") for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    assert list(coder.encode(texts)) == [np.array(coder.library.encode_ordinary(t), "<u2").tobytes() for t in texts]
+
+
 def check_pieces(pieces, ids):
     """Every id in one piece, no sequence too long, no gap in a sequence; returns the padding's share."""
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
