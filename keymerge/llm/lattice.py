@@ -153,15 +153,20 @@ def _same_cell(pairs: tuple[np.ndarray, np.ndarray], cells: np.ndarray, cell: in
     return lowest == cell
 
 
-def _compare_cell(cell: int, x: np.ndarray, own: np.ndarray, block: np.ndarray, copies: np.ndarray, cells: np.ndarray,
-                  least: float, links: np.ndarray) -> list[tuple[int, int]]:
-    """Adds each member's links found in this cell to ``links``; returns a spanning forest of them."""
+def _near(x: np.ndarray, own: np.ndarray, block: np.ndarray, between: bool, least: float) -> np.ndarray:
+    """The pairs that this task compares: of two blocks only those between them, as tasks of one block hold the others."""
     near = x @ x.T >= least
     near &= own[:, None] | own
-    if block.min() != block.max():
+    if between:
         near &= block[:, None] != block
+    np.fill_diagonal(near, False)
+    return near
+
+
+def _compare_cell(cell: int, near: np.ndarray, copies: np.ndarray, cells: np.ndarray, links: np.ndarray) -> list[tuple[int, int]]:
+    """Adds each member's links found in this cell to ``links``; returns a spanning forest of them."""
     i, j = np.nonzero(np.triu(near, 1))
-    up, forest = list(range(len(x))), []
+    up, forest = list(range(len(near))), []
 
     def find(a: int) -> int:
         while up[a] != a:
@@ -231,18 +236,18 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
         g = group.sort_by([("cell", "ascending"), ("node", "ascending")])
         node, cell = g.column("node").to_pylist(), g.column("cell").to_numpy()
         raw, copies, block, own = g.column("vector").to_pylist(), g.column("copies").to_numpy(), g.column("block").to_numpy(), g.column("own").to_numpy()
+        between = g.column("i")[0].as_py() != g.column("j")[0].as_py()
         links, a, b = np.zeros(len(node), np.int64), [], []
         starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])).tolist() + [len(node)]
         for s, e in zip(starts, starts[1:], strict=False):
             d = len(raw[s]) // 8
             x = _units(raw[s:e])
-            near = x @ x.T >= least
-            np.fill_diagonal(near, False)
+            near = _near(x, own[s:e], block[s:e], between, least)
             some = np.flatnonzero(near.any(axis=1))  # the cells of the others are not needed
             if not len(some):
                 continue
             k = s + some
-            for p, q in _compare_part(int(cell[s]), d, x[some], own[k], block[k], copies[k], plans.value[d], least, links, k):
+            for p, q in _compare_part(int(cell[s]), d, x[some], near[np.ix_(some, some)], copies[k], plans.value[d], links, k):
                 a.append(node[p])
                 b.append(node[q])
         hit = np.flatnonzero(links)
@@ -261,9 +266,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
             .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull())))
 
 
-def _compare_part(cell: int, d: int, x: np.ndarray, own: np.ndarray, block: np.ndarray, copies: np.ndarray, tables: Tables,
-                  least: float, links: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
+def _compare_part(cell: int, d: int, x: np.ndarray, near: np.ndarray, copies: np.ndarray, tables: Tables,
+                  links: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
     part = np.zeros(len(at), np.int64)
-    forest = _compare_cell(cell, x, own, block, copies, tables.cells(x) ^ d, least, part)
+    forest = _compare_cell(cell, near, copies, tables.cells(x) ^ d, part)
     np.add.at(links, at, part)
     return [(int(at[p]), int(at[q])) for p, q in forest]

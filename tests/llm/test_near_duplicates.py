@@ -143,6 +143,23 @@ def test_recall_at_the_threshold(spark):
     assert all(got[10_000 + i].n_links == 1499 and got[10_000 + i].component_id == 10_000 for i in range(1500))
 
 
+def test_one_near_pair_in_a_large_cell(spark, monkeypatch):
+    """Cells of several blocks whose only near pair lies within one of them: it counts once."""
+    monkeypatch.setattr(lattice, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    rows = []
+    for _ in range(16):
+        base = rng.normal(size=64)
+        x = base / np.linalg.norm(base) + 0.045 * rng.normal(size=(60, 64))
+        rows += [*x, x[0] + 0.002 * rng.normal(size=64)]
+    u = np.array(rows) / np.linalg.norm(rows, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.95).sum(axis=1) - 1
+    assert 32 <= near.sum() < 64
+    got = {r.vec_id: r.n_links for r in lattice.near_vectors(spark.createDataFrame(
+        [(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")).collect()}
+    assert [got[i] for i in range(len(rows))] == near.tolist()
+
+
 def test_nearest_lattice_point():
     rng = np.random.default_rng(5)
     y = rng.normal(size=(200, 8)) * 2
