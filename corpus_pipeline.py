@@ -28,16 +28,20 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8).
 
-    The document with the smallest id stays; of repeated rows of an id, one.  Rows without
-    an id name no document that could be dropped, and stay.
+    The document with the smallest id stays; of repeated rows of an id and text, one.  An id may
+    come with several texts: only those that are copies go.  Rows without an id name no document
+    that could be dropped, and stay.
     """
-    found = stored(minhash.near_duplicates(docs).select("doc_id", "kept"), "verdicts")
-    dropped = small_side(stored(found.filter("not kept and doc_id is not null").select("doc_id").distinct(), "dropped"))
-    left = docs.join(dropped, "doc_id", "left_anti")
-    again = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    found = stored(minhash.copies(docs), "verdicts")
+    docs, restore = unclashed(docs, "doc_id", "text")
+    key = ["doc_id", "_text_hash"]
+    verdict = found.withColumnRenamed("text_hash", "_text_hash")
+    dropped = small_side(stored(verdict.filter("not kept").select(*key), "dropped"))
+    left = docs.withColumn("_text_hash", F.xxhash64("text")).join(dropped, key, "left_anti")
+    again = small_side(stored(verdict.filter("kept and rows > 1").select(*key), "again"))
     if again.isEmpty():
-        return left
-    return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null"))
+        return restore(left)
+    return restore(left.join(again, key, "left_semi").dropDuplicates(key).unionByName(left.join(again, key, "left_anti")))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -116,15 +116,15 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
                 rows.append((None, None, None))
         yield pa.RecordBatch.from_arrays(
             [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([r[0] for r in rows], pa.binary()),
-             pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.binary())],
-            ["doc_id", "n_shingles", "node", "keys", "prints"])
+             pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.binary()), b.column(2)],
+            ["doc_id", "n_shingles", "node", "keys", "prints", "text_hash"])
 
 
 def sign(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``doc_id, n_shingles, node`` (digest of the set), ``keys`` (of its bands), ``prints`` (16 bits a slot)."""
+    """Per row: ``doc_id, n_shingles, node`` (digest of the set), ``keys`` (of its bands), ``prints`` (16 bits a slot), ``text_hash``."""
     prepare(docs.sparkSession)
-    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(
-        lambda it: _signed(it, width), "doc_id long, n_shingles long, node binary, keys array<long>, prints binary")
+    return pick(docs, doc_id=id_col, text=text_col).withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+        lambda it: _signed(it, width), "doc_id long, n_shingles long, node binary, keys array<long>, prints binary, text_hash long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -304,13 +304,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
       kept only if there is none.
     * An empty table gives no rows; other columns are ignored.
     """
-    docs = pick(docs, doc_id=id_col, text=text_col)
-    least = percent / 100 - MARGIN
-    rows = stored(sign(docs, width), "signed")
-    named = rows.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
-    classes = stored(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("prints").alias("prints")), "classes")
-    links = stored(_confirmed(docs, classes, _likely(classes, least), width, percent, least), "links")
-    group = stored(components(links, "a", "b"), "groups")
+    rows, classes, group = _grouped(pick(docs, doc_id=id_col, text=text_col), width, percent)
     least_id = stored(group.join(classes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("first")), "firsts")
     grouped = group.join(least_id, "component").select("node", "first")
     label = stored(classes.select("node", "doc_id").join(grouped, "node", "left").select("node", F.coalesce("first", "doc_id").alias("component")), "labels")
@@ -318,3 +312,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     return (rows.select("doc_id", "n_shingles", "node").join(label, "node", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", alone).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())))
+
+
+def _grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signed rows, their classes, and ``(node, component)`` of the classes that have links."""
+    least = percent / 100 - MARGIN
+    rows = stored(sign(docs, width), "signed")
+    named = rows.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
+    classes = stored(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("prints").alias("prints")), "classes")
+    links = stored(_confirmed(docs, classes, _likely(classes, least), width, percent, least), "links")
+    return rows, classes, stored(components(links, "a", "b"), "groups")
+
+
+def copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, text_hash, rows, kept`` for every id and text (``xxhash64``); rows without an id are left out.
+
+    One text of each group of near duplicates is kept: of those of the smallest id the one with the
+    lowest digest, then hash.  An id may come with several texts: each has its own verdict.  Texts without
+    a shingle are kept.
+    """
+    rows, _, group = _grouped(pick(docs, doc_id="doc_id", text="text"), width, percent)
+    texts = stored(rows.filter("doc_id is not null").groupBy("doc_id", "text_hash").agg(F.first("node").alias("node"), F.count("*").alias("rows"))
+                   .join(group, "node", "left").withColumn("component", F.coalesce("component", "node")), "texts")
+    one = F.min(F.struct("doc_id", "node", "text_hash"))
+    first = stored(texts.filter("node is not null").groupBy("component").agg(one.alias("one")).select("one.doc_id", "one.text_hash", F.lit(True).alias("first")), "kept")
+    return (texts.join(first, ["doc_id", "text_hash"], "left")
+            .select("doc_id", "text_hash", "rows", (F.col("node").isNull() | F.coalesce("first", F.lit(False))).alias("kept")))

@@ -82,3 +82,18 @@ def test_repeated_rows_leave_one(spark):
     docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     left = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
     assert sorted((r.doc_id or 0) for r in left) == [0, 1, 2]
+
+
+def test_several_texts_of_an_id(spark):
+    """Only the copies go: the other texts of their ids stay, also those of the id that is kept."""
+    copy = " ".join(f"word{i}" for i in range(60))
+    near = copy + " more"
+    others = {i: " ".join(f"t{i}x{k}" for k in range(30)) for i in range(1, 5)}
+    rows = [(1, copy), (1, near), (2, copy), (3, near), (3, near)] + list(others.items()) + [(4, others[4]), (1, " "), (1, " "), (1, None), (None, copy)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    stay = [(i, t) for i, t in left if t in others.values()]
+    assert sorted(stay) == sorted(others.items())
+    rest = [x for x in left if x not in stay]
+    assert len(rest) == 4 and {(1, " "), (1, None), (None, copy)} < set(rest)
+    assert sum(x in ((1, copy), (1, near)) for x in rest) == 1
