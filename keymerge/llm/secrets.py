@@ -37,11 +37,17 @@ WORDS = ("about after again all also and any are because been but can con contra
 HARMLESS = "commit|sha-?1|sha-?256|md5|hash|checksum|digest|uuid|guid|version|revision|build|order|invoice|isbn|phone|card|serial|example|sample|dummy"
 
 _RUN = r"[A-Za-z0-9+/_-]"
-_ASSIGNED = rf"(?i:(?:{CUES})[\"']?[ \t]{{0,2}}[:=][ \t]{{0,2}}[\"']?)[^\s\"',;]{{6,}}+"
+# A cue and ':', '=', ':=', '=>', '==' or the like; a quoted value runs up to its closing quote (possessive: Java
+# repeats such groups without recursion), another one, or one whose quote is not closed on its line, to a blank, ',' or ';'.
+_ASSIGN = rf"(?i:(?:{CUES})[\"']?[ \t]*+(?::=?+|={{1,3}}+>?+)[ \t]*+)"
+_ASSIGNED = (rf"{_ASSIGN}(?:\"(?:[^\"\\\r\n]|\\[^\r\n]){{6,}}+(?=\")|'(?:[^'\\\r\n]|\\[^\r\n]){{6,}}+(?=')"
+             rf"|[\"']?[^\s\"',;]{{6,}}+)")
 _HEADER = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
 _MIXED = rf"(?<!{_RUN})(?=[A-Za-z+/_-]*+[0-9]){_RUN}{{12,}}+=*+"
 _CAPITALS = rf"(?<!{_RUN})[A-Z]{{16,}}+(?!{_RUN})"
-_CANDIDATE = f"{_ASSIGNED}|{_HEADER}|{_MIXED}|{_CAPITALS}"
+# Letters of both cases, more than one word with a first capital.
+_LETTERS = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z][a-z]*+[A-Z])(?=[A-Z]*+[a-z])[A-Za-z]{16,}+(?![A-Za-z0-9+/_-])"
+_CANDIDATE = f"{_ASSIGNED}|{_HEADER}|{_MIXED}|{_CAPITALS}|{_LETTERS}"
 
 FEATURES = ("length", "digits", "capitals", "marks", "distinct", "changes", "vowel_changes", "longest_same", "coverage",
             "path_test", "path_code", "cue", "assigned", "quoted", "harmless", "at_sign", "dotted")
@@ -61,7 +67,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     starts = F.aggregate(steps, zero, lambda acc, x: F.struct(
         (acc["at"] + x["gap"] + x["len"]).alias("at"), F.array_append(acc["starts"], acc["at"] + x["gap"]).alias("starts")))["starts"]
     d = d.withColumn("m", F.explode(F.arrays_zip(starts.alias("start"), F.col("found").alias("match"))))
-    value = F.regexp_extract("m.match", rf"^(?i:(?:{CUES})[\"']?[ \t]{{0,2}}[:=][ \t]{{0,2}}[\"']?)(.*)$", 1)
+    value = F.regexp_extract("m.match", rf"(?s)^{_ASSIGN}[\"']?(.*)$", 1)
     d = d.withColumn("assigned", value != "").withColumn("candidate", F.when(F.col("assigned"), value).otherwise(F.col("m.match")))
     end = F.col("m.start") + F.length("m.match")
     start = end - F.length("candidate")
@@ -109,8 +115,10 @@ def describe(found: DataFrame) -> DataFrame:
 def label_by_rule(found: DataFrame) -> DataFrame:
     """Labels (1.0 secret, 0.0 not) for the findings beyond doubt; the others are left out."""
     c = F.col("candidate")
-    strong = c.rlike(f"^(?:{FORMATS})$") | (F.col("assigned") & c.rlike("[0-9]") & c.rlike("[A-Za-z]") & (F.length(c) >= 8))
-    harmless = ~F.col("assigned") & (c.rlike("^[0-9+/_=-]+$") | ~c.rlike("[0-9]") | F.col("after").startswith("@") | F.col("before").rlike("(?i)https?://\\S*$"))
+    strong = c.rlike(f"^(?:{FORMATS})$") | (F.col("assigned") & c.rlike("[0-9]") & c.rlike("[A-Za-z]") & (F.length(c) >= 8) & ~c.rlike("\\s"))
+    # Letters of both cases alone may be a key: only words joined by capitals are harmless beyond doubt.
+    words = c.rlike("^(?:[A-Z]?[a-z]{2,})+$") | ~(c.rlike("[a-z]") & c.rlike("[A-Z]"))
+    harmless = ~F.col("assigned") & (c.rlike("^[0-9+/_=-]+$") | (~c.rlike("[0-9]") & words) | F.col("after").startswith("@") | F.col("before").rlike("(?i)https?://\\S*$"))
     return found.withColumn("label", F.when(strong, 1.0).when(harmless, 0.0)).filter(F.col("label").isNotNull())
 
 

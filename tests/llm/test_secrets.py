@@ -30,6 +30,22 @@ def test_offsets_are_code_points(spark):
     assert [r.assigned for r in found] == [True, False]
 
 
+def test_forms_of_assignments(spark):
+    blanks = " " * 40
+    long_ = "a1\\\"" * 50_000
+    forms = [("password = hunter2x", "hunter2x"), (f"password{blanks}={blanks}hunter2x", "hunter2x"), ('secret := "p@ssWord!"', "p@ssWord!"),
+             ("'api_key' => 'k-ey!wor'", "k-ey!wor"), ("if token == \"abc'def\"", "abc'def"), ('"password": "ab,cdef123"', "ab,cdef123"),
+             ('pwd="abcdef12;Xy9z"; x', "abcdef12;Xy9z"), ("pwd=abcdef12;Xy9z", "abcdef12"), ('token: "abcdefg', "abcdefg"),
+             ('passphrase: "correct horse battery"', "correct horse battery"), (f'secret = "{long_}" x', long_),
+             ("look qLwJalrXUtnFEMIbPxRfiCYz here", "qLwJalrXUtnFEMIbPxRfiCYz")]
+    docs = spark.createDataFrame([(i, t, "a.py") for i, (t, _) in enumerate(forms)], "doc_id long, text string, source string")
+    got = {}
+    for r in secrets.candidates(docs).collect():
+        assert forms[r.doc_id][0][r.start : r.end] == r.candidate
+        got.setdefault(r.doc_id, []).append(r.candidate)
+    assert got == {i: [v] for i, (_, v) in enumerate(forms)}
+
+
 def test_forest_from_reviewers_labels(spark):
     """Labels given by hand decide: here hexadecimal digests after 'commit' are no secrets."""
     import hashlib
