@@ -112,25 +112,38 @@ def describe(found: DataFrame) -> DataFrame:
     return found.withColumns({k: v.cast("double") for k, v in columns.items()})
 
 
+def _published() -> Column:
+    return F.col("candidate").rlike(f"^(?:{FORMATS})$")
+
+
+def _strong() -> Column:
+    """Whether a finding is a secret beyond doubt."""
+    c = F.col("candidate")
+    return _published() | (F.col("assigned") & c.rlike("[0-9]") & c.rlike("[A-Za-z]") & (F.length(c) >= 8) & ~c.rlike("\\s"))
+
+
 def label_by_rule(found: DataFrame) -> DataFrame:
     """Labels (1.0 secret, 0.0 not) for the findings beyond doubt; the others are left out."""
     c = F.col("candidate")
-    strong = c.rlike(f"^(?:{FORMATS})$") | (F.col("assigned") & c.rlike("[0-9]") & c.rlike("[A-Za-z]") & (F.length(c) >= 8) & ~c.rlike("\\s"))
     # Letters of both cases alone may be a key: only words joined by capitals are harmless beyond doubt.
     words = c.rlike("^(?:[A-Z]?[a-z]{2,})+$") | ~(c.rlike("[a-z]") & c.rlike("[A-Z]"))
     harmless = ~F.col("assigned") & (c.rlike("^[0-9+/_=-]+$") | (~c.rlike("[0-9]") & words) | F.col("after").startswith("@") | F.col("before").rlike("(?i)https?://\\S*$"))
-    return found.withColumn("label", F.when(strong, 1.0).when(harmless, 0.0)).filter(F.col("label").isNotNull())
+    return found.withColumn("label", F.when(_strong(), 1.0).when(harmless, 0.0)).filter(F.col("label").isNotNull())
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> RandomForestClassificationModel | None:
-    """A forest from labelled findings (columns of ``candidates`` and ``label``), at most ``rows``
-    of them, the lowest by hash.  None if there are not both kinds: nothing could be learned."""
-    sample = describe(labelled.orderBy(F.xxhash64("doc_id", "start", "candidate"), "doc_id", "start", "candidate").limit(rows)).select("label", *FEATURES)
-    sample = stored(sample, "findings")
-    if sample.select("label").distinct().count() < 2:
+    """A forest from labelled findings (columns of ``candidates`` and ``label``): of each kind at most
+    half of ``rows``, the lowest by hash, and both kinds weigh the same.  None if there are not both
+    kinds: nothing could be learned."""
+    order = (F.xxhash64("doc_id", "start", "candidate"), "doc_id", "start", "candidate")
+    kinds = [labelled.filter(F.col("label") == k).orderBy(*order).limit(rows // 2) for k in (0.0, 1.0)]
+    sample = stored(describe(kinds[0].unionByName(kinds[1])).select("label", *FEATURES), "findings")
+    n = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
+    if len(n) < 2:
         return None
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=9, featuresCol="features", labelCol="label")
-    return forest.fit(_vectors(sample))
+    weight = F.when(F.col("label") == 1.0, F.lit(0.5 / n[1.0])).otherwise(F.lit(0.5 / n[0.0])) * sum(n.values())
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=9, featuresCol="features", labelCol="label", weightCol="weight")
+    return forest.fit(_vectors(sample.withColumn("weight", weight)))
 
 
 def _vectors(described: DataFrame) -> DataFrame:
@@ -138,9 +151,9 @@ def _vectors(described: DataFrame) -> DataFrame:
 
 
 def judge(found: DataFrame, model: RandomForestClassificationModel | PipelineModel | None, threshold: float = THRESHOLD) -> DataFrame:
-    """``found`` with ``score`` and ``secret``; without a model every candidate counts as a secret."""
+    """``found`` with ``score`` and ``secret``; without a model those count as secrets that the rule labels so."""
     if model is None:
-        return found.withColumns({"score": F.lit(1.0), "secret": F.lit(True)})
+        return found.withColumn("score", F.when(_strong(), 1.0).otherwise(0.0)).withColumn("secret", _strong())
     keep = found.columns
     scored = model.transform(_vectors(describe(found.withColumn("was_assigned", F.col("assigned")))))
     scored = scored.withColumn("assigned", F.col("was_assigned"))
@@ -153,11 +166,15 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, **cols: str) -> Dat
 
     * Null and empty texts have no findings; an empty table gives none.
     * A null path counts as an empty one; repeated rows are scanned each.
+    * Without reviewers' labels a published key format is a secret whatever the forest says.
     * Overlapping candidates do not occur: a text is cut from left to right.
     * Other columns are ignored.
     """
     found = stored(candidates(docs, **cols), "candidates")
-    return judge(found, train(labelled if labelled is not None else label_by_rule(found)))
+    if labelled is not None:
+        return judge(found, train(labelled))
+    judged = judge(found, train(label_by_rule(found)))
+    return judged.withColumns({"score": F.when(_published(), 1.0).otherwise(F.col("score")), "secret": F.col("secret") | _published()})
 
 
 def digest(findings: DataFrame) -> DataFrame:
