@@ -22,10 +22,12 @@ from .common import pick, prepare, small_side, stored, unclashed, with_columns
 SYMBOLS = "#*$%&|<>"
 #: Distinct words whose hashes a worker keeps.
 CACHE_WORDS = 200_000
-#: Ratio -> how far above the upper quartile of its group it may lie at least.
-SLACK = {"symbol_ratio": 0.03, "dup_line_ratio": 0.5, "repeat_ratio": 0.5, "mark_ratio": 0.1, "upper_ratio": 0.5}
-#: Fence: upper quartile + SPREAD * (upper - lower quartile), or + SLACK if that is more.
-SPREAD = 4.0
+#: Ratio -> bounds of the slack, how far above the upper quartile of its group it may lie at least.  The repeat
+#: rule's lie below the base rule's 0.5.
+SLACK = {"symbol_ratio": (0.01, 0.03), "dup_line_ratio": (0.4, 0.45), "repeat_ratio": (0.35, 0.44), "mark_ratio": (0.03, 0.1), "upper_ratio": (0.2, 0.45)}
+#: Fence: upper quartile + SPREAD * (upper - lower quartile), or + the slack if that is more: TAIL * (upper decile -
+#: lower quartile), within its bounds.
+SPREAD, TAIL = 4.0, 2.0
 #: Groups of fewer documents use their language's sketch, and languages of fewer the whole corpus'.
 MIN_GROUP = 100
 #: Bins of the sketches: a ratio is known to within this factor; below SMALLEST it counts as 0.
@@ -142,7 +144,7 @@ def _fences(sketches: DataFrame, *keys: str) -> DataFrame:
     """``(keys, metric, n, fence)``; the windows hold a sketch's bins, not documents."""
     from pyspark.sql import Window
 
-    slack = F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv])
+    least, most = (F.create_map(*[F.lit(x) for k, b in SLACK.items() for x in (k, b[i])])[F.col("metric")] for i in (0, 1))
     w = Window.partitionBy(*keys, "metric").orderBy(F.col("bin").asc_nulls_first())
     whole = Window.partitionBy(*keys, "metric")
     value = F.when(F.col("bin").isNull(), 0.0).otherwise(F.pow(F.lit(GAMMA), F.col("bin")))
@@ -151,8 +153,9 @@ def _fences(sketches: DataFrame, *keys: str) -> DataFrame:
     def quantile(q: float) -> Column:
         return F.min(F.when(F.col("below") >= q * F.col("total"), F.col("value")))
 
-    s = s.groupBy(*keys, "metric").agg(F.first("total").alias("n"), quantile(0.25).alias("q1"), quantile(0.75).alias("q3"))
-    return s.select(*keys, "metric", "n", (F.col("q3") + F.greatest(SPREAD * (F.col("q3") - F.col("q1")), slack[F.col("metric")])).alias("fence"))
+    s = s.groupBy(*keys, "metric").agg(F.first("total").alias("n"), quantile(0.25).alias("q1"), quantile(0.75).alias("q3"), quantile(0.9).alias("q9"))
+    slack = F.least(most, F.greatest(least, TAIL * (F.col("q9") - F.col("q1"))))
+    return s.select(*keys, "metric", "n", (F.col("q3") + F.greatest(SPREAD * (F.col("q3") - F.col("q1")), slack)).alias("fence"))
 
 
 def adaptive_fences(stats: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:

@@ -66,6 +66,23 @@ def test_small_groups_take_their_language(spark):
     assert fences["en", "tiny"].max_symbol_ratio == fences["en", "big"].max_symbol_ratio
 
 
+def test_adaptive_rules_reject_what_the_base_rule_keeps(spark):
+    """In a group without repeats, 45 % of the words in repeated windows or half of the lines repeated are too much."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(60)), "en", "clean") for i in range(200)]
+    repeats = " ".join(["a b c"] * 9 + [f"v{k}" for k in range(33)])  # 27 of 60 words
+    lines = "\n".join(x for k in range(30) for x in [f"l{k} m{k}"] * 2)  # half of the lines; no window of three words occurs twice
+    df = spark.createDataFrame([*rows, (1000, repeats, "en", "clean"), (1001, lines, "en", "clean")], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_rules.apply_rules(df).collect()}
+    assert not got[1000].base_failed and got[1000].broken == "repeat_ratio"
+    assert "dup_line_ratio" in got[1001].broken.split(",")
+    assert all(got[i].kept for i in range(200))
+    # A group whose upper decile is higher has a higher fence.
+    mixed = [(i, " ".join(["a b c"] * (6 if i % 8 == 0 else 0) + [f"w{i}x{k}" for k in range(60)]), "en", "mixed") for i in range(200)]
+    both = quality_rules.document_stats(spark.createDataFrame(rows + mixed, "doc_id long, text string, lang string, source string"))
+    fences = {r.source: r.max_repeat_ratio for r in quality_rules.adaptive_fences(both).collect()}
+    assert fences["clean"] < fences["mixed"] < 0.5
+
+
 def test_rules_on_odd_tables(odd, empty):
     rows = quality_rules.apply_rules(odd).collect()
     want = sorted((r.doc_id or 0, *brute(r.text)) for r in odd.collect())
