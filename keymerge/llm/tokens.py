@@ -83,18 +83,25 @@ class ByteTokenizer:
         self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks), special_tokens={})
         self.known: dict[str, bytes] = {}
         self.line = self.library.encode_ordinary("\n")
+        merged = read_ranks(ranks)
+        self.length = np.zeros(max(merged.values()) + 1, np.int64)  # bytes of each token
+        self.length[list(merged.values())] = [len(t) for t in merged]
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.library.encode_ordinary(text), "<u2").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        """Code words, many in a call: a line break between two words is a token by itself."""
-        ids = np.array(self.library.encode_ordinary("\n".join([" " + w for w in words])), "<u2")
-        cut = (2 * np.flatnonzero(ids == self.line[0])).tolist()
-        if len(self.line) != 1 or len(cut) != len(words) - 1:
+        """Code words without any white space, many in a call: a line break between two words is a
+        token by itself.  Each cut must lie where its word ends in bytes, or all are coded singly."""
+        text = "\n".join([" " + w for w in words])
+        ids = np.array(self.library.encode_ordinary(text), "<u2")
+        cut = np.flatnonzero(ids == self.line[0])
+        ends = np.cumsum(self.length[ids])[cut]
+        want = np.cumsum([len(w.encode()) + 2 for w in words[:-1]], dtype=np.int64)
+        if len(self.line) != 1 or not np.array_equal(ends, want):
             self.known.update((w, self._ids(" " + w)) for w in words)
             return
-        raw = ids.tobytes()
+        raw, cut = ids.tobytes(), (2 * cut).tolist()
         self.known.update((w, raw[start:end]) for w, start, end in zip(words, [0, *(c + 2 for c in cut)], [*cut, len(raw)], strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
@@ -109,7 +116,7 @@ class ByteTokenizer:
             for w in list(islice(known, len(known) // 2)):
                 del known[w]
         new = set().union(*(words[1:] for words in split if words)).difference(known)
-        plain = [w for w in new if len(w.split()) == 1]
+        plain = [w for w in new if w.split() == [w]]  # no white space by Python, whose notion holds the pattern's
         for k in range(0, len(plain), CALL):
             self._learn(plain[k : k + CALL])
         known.update((w, self._ids(" " + w)) for w in new.difference(plain))

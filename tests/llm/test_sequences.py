@@ -1,5 +1,9 @@
+import os
 import random
+import subprocess
+import sys
 from collections import defaultdict
+from pathlib import Path
 from zlib import crc32
 
 import numpy as np
@@ -16,6 +20,7 @@ from keymerge.llm.tokens import byte_tokenizer, read_vocabulary, tokenizer
 from tests.llm.conftest import SF
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+ROOT = Path(__file__).resolve().parents[2]
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
@@ -55,6 +60,43 @@ def test_pieces_equal_whole_texts(spark, documents):
     assert list(coder.encode(texts)) == [np.array(coder.library.encode_ordinary(t), "<u2").tobytes() for t in texts]
 
 
+SPLIT_WORDS = """
+import sys, random
+import numpy as np
+from keymerge.llm.tokens import byte_tokenizer
+coder = byte_tokenizer(open(sys.argv[1], "rb").read(), sys.argv[2])
+rng = random.Random(int(sys.argv[3]))
+breaks = ["\\n", "\\r\\n", "\\n\\t", "\\x1c", "\\x85", "\\t\\n\\x1c", "\\u2028", ""]
+words = ["w%d" % k for k in range(300)] + ["s\\n\\t", "t\\n\\x1c", "\\nq", "x\\ny"]
+texts = [" ".join(rng.choice(words) + rng.choice(breaks) for _ in range(rng.randint(1, 40))) for _ in range(400)]
+texts += ["alpha beta\\nr s\\n\\tmany more plain words here and there", "ends\\n", "ends\\r\\n", "a ends\\n\\t", "b ends\\x1c"]
+wrong = [t for t, ids in zip(texts, coder.encode(texts)) if ids != np.array(coder.library.encode_ordinary(t), "<u2").tobytes()]
+wrong += [w for w, ids in coder.known.items() if ids != np.array(coder.library.encode_ordinary(" " + w), "<u2").tobytes()]
+assert not wrong, wrong[:3]
+"""
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_words_keep_their_own_ids_under_any_hash_seed(seed):
+    done = subprocess.run([sys.executable, "-c", SPLIT_WORDS, *RANKS, str(seed)], env={**os.environ, "PYTHONHASHSEED": str(seed)},
+                          cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+
+
+def test_training_order_keeps_texts_that_end_in_breaks(spark, byte_ids):
+    texts = ["alpha beta\nr s\n\tmany more plain words here and there", "one two\n", "one two\r\n", "two three\n\t", "four five\x1c", "beta r t\n\x1c again"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    shards = []
+    for _ in range(2):
+        folder = materialise.training_folder(spark)
+        manifest = materialise.write_training_order(docs, *RANKS, folder, key=3, length=16, per_shard=64).orderBy("number").collect()
+        records = list(materialise.read_slots(folder, 0, len(manifest), 16, 64))
+        shards.append([r.tobytes() for r in records])
+    stream = np.concatenate([records[r.slot][: r.length] for r in manifest])
+    assert np.array_equal(stream, np.concatenate(byte_ids(docs.orderBy("doc_id").collect())))
+    assert shards[0] == shards[1]
+
+
 def check_pieces(pieces, ids):
     """Every id in one piece, no sequence too long, no gap in a sequence; returns the padding's share."""
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
