@@ -1,8 +1,8 @@
 """Queries of the text operators: each applies one operator to its whole table.
 
 A query takes ``(spark, sf_dir)``; vocabularies are the public files that
-``public_tokenizers`` names.  ``ORACLE`` stays empty: none of these methods
-can be written in SQL, so ``tests/llm`` holds each query against brute force.
+``public_tokenizers`` names.  ``ORACLE`` has the SQL where the results can be
+written in SQL; ``tests/llm`` holds the other queries against brute force.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lattice, materialise, minhash, packing, pii, quality_model, quality_rules, secrets, sharding
+from . import bpe, lattice, materialise, minhash, packing, pii, quality_model, quality_rules, secrets, sharding, wu_manber
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,28 @@ def op9_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every text of ``documents`` and the verdict of the adaptive rules."""
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of ``benchmark`` in every text of ``documents``."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return wu_manber.digest(wu_manber.find_passages(docs, table(spark, sf_dir, "benchmark")))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE["op11_wu_manber"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS w FROM benchmark),
+p AS (SELECT DISTINCT item, array_to_string(w[k:k + 9], ' ') AS phrase, least(len(w), 10) AS n
+      FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS k FROM i WHERE len(w) > 0)),
+s AS (SELECT r, k, n, array_to_string(w[k:k + n - 1], ' ') AS phrase
+      FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM p))),
+m AS (SELECT r, k, s.n, item FROM s JOIN p ON s.phrase = p.phrase AND s.n = p.n),
+h AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS x FROM m) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+"""
