@@ -23,7 +23,7 @@ from .common import pick, prepare, stored
 #: Between terms: all ASCII but letters.
 _BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Text bytes counted together, counted rows a task holds, cells of a block, and sources up to which pair sums are held.
-TOGETHER, HELD_ROWS, CELLS, HELD_SOURCES = 8_000_000, 400_000, 500_000, 2_000
+TOGETHER, HELD_ROWS, CELLS, HELD_SOURCES = 2_000_000, 250_000, 500_000, 2_000
 #: Parts that a probability of 1 has.
 SCALE = 1_000_000_000
 
@@ -75,6 +75,7 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if rows > HELD_ROWS // 2:
                 yield from held[0].to_batches(max_chunksize=50_000)
                 held, rows = [], 0
+            pa.default_memory_pool().release_unused()
     if waiting:
         held.append(counted())
     if held:
