@@ -74,6 +74,23 @@ def shared_scratch(spark: SparkSession, name: str) -> str:
 
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, for tasks that run Python."""
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="keymerge-code-")  # the driver's own; Spark serves the file
+        sc.addPyFile(shutil.make_archive(f"{folder}/{root.name}_package", "zip", root.parent, root.name))
+        _shipped.add(sc.applicationId)
+
+
+_shipped: set[str] = set()
+
+
 def materialize(df, name: str = ""):
     """Cut lineage: reliable ``checkpoint()`` into the cluster's shared checkpoint folder.
 
@@ -82,3 +99,11 @@ def materialize(df, name: str = ""):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df, name: str = "step"):
+    """Cut lineage by a Parquet table in the shared folder.  For loops: the plan then starts from files,
+    while a checkpoint keeps the estimated size of the plan before it, which joins multiply round by round."""
+    path = shared_scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

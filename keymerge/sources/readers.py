@@ -37,19 +37,38 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", infer: bool = True,
     """Header row, inferred types; empty fields are null.
 
     Quoting is the standard one (a quote within quotes is doubled).  ``multi_line`` reads
-    fields with line breaks; a file then cannot be split, so it is off by default.
-    ``options`` are further options of Spark's CSV reader.  A missing path is Spark's error.
+    fields with line breaks; large files are still read in parallel (``records``), unless an
+    option among ``options`` (further options of Spark's CSV reader) changes what a record
+    is: then each file is one task.  A missing path is Spark's error.
     """
     from ..operators.types import apply_types
 
     opts = {"header": True, "sep": sep, "inferSchema": False, "mode": "PERMISSIVE", "quote": '"', "escape": '"',
             "multiLine": multi_line, **options}
     df = spark.read.options(**opts).csv(path)
+    if multi_line and len(sep) == 1 and _FREE_OPTIONS.issuperset(options):
+        df = _parsed_records(spark, path, df.schema, opts)
     if not infer:
         return df
     return apply_types(df, sample=sample, schema_hint=schema_hint, parse_dates=parse_dates, on_mismatch=on_mismatch)
 
 
+# Options that leave the limits of records, and the order of their fields, as they are.
+_FREE_OPTIONS = {"header", "nullValue", "emptyValue", "nanValue", "ignoreLeadingWhiteSpace", "ignoreTrailingWhiteSpace"}
+
+
+def _parsed_records(spark: SparkSession, path: str, schema: T.StructType, opts: dict) -> DataFrame:
+    """The files' records by ``records.read_records``, parsed into the (text) columns of ``schema``."""
+    from .records import read_records
+
+    rows = read_records(spark, path, opts["sep"], opts["quote"], header=str(opts["header"]).lower() == "true")
+    kept = {k: str(v).lower() if isinstance(v, bool) else v for k, v in opts.items() if k not in ("header", "inferSchema")}
+    *names, last = schema.names
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip([*names, last.rstrip("\r")], schema.fields, strict=True)])
+    ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
+    return rows.select(F.from_csv("record", ddl, kept).alias("_r")).select("_r.*")
+
+
 def read_tsv(spark: SparkSession, path: str, **kw) -> DataFrame:
     return read_csv(spark, path, sep="\t", **kw)
 
@@ -163,14 +182,17 @@ def payload_csv(df: DataFrame, payload_col: str, schema: str, keep: list[str] |
                 header: bool = True, sep: str = ",") -> DataFrame:
     """S3 re-aimed: a column holding CSV text becomes rows.
 
-    Each payload is split into lines (distributed, per row), the header line is
-    dropped and every remaining line is parsed with ``from_csv`` against the
-    given DDL schema.  No payload is ever brought to the driver.
+    Each payload is split into records (distributed, per row; line breaks inside quotes are
+    text, and doubled quotes stand for one), the header is dropped and every remaining
+    record is parsed with ``from_csv`` against the given DDL schema.  ``_line_no`` numbers a
+    payload's records from 0, the header included.  Null payloads give no rows.
     """
+    from .records import explode_records
+
     keep = keep or []
-    lines = df.select(*keep, F.posexplode(F.split(F.col(payload_col), r"\r?\n")).alias("_line_no", "_line"))
-    lines = lines.filter(F.length("_line") > 0)
+    lines = explode_records(df.select(*keep, F.col(payload_col).alias("_payload")), "_payload", sep).drop("_payload")
     if header:
         lines = lines.filter(F.col("_line_no") > 0)
-    parsed = lines.select(*keep, "_line_no", F.from_csv("_line", schema, {"sep": sep}).alias("_rec"))
+    options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true"}
+    parsed = lines.select(*keep, "_line_no", F.from_csv("_line", schema, options).alias("_rec"))
     return parsed.select(*keep, "_line_no", "_rec.*")
