@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.policies import PolicyExpr, ord_col, qual, src_col
-from ..session import materialize
+from ..session import materialize, written
 from ..sources.readers import ordinal_expr
 from .merge import key_text
 from ..spec import Mapping, MergeSpec, Policy, SourceField, SpecError
@@ -63,6 +63,9 @@ class Link:
       ``DERIVATIONS`` or is a ``Column -> Column`` function.
     * ``kind="fuzzy"`` (E2): similarity ``100 * (1 - lev / max_len) >= threshold``
       within equal ``block_on`` values (a block column on each side).
+
+    ``weight`` says how strong the link is where clusters are split (``oversize="split"``).
+    A link between two columns of one source joins the rows whose left value is another's right value.
     """
 
     left: str
@@ -73,6 +76,7 @@ class Link:
     threshold: float = 100.0
     block_on: tuple[str, str] | None = None
     derive: str | Callable[[Column], Column] | None = None
+    weight: float = 1.0
 
     def is_self(self) -> bool:
         return self.left == self.right and self.left_on == self.right_on
@@ -112,7 +116,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
 
     The minimum per node is written before it is joined to the edges, so that both
     sides of the join have an exchange of their own: only then does AQE split the
-    edges of a hub over several tasks.
+    edges of a hub over several tasks.  A round ends in a written table, whose size Spark knows:
+    the estimated sizes of checkpointed tables would be multiplied by the joins of every round.
     """
     # The first round reads the (lazy) canonical edges directly: a star forest passes
     # through a round unchanged, so checking after each round is enough.
@@ -128,7 +133,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         m2 = materialize(e.groupBy("u").agg(F.min("v").alias("m")))
         ss = e.join(m2, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(
             m2.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        e = materialize(_canon(ss, "a", "b"), "cc")
+        e = written(_canon(ss, "a", "b"), "cc")
         if _is_star_forest(e):
             roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
@@ -227,19 +232,15 @@ def _build_nodes(sources: TMapping[str, DataFrame], used: list[str], links: Sequ
         for li, lk in enumerate(links):
             sides = []
             if lk.left == s:
-                sides.append((lk.left_on, 0))
-            if lk.right == s:
+                sides.append((lk.left_on, 2 if lk.is_self() else 0))
+            if lk.right == s and not lk.is_self():
                 sides.append((lk.right_on, 1))
-            if not sides:
-                continue
-            col_name, side = sides[0]
-            if lk.is_self():
-                side = 2
-            key = _empty_to_null(_derive(lk, src_col(col_name)).cast("string") if lk.kind != "exact" else key_text(src_col(col_name), types[col_name]))
-            if lk.kind == "fuzzy" and lk.block_on:
-                blk = lk.block_on[0] if side in (0, 2) else lk.block_on[1]
-                cols.append(src_col(blk).cast("string").alias(f"_lb{li}"))
-            cols += [key.alias(f"_lk{li}"), F.lit(side).alias(f"_ls{li}")]
+            for (col_name, side), more in zip(sides, ("", "r")):  # a link of two columns of one source gives a row two keys
+                key = _empty_to_null(_derive(lk, src_col(col_name)).cast("string") if lk.kind != "exact" else key_text(src_col(col_name), types[col_name]))
+                if lk.kind == "fuzzy" and lk.block_on:
+                    blk = lk.block_on[0] if side in (0, 2) else lk.block_on[1]
+                    cols.append(src_col(blk).cast("string").alias(f"_lb{li}{more}"))
+                cols += [key.alias(f"_lk{li}{more}"), F.lit(side).alias(f"_ls{li}{more}")]
         for ki, kf in enumerate(key_fields):
             own = [key_text(src_col(f.column), types[f.column]) for f in kf if f.source == s]
             if own:
@@ -271,6 +272,8 @@ def _checked_id(df: DataFrame, source: str, column: str) -> Column:
 def _value_star_edges(t: DataFrame, require_both_sides: bool) -> DataFrame:
     """Rows sharing a key value -> edges to the smallest row id holding it (no pairs)."""
     t = t.filter(F.col("key").isNotNull())
+    if "block" in t.columns:
+        t = t.drop("block")
     # Written first: both sides of the join then have an exchange, and AQE can split a hot value.
     anchors = t.groupBy("key").agg(F.min(ROW_ID).alias("anchor"), F.min("side").alias("_s0"),
                                    F.max("side").alias("_s1"))
@@ -281,24 +284,46 @@ def _value_star_edges(t: DataFrame, require_both_sides: bool) -> DataFrame:
             .select(F.col(ROW_ID).alias("src"), F.col("anchor").alias("dst")))
 
 
-def _fuzzy_keys(nodes: DataFrame, li: int, lk: Link) -> DataFrame:
-    """Replace a fuzzy link's raw value by its value-group id (transitive closure of similar values)."""
-    blk = F.col(f"_lb{li}") if lk.block_on else F.lit("")
-    vals = nodes.select(blk.alias("block"), F.col(f"_lk{li}").alias("value"), F.col(f"_ls{li}").alias("side")) \
-        .filter(F.col("value").isNotNull())
+def _link_keys(nodes: DataFrame, li: int, lk: Link) -> DataFrame:
+    """``_row_id, block, key, side`` of a link, a row for each key that a node holds."""
+    parts = []
+    for more in ("", "r"):
+        if f"_lk{li}{more}" in nodes.columns:
+            block = F.col(f"_lb{li}{more}") if lk.kind == "fuzzy" and lk.block_on else F.lit("")
+            parts.append(nodes.select(ROW_ID, block.alias("block"), F.col(f"_lk{li}{more}").alias("key"), F.col(f"_ls{li}{more}").alias("side")))
+    return reduce(lambda a, b: a.unionByName(b), parts).filter(F.col("side").isNotNull() & F.col("key").isNotNull() & F.col("block").isNotNull())
+
+
+def _similar_pairs(keys: DataFrame, lk: Link) -> DataFrame:
+    """Similar values of a fuzzy link: ``(block, a, b, distance, similarity)``."""
+    vals = keys.select("block", F.col("key").alias("value"), "side")
     if lk.is_self():
-        pairs = similar_values(vals, None, lk.threshold)
-    else:
-        pairs = similar_values(vals.filter(F.col("side") == 0), vals.filter(F.col("side") == 1), lk.threshold)
+        return similar_values(vals, None, lk.threshold)
+    return similar_values(vals.filter(F.col("side") == 0), vals.filter(F.col("side") == 1), lk.threshold)
+
+
+def _fuzzy_keys(keys: DataFrame, lk: Link) -> DataFrame:
+    """Replace a fuzzy link's raw value by its value-group id (transitive closure of similar values)."""
     node = lambda b, v: F.concat_ws("\u0000", b, v)
-    vedges = pairs.select(node(F.col("block"), F.col("a")).alias("src"), node(F.col("block"), F.col("b")).alias("dst"))
-    groups = components(vedges)
-    # A row without a block links with nothing.
-    keyed = nodes.withColumn(f"_lk{li}", F.when(blk.isNotNull(), F.col(f"_lk{li}")))
-    keyed = keyed.withColumn("_vn", node(blk, F.col(f"_lk{li}")))
+    pairs = _similar_pairs(keys, lk)
+    groups = components(pairs.select(node(F.col("block"), F.col("a")).alias("src"), node(F.col("block"), F.col("b")).alias("dst")))
+    keyed = keys.withColumn("_vn", node(F.col("block"), F.col("key")))
     keyed = keyed.join(groups.select(F.col("node").alias("_vn"), F.col("component").alias("_vg")), "_vn", "left")
-    return keyed.withColumn(f"_lk{li}", F.when(F.col(f"_lk{li}").isNotNull(), F.coalesce("_vg", "_vn"))) \
-        .drop("_vn", "_vg")
+    return keyed.withColumn("key", F.coalesce("_vg", "_vn")).drop("_vn", "_vg")
+
+
+def _fuzzy_links(keys: DataFrame, lk: Link) -> DataFrame:
+    """Weighted links of a fuzzy link: rows with a value to the first of them, and the first rows of two
+    similar values to each other, weaker by their similarity."""
+    pairs = materialize(_similar_pairs(keys, lk))
+    used = pairs.select("block", F.col("a").alias("key")).unionByName(pairs.select("block", F.col("b").alias("key"))).distinct()
+    held = keys.join(used, ["block", "key"], "left_semi")
+    first = materialize(held.groupBy("block", "key").agg(F.min(ROW_ID).alias("anchor")))
+    same = held.join(first, ["block", "key"]).filter(F.col(ROW_ID) != F.col("anchor")).select(
+        F.col(ROW_ID).alias("src"), F.col("anchor").alias("dst"), F.lit(float(lk.weight)).alias("weight"))
+    ends = [first.select("block", F.col("key").alias(c), F.col("anchor").alias(e)) for c, e in (("a", "src"), ("b", "dst"))]
+    near = pairs.filter("a <> b").join(ends[0], ["block", "a"]).join(ends[1], ["block", "b"])
+    return same.unionByName(near.select("src", "dst", (F.lit(float(lk.weight)) * F.col("similarity") / 100).alias("weight")))
 
 
 METHODS = ("transitive_closure", "union_find", "graph_clustering")
@@ -307,13 +332,18 @@ METHODS = ("transitive_closure", "union_find", "graph_clustering")
 def resolve(sources: TMapping[str, DataFrame], links: Sequence[Link], fields: list[SourceField] = (),
             ids: TMapping[str, str] | None = None, order_by: TMapping[str, object] | None = None,
             key_fields: list[list[SourceField]] = (), max_cluster_size: int | None = None,
-            method: str = "transitive_closure") -> DataFrame:
+            method: str = "transitive_closure", oversize: str = "rows", key_weights: Sequence[float] | None = None) -> DataFrame:
     """Nodes with their ``entity_id`` (E4/E6).  ``_oversize`` marks rows of clusters above the bound.
 
     ``method``: ``transitive_closure`` and ``union_find`` give the same
     components (E4/E5); ``graph_clustering`` is components bounded by
-    ``max_cluster_size`` (E6), which it requires.
+    ``max_cluster_size`` (E6), which it requires.  ``oversize`` says what becomes of clusters
+    above the bound: with ``rows`` each row is an entity of its own; with ``split`` the cluster is
+    cut at its weakest links (``clusters.bounded_components``; links have the weight of their ``Link``,
+    fuzzy ones also by similarity, and OR keys that of ``key_weights``, 1 by default).
     """
+    if oversize not in ("rows", "split"):
+        raise SpecError("oversize must be rows or split")
     if method not in METHODS:
         raise SpecError(f"Unknown resolution method: {method}")
     if method == "graph_clustering" and not max_cluster_size:
@@ -323,24 +353,33 @@ def resolve(sources: TMapping[str, DataFrame], links: Sequence[Link], fields: li
         if f.source not in used:
             raise SpecError(f"Mapping reads source {f.source}, which no link or key reaches")
     for lk in links:
-        if lk.left == lk.right and lk.left_on != lk.right_on:
-            raise SpecError("a link within one source must use one column on both sides")
         if lk.kind == "fuzzy" and lk.threshold <= 0:
             raise SpecError("fuzzy threshold must be > 0")
         if lk.kind not in ("exact", "fuzzy", "semantic"):
             raise SpecError(f"Unknown link kind: {lk.kind}")
     nodes = _build_nodes(sources, used, links, list(fields), ids, order_by, list(key_fields))
-    for li, lk in enumerate(links):
-        if lk.kind == "fuzzy":
-            nodes = _fuzzy_keys(nodes, li, lk)
+    split = oversize == "split" and max_cluster_size is not None
     edge_sets = []
     for li, lk in enumerate(links):
-        t = nodes.select(ROW_ID, F.col(f"_lk{li}").alias("key"), F.col(f"_ls{li}").alias("side"))
-        edge_sets.append(_value_star_edges(t.filter(F.col("side").isNotNull()), require_both_sides=not lk.is_self()))
+        keys = _link_keys(nodes, li, lk)
+        if lk.kind == "fuzzy" and split:
+            edge_sets.append(_fuzzy_links(keys, lk))
+            continue
+        if lk.kind == "fuzzy":
+            keys = _fuzzy_keys(keys, lk)
+        edge_sets.append(_value_star_edges(keys, require_both_sides=not lk.is_self()).withColumn("weight", F.lit(float(lk.weight))))
     for ki in range(len(key_fields)):
         t = nodes.select(ROW_ID, F.explode(f"_kk{ki}").alias("key"), F.lit(2).alias("side"))
-        edge_sets.append(_value_star_edges(t, require_both_sides=False))
+        edge_sets.append(_value_star_edges(t, require_both_sides=False).withColumn("weight", F.lit(float(key_weights[ki] if key_weights else 1.0))))
+    if split:
+        from .clusters import bounded_components
+
+        edges = reduce(lambda a, b: a.unionByName(b), edge_sets)
+        parts = bounded_components(edges, max_cluster_size).select(F.col("node").alias(ROW_ID), F.col("component").alias(ENTITY))
+        out = nodes.join(parts, ROW_ID, "left").withColumn(ENTITY, F.coalesce(ENTITY, ROW_ID))
+        return out.withColumn("_oversize", F.lit(False)).withColumn("_cluster", F.col(ENTITY))
     several = any(len({f.source for f in kf}) < len(kf) for kf in key_fields)  # a row may hold several values
+    several = several or any(lk.left == lk.right and not lk.is_self() for lk in links)
     if len(edge_sets) == 1 and not several:
         # One key: each row already points at the smallest row holding its value, and
         # value groups are disjoint, so the stars are the components - no rounds needed.
@@ -368,7 +407,8 @@ def resolve(sources: TMapping[str, DataFrame], links: Sequence[Link], fields: li
 def entity_merge(sources: TMapping[str, DataFrame], links: Sequence[Link], mappings: Sequence[Mapping],
                  ids: TMapping[str, str] | None = None, order_by: TMapping[str, object] | None = None,
                  max_cluster_size: int | None = None, key_fields: list[list[SourceField]] = (),
-                 with_size: bool = True, method: str = "transitive_closure") -> DataFrame:
+                 with_size: bool = True, method: str = "transitive_closure", oversize: str = "rows",
+                 key_weights: Sequence[float] | None = None) -> DataFrame:
     """One row per entity with every mapping applied over all of its rows.
 
     All policies go into a single ``groupBy(entity_id).agg``.  Rows are unioned
@@ -379,7 +419,7 @@ def entity_merge(sources: TMapping[str, DataFrame], links: Sequence[Link], mappi
 
     sources, mappings = numeric_inputs(sources, list(mappings))
     fields = [f for m in mappings for f in m.fields]
-    nodes = resolve(sources, links, fields, ids, order_by, key_fields, max_cluster_size, method)
+    nodes = resolve(sources, links, fields, ids, order_by, key_fields, max_cluster_size, method, oversize, key_weights)
     used = [s for s in _used_sources(links, key_fields)]
     pols = [PolicyExpr(m, i) for i, m in enumerate(mappings)]
     row_order = F.struct(F.col(SRC), *[F.col(ord_col(s)) for s in used])
@@ -408,7 +448,7 @@ def _used_sources(links, key_fields) -> list[str]:
 
 
 def or_key_merge(sources: TMapping[str, DataFrame], spec: MergeSpec, order_by=None, cast: bool = False,
-                 ids: TMapping[str, str] | None = None, max_cluster_size: int | None = None) -> DataFrame:
+                 ids: TMapping[str, str] | None = None, max_cluster_size: int | None = None, oversize: str = "rows") -> DataFrame:
     """Rows that share *any* key value (within or across sources) form one entity.
 
     Output: ``entity_id``, each key as firstMatch (source order, then row
@@ -422,7 +462,7 @@ def or_key_merge(sources: TMapping[str, DataFrame], spec: MergeSpec, order_by=No
     used = _used_sources([], key_fields)
     vals = spec.value_mappings() + [Mapping(m.destination, Policy("firstMatch"), m.fields) for m in _passthrough_mappings(spec, sources, used)]
     out = entity_merge(sources, [], key_maps + vals, ids=ids, order_by=order_by, max_cluster_size=max_cluster_size,
-                       key_fields=key_fields, with_size=False)
+                       key_fields=key_fields, with_size=False, oversize=oversize)
     names = [ENTITY] + ([d.name for d in spec.destination] or [m.destination for m in km + vals])
     types = {d.name: d.data_type for d in spec.destination}
     if not cast:

@@ -132,7 +132,7 @@ def _links_rows(spec: MergeSpec) -> bool:
 def merge(sources: TMapping[str, DataFrame], spec: MergeSpec, how: str = "inner", fanout: str = "rows",
           dedupe: bool = True, order_by: TMapping[str, object] | None = None, cast: bool = False,
           plan: str = "auto", keep_order: bool = False, ids: TMapping[str, str] | None = None,
-          max_cluster_size: int | None = None) -> DataFrame:
+          max_cluster_size: int | None = None, oversize: str = "rows") -> DataFrame:
     """Merge ``sources`` by ``spec``.  Returns one row per key (``dedupe=True``).
 
     * ``how``: ``inner`` (default), ``left`` (keep every key of the primary
@@ -146,7 +146,8 @@ def merge(sources: TMapping[str, DataFrame], spec: MergeSpec, how: str = "inner"
     * ``keep_order``: sort the result by first appearance (a global sort, so
       use it for output only).
     * ``ids`` / ``max_cluster_size``: OR-key merges only (``spec.logic='or'``):
-      per-source unique id columns for stable entity ids, and the cluster bound.
+      per-source unique id columns for stable entity ids, and the cluster bound;
+      ``oversize`` is ``rows`` or ``split`` (see ``entities.resolve``).
     """
     if how not in HOWS:
         raise SpecError(f"how must be one of {HOWS}")
@@ -163,7 +164,7 @@ def merge(sources: TMapping[str, DataFrame], spec: MergeSpec, how: str = "inner"
 
         if (how, fanout, dedupe, plan, keep_order) != ("inner", "rows", True, "auto", False):
             raise SpecError("an OR-key merge keeps every row and counts it once: how, fanout, dedupe, plan and keep_order do not apply")
-        return or_key_merge(sources, spec, order_by=order_by, cast=cast, ids=ids, max_cluster_size=max_cluster_size)
+        return or_key_merge(sources, spec, order_by=order_by, cast=cast, ids=ids, max_cluster_size=max_cluster_size, oversize=oversize)
     order_by = dict(order_by or {})
     joined = spec.joined_sources()
     keycols = spec.key_columns()

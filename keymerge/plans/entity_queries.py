@@ -148,3 +148,41 @@ def fuzzy_entities(spark, sf):
         M("max_price", "max", ("part", "p_retailprice")),
     ], ids={"part": "p_partkey"})
     return out.select("entity_id", "n_members", "n_names", "max_price")
+
+
+@register("split_clusters", f"""
+WITH RECURSIVE c AS (SELECT c_custkey AS id, {_K1} AS k1, {_K2} AS k2, row_number() OVER (ORDER BY c_custkey) AS i FROM customer),
+l AS (SELECT i AS x, MIN(i) OVER (PARTITION BY k1) AS y, 0.5 AS w FROM c
+      UNION ALL SELECT i, MIN(i) OVER (PARTITION BY k2), 0.8 FROM c),
+e AS (SELECT least(x, y) AS a, greatest(x, y) AS b, MAX(w) AS w FROM l WHERE x <> y GROUP BY 1, 2),
+o AS (SELECT a, b, row_number() OVER (ORDER BY w DESC, a, b) AS n FROM e),
+s(n, labels) AS (
+  SELECT 0::BIGINT, (SELECT list(i ORDER BY i) FROM c)
+  UNION ALL
+  SELECT o.n, CASE WHEN labels[a] <> labels[b] AND len(list_filter(labels, lambda x: x = labels[a] OR x = labels[b])) <= 5
+                   THEN list_transform(labels, lambda x: CASE WHEN x = greatest(labels[a], labels[b]) THEN least(labels[a], labels[b]) ELSE x END)
+                   ELSE labels END
+  FROM s JOIN o ON o.n = s.n + 1),
+f AS (SELECT labels FROM s ORDER BY n DESC LIMIT 1),
+p AS (SELECT c.id, m.id AS entity_id FROM c CROSS JOIN f JOIN c m ON m.i = labels[c.i])
+SELECT entity_id, MAX(id) AS last_customer, COUNT(*) AS n_members FROM p GROUP BY entity_id
+""")
+def split_clusters(spark, sf):
+    """Clusters above five customers are cut at their weakest links, equal to taking the links one by one."""
+    links = [Link("customer", "k1", "customer", "k1", weight=0.5), Link("customer", "k2", "customer", "k2", weight=0.8)]
+    return entity_merge({"customer": _or_customers(spark, sf)}, links, [M("last_customer", "max", ("customer", "c_custkey"))],
+                        ids={"customer": "c_custkey"}, max_cluster_size=5, oversize="split")
+
+
+@register("link_two_columns", """
+WITH RECURSIVE c AS (SELECT c_custkey AS id, c_custkey - c_nationkey AS into_id FROM customer),
+r(id, seen) AS (SELECT id, id FROM c
+                UNION SELECT r.id, c.into_id FROM r JOIN c ON c.id = r.seen JOIN c p ON p.id = c.into_id),
+f AS (SELECT id, MIN(seen) AS entity_id FROM r GROUP BY id)
+SELECT entity_id, MAX(id) AS last_customer, COUNT(*) AS n_members FROM f GROUP BY entity_id
+""")
+def link_two_columns(spark, sf):
+    """Customers linked to the one that their own row names, two columns of one source."""
+    c = table(spark, sf, "customer").withColumn("merged_into", F.col("c_custkey") - F.col("c_nationkey"))
+    return entity_merge({"customer": c}, [Link("customer", "merged_into", "customer", "c_custkey")],
+                        [M("last_customer", "max", ("customer", "c_custkey"))], ids={"customer": "c_custkey"})
