@@ -38,65 +38,52 @@ def _rungs(parse_dates: bool) -> list[tuple[str, str]]:
     return INFER_RUNGS + (DATE_RUNGS if parse_dates else [])
 
 
-def _rank(v: Column, parse_dates: bool) -> Column:
-    """Index of the first rung a value matches (len(rungs) = none); one short-circuit CASE per value.
-
-    Whole numbers beyond 64 bits match no rung: as doubles they would lose digits.
-    """
-    rungs = _rungs(parse_dates)
-    e = None
-    for i, (name, pat) in enumerate(rungs):
-        rank = F.lit(i)
-        if name == "bigint":
-            rank = F.when(v.try_cast("bigint").isNotNull(), rank).otherwise(F.lit(len(rungs)))
-        e = F.when(v.rlike(pat), rank) if e is None else e.when(v.rlike(pat), rank)
-    return e.otherwise(F.lit(len(rungs)))
-
-
 # Whole numbers up to here are exact as doubles.
 _EXACT = 2**53
 
 
-def _ranked(df: DataFrame, cols: list[str], parse_dates: bool, extra: list[str] = ()) -> DataFrame:
-    """One projection: the rung rank of every value (evaluated once, then min/max'ed)."""
-    ranked = df.select(*[F.when(src_col(c).isNotNull(), F.struct(_rank(src_col(c), parse_dates).alias("r"),
-                                                                src_col(c).try_cast("bigint").alias("v"))).alias(f"{i}__x")
-                         for i, c in enumerate(cols)],
-                       *[src_col(c).isNotNull().alias(f"x{i}__nn") for i, c in enumerate(extra)])
-    bigint = [n for n, _ in _rungs(parse_dates)].index("bigint")
-    return ranked.select(*[F.col(f"{i}__x.r").alias(f"{i}__rank") for i in range(len(cols))],
-                         *[F.col(f"{i}__x").isNotNull().alias(f"{i}__nn") for i in range(len(cols))],
-                         *[((F.col(f"{i}__x.r") == bigint) & ~F.col(f"{i}__x.v").between(-_EXACT, _EXACT)).alias(f"{i}__wide") for i in range(len(cols))],
-                         *[F.col(f"x{i}__nn") for i in range(len(extra))])
+def _kinds(parse_dates: bool) -> dict[str, int]:
+    """The bit of each rung, and those of wide whole numbers (beyond what a double holds) and of text."""
+    return {n: 1 << i for i, n in enumerate([*[n for n, _ in _rungs(parse_dates)], "wide", "string"])}
+
 
+def _kind(v: Column, parse_dates: bool) -> Column:
+    """The bit of the first rung a value matches, as one short-circuit CASE per value; null stays null.
 
-def _rung_aggs(cols: list[str]) -> list[Column]:
+    Whole numbers beyond 64 bits match no rung: as doubles they would lose digits.
+    """
+    bits = _kinds(parse_dates)
+    e = F.when(v.isNull(), F.lit(None).cast("int"))
+    for name, pat in _rungs(parse_dates):
+        bit = F.lit(bits[name])
+        if name == "bigint":  # up to 15 digits a whole number is exact; only longer ones are converted
+            n = v.try_cast("bigint")
+            bit = F.when(F.length(v) <= 15, bit).when(n.isNull(), F.lit(bits["string"])).when(n.between(-_EXACT, _EXACT), bit).otherwise(F.lit(bits["wide"]))
+        e = e.when(v.rlike(pat), bit)
+    return e.otherwise(F.lit(bits["string"]))
+
+
+def _kind_aggs(cols: list[str], parse_dates: bool) -> list[Column]:
+    """Per column which kinds of values it holds, and how many."""
     aggs = []
-    for i, c in enumerate(cols):
-        aggs += [F.count_if(F.col(f"{i}__nn")).alias(f"{c}__r__n"), F.min(f"{i}__rank").alias(f"{c}__r__lo"),
-                 F.max(f"{i}__rank").alias(f"{c}__r__hi"), F.coalesce(F.bool_or(f"{i}__wide"), F.lit(False)).alias(f"{c}__r__wide")]
+    for c in cols:
+        aggs += [F.bit_or(_kind(src_col(c), parse_dates)).alias(f"{c}__r__kinds"), F.count(src_col(c)).alias(f"{c}__r__n")]
     return aggs
 
 
-# Rungs nest as boolean | bigint < double, date | timestamp: every value must fit
-# the chosen rung, so the winner is decided from the lowest and highest rank seen.
-_NESTS = {"boolean": (), "bigint": (), "double": ("bigint",), "date": (), "timestamp": ()}
-
-
-def _winner_from(lo, hi, wide, parse_dates: bool) -> str:
-    names = [n for n, _ in _rungs(parse_dates)]
-    if lo is None or hi >= len(names):
-        return "string"
-    lo_name, hi_name = names[lo], names[hi]
-    if wide and hi_name == "double":
-        return "string"  # whole numbers that a double would change
-    if lo_name == hi_name or lo_name in _NESTS.get(hi_name, ()):
-        return hi_name
-    return "string"
+def _fits(parse_dates: bool) -> list[tuple[str, int, int]]:
+    """``(type, needed, allowed)``: a column gets the type if it holds one of the needed kinds and none but the allowed ones."""
+    bits = _kinds(parse_dates)
+    out = []
+    for n, _ in _rungs(parse_dates):
+        needed = bits["bigint"] | bits["wide"] if n == "bigint" else bits[n]
+        out.append((n, needed, needed | bits["bigint"] if n == "double" else needed))
+    return out
 
 
 def _winner(row: dict, c: str, parse_dates: bool) -> str:
-    return _winner_from(row.get(f"{c}__r__lo"), row.get(f"{c}__r__hi"), row.get(f"{c}__r__wide"), parse_dates)
+    kinds = row.get(f"{c}__r__kinds") or 0
+    return next((n for n, needed, allowed in _fits(parse_dates) if kinds & needed and not kinds & ~allowed), "string")
 
 
 def infer_column_types(df: DataFrame, columns: list[str] | None = None, sample: int | None = None,
@@ -113,7 +100,7 @@ def infer_column_types(df: DataFrame, columns: list[str] | None = None, sample:
     if not cols:
         return {}
     src = df.limit(sample) if sample else df
-    row = _ranked(src, cols, parse_dates).agg(*_rung_aggs(cols)).first().asDict()
+    row = src.agg(*_kind_aggs(cols, parse_dates)).first().asDict()
     return {c: _winner(row, c, parse_dates) for c in cols}
 
 
@@ -176,23 +163,18 @@ def infer_types(df: DataFrame, columns: list[str] | None = None, sample: int | N
     src = df.limit(sample) if sample else df
     scols = [c for c in cols if kinds[c] == "string"]
     others = [c for c in cols if c not in scols]
-    aggs = _rung_aggs(scols) + [F.count_if(F.col(f"x{i}__nn")).alias(f"{c}__r__n") for i, c in enumerate(others)]
-    row = _ranked(src, scols, parse_dates, others).agg(*aggs)
-    names = [n for n, _ in _rungs(parse_dates)]
+    row = src.agg(*_kind_aggs(scols, parse_dates), *[F.count(src_col(c)).alias(f"{c}__r__n") for c in others])
     entries = []
     for i, c in enumerate(cols):
         if c in scols:
-            lo, hi = F.col(f"`{c}__r__lo`"), F.col(f"`{c}__r__hi`")
+            found = F.coalesce(src_col(f"{c}__r__kinds"), F.lit(0))
             dtype = F.lit("string")
-            for j, name in enumerate(names):
-                ok = (hi == F.lit(j)) & (lo == F.lit(j))
-                for inner in _NESTS.get(name, ()):
-                    ok = ok | ((hi == F.lit(j)) & (lo == F.lit(names.index(inner))) & ~F.col(f"`{c}__r__wide`"))
-                dtype = F.when(ok, F.lit(name)).otherwise(dtype)
+            for n, needed, allowed in reversed(_fits(parse_dates)):
+                dtype = F.when((found.bitwiseAND(F.lit(needed)) != 0) & (found.bitwiseAND(F.lit(~allowed)) == 0), F.lit(n)).otherwise(dtype)
         else:
             dtype = F.lit(kinds[c])
         entries.append(F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), dtype.alias("dtype"),
-                                F.col(f"`{c}__r__n`").alias("n_values")))
+                                src_col(f"{c}__r__n").alias("n_values")))
     return row.select(F.inline(F.array(*entries)))
 
 
