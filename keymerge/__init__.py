@@ -13,6 +13,8 @@ from .operators.entities import Link, components, entity_merge, link_pairs, reso
 from .operators.incremental import changed_keys, remerge, remerge_changed
 from .operators.merge import merge
 from .operators.quality import coverage, lineage, unresolved, unresolved_entities
+from .operators.clusters import bounded_components
+from .operators.timejoins import asof_join, interval_join, range_join
 from .operators.types import (apply_types, cast_declared, infer_column_types, infer_types, profile, split_by_type,
                               type_ranges)
 from .plans.explain import plan_report
@@ -35,7 +37,9 @@ __all__ = [
     "Contains", "Equals", "Expr", "GreaterThan", "IsNotNull", "IsNull", "LessThan", "Not", "Regex", "filter_rows",
     "select_columns",
     # entities
-    "Link", "components", "entity_merge", "link_pairs", "resolve",
+    "Link", "bounded_components", "components", "entity_merge", "link_pairs", "resolve",
+    # joins along an ordered axis
+    "asof_join", "interval_join", "range_join",
     # quality and incremental
     "coverage", "lineage", "unresolved", "unresolved_entities", "changed_keys", "remerge", "remerge_changed",
 ]

@@ -6,7 +6,7 @@ them) in full, and comes with the equivalent DuckDB SQL where one exists.
 
 # Registration order = bench order: the core merge queries first.
 from . import merge_queries  # noqa: F401,I001  (registration side effects)
-from . import type_queries, io_queries, entity_queries, quality_queries, hard_queries  # noqa: F401
+from . import type_queries, io_queries, entity_queries, quality_queries, hard_queries, join_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -251,3 +251,32 @@ SELECT * FROM m ORDER BY total_spent DESC, c_custkey LIMIT 50 OFFSET 100
 def preview_page(spark, sf):
     """A page (rows 101-150) of the merged result in a total order."""
     return preview(merge_inner(spark, sf), 50, offset=100, order_by=[F.desc("total_spent"), "c_custkey"])
+
+
+@register("payload_quoted", """
+SELECT source, doc_id, md5(text) AS said, CAST(length(text) AS INTEGER) AS n FROM documents
+""")
+def payload_quoted(spark, sf):
+    """S3 re-aimed: payloads whose fields hold quotes, separators and line breaks, a few records each."""
+    d = table(spark, sf, "documents")
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    record = F.concat_ws(",", F.col("doc_id").cast("string"), quoted, F.length("text").cast("string"))
+    # A payload holds the documents of a source and a block of eight ids.
+    payloads = d.groupBy("source", F.floor(F.col("doc_id") / 8).alias("_block")).agg(
+        F.concat(F.lit('doc_id,"te""xt",n\n'), F.concat_ws("\r\n", F.collect_list(record))).alias("payload"))
+    rows = payload_csv(payloads, "payload", "doc_id BIGINT, text STRING, n INT", keep=["source"])
+    return rows.select("source", "doc_id", F.md5("text").alias("said"), "n")
+
+
+@register("tsv_breaks", """
+SELECT lang, COUNT(*) AS n_docs, SUM(doc_id) AS ids, SUM(length(text)) AS chars, SUM(length(text) - length(replace(text, chr(10), ''))) AS breaks
+FROM documents GROUP BY lang
+""")
+def tsv_breaks(spark, sf):
+    """Fields with line breaks in quotes, written and read back typed, in splits."""
+    path = shared_scratch(spark, "breaks")
+    write(table(spark, sf, "documents").select("doc_id", "lang", "text"), path, "tsv")
+    back = read_tsv(spark, path, multi_line=True)
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    return back.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("doc_id").alias("ids"), F.sum(F.length("text")).alias("chars"),
+                                    F.sum(breaks).alias("breaks"))
