@@ -10,7 +10,7 @@ from .functions.predicates import (Contains, Equals, Expr, GreaterThan, IsNotNul
                                    filter_rows, select_columns)
 from .functions.semantic import semantic_type
 from .operators.entities import Link, components, entity_merge, link_pairs, resolve
-from .operators.incremental import changed_keys, remerge, remerge_changed
+from .operators.incremental import changed_ids, changed_keys, or_state, remerge, remerge_changed, remerge_or
 from .operators.merge import merge
 from .operators.quality import coverage, lineage, unresolved, unresolved_entities
 from .operators.clusters import bounded_components
@@ -42,4 +42,5 @@ __all__ = [
     "asof_join", "interval_join", "range_join",
     # quality and incremental
     "coverage", "lineage", "unresolved", "unresolved_entities", "changed_keys", "remerge", "remerge_changed",
+    "or_state", "remerge_or", "changed_ids",
 ]

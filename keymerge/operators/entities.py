@@ -420,7 +420,11 @@ def entity_merge(sources: TMapping[str, DataFrame], links: Sequence[Link], mappi
     sources, mappings = numeric_inputs(sources, list(mappings))
     fields = [f for m in mappings for f in m.fields]
     nodes = resolve(sources, links, fields, ids, order_by, key_fields, max_cluster_size, method, oversize, key_weights)
-    used = [s for s in _used_sources(links, key_fields)]
+    return merge_nodes(nodes, mappings, _used_sources(links, key_fields), with_size)
+
+
+def merge_nodes(nodes: DataFrame, mappings: Sequence[Mapping], used: list[str], with_size: bool = True) -> DataFrame:
+    """One row per ``entity_id`` of ``nodes``, with every mapping applied."""
     pols = [PolicyExpr(m, i) for i, m in enumerate(mappings)]
     row_order = F.struct(F.col(SRC), *[F.col(ord_col(s)) for s in used])
     aggs = []
@@ -454,16 +458,26 @@ def or_key_merge(sources: TMapping[str, DataFrame], spec: MergeSpec, order_by=No
     Output: ``entity_id``, each key as firstMatch (source order, then row
     order), then the value mappings.
     """
+    key_fields, maps = or_plan(sources, spec)
+    out = entity_merge(sources, [], maps, ids=ids, order_by=order_by, max_cluster_size=max_cluster_size,
+                       key_fields=key_fields, with_size=False, oversize=oversize)
+    return or_columns(out, spec, maps, cast)
+
+
+def or_plan(sources: TMapping[str, DataFrame], spec: MergeSpec) -> tuple[list[list[SourceField]], list[Mapping]]:
+    """The key fields of an OR-key merge, and its mappings: keys by first match, values, passed-through columns."""
+    from .merge import _passthrough_mappings
+
     km = spec.key_mappings()
     key_fields = [list(m.fields) for m in km]
     key_maps = [Mapping(m.destination, Policy("firstMatch"), m.fields) for m in km]
-    from .merge import _passthrough_mappings
+    through = [Mapping(m.destination, Policy("firstMatch"), m.fields) for m in _passthrough_mappings(spec, sources, _used_sources([], key_fields))]
+    return key_fields, key_maps + spec.value_mappings() + through
 
-    used = _used_sources([], key_fields)
-    vals = spec.value_mappings() + [Mapping(m.destination, Policy("firstMatch"), m.fields) for m in _passthrough_mappings(spec, sources, used)]
-    out = entity_merge(sources, [], key_maps + vals, ids=ids, order_by=order_by, max_cluster_size=max_cluster_size,
-                       key_fields=key_fields, with_size=False, oversize=oversize)
-    names = [ENTITY] + ([d.name for d in spec.destination] or [m.destination for m in km + vals])
+
+def or_columns(out: DataFrame, spec: MergeSpec, maps: list[Mapping], cast: bool = False) -> DataFrame:
+    """The destination's columns, cast to their declared types where asked for."""
+    names = [ENTITY] + ([d.name for d in spec.destination] or [m.destination for m in maps])
     types = {d.name: d.data_type for d in spec.destination}
     if not cast:
         return out.select(*names)

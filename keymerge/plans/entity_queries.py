@@ -186,3 +186,23 @@ def link_two_columns(spark, sf):
     c = table(spark, sf, "customer").withColumn("merged_into", F.col("c_custkey") - F.col("c_nationkey"))
     return entity_merge({"customer": c}, [Link("customer", "merged_into", "customer", "c_custkey")],
                         [M("last_customer", "max", ("customer", "c_custkey"))], ids={"customer": "c_custkey"})
+
+
+_NEW_CUSTOMER = """(SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal + 40 ELSE c_acctbal END AS c_acctbal
+                   FROM customer WHERE c_nationkey <> 7)"""
+
+
+@register("remerge_or", _OR_ORACLE.format(entity="sized.root").replace("FROM customer)", f"FROM {_NEW_CUSTOMER})"))
+def remerge_or_q(spark, sf):
+    """I1 for OR keys: one nation's customers go, another's come, a segment's balances (a key) change; equal to a full merge."""
+    from ..operators.incremental import or_state, remerge_or
+
+    c = table(spark, sf, "customer")
+    building = F.col("c_mktsegment") == "BUILDING"
+    new = c.filter("c_nationkey <> 7").withColumn("c_acctbal", F.when(building, F.col("c_acctbal") + 40).otherwise(F.col("c_acctbal")))
+    shape = [F.expr(_K1).alias("k1"), F.expr(_K2).alias("k2"), F.col("c_acctbal").cast(DEC).alias("c_acctbal")]
+    old, new = ({"customer": d.select("c_custkey", *shape)} for d in (c.filter("c_nationkey <> 5"), new))
+    ids, order = {"customer": "c_custkey"}, {"customer": "c_custkey"}
+    before, state = merge(old, _or_spec(), ids=ids, order_by=order), or_state(old, _or_spec(), ids)
+    changes = c.filter(building | F.col("c_nationkey").isin(5, 7)).select("c_custkey")
+    return _to_double(remerge_or(before, state, new, _or_spec(), {"customer": changes}, ids, order)[0], "total_bal")
