@@ -304,7 +304,7 @@ def _local_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(pid, seq, open_run[0], open_run[1], open_run[2])], columns=cols)
 
 
-def type_ranges(df: DataFrame, column: str, order_by: str, partitions: int | None = None) -> DataFrame:
+def type_ranges(df: DataFrame, column: str, order_by: str, partitions: int | None = None, penalty: int | None = None) -> DataFrame:
     """``(column, start_row, end_row, n_rows, semantic_type, confidence)``.
 
     Rows are numbered 1.. in ``order_by`` order (must be unique).  Plan:
@@ -314,6 +314,10 @@ def type_ranges(df: DataFrame, column: str, order_by: str, partitions: int | Non
     partition, so its size is bounded by the partition count, not the data);
     runs that continue across a partition edge are stitched by a small window
     over that same per-partition table.  A run is pure, so confidence is 1.0.
+
+    With ``penalty`` ranges tolerate stray values: the column is divided so that strays and
+    ``penalty`` per change of type are fewest together, and ``confidence`` is the share of the
+    type among its range's values (``segments.noisy_ranges``).
     """
     spark = df.sparkSession
     p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -348,6 +352,10 @@ def type_ranges(df: DataFrame, column: str, order_by: str, partitions: int | Non
         (F.col("_offset") + F.col("_start") + 1).alias("_s"), "_len", "semantic_type")
     out = r.groupBy("_ip", "_is").agg(
         F.min("_s").alias("start_row"), F.sum("_len").alias("n_rows"), F.min_by("semantic_type", "_s").alias("semantic_type"))
+    if penalty is not None:
+        from .segments import noisy_ranges
+
+        return noisy_ranges(out, penalty, p).select(F.lit(column).alias("column"), "*")
     return out.select(F.lit(column).alias("column"), "start_row",
                       (F.col("start_row") + F.col("n_rows") - 1).alias("end_row"), "n_rows", "semantic_type",
                       F.lit(1.0).alias("confidence"))

@@ -96,3 +96,33 @@ def try_cast_mismatch(spark, sf):
     """A text column declared as a number; failed casts are flagged, never raised."""
     c = _customers_contact(spark, sf).select("c_custkey", "contact")
     return cast_declared(c, {"contact": "number"})
+
+
+_K = len(SEMANTIC_LADDER) + 1
+_TYPE_NO = "CASE ty " + " ".join(f"WHEN '{t}' THEN {k + 1}" for k, (t, _) in enumerate(SEMANTIC_LADDER)) + f" WHEN 'text' THEN {_K} END"
+_TYPE_NAME = "CASE label " + " ".join(f"WHEN {k + 1} THEN '{t}'" for k, (t, _) in enumerate(SEMANTIC_LADDER)) + f" WHEN {_K} THEN 'text' END"
+
+
+@register("type_ranges_noisy", f"""
+WITH RECURSIVE t AS (SELECT c_custkey AS o, {duck_semantic(CONTACT)} AS ty FROM customer),
+n AS (SELECT o, ty, row_number() OVER (ORDER BY o) AS rn, row_number() OVER (PARTITION BY ty ORDER BY o) AS rk FROM t),
+g AS (SELECT MIN(rn) AS start_row, COUNT(*) AS n, {_TYPE_NO} AS ty FROM n GROUP BY ty, rn - rk),
+u AS (SELECT *, row_number() OVER (ORDER BY start_row) AS r FROM g),
+f(r, cost, back) AS (
+  SELECT 0::BIGINT, [0::HUGEINT for x in range({_K})], range(1, {_K + 1})
+  UNION ALL
+  SELECT u.r, [least(cost[j], list_min(cost) + 2) + CASE WHEN u.ty IS NULL OR u.ty = j THEN 0 ELSE u.n END for j in range(1, {_K + 1})],
+         [CASE WHEN cost[j] <= list_min(cost) + 2 THEN j ELSE list_position(cost, list_min(cost)) END for j in range(1, {_K + 1})]
+  FROM f JOIN u ON u.r = f.r + 1),
+b(r, label) AS (
+  SELECT r, list_position(cost, list_min(cost))::BIGINT FROM f WHERE r = (SELECT MAX(r) FROM u)
+  UNION ALL
+  SELECT b.r - 1, f.back[b.label] FROM b JOIN f ON f.r = b.r WHERE b.r > 1),
+l AS (SELECT u.*, label, row_number() OVER (ORDER BY u.r) - row_number() OVER (PARTITION BY label ORDER BY u.r) AS island FROM u JOIN b USING (r))
+SELECT 'contact' AS "column", MIN(start_row) AS start_row, MIN(start_row) + CAST(SUM(n) AS BIGINT) - 1 AS end_row, CAST(SUM(n) AS BIGINT) AS n_rows, {_TYPE_NAME} AS semantic_type,
+       CAST(SUM(CASE WHEN ty = label THEN n ELSE 0 END) AS DOUBLE) / CAST(SUM(CASE WHEN ty IS NOT NULL THEN n END) AS DOUBLE) AS confidence
+FROM l GROUP BY label, island
+""")
+def type_ranges_noisy(spark, sf):
+    """Ranges that tolerate stray values; a change of type costs as much as two strays."""
+    return type_ranges(_customers_contact(spark, sf), "contact", "c_custkey", penalty=2)

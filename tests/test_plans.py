@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 ARROW_ALLOWED = {"type_ranges", "type_ranges_noisy", "csv_quoting", "tsv_breaks", "payload_csv", "payload_quoted"}
 # Single-partition steps that are bounded by construction: a global ORDER BY ... LIMIT
 # (the feature), and windows over one row per partition (T7, places in a sorted result).
-BOUNDED_SINGLE = {"sql_topk", "preview_page", "type_ranges", "merge_keep_order"}
+BOUNDED_SINGLE = {"sql_topk", "preview_page", "type_ranges", "type_ranges_noisy", "merge_keep_order"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
