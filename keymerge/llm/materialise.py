@@ -79,7 +79,7 @@ def _sequences(batches: Iterator[pa.RecordBatch], vocabulary: tuple[bytes, str],
     held, doc, start = b"", None, 0  # ids not given out yet, and where they begin
     for b in batches:
         out = []
-        for d, coded in zip(b.column(0).to_pylist(), coder.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
+        for d, coded in zip(b.column(0).to_pylist(), coder.encode([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]), strict=True):
             ids = coded + end
             begin = -len(held) // 2  # of this document, before the token next given out
             if not held:
@@ -120,7 +120,9 @@ def write_training_order(docs: DataFrame, ranks_path: str, pattern: str, folder:
     rows = pick(docs, doc_id=id_col, text=text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(len(x) for x in _sequences(batches, vocabulary.value, end, length))
+        coder = byte_tokenizer(*vocabulary.value)
+        tokens = sum(coder.count([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]) + b.num_rows for b in batches)
+        n = -(-tokens // length)
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64())})
 
     # One small row per input partition.

@@ -109,7 +109,7 @@ def pack(docs: DataFrame, vocabulary_path: str, window: int = 2048, end_id: int
         part = TaskContext.get().partitionId()
         coder, packer, done = tokenizer(vocabulary.value), Packer(window, open_windows, least_cut), 0
         for b in batches:
-            for doc, ids in zip(b.column(0).to_pylist(), coder.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), coder.encode([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]), strict=True):
                 packer.add(doc, ids + end, len(ids) // 4 + 1)
             rows = _rows(packer.closed, (part << 32) + done, with_ids)
             done += len(packer.closed)

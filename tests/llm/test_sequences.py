@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from keymerge.llm import materialise, packing
 from keymerge.llm.bpe import read_ranks
 from keymerge.llm.catalog import QUERIES
-from keymerge.llm.tokens import byte_tokenizer, read_vocabulary, tokenizer
+from keymerge.llm.tokens import ByteTokenizer, WordTokenizer, _Units, byte_tokenizer, read_vocabulary, tokenizer
 from tests.llm.conftest import SF
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -26,9 +26,7 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTE
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 @pytest.fixture(scope="module")
@@ -45,7 +43,8 @@ def all_ids(library, rows):
 
 def test_words_one_by_one_equal_whole_texts(library):
     rng = random.Random(3)
-    texts = ["", "|", " | a|b ", "İstanbul ǅ ß", "á ́ b", "<|endoftext|> a", "x" * 500]
+    texts = ["", "|", " | a|b ", "İstanbul ǅ ß", "á ́ b", "<|endoftext|> a", "b<|startoftext|>C <|ENDOFTEXT|> x <|end", "x" * 500]
+    texts += ["".join(rng.choice("ab1 '.,-<|>'’s—…\n") for _ in range(rng.randint(0, 40))) for _ in range(4000)]
     texts += ["".join(rng.choice("ab '|\n\t.19é　\x1ć日st") for _ in range(rng.randint(0, 60))) for _ in range(1500)]
     got = list(tokenizer(read_vocabulary(PATH)).encode(texts))
     assert got == [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
@@ -57,6 +56,7 @@ def test_pieces_equal_whole_texts(spark, documents):
     rng = random.Random(7)
     texts = ["", " ", "  a  b ", "\n\n x", " lead", "trail ", "a\nb c\n", "x\u0085 y", "x" * 300 + " y"] + [r.text for r in documents.collect()]
     texts += ["".join(rng.choice("ab '\n\t.19\u00e9\u3000\x1c\x85\u65e5st") for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    texts += ["".join(rng.choice("ab'  \n\n\t\r.19\u00e9\x1c\u65e5s\x00\u200b.,-!\u2019\u2014<|>") for _ in range(rng.randint(0, 60))) for _ in range(6000)]
     assert list(coder.encode(texts)) == [np.array(coder.library.encode_ordinary(t), "<u2").tobytes() for t in texts]
 
 
@@ -69,13 +69,41 @@ rng = random.Random(int(sys.argv[3]))
 breaks = ["\\n", "\\r\\n", "\\n\\t", "\\x1c", "\\x85", "\\t\\n\\x1c", "\\u2028", ""]
 words = ["w%d" % k for k in range(300)] + ["s\\n\\t", "t\\n\\x1c", "\\nq", "x\\ny"]
 texts = [" ".join(rng.choice(words) + rng.choice(breaks) for _ in range(rng.randint(1, 40))) for _ in range(400)]
+texts += [" ".join(rng.choice(words) + rng.choice(breaks[:4]) for _ in range(30)) for _ in range(100)]
 texts += ["alpha beta\\nr s\\n\\tmany more plain words here and there", "ends\\n", "ends\\r\\n", "a ends\\n\\t", "b ends\\x1c"]
 wrong = [t for t, ids in zip(texts, coder.encode(texts)) if ids != np.array(coder.library.encode_ordinary(t), "<u2").tobytes()]
-wrong += [w for w, ids in coder.known.items() if ids != np.array(coder.library.encode_ordinary(" " + w), "<u2").tobytes()]
+wrong += [w for w, k in coder.number.items()
+          if w[:1] == b" " and coder.ids[coder.start[k] : coder.start[k] + coder.length[k]].tolist() != coder.library.encode_ordinary(w.decode())]
+assert len(coder.number) > 300
 assert not wrong, wrong[:3]
 """
 
 
+def test_units_survive_forgetting(monkeypatch, library):
+    from keymerge.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 40)
+    monkeypatch.setattr(tokens, "TOGETHER", 300)
+    monkeypatch.setattr(_Units._forget, "__defaults__", (20, None))
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(("w", "\n", "")) + str(rng.randint(0, 90)) + "y" * rng.choice((0, 0, 80)) for _ in range(rng.randint(0, 30))) for _ in range(200)]
+    coder = WordTokenizer(read_vocabulary(PATH))
+    assert list(coder.encode(texts)) == [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert len(coder.number) < 200 and max(map(len, coder.number)) <= tokens.LONGEST_KEPT
+    with open(RANKS[0], "rb") as f:
+        coder = ByteTokenizer(f.read(), RANKS[1])
+    assert list(coder.encode(texts)) == [np.array(coder.library.encode_ordinary(t), "<u2").tobytes() for t in texts]
+    texts += ["a\u3000 b \u2003"]
+    assert coder.count([t.encode() for t in texts]) == sum(len(coder.library.encode_ordinary(t)) for t in texts)
+
+
+def test_another_pattern_is_coded_in_whole_texts():
+    with open(RANKS[0], "rb") as f:
+        coder = ByteTokenizer(f.read(), r"\s*[\r\n]+|\S+|\s+")
+    texts = ["a b\n\n c", " x\n", ""]
+    assert list(coder.encode(texts)) == [np.array(coder.library.encode_ordinary(t), "<u2").tobytes() for t in texts]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_words_keep_their_own_ids_under_any_hash_seed(seed):
     done = subprocess.run([sys.executable, "-c", SPLIT_WORDS, *RANKS, str(seed)], env={**os.environ, "PYTHONHASHSEED": str(seed)},
