@@ -11,8 +11,10 @@ from .functions.predicates import (Contains, Equals, Expr, GreaterThan, IsNotNul
 from .functions.semantic import semantic_type
 from .operators.entities import Link, components, entity_merge, link_pairs, resolve
 from .operators.incremental import changed_ids, changed_keys, or_state, remerge, remerge_changed, remerge_or
+from .operators.lists import chunked_values, places
 from .operators.merge import merge
 from .operators.quality import coverage, lineage, unresolved, unresolved_entities
+from .operators.aggregates import Aggregate, aggregate_by, fanned_aggregate
 from .operators.clusters import bounded_components
 from .operators.timejoins import asof_join, interval_join, range_join
 from .operators.types import (apply_types, cast_declared, infer_column_types, infer_types, profile, split_by_type,
@@ -21,6 +23,7 @@ from .plans.explain import plan_report
 from .plans.run import run_plan
 from .plans.sqlmode import sql
 from .sources import load_source, load_sources, parse_source, payload_csv, preview, read_csv, read_tsv, write
+from .sources.pages import read_page, write_pages
 from .spec import DestField, Mapping, MergeSpec, Policy, SourceDef, SourceField, SpecError, validate
 
 __all__ = [
@@ -28,6 +31,7 @@ __all__ = [
     "DestField", "Mapping", "MergeSpec", "Policy", "SourceDef", "SourceField", "SpecError", "validate", "custom",
     # sources / sinks
     "load_source", "load_sources", "parse_source", "payload_csv", "preview", "read_csv", "read_tsv", "write",
+    "read_page", "write_pages",
     # merge, SQL, plans
     "merge", "sql", "run_plan", "plan_report",
     # types
@@ -38,6 +42,10 @@ __all__ = [
     "select_columns",
     # entities
     "Link", "bounded_components", "components", "entity_merge", "link_pairs", "resolve",
+    # ordered lists of keys of any size
+    "chunked_values", "places",
+    # custom aggregates with partial states
+    "Aggregate", "aggregate_by", "fanned_aggregate",
     # joins along an ordered axis
     "asof_join", "interval_join", "range_join",
     # quality and incremental

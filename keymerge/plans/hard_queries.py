@@ -206,3 +206,72 @@ SELECT o_orderstatus, o_orderpriority, 2, 2, max(o_orderkey) FROM orders GROUP B
 def sql_cube(spark, sf):
     """CUBE and GROUPING SETS in SQL mode."""
     return sql({"orders": table(spark, sf, "orders")}, _CUBE).withColumns({"g1": F.col("g1").cast("bigint"), "g2": F.col("g2").cast("bigint")})
+
+
+@register("list_chunks", """
+WITH r AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS rn FROM orders)
+SELECT o_custkey, rn // 5 AS chunk, COUNT(*) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY rn) AS orders
+FROM r GROUP BY o_custkey, rn // 5
+""")
+def list_chunks(spark, sf):
+    """P10 for keys of any size: each customer's orders by date, in chunks of at most five."""
+    from ..operators.lists import chunked_values
+
+    out = chunked_values(table(spark, sf, "orders"), ["o_custkey"], "o_orderkey", ["o_orderdate", "o_orderkey"], chunk=5)
+    return out.select("o_custkey", "chunk", "n", F.array_join(F.col("values").cast("array<string>"), ",").alias("orders"))
+
+
+@register("list_chunks_hot", """
+WITH r AS (SELECT l_returnflag, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) - 1 AS rn FROM lineitem)
+SELECT l_returnflag, rn // 1000 AS chunk, COUNT(*) AS n, md5(string_agg(CAST(l_orderkey AS VARCHAR), ',' ORDER BY rn)) AS digest
+FROM r GROUP BY l_returnflag, rn // 1000
+""")
+def list_chunks_hot(spark, sf):
+    """Three keys hold all rows; their lists in chunks of at most a thousand values."""
+    from ..operators.lists import chunked_values
+
+    out = chunked_values(table(spark, sf, "lineitem"), ["l_returnflag"], "l_orderkey", ["l_orderkey", "l_linenumber"], chunk=1000)
+    return out.select("l_returnflag", "chunk", "n", F.md5(F.array_join(F.col("values").cast("array<string>"), ",")).alias("digest"))
+
+
+@register("page_by_index", """
+WITH m AS (SELECT o_custkey, COUNT(*) AS n_orders, MAX(o_orderkey) AS last_order FROM orders GROUP BY o_custkey)
+SELECT row_number() OVER (ORDER BY n_orders DESC, o_custkey) - 1 AS _row, o_custkey, n_orders, last_order
+FROM m QUALIFY _row >= 350 AND _row < 400
+""")
+def page_by_index(spark, sf):
+    """The eighth page of fifty rows, read by the stored index."""
+    from ..sources.pages import read_page, write_pages
+
+    merged = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"), F.max("o_orderkey").alias("last_order"))
+    path = shared_scratch(spark, "pages")
+    write_pages(merged, path, [F.desc("n_orders"), "o_custkey"])
+    return read_page(spark, path, 7, 50)
+
+
+@register("custom_states", """
+WITH c AS (SELECT o.o_custkey AS k, o.o_orderpriority AS p, COUNT(*) AS n FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+           JOIN (SELECT user_id FROM events) e ON e.user_id = o.o_custkey GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, p) AS place FROM c)
+SELECT k AS o_custkey, string_agg(p || '=' || n, ',' ORDER BY place) AS top FROM r WHERE place <= 2 GROUP BY k
+""")
+def custom_states(spark, sf):
+    """Each customer's two commonest order priorities, counted once per joined row of customer, orders and events, without that join."""
+    from collections import Counter
+
+    from ..operators.aggregates import Aggregate, fanned_aggregate
+
+    def add(state, value):
+        state[value] += 1
+        return state
+
+    def merge_counts(a, b):
+        a.update(b)
+        return a
+
+    def commonest(state):
+        return ",".join(f"{v}={n}" for v, n in sorted(state.items(), key=lambda x: (-x[1], x[0]))[:2])
+
+    sources = {t: table(spark, sf, t) for t in ("orders", "customer", "events")}
+    return fanned_aggregate(sources, {"orders": ["o_custkey"], "customer": ["c_custkey"], "events": ["user_id"]}, "orders", ["o_orderpriority"],
+                            Aggregate(Counter, add, merge_counts, commonest, "string"), "top")
