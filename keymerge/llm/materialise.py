@@ -1,13 +1,14 @@
 """Training order as files: every sequence at a slot given by a keyed permutation.
 
-Documents are coded and strung together per input partition, and cut into
-sequences of equal length.  A Feistel network keyed by the epoch's key permutes
-the sequences' numbers: it permutes a range of ``4 ** k`` numbers, and numbers
-beyond the last sequence are sent through again until they fall inside
-(cycle-walking).  So each sequence knows its slot, and each slot its sequence,
-without any table.  Each range of slots is one task, which writes one shard of
-fixed-stride records; slot ``s`` lies at byte ``(s % per_shard) * stride`` of
-shard ``s // per_shard``, so reading can go on from any slot.
+Documents are coded and strung together per input partition, and cut into sequences of
+equal length.  A first pass in the JVM adds up bytes, of which a token has one at least, so
+that every partition has a range of numbers for its sequences before anything is coded.  A
+Feistel network keyed by the epoch's key permutes these numbers: it permutes a range of
+``4 ** k`` numbers, and numbers beyond the last are sent through again until they fall inside
+(cycle-walking).  So each sequence knows its place without any table.  Each range of
+places is one task, which writes its sequences in order into one shard of fixed-stride records;
+the numbers that no sequence has leave no gaps.  A sequence's slot is the number of records in the
+shards before its own and in its own before it, so reading can go on from any slot.
 """
 
 from __future__ import annotations
@@ -19,17 +20,17 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyarrow.fs import FileSystem
+from pyarrow.fs import FileSelector, FileSystem
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, shared_scratch
 from .common import pick, prepare, stored
 from .tokens import byte_tokenizer
 
-#: Tokens of a sequence, sequences of a shard (16 MB), and rounds of the network.
-LENGTH, PER_SHARD, ROUNDS = 2048, 4096, 6
+#: Tokens of a sequence, sequences of a shard (16 MB) if a token has ``TOKEN_BYTES`` bytes on average, and rounds of the network.
+LENGTH, PER_SHARD, TOKEN_BYTES, ROUNDS = 2048, 4096, 4, 6
 
 
 @dataclass(frozen=True)
@@ -98,19 +99,20 @@ def _sequences(batches: Iterator[pa.RecordBatch], vocabulary: tuple[bytes, str],
 
 def write_training_order(docs: DataFrame, ranks_path: str, pattern: str, folder: str, key: int = 0, length: int = LENGTH,
                          per_shard: int = PER_SHARD, end_id: int = 50256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the shards into ``folder`` (which all executors share) and return the manifest:
+    """Write the shards into ``folder`` (new, and shared by all executors) and return the manifest:
     ``slot, shard, byte_offset, number, first_doc_id, first_start, length, ids_crc32``, one row per sequence.
 
     A record is ``length`` ids as little-endian unsigned 16-bit integers, the last sequence
     of an input partition padded with ``end_id``; ``length`` in the manifest leaves the
-    padding out.  Every document ends with ``end_id``, which also is all that a null or empty
-    text has; repeated rows are written each; an empty table gives neither rows nor files;
-    other columns are ignored.  Texts are coded twice (once to count): that costs less
-    than to store all ids.  A file appears under its name only when it is whole, and a task
-    that runs again writes the same bytes.
-
-    ``docs`` must give the same partitions each time, as a scan of files does; if it does
-    not, the job fails.
+    padding out.  ``slot`` is gapless from 0; ``number`` follows the order of the input, with gaps.  A
+    shard is a range of places and holds about ``per_shard`` sequences if a token has ``TOKEN_BYTES``
+    bytes, fewer if it has more; empty shards have no file.  Every document ends with ``end_id``,
+    which also is all that a null or empty text has; repeated rows are written each; an empty table
+    gives neither rows nor files; other columns are ignored.  Texts are coded once.  A file
+    appears under its name only when it is whole, and a task that runs again writes the same bytes.
+
+    ``docs`` must give the same partitions each time, as a scan of files does; if one holds
+    more than was counted, the job fails.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -118,42 +120,34 @@ def write_training_order(docs: DataFrame, ranks_path: str, pattern: str, folder:
         vocabulary = spark.sparkContext.broadcast((f.read(), pattern))
     end = end_id.to_bytes(2, "little")
     rows = pick(docs, doc_id=id_col, text=text_col)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = byte_tokenizer(*vocabulary.value)
-        tokens = sum(coder.count([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]) + b.num_rows for b in batches)
-        n = -(-tokens // length)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64())})
-
     # One small row per input partition.
-    counts = dict(rows.mapInArrow(count, "part int, n long").toArrow().to_pydict().items())
-    order = sorted(zip(counts["part"], counts["n"], strict=True))
+    most = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
+    counts = rows.groupBy(F.spark_partition_id().alias("part")).agg(most.alias("n")).toArrow().to_pydict()
     first, total = {}, 0
-    for part, n in order:
-        first[part] = total, n
-        total += n
+    for part, n in sorted(zip(counts["part"], counts["n"], strict=True)):
+        first[part] = total, -(-n // length)
+        total += first[part][1]
     before, permutation = spark.sparkContext.broadcast(first), Permutation(total, key)
+    width = per_shard * TOKEN_BYTES  # places of a shard
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, expected = before.value.get(TaskContext.get().partitionId(), (0, 0))
+        at, room = before.value.get(TaskContext.get().partitionId(), (0, 0))
         done = 0
         for found in _sequences(batches, vocabulary.value, end, length):
             number = np.arange(at + done, at + done + len(found))
             done += len(found)
-            if done > expected:
-                break
+            if done > room:
+                raise RuntimeError("the input's partitions changed between two reads")
             ids, n, doc, start = zip(*found, strict=True) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(permutation.slot(number)), pa.array(number), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
-                ["slot", "number", "first_doc_id", "first_start", "length", "ids"])
-        if done != expected:
-            raise RuntimeError("the input's partitions changed between two reads")
+                ["place", "number", "first_doc_id", "first_start", "length", "ids"])
 
     stride = 2 * length
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = FileSystem.from_uri(folder)
-        stream, temp, shard, name = None, "", -1, ""
+        stream, temp, shard, name, row = None, "", -1, "", 0
 
         def close() -> None:
             if stream is not None:
@@ -161,28 +155,39 @@ def write_training_order(docs: DataFrame, ranks_path: str, pattern: str, folder:
                 fs.move(temp, name)
 
         for b in batches:
-            slot = b.column(0).to_numpy()
-            sums = []
-            for s, n, ids in zip(slot.tolist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
-                if s // per_shard != shard:
+            shards, at, sums = [], [], []
+            for p, n, ids in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
+                if p // width != shard:
                     close()
-                    shard = s // per_shard
-                    name = f"{root}/shard-{shard:08d}.bin"
+                    shard, row = p // width, 0
+                    name = _shard_name(root, shard)
                     temp = f"{name}.{uuid4().hex}.part"
                     stream = fs.open_output_stream(temp)
                 stream.write(ids + end * (length - n))
+                shards.append(shard)
+                at.append(row * stride)
                 sums.append(crc32(ids))
+                row += 1
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(slot // per_shard), pa.array(slot % per_shard * stride), b.column(1), b.column(2), b.column(3), b.column(4), pa.array(sums, pa.int64())],
-                ["slot", "shard", "byte_offset", "number", "first_doc_id", "first_start", "length", "ids_crc32"])
+                [pa.array(shards, pa.int64()), pa.array(at, pa.int64()), b.column(1), b.column(2), b.column(3), b.column(4), pa.array(sums, pa.int64())],
+                ["shard", "byte_offset", "number", "first_doc_id", "first_start", "length", "ids_crc32"])
         close()
 
     fs, root = FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
-    dealt = (rows.mapInArrow(place, "slot long, number long, first_doc_id long, first_start long, length long, ids binary")
-             .repartitionById(max(1, -(-total // per_shard)), F.floor(F.col("slot") / per_shard).cast("int"))
-             .sortWithinPartitions("slot"))
-    return stored(dealt.mapInArrow(write, "slot long, shard long, byte_offset long, number long, first_doc_id long, first_start long, length long, ids_crc32 long"), "manifest")
+    dealt = (rows.mapInArrow(place, "place long, number long, first_doc_id long, first_start long, length long, ids binary")
+             .repartitionById(max(1, -(-total // width)), F.floor(F.col("place") / width).cast("int"))
+             .sortWithinPartitions("place"))
+    manifest = stored(dealt.mapInArrow(write, "shard long, byte_offset long, number long, first_doc_id long, first_start long, length long, ids_crc32 long"), "manifest")
+    # One row per shard.
+    sizes = manifest.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    starts = stored(sizes.withColumn("before", F.sum("n").over(Window.orderBy("shard")) - F.col("n")).select("shard", "before"), "starts")
+    slot = (F.col("before") + F.col("byte_offset") / stride).cast("long")
+    return manifest.join(F.broadcast(starts), "shard").select(slot.alias("slot"), *manifest.columns)
+
+
+def _shard_name(root: str, shard: int) -> str:
+    return f"{root}/shard-{shard:08d}.bin"
 
 
 def training_folder(spark) -> str:
@@ -192,17 +197,19 @@ def training_folder(spark) -> str:
     return path if "://" in path or path.startswith("file:") else f"file://{path}"
 
 
-def read_slots(folder: str, slot: int, count: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> Iterator[np.ndarray]:
-    """The sequences of slots ``slot`` to ``slot + count``, read one after another (to resume at a slot, begin there)."""
+def read_slots(folder: str, slot: int, count: int, length: int = LENGTH) -> Iterator[np.ndarray]:
+    """The sequences of slots ``slot`` to ``slot + count``, read one after another (to resume at a slot, begin there).
+
+    The sizes of the files say which slots a shard holds.
+    """
     fs, root = FileSystem.from_uri(folder)
-    stride, last = 2 * length, slot + count
-    while slot < last:
-        shard = slot // per_shard
-        with fs.open_input_file(f"{root}/shard-{shard:08d}.bin") as f:
-            f.seek(slot % per_shard * stride)
-            while slot < min(last, (shard + 1) * per_shard):
-                raw = f.read(stride)
-                if len(raw) < stride:
-                    return
-                yield np.frombuffer(raw, "<u2")
-                slot += 1
+    stride, last, before = 2 * length, slot + count, 0
+    for info in sorted((f for f in fs.get_file_info(FileSelector(root)) if f.path.endswith(".bin")), key=lambda f: f.path):
+        held = info.size // stride
+        if slot < min(last, before + held):
+            with fs.open_input_file(info.path) as f:
+                f.seek((slot - before) * stride)
+                while slot < min(last, before + held):
+                    yield np.frombuffer(f.read(stride), "<u2")
+                    slot += 1
+        before += held

@@ -23,7 +23,7 @@ CACHE_WORDS = 600_000
 #: Longer units (in bytes) are coded each time, so that the kept ones stay small.
 LONGEST_KEPT = 64
 #: Bytes of texts taken together, and new words coded by one call.
-TOGETHER, CALL = 4_000_000, 1024
+TOGETHER, CALL = 2_000_000, 1024
 #: Stands between words in a call: a mark that is one token by itself and joins nothing beyond white space.
 MARK = "|"
 #: Begins each text in a buffer; no byte of UTF-8.
@@ -47,7 +47,6 @@ class _Units:
 
     def __init__(self):
         self.number: dict[bytes, int] = {}
-        self.long = False
         self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.id_type)
 
     def bounds(self, raw: np.ndarray) -> np.ndarray:
@@ -85,23 +84,23 @@ class _Units:
         known = len(self.number)
         numbers = np.array([-1 if n is None else n for n in map(self.number.get, units)], np.int64)
         unknown = np.flatnonzero(numbers < 0)
-        new = [units[k] for k in unknown.tolist()]
-        if new:
+        if len(unknown):
+            # Long units come last, as they are dropped after this part.
+            unknown = unknown[np.argsort([len(units[k]) > LONGEST_KEPT for k in unknown.tolist()], kind="stable")]
+            new = [units[k] for k in unknown.tolist()]
             found = self.learn(new)
             numbers[unknown] = np.arange(known, known + len(new))
             size = np.array([len(x) for x in found], np.int64) // self.ids.itemsize
             self.start = np.append(self.start, len(self.ids) + np.cumsum(size) - size)
             self.length = np.append(self.length, size)
             self.ids = np.append(self.ids, np.frombuffer(b"".join(found), self.id_type))
-            self.number.update(zip(new, range(known, known + len(new)), strict=True))
-        self.long = self.long or bool(new) and max(map(len, new)) > LONGEST_KEPT
+            self.number.update(zip((u for u in new if len(u) <= LONGEST_KEPT), range(known, known + len(new))))
         return begin, numbers[coded.indices.to_numpy(zero_copy_only=False)]
 
     def _settle(self) -> None:
         """Drop long units after a part."""
-        if self.long:
-            self.long = False
-            self._forget(len(self.number), LONGEST_KEPT)
+        if (keep := len(self.number)) < len(self.start):
+            self.ids, self.start, self.length = self.ids[: self.start[keep]], self.start[:keep], self.length[:keep]
 
     def _encode(self, texts: list[bytes]) -> Iterator[bytes]:
         begin, at = self._numbered(texts)
@@ -112,14 +111,12 @@ class _Units:
         for a, b in zip(until[first[:-1]].tolist(), until[first[1:]].tolist(), strict=True):
             yield ids[a:b].tobytes()
 
-    def _forget(self, keep: int = CACHE_WORDS // 2, longest: int | None = None) -> None:
-        """Keep the units met last, without the long ones."""
-        left = [(u, n) for u, n in self.number.items() if n >= len(self.number) - keep and (longest is None or len(u) <= longest)]
-        at = np.array([n for _, n in left], np.int64)
-        self.ids = _laid(self.ids, self.start[at], self.length[at])
-        self.length = self.length[at]
-        self.start = np.cumsum(self.length) - self.length
-        self.number = {u: k for k, (u, _) in enumerate(left)}
+    def _forget(self) -> None:
+        """Keep the half of the units that was met last."""
+        cut = len(self.number) // 2
+        at = self.start[cut]
+        self.ids, self.start, self.length = self.ids[at:].copy(), self.start[cut:] - at, self.length[cut:].copy()
+        self.number = {u: n - cut for u, n in self.number.items() if n >= cut}
 
 
 def _laid(ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
