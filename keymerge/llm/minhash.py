@@ -155,7 +155,7 @@ def _likely(classes: DataFrame, least: float) -> DataFrame:
 
     In each bucket all members are held against the smallest: a row for each member, however
     large the bucket is.  Those too unlike it (few: sharing a band by chance) are compared
-    with each other in tasks of bounded size, by their signatures alone.
+    with each other, and with the members like it, in tasks of bounded size, by their signatures alone.
     """
     prints = classes.select("node", "prints")
     members = classes.select("node", F.explode("keys").alias("key"))
@@ -187,7 +187,48 @@ def _likely(classes: DataFrame, least: float) -> DataFrame:
                     b.append(node[s + y])
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return near.unionByName(rows.groupBy("task", "i", "j").applyInArrow(compare, "a binary, b binary"))
+    apart = rows.groupBy("task", "i", "j").applyInArrow(compare, "a binary, b binary")
+    return near.unionByName(apart).unionByName(_across(stars, pairs, prints, least))
+
+
+def _across(stars: DataFrame, pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
+    """Links ``(a, b)`` of each member unlike its bucket's smallest to a member that is like it.
+
+    Those like it are linked with each other through it, so one link for each block of them is enough.
+    Every block of the unlike is compared with every block of the like: few of the first mean few
+    copies of the second.
+    """
+    sorted_out = stars.filter("n > 2").join(pairs, ["node", "leader"]).select("node", "key", "near")
+    counts = sorted_out.groupBy("key").agg(F.count_if("near").alias("like"), F.count_if(~F.col("near")).alias("unlike")).filter("like > 0 and unlike > 0")
+    members = stored(sorted_out.join(counts, "key").join(prints, "node"), "across")
+    tasks = max(1, members.count() // BLOCK)
+    blocks = {c: F.ceil(F.col(c) / BLOCK).cast("int") for c in ("like", "unlike")}
+    own = {c: F.pmod(F.hash("node"), n) for c, n in blocks.items()}
+    every = {c: F.sequence(F.lit(0), n - 1) for c, n in blocks.items()}
+    task = F.when(F.col("like") + F.col("unlike") > BLOCK, F.hex("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(tasks)).cast("string"))
+    rows = members.select("node", "key", "near", "prints", task.alias("task"), F.explode(F.when(F.col("near"), F.array(own["like"])).otherwise(every["like"])).alias("i"), "unlike")
+    rows = rows.withColumn("j", F.explode(F.when(F.col("near"), every["unlike"]).otherwise(F.array(own["unlike"])))).drop("unlike")
+
+    def compare(group: pa.Table) -> pa.Table:
+        a, b = [], []
+        g = group.sort_by([("key", "ascending"), ("near", "ascending"), ("node", "ascending")])
+        node, key, like = g.column("node").to_pylist(), g.column("key").to_numpy(), g.column("near").to_numpy()
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])).tolist() + [len(node)]
+        prints = np.frombuffer(b"".join(g.column("prints").to_pylist()), np.uint16).reshape(len(node), -1)
+        for s, e in zip(starts, starts[1:], strict=False):
+            first = s + int((~like[s:e]).sum())  # of the like ones
+            if s == first or first == e:
+                continue
+            agree = np.zeros((first - s, e - first), np.uint8)
+            for c in range(prints.shape[1]):
+                agree += prints[s:first, None, c] == prints[None, first:e, c]
+            best = agree.argmax(axis=1)
+            for x in np.flatnonzero(agree[np.arange(first - s), best] >= least * SLOTS).tolist():
+                a.append(node[s + x])
+                b.append(node[first + int(best[x])])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return rows.groupBy("task", "i", "j").applyInArrow(compare, "a binary, b binary")
 
 
 def _in_blocks(rows: DataFrame, group: str, tasks: int) -> DataFrame:

@@ -46,7 +46,7 @@ _SHAPE = bytes.maketrans(bytes(range(256)), bytes(
 
 def shape(word: bytes) -> bytes:
     """Letters, capitals, digits and marks, runs shortened: ``The,`` -> ``Aa,``."""
-    return _RUNS.sub(rb"\1", word[:40].translate(_SHAPE))
+    return _RUNS.sub(rb"\1", word.translate(_SHAPE))
 
 
 class Features:

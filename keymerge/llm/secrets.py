@@ -95,11 +95,11 @@ def describe(found: DataFrame) -> DataFrame:
     """``found`` with the columns ``FEATURES``."""
     c, path = F.col("candidate"), F.lower(F.coalesce("path", F.lit("")))
     words = "|".join(sorted((w for w in WORDS.split() if len(w) > 2), key=lambda w: (-len(w), w)))
-    longest = F.array_max(F.transform(F.regexp_extract_all(F.substring(c, 1, 256), F.lit(r"[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+"), 0), F.length))
+    longest = F.array_max(F.transform(F.regexp_extract_all(c, F.lit(r"[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+"), 0), F.length))
     yes = lambda x: F.coalesce(x, F.lit(False)).cast("double")
     columns = {
         "length": F.log1p(F.length(c)), "digits": _share("[0-9]"), "capitals": _share("[A-Z]"), "marks": _share("[^A-Za-z0-9]"),
-        "distinct": F.size(F.array_distinct(F.split(F.substring(c, 1, 256), ""))) / F.least(F.length(c), F.lit(256)),
+        "distinct": F.size(F.array_distinct(F.transform(F.split(c, ""), F.ascii))) / F.length(c),  # as numbers: in linear time
         "changes": _changes("[a-z]", "[A-Z]", "[0-9]", "[^a-zA-Z0-9\\x01-\\x03]"),
         "vowel_changes": _changes("[aeiouAEIOU]", "[b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z]", "[^a-zA-Z\\x01\\x02]"),
         "longest_same": F.coalesce(longest, F.lit(0)) / F.length(c),

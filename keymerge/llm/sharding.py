@@ -178,12 +178,16 @@ def _frame(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
 
 
 def _with_slots(placed: DataFrame) -> DataFrame:
-    """Number the rows of each shard from 0: within buckets of some rows, on top of the buckets before."""
+    """Number the rows of each shard from 0: within buckets of some rows, on top of the buckets before.
+
+    Rows are dealt to buckets by a number of their own, written once, so that many rows of one id,
+    of none, or alike in all go to many buckets.
+    """
     from pyspark.sql import Window
 
-    n = placed.count()
-    buckets = max(1, -(-n // SLOT_ROWS))
-    cut = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    cut = stored(placed.withColumn("_row", F.monotonically_increasing_id()), "placed")
+    buckets = max(1, -(-cut.count() // SLOT_ROWS))
+    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "_row"), F.lit(buckets)).cast("int")).drop("_row")
     counts = stored(cut.groupBy("shard", "bucket").agg(F.count("*").alias("n")), "buckets")
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select("shard", "bucket", F.coalesce("before", F.lit(0)).alias("before"))

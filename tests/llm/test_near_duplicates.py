@@ -189,3 +189,43 @@ def test_plan_grows_with_the_table():
     assert lattice.plan(1000, 64).points == 1
     big = lattice.plan(10**9, 64)
     assert big.points > 1 and big.tables > lattice.plan(1000, 64).tables
+
+
+def test_recall_just_above_the_threshold(spark):
+    """Pairs of similarity 0.80 to 0.86 by random edits, each pair with words of its own: nearly all are linked, none below."""
+    rng = np.random.default_rng(17)
+    rows, wanted = [], 0
+    for p in range(320):
+        words = [f"p{p}w{i}" for i in range(120)]
+        other = list(words)
+        for k in rng.choice(120, rng.integers(4, 8), replace=False):
+            other[k] = f"p{p}x{k}"
+        rows += [(2 * p, " ".join(words)), (2 * p + 1, " ".join(other))]
+    sets, component = brute(rows, 2)
+    wanted = sum(component[2 * p + 1] == 2 * p for p in range(320))
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()}
+    hit = sum(found[2 * p + 1] == 2 * p for p in range(320) if component[2 * p + 1] == 2 * p)
+    assert wanted > 100 and hit >= 0.99 * wanted
+    assert all(found[i] == i for i, c in component.items() if c == i)
+
+
+def test_members_unlike_the_first_meet_members_like_it(spark, monkeypatch):
+    """One bucket: x is like the first member, y is like x alone; blocks of two so that several are compared."""
+    monkeypatch.setattr(minhash, "BLOCK", 2)
+    rng = np.random.default_rng(2)
+    first = rng.integers(0, 60000, minhash.SLOTS).astype(np.uint16)
+    rows, key = [], bytearray(b"\x00" * 16)
+
+    def mixed(a, share):
+        out = a.copy()
+        out[: int(len(a) * (1 - share))] = rng.integers(0, 60000, int(len(a) * (1 - share)))
+        return out
+
+    like = [mixed(first, 0.9) for _ in range(5)]
+    unlike = [mixed(first, 0.1), np.concatenate([like[3][:40], rng.integers(0, 60000, 24).astype(np.uint16)])]
+    for i, s in enumerate([first, *like, *unlike]):
+        key[0] = i
+        rows.append((bytes(key), s.tobytes(), [7]))
+    classes = spark.createDataFrame(rows, "node binary, prints binary, keys array<long>")
+    links = {tuple(sorted((bytes(r.a)[0], bytes(r.b)[0]))) for r in minhash._likely(classes, 0.55).collect()}
+    assert {(0, k) for k in range(1, 6)} <= links and (4, 7) in links and not any(6 in x for x in links)

@@ -133,3 +133,7 @@ def test_classifier_on_odd_tables(spark, odd, empty):
     assert quality_model.classify(empty, labels).count() == 0
     model = quality_model.train(odd, labels)
     assert quality_model.keep_good(odd, model).columns == odd.columns
+
+
+def test_shape_reads_the_whole_word():
+    assert quality_model.shape(b"a" * 50 + b"!9") == b"a!0" and quality_model.shape("é".encode() * 60 + b"X") == b"aA"

@@ -97,3 +97,11 @@ def test_odd_tables(odd, empty):
     assert {r.doc_id for r in rows if r.assigned} == {10}
     assert secrets.scan(empty).count() == 0
     assert secrets.redact(odd, secrets.scan(odd)).count() == odd.count()
+
+
+def test_long_candidates_are_described_whole(spark):
+    long = "ab1" * 100 + "Z" * 300
+    docs = spark.createDataFrame([(1, f"token = {long}", "a.py")], "doc_id long, text string, source string")
+    r = secrets.describe(secrets.candidates(docs).withColumn("path", F.lit("a.py"))).first()
+    assert r.candidate == long
+    assert abs(r.longest_same - 300 / 600) < 1e-9 and abs(r.distinct - 4 / 600) < 1e-9

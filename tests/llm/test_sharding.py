@@ -76,3 +76,14 @@ def test_odd_tables(odd, empty):
     assert len(rows) == odd.count() and {r.shard for r in rows} <= {0, 1, 2}
     assert {r.size for r in rows if r.doc_id in (2, 3)} == {16}
     assert sharding.shard(empty).count() == 0
+
+
+def test_many_rows_of_one_id_fill_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 20)
+    rows = [(7, f"text {k % 40}") for k in range(600)] + [(None, "none")] * 100 + [(k, f"other {k}") for k in range(1000, 1100)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 800
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
