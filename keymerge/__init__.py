@@ -10,6 +10,7 @@ from .functions.predicates import (Contains, Equals, Expr, GreaterThan, IsNotNul
                                    filter_rows, select_columns)
 from .functions.semantic import semantic_type
 from .operators.entities import Link, components, entity_merge, link_pairs, resolve
+from .operators.evidence import explain_entities, link_edges, link_paths
 from .operators.incremental import changed_ids, changed_keys, or_state, remerge, remerge_changed, remerge_or
 from .operators.lists import chunked_values, places
 from .operators.merge import merge
@@ -48,6 +49,8 @@ __all__ = [
     "Aggregate", "aggregate_by", "fanned_aggregate",
     # joins along an ordered axis
     "asof_join", "interval_join", "range_join",
+    # why rows are one entity
+    "explain_entities", "link_edges", "link_paths",
     # quality and incremental
     "coverage", "lineage", "unresolved", "unresolved_entities", "changed_keys", "remerge", "remerge_changed",
     "or_state", "remerge_or", "changed_ids",

@@ -206,3 +206,35 @@ def remerge_or_q(spark, sf):
     before, state = merge(old, _or_spec(), ids=ids, order_by=order), or_state(old, _or_spec(), ids)
     changes = c.filter(building | F.col("c_nationkey").isin(5, 7)).select("c_custkey")
     return _to_double(remerge_or(before, state, new, _or_spec(), {"customer": changes}, ids, order)[0], "total_bal")
+
+
+@register("entity_links", """
+WITH c AS (SELECT c_custkey * 2 AS id, c_custkey AS k FROM customer),
+o AS (SELECT o_orderkey * 2 + 1 AS id, o_custkey AS k, o_orderkey FROM orders),
+n AS (SELECT id, k, 0 AS side FROM c UNION ALL SELECT id, k, 1 FROM o),
+s AS (SELECT k, MIN(id) AS first FROM n GROUP BY k HAVING MIN(side) = 0 AND MAX(side) = 1)
+SELECT first AS entity_id, id AS _row_id, first AS parent, 0 AS link, CAST(k AS VARCHAR) AS value, 1 AS depth
+FROM n JOIN s USING (k) WHERE id <> first
+""")
+def entity_links(spark, sf):
+    """Q5: for each customer and order that is not the first row of its entity, the link that joins it to one nearer to that."""
+    from ..operators.evidence import explain_entities
+
+    sources = {"customer": table(spark, sf, "customer"), "orders": table(spark, sf, "orders")}
+    return explain_entities(sources, [Link("customer", "c_custkey", "orders", "o_custkey")], ids={"customer": "c_custkey", "orders": "o_orderkey"})
+
+
+@register("entity_links_or", """
+WITH RECURSIVE c AS (SELECT c_custkey AS id, c_nationkey, c_custkey - c_nationkey AS into_id FROM customer),
+e AS (SELECT c.id, c.into_id AS parent FROM c JOIN c p ON p.id = c.into_id WHERE c.into_id <> c.id),
+v AS (SELECT parent AS k, id, 0 AS side FROM e UNION ALL SELECT parent, parent, 1 FROM e),
+r(id, at_id, depth) AS (SELECT id, parent, 1 FROM e UNION ALL SELECT r.id, e.parent, depth + 1 FROM r JOIN e ON e.id = r.at_id)
+SELECT MIN(at_id) AS entity_id, r.id AS _row_id, e.parent, 0 AS link, CAST(e.parent AS VARCHAR) AS value, CAST(MAX(depth) AS INTEGER) AS depth
+FROM r JOIN e ON e.id = r.id GROUP BY r.id, e.parent
+""")
+def entity_links_or(spark, sf):
+    """Q5: chains of customers, each linked to the one that its row names: parents and number of links to the first."""
+    from ..operators.evidence import explain_entities
+
+    c = table(spark, sf, "customer").withColumn("merged_into", F.col("c_custkey") - F.col("c_nationkey"))
+    return explain_entities({"customer": c}, [Link("customer", "merged_into", "customer", "c_custkey")], ids={"customer": "c_custkey"})

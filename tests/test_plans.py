@@ -7,8 +7,8 @@ from keymerge.plans.catalog import QUERIES
 from keymerge.plans.explain import plan_report
 
 SF = "/root/testdata/sf0.001"
-# Arrow-batched passes: runs within a range partition (T7), records by quote state (S1-S3), Python states.
-ARROW_ALLOWED = {"type_ranges", "type_ranges_noisy", "csv_quoting", "tsv_breaks", "payload_csv", "payload_quoted", "custom_states"}
+# Arrow-batched passes: runs within a range partition (T7), records by quote state (S1-S3), Python states (P13), searches within an entity (Q5).
+ARROW_ALLOWED = {"type_ranges", "type_ranges_noisy", "csv_quoting", "tsv_breaks", "payload_csv", "payload_quoted", "custom_states", "entity_links", "entity_links_or"}
 # Single-partition steps that are bounded by construction: a global ORDER BY ... LIMIT
 # (the feature), and windows over one row per partition (T7, places in a sorted result).
 BOUNDED_SINGLE = {"sql_topk", "preview_page", "type_ranges", "type_ranges_noisy", "merge_keep_order"}
