@@ -17,6 +17,7 @@ from .operators.merge import merge
 from .operators.quality import coverage, lineage, unresolved, unresolved_entities
 from .operators.aggregates import Aggregate, aggregate_by, fanned_aggregate
 from .operators.clusters import bounded_components
+from .operators.states import apply_changes, finish_states, merge_states
 from .operators.timejoins import asof_join, interval_join, range_join
 from .operators.types import (apply_types, cast_declared, infer_column_types, infer_types, profile, split_by_type,
                               type_ranges)
@@ -53,5 +54,5 @@ __all__ = [
     "explain_entities", "link_edges", "link_paths",
     # quality and incremental
     "coverage", "lineage", "unresolved", "unresolved_entities", "changed_keys", "remerge", "remerge_changed",
-    "or_state", "remerge_or", "changed_ids",
+    "or_state", "remerge_or", "changed_ids", "merge_states", "apply_changes", "finish_states",
 ]

@@ -275,3 +275,37 @@ def custom_states(spark, sf):
     sources = {t: table(spark, sf, t) for t in ("orders", "customer", "events")}
     return fanned_aggregate(sources, {"orders": ["o_custkey"], "customer": ["c_custkey"], "events": ["user_id"]}, "orders", ["o_orderpriority"],
                             Aggregate(Counter, add, merge_counts, commonest, "string"), "top")
+
+
+@register("remerge_states", """
+WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate, o_orderpriority,
+                  CASE WHEN o_orderstatus = 'P' THEN CAST(o_totalprice AS DECIMAL(18,2)) + 10 ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS price
+           FROM orders WHERE o_orderpriority <> '5-LOW')
+SELECT c.c_custkey, arg_min(c.c_name, c.c_custkey) AS c_name, CAST(COALESCE(SUM(price), 0) AS DOUBLE) AS total, COUNT(price) AS n,
+       CAST(SUM(price) AS DOUBLE) / COUNT(price) AS mean, CAST(MIN(price) AS DOUBLE) AS low, MAX(o_orderdate) AS last_date,
+       arg_min(o_orderpriority, o_orderkey) AS first_priority, arg_max(o_orderpriority, o_orderkey) AS last_priority
+FROM customer c LEFT JOIN o ON c.c_custkey = o.o_custkey GROUP BY c.c_custkey
+""")
+def remerge_states(spark, sf):
+    """One priority's orders go, the prices of a status change, by signed changes to stored states; equal to a full merge."""
+    from ..operators.states import SIGN, apply_changes, merge_states
+
+    spec = MergeSpec.build(["c_custkey"], [
+        M("c_custkey", "firstMatch", ("customer", "c_custkey"), ("orders", "o_custkey")),
+        M("c_name", "firstMatch", ("customer", "c_name")),
+        M("total", "sum", ("orders", "o_totalprice")),
+        M("n", "count", ("orders", "o_totalprice")),
+        M("mean", "average", ("orders", "o_totalprice")),
+        M("low", "min", ("orders", "o_totalprice")),
+        M("last_date", "max", ("orders", "o_orderdate")),
+        M("first_priority", "firstMatch", ("orders", "o_orderpriority")),
+        M("last_priority", "lastMatch", ("orders", "o_orderpriority")),
+    ])
+    orders = table(spark, sf, "orders").withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)"))
+    sources, order = {"customer": table(spark, sf, "customer"), "orders": orders}, {"customer": "c_custkey", "orders": "o_orderkey"}
+    before, states = merge(sources, spec, how="left", order_by=order), merge_states(sources, spec, order)
+    gone = orders.filter("o_orderpriority = '5-LOW' OR o_orderstatus = 'P'").withColumn(SIGN, F.lit(-1))
+    came = (orders.filter("o_orderpriority <> '5-LOW' AND o_orderstatus = 'P'")
+            .withColumn("o_totalprice", (F.col("o_totalprice") + 10).cast("decimal(18,2)")).withColumn(SIGN, F.lit(1)))
+    out, _ = apply_changes(before, states, sources, spec, {"orders": gone.unionByName(came)}, how="left", order_by=order)
+    return out.withColumns({c: F.col(c).cast("double") for c in ("total", "low")})
