@@ -58,15 +58,19 @@ def remerge_stream(changes: DataFrame, source_id: str, current_sources: Callable
     return w.start()
 
 
+def _batches(spark: SparkSession, folder: str) -> int:
+    """Completed batches under ``folder``, in whatever file system it is."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{EPOCH}=*/_SUCCESS")
+    return len(done.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(done) or [])
+
+
 def current_table(spark: SparkSession, base: DataFrame, out_path: str, spec: MergeSpec) -> DataFrame:
     """The merged table as of the last completed batch: latest row per key, tombstones removed."""
     keys = list(spec.keys)
-    try:
-        upd = spark.read.parquet(f"{out_path.rstrip('/')}/updates")
-    except Exception as e:  # noqa: BLE001 - no batch written yet
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return base
-        raise
+    folder = f"{out_path.rstrip('/')}/updates"
+    if not _batches(spark, folder):
+        return base
+    upd = spark.read.parquet(folder)
     cols = [c for c in base.columns if c not in keys]
     latest = upd.groupBy(*keys).agg(F.max_by(F.struct(*cols, DELETED), EPOCH).alias("_r"))
     latest = latest.select(*keys, "_r.*")
