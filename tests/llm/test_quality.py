@@ -137,3 +137,37 @@ def test_classifier_on_odd_tables(spark, odd, empty):
 
 def test_shape_reads_the_whole_word():
     assert quality_model.shape(b"a" * 50 + b"!9") == b"a!0" and quality_model.shape("é".encode() * 60 + b"X") == b"aA"
+
+
+def brute_fences(stats, min_group):
+    """Quantiles of binned values by sorting them, group by group."""
+    q = quality_rules
+    parts = {"symbol_ratio": ("n_symbols", "word_chars"), "dup_line_ratio": ("n_dup_lines", "n_lines"), "repeat_ratio": ("n_repeat_words", "n_words"),
+             "mark_ratio": ("n_marks", "word_chars"), "upper_ratio": ("n_upper", "n_letters")}
+    ratio = {k: [r[a] / max(r[b], 1) for r in stats] for k, (a, b) in parts.items()}
+
+    def fence(metric, rows):
+        values = np.array(sorted(ratio[metric][i] for i in rows))
+        binned = np.where(values < q.SMALLEST, 0.0, q.GAMMA ** np.ceil(np.log(np.maximum(values, q.SMALLEST)) / np.log(q.GAMMA)))
+        q1, q3, q9 = (binned[int(np.ceil(x * len(binned))) - 1] for x in (0.25, 0.75, 0.9))
+        least, most = q.SLACK[metric]
+        return q3 + max(q.SPREAD * (q3 - q1), min(most, max(least, q.TAIL * (q9 - q1))))
+
+    by = {}
+    for i, r in enumerate(stats):
+        for key in ((r.lang, r.source), r.lang, "all of them"):
+            by.setdefault(key, []).append(i)
+    kept = []
+    for i, r in enumerate(stats):
+        rows = next(by[k] for k in ((r.lang, r.source), r.lang, "all of them") if len(by[k]) >= min_group or k == "all of them")
+        broken = [m for m in parts if ratio[m][i] > fence(m, rows)]
+        kept.append((r.doc_id, not broken and r.n_words >= 50 and 100 * r.n_repeat_words <= 50 * r.n_words, ",".join(broken)))
+    return sorted(kept)
+
+
+def test_verdicts_equal_brute_force(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    stats = quality_rules.document_stats(docs).collect()
+    for min_group in (10, 100):
+        got = sorted((r.doc_id, r.kept, r.broken) for r in quality_rules.apply_rules(docs, min_group).collect())
+        assert got == brute_fences(stats, min_group)
