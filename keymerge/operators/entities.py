@@ -62,7 +62,8 @@ class Link:
     * ``kind="semantic"`` (E3): equal *derived* values, ``derive`` names one of
       ``DERIVATIONS`` or is a ``Column -> Column`` function.
     * ``kind="fuzzy"`` (E2): similarity ``100 * (1 - lev / max_len) >= threshold``
-      within equal ``block_on`` values (a block column on each side).
+      within equal ``block_on`` values (a block column on each side); without blocks only if
+      ``compare_all`` says so, as all distinct values are then one block.
 
     ``weight`` says how strong the link is where clusters are split (``oversize="split"``).
     A link between two columns of one source joins the rows whose left value is another's right value.
@@ -77,6 +78,11 @@ class Link:
     block_on: tuple[str, str] | None = None
     derive: str | Callable[[Column], Column] | None = None
     weight: float = 1.0
+    compare_all: bool = False
+
+    def __post_init__(self):
+        if self.kind == "fuzzy" and not self.block_on and not self.compare_all:
+            raise SpecError("a fuzzy link needs block_on; with compare_all=True all values are one block")
 
     def is_self(self) -> bool:
         return self.left == self.right and self.left_on == self.right_on

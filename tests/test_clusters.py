@@ -69,7 +69,7 @@ def test_fuzzy_links_are_cut_by_similarity(spark):
 
     names = ["anna berg", "anna berk", "anne berk", "anne birk", "otto moll", "otto moll", "otto mohl"]
     df = spark.createDataFrame(list(enumerate(names)), "id long, name string")
-    link = Link("s", "name", "s", "name", kind="fuzzy", threshold=75)
+    link = Link("s", "name", "s", "name", kind="fuzzy", threshold=75, compare_all=True)
     whole = {r[0]: r[1] for r in resolve({"s": df}, [link], ids={"s": "id"}).select("_row_id", "entity_id").collect()}
     assert whole == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 4, 6: 4}
     cut = {r[0]: r[1] for r in resolve({"s": df}, [link], ids={"s": "id"}, max_cluster_size=2, oversize="split").select("_row_id", "entity_id").collect()}
@@ -84,6 +84,16 @@ def test_two_columns_of_one_source(spark):
     got = {r[0]: r[1] for r in resolve({"s": df}, [Link("s", "l", "s", "r")], ids={"s": "id"}).select("_row_id", "entity_id").collect()}
     # 1-2 by b, 3-8 by c, 4-5 by d; two equal values on the left alone link nothing.
     assert got == {1: 1, 2: 1, 3: 3, 8: 3, 4: 4, 5: 4, 6: 6, 7: 7}
-    fuzzy = Link("s", "l", "s", "r", kind="fuzzy", threshold=50)
+    fuzzy = Link("s", "l", "s", "r", kind="fuzzy", threshold=50, compare_all=True)
     got = {r[0]: r[1] for r in resolve({"s": df}, [fuzzy], ids={"s": "id"}).select("_row_id", "entity_id").collect()}
     assert got == {1: 1, 2: 1, 3: 3, 8: 3, 4: 4, 5: 4, 6: 6, 7: 6}
+
+
+def test_fuzzy_links_without_blocks_are_a_choice():
+    import pytest
+
+    from keymerge import Link, SpecError
+
+    with pytest.raises(SpecError):
+        Link("s", "v", "s", "v", kind="fuzzy", threshold=80)
+    assert Link("s", "v", "s", "v", kind="fuzzy", threshold=80, compare_all=True).compare_all

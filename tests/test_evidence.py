@@ -49,7 +49,7 @@ def test_paths_follow_edges_and_are_shortest(spark, local):
 def test_links_of_all_kinds(spark):
     crm = spark.createDataFrame([(1, "a@x.org", "anna berg", "p1"), (2, "b@x.org", "anna berk", "p2"), (3, None, "zed", "p2"), (9, "q@q.org", "otto", None)], "id long, mail string, name string, phone string")
     web = spark.createDataFrame([(1, "a@x.org"), (2, "a@x.org"), (3, "nobody@x.org")], "id long, email string")
-    links = [Link("crm", "mail", "web", "email"), Link("crm", "name", "crm", "name", kind="fuzzy", threshold=80)]
+    links = [Link("crm", "mail", "web", "email"), Link("crm", "name", "crm", "name", kind="fuzzy", threshold=80, compare_all=True)]
     keys, ids = [[SourceField("crm", "phone")]], {"crm": "id", "web": "id"}
     rows = explain_entities({"crm": crm, "web": web}, links, keys, ids).collect()
     got = {r["_row_id"]: (r.entity_id, r.parent, r.link, r.value, r.depth) for r in rows}
