@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import shutil
 import tempfile
 from collections.abc import Callable
@@ -61,6 +62,30 @@ def prepare(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 _sent: set[str] = set()
 
 
+def tidy() -> None:
+    """Give memory that a Python task no longer needs back to the system: workers live on, several beside an
+    executor's heap, and keep freed memory otherwise."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def tidied(run):
+    """A task's function that tidies up when its batches are done."""
+
+    def whole(batches):
+        yield from run(batches)
+        tidy()
+
+    return whole
+
+
+try:  # of the GNU C library alone
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):
+    _trim = None
+
+
 def with_columns(df: DataFrame, input_col: str, schema: str, make) -> DataFrame:
     """All columns of ``df`` and new ones computed from the texts of one column.
 
@@ -79,7 +104,7 @@ def with_columns(df: DataFrame, input_col: str, schema: str, make) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *added])
 
     out = StructType([*plain.schema.fields, *StructType.fromDDL(schema).fields])
-    return plain.mapInArrow(run, out).toDF(*names, *added)
+    return plain.mapInArrow(tidied(run), out).toDF(*names, *added)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

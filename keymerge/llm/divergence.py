@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, prepare, stored
+from .common import pick, prepare, stored, tidied, tidy
 
 #: Between terms: all ASCII but letters.
 _BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -75,7 +75,7 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if rows > HELD_ROWS // 2:
                 yield from held[0].to_batches(max_chunksize=50_000)
                 held, rows = [], 0
-            pa.default_memory_pool().release_unused()
+            tidy()
     if waiting:
         held.append(counted())
     if held:
@@ -211,7 +211,7 @@ def term_counts(docs: DataFrame, least_docs: int = 10, lang_col: str = "lang", s
     prepare(docs.sparkSession)
     rows = pick(docs, lang=lang_col, source=source_col, text=text_col).na.fill("")
     term = Window.partitionBy("lang", "term")
-    return (rows.mapInArrow(_partial, "lang string, source string, term string, n long, d long")
+    return (rows.mapInArrow(tidied(_partial), "lang string, source string, term string, n long, d long")
             .repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
             .withColumn("first", F.row_number().over(term.orderBy("source")) == 1)
             .withColumn("docs", F.sum("d").over(term)).filter(F.col("docs") >= least_docs)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, shared_scratch
-from .common import pick, prepare, stored
+from .common import pick, prepare, stored, tidied
 from .tokens import byte_tokenizer
 
 #: Tokens of a sequence, sequences of a shard (16 MB) if a token has ``TOKEN_BYTES`` bytes on average, and rounds of the network.
@@ -175,7 +175,7 @@ def write_training_order(docs: DataFrame, ranks_path: str, pattern: str, folder:
 
     fs, root = FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
-    dealt = (rows.mapInArrow(place, "place long, number long, first_doc_id long, first_start long, length long, ids binary")
+    dealt = (rows.mapInArrow(tidied(place), "place long, number long, first_doc_id long, first_start long, length long, ids binary")
              .repartitionById(max(1, -(-total // width)), F.floor(F.col("place") / width).cast("int"))
              .sortWithinPartitions("place"))
     manifest = stored(dealt.mapInArrow(write, "shard long, byte_offset long, number long, first_doc_id long, first_start long, length long, ids_crc32 long"), "manifest")

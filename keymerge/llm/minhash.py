@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.entities import components
-from .common import pick, prepare, small_side, stored
+from .common import pick, prepare, small_side, stored, tidied
 from .quality_rules import WordHashes
 
 #: Slots of a signature and rows of a band: at a similarity of 0.8, one of the 16 bands agrees for 99.98 % of pairs.
@@ -124,7 +124,7 @@ def sign(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "t
     """Per row: ``doc_id, n_shingles, node`` (digest of the set), ``keys`` (of its bands), ``prints`` (16 bits a slot), ``text_hash``."""
     prepare(docs.sparkSession)
     return pick(docs, doc_id=id_col, text=text_col).withColumn("text_hash", F.xxhash64("text")).mapInArrow(
-        lambda it: _signed(it, width), "doc_id long, n_shingles long, node binary, keys array<long>, prints binary, text_hash long")
+        tidied(lambda it: _signed(it, width)), "doc_id long, n_shingles long, node binary, keys array<long>, prints binary, text_hash long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, prepare, stored
+from .common import pick, prepare, stored, tidied
 from .tokens import read_vocabulary, tokenizer
 
 #: Windows a partition holds open; the least gap that a document is cut for; partitions merged at the end.
@@ -134,7 +134,7 @@ def pack(docs: DataFrame, vocabulary_path: str, window: int = 2048, end_id: int
         rows = _rows(packer.closed + list(packer.open.values()), (1 << 62) + (key[0].as_py() << 32), with_ids)
         return pa.Table.from_batches([_batch(rows, _FIELDS)])
 
-    pieces = stored(pick(docs, doc_id=id_col, text=text_col).mapInArrow(first, f"{_DDL}, part int, slot int"), "pieces")
+    pieces = stored(pick(docs, doc_id=id_col, text=text_col).mapInArrow(tidied(first), f"{_DDL}, part int, slot int"), "pieces")
     names = [f.name for f in _FIELDS]
     left = pieces.filter(F.col("sequence_id").isNull()).withColumn("group", F.floor(F.col("part") / MERGED_PARTITIONS).cast("long"))
     return pieces.filter(F.col("sequence_id").isNotNull()).select(names).unionByName(

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, prepare, unclashed, with_columns
+from .common import pick, prepare, tidied, unclashed, with_columns
 from .quality_rules import repeat_words
 
 #: Labelled rows used at most (the documented bound), and the shards they are trained in.
@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
 
     shard = F.pmod(F.xxhash64(F.lit("shard"), "place"), F.lit(SHARDS))
     fitted = (pick(docs, doc_id=id_col, text=text_col).join(F.broadcast(sample), "doc_id").select("place", "y", "text")
-              .mapInArrow(features, "place long, y double, at array<long>, x array<double>")
+              .mapInArrow(tidied(features), "place long, y double, at array<long>, x array<double>")
               .withColumn("shard", shard).groupBy("shard").applyInArrow(fit, "slot long, weight double")
               .groupBy("slot").agg(F.sum("weight").alias("weight")).toArrow())  # at most one row per slot
     if not fitted.num_rows:
@@ -202,7 +202,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             s = [m.score(f, t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
-    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, score double")
+    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(tidied(run), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, prepare, small_side, stored, unclashed, with_columns
+from .common import pick, prepare, small_side, stored, tidied, unclashed, with_columns
 
 SYMBOLS = "#*$%&|<>"
 #: Distinct words whose hashes a worker keeps.
@@ -114,7 +114,7 @@ def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Counts of every whole text; a null text counts as empty."""
     prepare(docs.sparkSession)
-    return pick(docs, doc_id=id_col, lang=lang_col, source=source_col, text=text_col).mapInArrow(_stat_batches, _STATS)
+    return pick(docs, doc_id=id_col, lang=lang_col, source=source_col, text=text_col).mapInArrow(tidied(_stat_batches), _STATS)
 
 
 def _ratios() -> dict[str, Column]:
