@@ -212,7 +212,12 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, all columns as they are."""
+    """The rows of ``docs`` that score ``threshold`` or more, all columns as they are.
+
+    Texts are read whole; a null or empty text has the score of the bias alone; rows with nulls in
+    other columns and repeated rows are judged by their text like all others; other columns, also
+    such with clashing names, pass through; an empty table gives no rows.
+    """
     docs, restore = unclashed(docs, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

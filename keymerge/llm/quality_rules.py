@@ -204,7 +204,10 @@ def keep_good(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """The rows of ``docs`` (columns ``doc_id, text, lang, source`` and any others) that break no rule.
 
     The counts are taken twice, for the sketches and beside the rows: that spares a
-    shuffle of all texts."""
+    shuffle of all texts.  A null or empty text has no words and goes; a null ``lang`` or
+    ``source`` is a group of its own, and rows without an id are judged like all others; repeated
+    rows count and stay each; an empty table gives no rows.
+    """
     docs, restore = unclashed(docs, "doc_id", "text", "lang", "source")
     fences = small_side(stored(adaptive_fences(stored(document_stats(docs), "stats"), min_group), "fences"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_upper", "n_letters")

@@ -186,7 +186,9 @@ def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_co
     """``docs`` with each secret in the text replaced by ``mask``; all rows and columns stay.
 
     A finding belongs to the rows of its id and text.  The findings of a document come
-    together in one row: they are fewer than its characters.
+    together in one row: they are fewer than its characters.  Null and empty texts stay as they
+    are; rows without an id get the findings of rows without one and of their text; repeated rows
+    are masked each; other columns pass through, also such with clashing names; an empty table gives no rows.
     """
     docs, restore = unclashed(docs, id_col, text_col)
     spans = findings.filter("secret").select("doc_id", "text_hash", F.struct("start", "end").alias("span")).distinct()
