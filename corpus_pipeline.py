@@ -16,12 +16,20 @@ from keymerge.llm.common import small_side, stored, table, unclashed
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores as good."""
+    """Documents that the classifier scores as good.
+
+    Null and empty texts have the score of the bias alone; repeated rows are scored each; labels of
+    other documents are ignored, and an empty table gives no rows.
+    """
     return quality_model.keep_good(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that break none of the adaptive rules."""
+    """Documents that break none of the adaptive rules.
+
+    Null and empty texts go (they have no words); null languages and sources are groups of their
+    own; repeated rows stay or go together; an empty table gives no rows.
+    """
     return quality_rules.keep_good(docs)
 
 
@@ -53,7 +61,11 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token ids, packed into sequences of at most 2048."""
+    """The documents' token ids, packed into sequences of at most 2048.
+
+    A null or empty text gives the end token alone; repeated rows and rows without an id are packed
+    each; an empty table gives no rows.
+    """
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
