@@ -171,3 +171,46 @@ def test_verdicts_equal_brute_force(spark):
     for min_group in (10, 100):
         got = sorted((r.doc_id, r.kept, r.broken) for r in quality_rules.apply_rules(docs, min_group).collect())
         assert got == brute_fences(stats, min_group)
+
+
+def python_score(text, weights):
+    """A score by plain integers and sums, feature by feature."""
+    import itertools
+    import math
+
+    import xxhash
+
+    full, bits = (1 << 64) - 1, quality_model.SLOT_BITS
+
+    def hashed(b):
+        return xxhash.xxh3_64_intdigest(b)
+
+    def slot(x):
+        x &= full
+        return (((x ^ (x >> 31)) * 0xD6E8FEB86659FD93) & full) >> (64 - bits)
+
+    def sort(c):
+        return b"A" if 65 <= c <= 90 else b"a" if 97 <= c <= 122 or c >= 128 else b"0" if 48 <= c <= 57 else bytes([c])
+
+    words = (text or "").encode().split()
+    h = [hashed(w) for w in words]
+    s = [hashed(b"".join(k for k, _ in itertools.groupby(map(sort, w)))) for w in words]
+    order = 0x9E3779B97F4A7C15
+    slots = [slot(a + hashed(b"word")) for a in h] + [slot(a + hashed(b"shape")) for a in s]
+    slots += [slot((a * order & full) + b + hashed(b"pair")) for a, b in zip(h, h[1:])]
+    slots += [slot((a * order & full) + b + hashed(b"shapes")) for a, b in zip(s, s[1:])]
+    slots += [hashed(b"<same>") >> (64 - bits)] * sum(a == b for a, b in zip(h, h[1:]))
+    slots += [hashed(b"<again>") >> (64 - bits)] * brute(text)[4]
+    dot = weights[-1] + (math.fsum(weights[x] for x in slots) / len(words) if words else 0)
+    return 1 / (1 + math.exp(-dot))
+
+
+def test_scores_equal_plain_python(spark, documents, odd):
+    model = quality_model.train(documents, table(spark, SF, "labels"))
+    for docs in (documents, odd):
+        want = sorted((r.doc_id or 0, python_score(r.text, model.weights)) for r in docs.collect())
+        got = sorted((r.doc_id or 0, r.score) for r in quality_model.score(docs, model).collect())
+        assert [i for i, _ in got] == [i for i, _ in want]
+        assert np.allclose([x for _, x in got], [x for _, x in want], atol=1e-9)
+    query = {r.doc_id: r.score for r in QUERIES["op2_ftrl_quality"](spark, SF).collect()}
+    assert np.allclose([query[r.doc_id] for r in documents.collect()], [python_score(r.text, model.weights) for r in documents.collect()], atol=1e-9)
