@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship_code, written
+from ..session import exchanged, ship_code, written
 from .entities import components
 
 #: Links of a component that one task takes.
@@ -71,11 +71,11 @@ def _round(links: DataFrame, sizes: DataFrame, bound: int) -> DataFrame:
     ways = _both_ways(links)
     pick = written(ways.groupBy("x").agg(F.min(F.struct("k", "y")).alias("m")).select("x", F.col("m.k").alias("k"), F.col("m.y").alias("y")))
     tree = written(components(pick, "x", "y").withColumnRenamed("component", "tree"))
-    leaving = (ways.join(tree.select(F.col("node").alias("x"), F.col("tree").alias("tx")), "x")
-               .join(tree.select(F.col("node").alias("y"), F.col("tree").alias("ty")), "y")
+    leaving = (ways.join(exchanged(tree.select(F.col("node").alias("x"), F.col("tree").alias("tx"))), "x")
+               .join(exchanged(tree.select(F.col("node").alias("y"), F.col("tree").alias("ty"))), "y")
                .filter("tx <> ty").groupBy("x").agg(F.min("k").alias("leaving")))
-    rows = (pick.select("x", "k").join(tree.select(F.col("node").alias("x"), "tree"), "x")
-            .join(sizes.select(F.col("label").alias("x"), "size"), "x").join(leaving, "x", "left"))
+    rows = (pick.select("x", "k").join(exchanged(tree.select(F.col("node").alias("x"), "tree")), "x")
+            .join(exchanged(sizes.select(F.col("label").alias("x"), "size")), "x").join(exchanged(leaving), "x", "left"))
     # From the root outwards.  The two clusters at the root picked the same link; each further one adds its own.
     outwards = Window.partitionBy("tree").orderBy("k", "x")
     near = outwards.rowsBetween(Window.unboundedPreceding, 0)
@@ -87,7 +87,7 @@ def _round(links: DataFrame, sizes: DataFrame, bound: int) -> DataFrame:
 
 
 def _relabelled(df: DataFrame, column: str, to: DataFrame) -> DataFrame:
-    return (df.join(to.select(F.col("label").alias(column), F.col("cluster").alias("_to")), column, "left")
+    return (df.join(exchanged(to.select(F.col("label").alias(column), F.col("cluster").alias("_to"))), column, "left")
             .withColumn(column, F.coalesce("_to", column)).drop("_to"))
 
 
@@ -108,20 +108,20 @@ def bounded_components(edges: DataFrame, bound: int, src: str = "src", dst: str
     links = written(links.filter("a <> b").groupBy("a", "b").agg(F.max(weight).alias(weight)))
     whole = written(components(links, "a", "b"))
     count = written(whole.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
-    whole = whole.join(count, "component").select("node", "component", (F.col("n") > bound).alias("split"))
+    whole = whole.join(exchanged(count), "component").select("node", "component", (F.col("n") > bound).alias("split"))
     large = written(whole.filter("split").select("node", "component"))
     # Links of the components above the bound, between clusters that are single nodes at first.
-    todo = links.join(large.select(F.col("node").alias("a"), F.col("component").alias("group")), "a").select(
+    todo = links.join(exchanged(large.select(F.col("node").alias("a"), F.col("component").alias("group"))), "a").select(
         "a", "b", _strength(weight, "a", "b").alias("k"), "group")
     label = large.select("node", F.col("node").alias("label"))
     sizes = label.select("label", F.lit(1).cast("long").alias("size"))
     while True:
-        small = {s: sizes.select(F.col("label").alias(s), F.col("size").alias(f"s{s}")) for s in "ab"}
+        small = {s: exchanged(sizes.select(F.col("label").alias(s), F.col("size").alias(f"s{s}"))) for s in "ab"}
         todo = written(todo.join(small["a"], "a").join(small["b"], "b").filter(F.col("sa") + F.col("sb") <= bound))
         if todo.isEmpty():
             break
         # Components of few links are settled now, each in one task.
-        few = written(todo.groupBy("group").agg(F.count(F.lit(1)).alias("n"))).filter(F.col("n") <= local_links).select("group")
+        few = exchanged(written(todo.groupBy("group").agg(F.count(F.lit(1)).alias("n"))).filter(F.col("n") <= local_links).select("group"))
         kind = todo.schema["a"].dataType.simpleString()
         settled = written(todo.join(few, "group", "left_semi").select("group", "a", "b", "sa", "sb", "k.*").groupBy("group")
                               .applyInArrow(_sequential(bound), f"label {kind}, cluster {kind}"))
@@ -137,8 +137,8 @@ def bounded_components(edges: DataFrame, bound: int, src: str = "src", dst: str
         left = _relabelled(_relabelled(rest, "a", moved), "b", moved).filter("a <> b")
         left = written(left.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("k").alias("k")))
         groups = components(left, "a", "b").select(F.col("node").alias("a"), F.col("component").alias("group"))
-        todo = left.join(groups, "a").select("a", "b", "k", "group")
+        todo = left.join(exchanged(groups), "a").select("a", "b", "k", "group")
     first = label.groupBy("label").agg(F.min("node").alias("component"))
-    parts = label.join(first, "label").select("node", "component", F.lit(True).alias("split"))
-    lone = alone.join(whole, "node", "left_anti").select("node", F.col("node").alias("component"), F.lit(False).alias("split"))
+    parts = label.join(exchanged(first), "label").select("node", "component", F.lit(True).alias("split"))
+    lone = alone.join(exchanged(whole), "node", "left_anti").select("node", F.col("node").alias("component"), F.lit(False).alias("split"))
     return whole.filter("not split").unionByName(parts).unionByName(lone)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.policies import PolicyExpr, ord_col, qual, src_col
-from ..session import materialize, written
+from ..session import exchanged, materialize, written
 from ..sources.readers import ordinal_expr
 from .merge import key_text
 from ..spec import Mapping, MergeSpec, Policy, SourceField, SpecError
@@ -109,7 +109,7 @@ def _canon(df: DataFrame, a: str, b: str) -> DataFrame:
 def _is_star_forest(e: DataFrame) -> bool:
     """True when no edge target is itself the source of an edge: every component is a
     star around its smallest node, which is the final answer.  One small job."""
-    return e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+    return e.join(exchanged(e.select(F.col("u").alias("v"))), "v", "left_semi").isEmpty()
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -124,6 +124,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     sides of the join have an exchange of their own: only then does AQE split the
     edges of a hub over several tasks.  A round ends in a written table, whose size Spark knows:
     the estimated sizes of checkpointed tables would be multiplied by the joins of every round.
+    No join of a round broadcasts: the tables are as long as the edges and would add up in the driver.
     """
     # The first round reads the (lazy) canonical edges directly: a star forest passes
     # through a round unchanged, so checking after each round is enough.
@@ -134,10 +135,10 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
             e.select(F.col("v").alias("x"), F.col("u").alias("y")))
         m = materialize(d.groupBy("x").agg(F.min("y").alias("_m")).select("x", F.least("x", "_m").alias("m")))
         # (y, m) with y > x >= m is already canonical; duplicates are removed after small-star
-        e = materialize(d.join(m, "x").filter(F.col("y") > F.col("x")).select(F.col("y").alias("u"), F.col("m").alias("v")))
+        e = materialize(d.join(exchanged(m), "x").filter(F.col("y") > F.col("x")).select(F.col("y").alias("u"), F.col("m").alias("v")))
         # small-star: u and its smaller neighbours attach to min(N<=(u) + u)
         m2 = materialize(e.groupBy("u").agg(F.min("v").alias("m")))
-        ss = e.join(m2, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(
+        ss = e.join(exchanged(m2), "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(
             m2.select(F.col("u").alias("a"), F.col("m").alias("b")))
         e = written(_canon(ss, "a", "b"), "cc")
         if _is_star_forest(e):
@@ -285,7 +286,7 @@ def _value_star_edges(t: DataFrame, require_both_sides: bool) -> DataFrame:
                                    F.max("side").alias("_s1"))
     if require_both_sides:
         anchors = anchors.filter((F.col("_s1") == 2) | ((F.col("_s0") == 0) & (F.col("_s1") >= 1)))
-    return (t.join(materialize(anchors.select("key", "anchor"), "anchors"), "key")
+    return (t.join(exchanged(materialize(anchors.select("key", "anchor"), "anchors")), "key")
             .filter(F.col(ROW_ID) != F.col("anchor"))
             .select(F.col(ROW_ID).alias("src"), F.col("anchor").alias("dst")))
 
@@ -382,7 +383,7 @@ def resolve(sources: TMapping[str, DataFrame], links: Sequence[Link], fields: li
 
         edges = reduce(lambda a, b: a.unionByName(b), edge_sets)
         parts = bounded_components(edges, max_cluster_size).select(F.col("node").alias(ROW_ID), F.col("component").alias(ENTITY))
-        out = nodes.join(parts, ROW_ID, "left").withColumn(ENTITY, F.coalesce(ENTITY, ROW_ID))
+        out = nodes.join(exchanged(parts), ROW_ID, "left").withColumn(ENTITY, F.coalesce(ENTITY, ROW_ID))
         return out.withColumn("_oversize", F.lit(False)).withColumn("_cluster", F.col(ENTITY))
     several = any(len({f.source for f in kf}) < len(kf) for kf in key_fields)  # a row may hold several values
     several = several or any(lk.left == lk.right and not lk.is_self() for lk in links)
@@ -396,7 +397,7 @@ def resolve(sources: TMapping[str, DataFrame], links: Sequence[Link], fields: li
     elif edge_sets:
         edges = reduce(lambda a, b: a.unionByName(b), edge_sets)
         comp = components(edges).select(F.col("node").alias(ROW_ID), F.col("component").alias(ENTITY))
-        out = nodes.join(comp, ROW_ID, "left").withColumn(ENTITY, F.coalesce(F.col(ENTITY), F.col(ROW_ID)))
+        out = nodes.join(exchanged(comp), ROW_ID, "left").withColumn(ENTITY, F.coalesce(F.col(ENTITY), F.col(ROW_ID)))
     else:
         out = nodes.withColumn(ENTITY, F.col(ROW_ID))
     if max_cluster_size:

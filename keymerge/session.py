@@ -107,3 +107,9 @@ def written(df, name: str = "step"):
     path = shared_scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exchanged(df):
+    """A side of a join that is dealt out by key however small Spark takes it to be.  For loops: a written table of
+    packed ids looks small, and each broadcast of one passes through the driver, once per join and round."""
+    return df.hint("merge")

@@ -97,3 +97,19 @@ def test_fuzzy_links_without_blocks_are_a_choice():
     with pytest.raises(SpecError):
         Link("s", "v", "s", "v", kind="fuzzy", threshold=80)
     assert Link("s", "v", "s", "v", kind="fuzzy", threshold=80, compare_all=True).compare_all
+
+
+def test_no_join_passes_a_table_through_the_driver(spark):
+    """Tables of nodes grow with the rows, and a broadcast of one per join and round adds up in the driver."""
+    from keymerge.operators.clusters import _relabelled, _round
+    from keymerge.operators.entities import Link, resolve
+    from keymerge.plans.explain import plan_report
+    from keymerge.session import written
+
+    links = written(spark.range(40).selectExpr("id AS a", "id + 1 AS b", "struct(-1D AS w, id AS p, id + 1 AS q) AS k"))
+    sizes = written(spark.range(41).selectExpr("id AS label", "1L AS size"))
+    moved = _round(links, sizes, 3)
+    df = written(spark.range(40).selectExpr("id", "id div 3 AS k1", "id div 7 AS k2"))
+    cut = resolve({"s": df}, [Link("s", "k1", "s", "k1"), Link("s", "k2", "s", "k2")], ids={"s": "id"}, max_cluster_size=5, oversize="split")
+    for name, part in (("round", moved), ("labels", _relabelled(sizes, "label", written(moved))), ("result", cut.select("_row_id", "entity_id"))):
+        assert plan_report(part)["broadcasts"] == 0, name
