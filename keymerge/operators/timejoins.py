@@ -9,21 +9,26 @@ data is spread over several tasks:
   one row per chunk.  One exchange of each side.
 * ``interval_join`` puts each interval into the bins, as wide as the next power of two, that
   it touches: two at most, however long it is.  A point looks into one bin per width in
-  use.  The join is on (key, width, bin), which AQE can split.
+  use.  The join is on (key, width, bin), which AQE can split.  Its pairs may be many more than
+  its rows; so the rows of each (key, width, bin) are counted, and where all pairs are more than
+  ``pairs_per_task`` each such group is cut into squares of bounded size, dealt over as many
+  tasks as the pairs fill.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.policies import src_col
-from ..session import materialize
+from ..session import exchanged, materialize
 from ..spec import SpecError
 
 ROWS_PER_TASK = 1_000_000
+PAIRS_PER_TASK = 16_000_000
 _MICROS = 86_400_000_000
 
 
@@ -141,11 +146,12 @@ _LEAST_LEVEL = -20
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, on: str | Sequence[str] | Sequence[tuple[str, str]], point: str,
-                  start: str, end: str, how: str = "inner") -> DataFrame:
+                  start: str, end: str, how: str = "inner", pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
     """Each point with every interval of its keys that holds it: ``start <= point <= end``.
 
     With ``how="left"`` points in no interval stay, with nulls.  Null keys, points and ends match
-    nothing, and neither does an interval that ends before it starts.
+    nothing, and neither does an interval that ends before it starts.  A task compares about
+    ``pairs_per_task`` points and intervals.
     """
     if how not in ("inner", "left"):
         raise SpecError("how must be inner or left")
@@ -174,24 +180,51 @@ def interval_join(points: DataFrame, intervals: DataFrame, on: str | Sequence[st
 
     i = i.withColumn("bin", F.explode(F.array_distinct(F.array(bin_of("s", "level"), bin_of("e", "level")))))
     levels = sorted(r[0] for r in i.select("level").distinct().collect())  # a number per power of two
-    looking = p.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels]))) if levels else p.withColumn("level", F.lit(0)).limit(0)
-    looking = looking.withColumn("bin", bin_of("t", "level"))
-    match = looking.join(i, [*keys, "level", "bin"]).filter("t between s and e")
+
+    def looking(points: DataFrame) -> DataFrame:
+        at = points.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels]))) if levels else points.withColumn("level", F.lit(0)).limit(0)
+        return at.withColumn("bin", bin_of("t", "level"))
+
+    on = [*keys, "level", "bin"]
+    squares, tasks = _squares(looking(p), i, on, pairs_per_task)
+    if how == "left" or squares is not None:  # numbers that a repeated task finds again
+        p = materialize(p.withColumn("id", F.monotonically_increasing_id()))
+    at = looking(p)
+    if squares is not None:
+        # A point looks into one row of squares, and an interval stands in one column.
+        i = materialize(i.withColumn("id", F.monotonically_increasing_id()))
+        at = (at.join(squares, on).withColumn("x", F.expr("pmod(xxhash64(id), across)")).withColumn("y", F.explode(F.expr("sequence(0L, down - 1)"))))
+        i = i.join(squares, on).withColumn("y", F.expr("pmod(xxhash64(id), down)")).withColumn("x", F.explode(F.expr("sequence(0L, across - 1)")))
+        on = [*on, "x", "y"]
+        at, i = at.repartition(tasks, *on), exchanged(i.drop("id").repartition(tasks, *on))
+    match = at.join(i, on).filter("t between s and e")
     if how == "inner":
         return match.select(*_unpack("l", points.columns), *_unpack("r", names))
     # Points in no interval: those whose number does not come up among the matches.
-    numbered = materialize(p.withColumn("id", F.monotonically_increasing_id()))
-    looking = numbered.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels]))) if levels else numbered.withColumn("level", F.lit(0)).limit(0)
-    match = looking.withColumn("bin", bin_of("t", "level")).join(i, [*keys, "level", "bin"]).filter("t between s and e").select("id", "l", "r")
-    alone = numbered.join(match.select("id").distinct(), "id", "left_anti").select("l", F.lit(None).cast(i.schema["r"].dataType).alias("r"))
+    alone = p.join(match.select("id").distinct(), "id", "left_anti").select("l", F.lit(None).cast(i.schema["r"].dataType).alias("r"))
     return match.select("l", "r").unionByName(alone).select(*_unpack("l", points.columns), *_unpack("r", names))
 
 
+def _squares(points: DataFrame, intervals: DataFrame, on: list[str], pairs_per_task: int) -> tuple[DataFrame | None, int]:
+    """For each (key, width, bin) with both, into how many parts its points (``across``) and intervals (``down``) go;
+    and the number of tasks.  None where one task could take all pairs, or points meet few intervals each."""
+    side = max(1, math.isqrt(pairs_per_task) // 2)
+    held = materialize(intervals.groupBy(*on).agg(F.count(F.lit(1)).alias("down")))
+    if (held.agg(F.max("down")).first()[0] or 0) <= side // 32:
+        return None, 0
+    groups = materialize(points.groupBy(*on).agg(F.count(F.lit(1)).alias("across")).join(held, on))
+    pairs = groups.agg(F.sum(F.col("across").cast("double") * F.col("down"))).first()[0] or 0
+    if pairs <= pairs_per_task:
+        return None, 0
+    tasks = max(math.ceil(pairs / pairs_per_task), int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return groups.select(*on, *[F.ceil(F.col(c) / side).alias(c) for c in ("across", "down")]), tasks
+
+
 def range_join(left: DataFrame, right: DataFrame, on: str | Sequence[str] | Sequence[tuple[str, str]], left_at: str, right_at: str,
-               distance: float, how: str = "inner") -> DataFrame:
+               distance: float, how: str = "inner", pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
     """Each left row with every right row of its keys at most ``distance`` away (microseconds for dates and
     timestamps, else the axis' unit): ``right_at - distance <= left_at <= right_at + distance``."""
     low, high, axis = "__low", "__high", "__at"
     wide = right.withColumns({low: _axis(right, right_at) - F.lit(distance), high: _axis(right, right_at) + F.lit(distance)})
-    out = interval_join(left.withColumn(axis, _axis(left, left_at)), wide, on, axis, low, high, how)
+    out = interval_join(left.withColumn(axis, _axis(left, left_at)), wide, on, axis, low, high, how, pairs_per_task)
     return out.drop(axis, low, high)

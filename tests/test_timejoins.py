@@ -98,3 +98,17 @@ def test_empty_sides_and_errors(spark):
         asof_join(p, e.withColumnRenamed("v", "t"), "k", "t", "rt")
     with pytest.raises(SpecError):
         asof_join(p, e, [], "t", "rt")
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_pairs_of_a_hot_bin_are_spread(spark, how):
+    """All rows lie within reach of each other, many alike: with 400 pairs a task none has more than a part of them."""
+    left = spark.createDataFrame([(1, 0.5)] * 60 + [(1, 1.0), (2, 1.0), (1, None), (None, 1.0), (3, 9.0)], "k int, x double")
+    right = spark.createDataFrame([(1, 0.5)] * 50 + [(1, 0.75), (2, 1.25), (1, None), (None, 1.0), (4, 1.0)], "k int, y double")
+    got = range_join(left, right, "k", "x", "y", 0.5, how=how, pairs_per_task=400)
+    want = [(k, x, y) for k, x in map(tuple, left.collect()) for k2, y in map(tuple, right.collect())
+            if None not in (k, x, y) and k == k2 and y - 0.5 <= x <= y + 0.5]
+    alone = [(1, None, None), (None, 1.0, None), (3, 9.0, None)] if how == "left" else []
+    assert rows(got) == sorted(map(repr, want + alone)) and len(want) == 61 * 51 + 1
+    tasks = got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert max(tasks) <= len(want) // 3
