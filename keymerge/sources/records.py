@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -240,18 +241,38 @@ def position() -> Column:
     return F.struct("file", "block", "seq")
 
 
+#: Bytes of text that a task splits at a time.
+TEXT_BYTES = 4 << 20
+
+
+def _text_parts(b: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of at most ``TEXT_BYTES`` of text, or of one row."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < b.num_rows:
+        before = int(upto[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(upto, before + TEXT_BYTES, "right")))
+        yield b.slice(start, end - start)
+        start = end
+
+
 def explode_records(df: DataFrame, text_col: str, sep: str = ",", quote: str = '"') -> DataFrame:
-    """All columns of ``df`` and, for each record of its text, ``_line_no`` (from 0) and ``_line``."""
+    """All other columns of ``df`` and, for each record of its text, ``_line_no`` (from 0) and ``_line``.
+
+    The text itself is not repeated for its records, and a task holds the records of a few megabytes of text at a time."""
     ship_code(df.sparkSession)
-    quotes, at, names = Quotes(sep, quote), df.columns.index(text_col), df.columns
-    plain = df.toDF(*[f"_c{i}" for i in range(len(names))])
+    quotes, at = Quotes(sep, quote), df.columns.index(text_col)
+    names = [c for c in df.columns if c != text_col]
+    plain = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+    kept = [k for k in range(len(df.columns)) if k != at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [quotes.records(t) if t else [] for t in b.column(at).to_pylist()]
-            rows = pa.array([k for k, r in enumerate(found) for _ in r], pa.int64())
-            new = [pa.array([n for r in found for n in range(len(r))], pa.int32()), pa.array([x for r in found for x in r], pa.string())]
-            yield pa.RecordBatch.from_arrays([*[c.take(rows) for c in b.columns], *new], [*b.schema.names, "_line_no", "_line"])
-
-    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields], "_line_no int, _line string"])
+        for batch in batches:
+            for b in _text_parts(batch, at):
+                found = [quotes.records(t) if t else [] for t in b.column(at).to_pylist()]
+                rows = pa.array([k for k, r in enumerate(found) for _ in r], pa.int64())
+                new = [pa.array([n for r in found for n in range(len(r))], pa.int32()), pa.array([x for r in found for x in r], pa.string())]
+                yield pa.RecordBatch.from_arrays([*[b.column(k).take(rows) for k in kept], *new], [*[b.schema.names[k] for k in kept], "_line_no", "_line"])
+
+    schema = ", ".join([*[f"_c{k} {plain.schema[k].dataType.simpleString()}" for k in kept], "_line_no int, _line string"])
     return plain.mapInArrow(run, schema).toDF(*names, "_line_no", "_line")

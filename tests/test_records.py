@@ -102,3 +102,26 @@ def test_payloads_with_quoted_breaks(spark):
     df = spark.createDataFrame([(1, 'a,b,c\n1,"x ""y"", z",2\n3,"two\nlines",4\r\n'), (2, "a,b,c"), (3, None), (4, "a,b,c\n5,,")], "id int, payload string")
     rows = payload_csv(df, "payload", "a int, b string, c int", keep=["id"]).collect()
     assert sorted((r.id, r["_line_no"], r.a, r.b, r.c) for r in rows) == [(1, 1, 1, 'x "y", z', 2), (1, 2, 3, "two\nlines", 4), (4, 1, 5, None, None)]
+
+
+def test_many_payloads_are_split_a_few_at_a_time():
+    """A batch of many payloads is taken in parts of bounded text, in order, none left out."""
+    import pyarrow as pa
+
+    from keymerge.sources.records import TEXT_BYTES, _text_parts
+
+    texts = ["x" * n for n in (0, TEXT_BYTES // 2, TEXT_BYTES // 2, 1, 3 * TEXT_BYTES, 5, TEXT_BYTES)] + [None, ""] * 3
+    parts = list(_text_parts(pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "t"]), 1))
+    assert [t for p in parts for t in p.column(1).to_pylist()] == texts
+    assert [t for p in parts for t in p.column(0).to_pylist()] == list(range(len(texts)))
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= TEXT_BYTES for p in parts) and len(parts) == 5
+    assert list(_text_parts(pa.RecordBatch.from_arrays([pa.array([], pa.string())], ["t"]), 0)) == []
+
+
+def test_payload_text_is_not_repeated_for_its_records(spark):
+    from keymerge.sources.records import explode_records
+
+    df = spark.createDataFrame([(1, "a\nb", "x"), (2, None, "y"), (3, 'c,"d\ne"', "z")], "id int, payload string, more string")
+    lines = explode_records(df, "payload")
+    assert lines.columns == ["id", "more", "_line_no", "_line"]
+    assert sorted(map(tuple, lines.collect())) == [(1, "x", 0, "a"), (1, "x", 1, "b"), (3, "z", 0, 'c,"d\ne"')]
